@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The operators rebuilt here have no streaming form: tag synchronisation is a
+manually started batch that runs one at a time, and nothing in the graph
+model involves event time, watermarks or state across micro-batches. Every
+operator is a batch DataFrame function; one that must follow a changing input
+can be run from ``foreachBatch`` by the caller.
+"""
