@@ -128,6 +128,45 @@ FROM ch JOIN per ON ch.entity_type = per.entity_type AND ch.entity_name = per.en
 """
 
 
+def expand_sql(col: str) -> str:
+    """SQL form of :func:`ontocat.functions.scalars.expand_curie` for the default namespaces."""
+    from ontocat.model import DEFAULT_NAMESPACES
+
+    arms = " ".join(
+        f"WHEN '{p}' THEN '{iri}' || substr({col}, {len(p) + 2})" for p, iri in sorted(DEFAULT_NAMESPACES.items())
+    )
+    return f"CASE WHEN strpos({col}, ':') > 0 THEN CASE split_part({col}, ':', 1) {arms} END END"
+
+
+TYPE_RANK_SQL = "CASE WHEN o = 'rdfs:Class' THEN '0' WHEN o = 'skos:Concept' THEN '1' ELSE '2' END"
+
+DETAIL_CTES = f"""
+, lmin AS (SELECT uri, min(label) AS label FROM lab GROUP BY uri)
+, cmin AS (SELECT s AS uri, min(o) AS comment FROM g WHERE p = 'rdfs:comment' GROUP BY s)
+, tmin AS (SELECT s AS uri, substr(min({TYPE_RANK_SQL} || o), 2) AS type FROM g WHERE p = 'rdf:type' GROUP BY s)
+, alts AS (SELECT s AS uri, string_agg(o, '||' ORDER BY o) AS alt_labels, count(*) AS n_alt_labels
+           FROM g WHERE p = 'skos:altLabel' GROUP BY s)
+, rel AS (
+    SELECT r.s AS uri, {{expand}} AS predicate, r.o AS object, l.label AS object_label, r.p AS predicate_type
+    FROM g r JOIN members m ON m.uri = r.s LEFT JOIN lab l ON l.uri = r.o
+    WHERE r.p IN ('rdfs:subClassOf', 'skos:broader', 'skos:narrower'))
+, cprops AS (
+    SELECT x.o AS concept, x.s AS uri, n.label AS name, 'domain' AS role
+    FROM g x JOIN props pr ON pr.uri = x.s LEFT JOIN lab n ON n.uri = x.s WHERE x.p = 'rdfs:domain'
+    UNION ALL
+    SELECT x.o, x.s, n.label, 'range'
+    FROM g x JOIN props pr ON pr.uri = x.s LEFT JOIN lab n ON n.uri = x.s WHERE x.p = 'rdfs:range')
+"""
+
+
+def _detail_select(base: str) -> str:
+    return f"""
+SELECT b.uri, lmin.label, cmin.comment, tmin.type,
+       coalesce(alts.alt_labels, '') AS alt_labels, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
+FROM {base} b LEFT JOIN lmin ON lmin.uri = b.uri LEFT JOIN cmin ON cmin.uri = b.uri
+LEFT JOIN tmin ON tmin.uri = b.uri LEFT JOIN alts ON alts.uri = b.uri"""
+
+
 def _list_sql(col: str, alias: str) -> str:
     return (f"coalesce(string_agg({col}, '||' ORDER BY {col}), '') AS {alias}, "
             f"count({col}) AS n_{alias}")
@@ -171,6 +210,46 @@ GROUP BY pr.uri, n.label"""),
     "tag_mappings": with_common(f"""
 SELECT name, type, {_list_sql('tag', 'tags')} FROM pairs GROUP BY type, name"""),
     "tag_mapping_pairs": with_common("SELECT type, name, tag FROM pairs"),
+    "concept_detail": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """
+, req AS (SELECT uri FROM members UNION ALL SELECT o FROM g WHERE p = 'uc:conceptAssignment')
+, base AS (SELECT DISTINCT r.uri FROM req r JOIN g ON g.s = r.uri)""" + _detail_select("base")),
+    "property_detail": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """
+, base AS (SELECT DISTINCT pr.uri FROM props pr JOIN g a ON a.p = 'uc:propertyAssignment' AND a.o = pr.uri)
+, d AS (SELECT x.s AS uri, x.o AS domain, l.label AS domain_label FROM g x LEFT JOIN lab l ON l.uri = x.o WHERE x.p = 'rdfs:domain')
+, dmin AS (SELECT d.uri, d.domain, min(d.domain_label) AS domain_label FROM d
+           JOIN (SELECT uri, min(domain) AS domain FROM d GROUP BY uri) m ON m.uri = d.uri AND m.domain = d.domain
+           GROUP BY d.uri, d.domain)
+, r AS (SELECT x.s AS uri, x.o AS range, l.label AS range_label FROM g x LEFT JOIN lab l ON l.uri = x.o WHERE x.p = 'rdfs:range')
+, rmin AS (SELECT r.uri, r.range, min(r.range_label) AS range_label FROM r
+           JOIN (SELECT uri, min(range) AS range FROM r GROUP BY uri) m ON m.uri = r.uri AND m.range = r.range
+           GROUP BY r.uri, r.range)
+SELECT b.uri, lmin.label, cmin.comment, dmin.domain, dmin.domain_label, rmin.range, rmin.range_label,
+       coalesce(alts.alt_labels, '') AS alt_labels, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
+FROM base b LEFT JOIN lmin ON lmin.uri = b.uri LEFT JOIN cmin ON cmin.uri = b.uri
+LEFT JOIN dmin ON dmin.uri = b.uri LEFT JOIN rmin ON rmin.uri = b.uri LEFT JOIN alts ON alts.uri = b.uri"""),
+    "concept_relationships": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + "SELECT * FROM rel"),
+    "alt_labels": with_common("""
+SELECT s AS uri, string_agg(o, '||' ORDER BY o) AS alt_labels, count(*) AS n_alt_labels
+FROM g WHERE p = 'skos:altLabel' GROUP BY s"""),
+    "concept_properties": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + "SELECT * FROM cprops"),
+    "concept_summary": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """
+, base AS (SELECT DISTINCT m.uri FROM members m JOIN g ON g.s = m.uri)
+, det AS (""" + _detail_select("base") + """)
+, nrel AS (SELECT uri, count(*) AS n FROM rel GROUP BY uri)
+, ntab AS (SELECT concept_uri AS uri, count(*) AS n FROM ta GROUP BY concept_uri)
+, nprp AS (SELECT concept AS uri, count(*) AS n FROM cprops GROUP BY concept)
+SELECT det.*, coalesce(nrel.n, 0) AS n_relationships, coalesce(ntab.n, 0) AS n_assigned_tables,
+       coalesce(nprp.n, 0) AS n_properties
+FROM det LEFT JOIN nrel ON nrel.uri = det.uri LEFT JOIN ntab ON ntab.uri = det.uri LEFT JOIN nprp ON nprp.uri = det.uri"""),
+    "assigned_objects": with_common("""
+, req AS (SELECT uri FROM members UNION SELECT uri FROM props)
+SELECT ta.concept_uri AS uri, ta.table_uri, ta.table_name, ta.concept_uri, ta.concept_name,
+       CAST(NULL AS VARCHAR) AS column_uri, CAST(NULL AS VARCHAR) AS column_name,
+       CAST(NULL AS VARCHAR) AS property_uri, CAST(NULL AS VARCHAR) AS property_name
+FROM ta JOIN req ON req.uri = ta.concept_uri
+UNION ALL
+SELECT ca.property_uri, NULL, NULL, NULL, NULL, ca.column_uri, ca.column_name, ca.property_uri, ca.property_name
+FROM ca JOIN req ON req.uri = ca.property_uri"""),
     "tag_sync_plan": with_common(_plan_sql(50)),
     "tag_sync_plan_limit25": with_common(_plan_sql(25)),
 }

@@ -119,3 +119,55 @@ def q_tag_sync_plan(spark, sf_dir):
 def q_tag_sync_plan_limit25(spark, sf_dir):
     g = _g(spark, sf_dir)
     return tagsync.tag_sync_plan(tagsync.tag_mapping_pairs(g), inputs.current_tags(spark, sf_dir), limit=25)
+
+
+# ------------------------------------------------------- details and bundles
+
+
+def _assigned_or_member_concepts(g: DataFrame) -> DataFrame:
+    """Request batch for concept pages: every concept plus every assignment target."""
+    targets = g.filter(F.col("p") == "uc:conceptAssignment").select(F.col("o").alias("uri"))
+    if "pk" in g.columns:
+        targets = g.filter((F.col("pk") == "uc:conceptAssignment") & (F.col("p") == "uc:conceptAssignment")).select(
+            F.col("o").alias("uri"))
+    return ent.concept_members(g).unionByName(targets)
+
+
+@query("concept_detail")
+def q_concept_detail(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return render_list(ent.concept_detail(g, _assigned_or_member_concepts(g)), "alt_labels")
+
+
+@query("property_detail")
+def q_property_detail(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    targets = asg.column_assignments(g).select(F.col("property_uri").alias("uri"))
+    return render_list(ent.property_detail(g, targets), "alt_labels")
+
+
+@query("concept_relationships")
+def q_concept_relationships(spark, sf_dir):
+    return ent.concept_relationships(_g(spark, sf_dir))
+
+
+@query("alt_labels")
+def q_alt_labels(spark, sf_dir):
+    return render_list(ent.alt_labels(_g(spark, sf_dir)), "alt_labels")
+
+
+@query("concept_properties")
+def q_concept_properties(spark, sf_dir):
+    return asg.concept_properties(_g(spark, sf_dir))
+
+
+@query("concept_summary")
+def q_concept_summary(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return render_list(asg.concept_summary(g, ent.concept_members(g)), "alt_labels")
+
+
+@query("assigned_objects")
+def q_assigned_objects(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return asg.assigned_objects(g, ent.concept_members(g).unionByName(ent.property_members(g)))
