@@ -8,6 +8,8 @@ Spark query's; lists are compared as sorted ``||`` strings.
 
 from __future__ import annotations
 
+from ontocat.plans.registry import LIST_FILTERS, SEARCH_KINDS, SEARCH_QUERIES
+
 GRAPH_CTE = """
 g AS (
   SELECT DISTINCT s, p, o, k AS o_kind FROM (
@@ -167,6 +169,32 @@ FROM {base} b LEFT JOIN lmin ON lmin.uri = b.uri LEFT JOIN cmin ON cmin.uri = b.
 LEFT JOIN tmin ON tmin.uri = b.uri LEFT JOIN alts ON alts.uri = b.uri"""
 
 
+def trigram_sql(x: str) -> str:
+    """SQL trigram set of ``x`` (same rules as :func:`ontocat.functions.trigrams.trigrams`)."""
+    return (
+        "list_distinct(flatten(list_transform("
+        f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), "
+        "lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+    )
+
+
+def _values(rows, cols: str) -> str:
+    body = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS v({cols}))"
+
+
+def _search_sql(queries: str, extra_cols: str = "") -> str:
+    return f"""
+, qs AS {queries}
+, qt AS (SELECT DISTINCT query, {trigram_sql('query')} AS gq FROM qs)
+, tt AS (SELECT text, {trigram_sql('text')} AS gt FROM (SELECT DISTINCT o AS text FROM g WHERE o_kind = 'lit'))
+, pairs_s AS (SELECT qt.query, tt.text, len(list_intersect(qt.gq, tt.gt)) AS shared, len(qt.gq) AS nq, len(tt.gt) AS nt
+              FROM qt, tt)
+, hits AS (SELECT query, text FROM pairs_s WHERE shared > 0 AND 10 * shared >= 3 * (nq + nt - shared))
+, found AS (SELECT DISTINCT h.query, x.s AS uri, h.text FROM hits h JOIN g x ON x.o = h.text AND x.o_kind = 'lit')
+"""
+
+
 def _list_sql(col: str, alias: str) -> str:
     return (f"coalesce(string_agg({col}, '||' ORDER BY {col}), '') AS {alias}, "
             f"count({col}) AS n_{alias}")
@@ -250,6 +278,35 @@ FROM ta JOIN req ON req.uri = ta.concept_uri
 UNION ALL
 SELECT ca.property_uri, NULL, NULL, NULL, NULL, ca.column_uri, ca.column_name, ca.property_uri, ca.property_name
 FROM ca JOIN req ON req.uri = ca.property_uri"""),
+    "trigram_search": with_common(_search_sql(_values([(q,) for q in SEARCH_QUERIES], "query"))
+                                  + "SELECT query, uri, text FROM found"),
+    "trigram_search_kind": with_common(
+        _search_sql(_values([(q, k) for q in SEARCH_QUERIES for k in SEARCH_KINDS], "query, kind")) + """
+SELECT f.query, q.kind, f.uri, f.text FROM found f JOIN qs q ON q.query = f.query
+WHERE q.kind IS NULL OR q.kind = 'all'
+   OR (q.kind = 'concept' AND f.uri IN (SELECT uri FROM members))
+   OR (q.kind = 'property' AND f.uri IN (SELECT uri FROM props))"""),
+    "list_filter": with_common(f"""
+, fs AS {_values([(q,) for q in LIST_FILTERS], "q")}
+, items AS (
+    SELECT 'concepts' AS list, m.uri, l.label,
+           concat_ws(' ', coalesce(string_agg(a.o, ' ' ORDER BY a.o), ''), m.uri, coalesce(l.label, 'None')) AS text
+    FROM members_bag m LEFT JOIN lab l ON l.uri = m.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = m.uri
+    GROUP BY m.uri, l.label
+    UNION ALL
+    SELECT 'properties', pr.uri, n.label,
+           concat_ws(' ', coalesce(string_agg(a.o, ' ' ORDER BY a.o), ''), pr.uri, coalesce(n.label, 'None'))
+    FROM props pr LEFT JOIN lab n ON n.uri = pr.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = pr.uri
+    GROUP BY pr.uri, n.label
+    UNION ALL
+    SELECT 'tables', t.s, n.o, concat_ws(' ', t.s, coalesce(n.o, 'None'))
+    FROM g t LEFT JOIN g n ON n.p = 'uc:name' AND n.s = t.s
+    WHERE t.p = 'rdf:type' AND t.o = 'uc:Table' AND t.o_kind = 'iri'
+    UNION ALL
+    SELECT 'columns', t.s, n.o, concat_ws(' ', t.s, coalesce(n.o, 'None'))
+    FROM g t LEFT JOIN g n ON n.p = 'uc:name' AND n.s = t.s
+    WHERE t.p = 'rdf:type' AND t.o = 'uc:Column' AND t.o_kind = 'iri')
+SELECT fs.q, items.list, items.uri, items.label FROM items JOIN fs ON strpos(upper(items.text), upper(fs.q)) > 0"""),
     "tag_sync_plan": with_common(_plan_sql(50)),
     "tag_sync_plan_limit25": with_common(_plan_sql(25)),
 }

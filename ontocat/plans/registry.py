@@ -171,3 +171,35 @@ def q_concept_summary(spark, sf_dir):
 def q_assigned_objects(spark, sf_dir):
     g = _g(spark, sf_dir)
     return asg.assigned_objects(g, ent.concept_members(g).unionByName(ent.property_members(g)))
+
+
+# -------------------------------------------------------------------- search
+
+# The search and list-filter strings of the test plan.
+SEARCH_QUERIES = ("promo", "nation 1", "not specified", "customer 7", "brand 12")
+SEARCH_KINDS = ("concept", "property", "all")
+LIST_FILTERS = ("asia", "none", "pr/", "customer#00000001", "alt ")
+
+
+@query("trigram_search")
+def q_trigram_search(spark, sf_dir):
+    from ontocat.operators import search
+
+    qs = spark.createDataFrame([(q,) for q in SEARCH_QUERIES], "query string")
+    return search.trigram_search(_g(spark, sf_dir), qs)
+
+
+@query("trigram_search_kind")
+def q_trigram_search_kind(spark, sf_dir):
+    from ontocat.operators import search
+
+    qs = spark.createDataFrame([(q, k) for q in SEARCH_QUERIES for k in SEARCH_KINDS], "query string, kind string")
+    return search.trigram_search_kind(_g(spark, sf_dir), qs)
+
+
+@query("list_filter")
+def q_list_filter(spark, sf_dir):
+    from ontocat.operators import search
+
+    fs = spark.createDataFrame([(q,) for q in LIST_FILTERS], "q string")
+    return search.list_filter(_g(spark, sf_dir), fs)
