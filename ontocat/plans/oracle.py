@@ -195,6 +195,65 @@ def _search_sql(queries: str, extra_cols: str = "") -> str:
 """
 
 
+def uri_component_sql(x: str) -> str:
+    """SQL ``encodeURIComponent``."""
+    e = f"url_encode({x})"
+    for enc, ch in (("%2A", "*"), ("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        e = f"replace({e}, '{enc}', '{ch}')"
+    return e
+
+
+def display_label_sql(label: str, uri: str) -> str:
+    local = f"split_part({uri}, '/', -1)"
+    return f"CASE WHEN coalesce({label}, '') = '' THEN split_part({local}, '#', -1) ELSE {label} END"
+
+
+GRAPH_VIEW_CTES = f"""
+, tabs AS (SELECT t.s AS uri, n.o AS name FROM g t LEFT JOIN g n ON n.p = 'uc:name' AND n.s = t.s
+           WHERE t.p = 'rdf:type' AND t.o = 'uc:Table' AND t.o_kind = 'iri')
+, cols AS (SELECT t.s AS uri, n.o AS name FROM g t LEFT JOIN g n ON n.p = 'uc:name' AND n.s = t.s
+           WHERE t.p = 'rdf:type' AND t.o = 'uc:Column' AND t.o_kind = 'iri')
+, conc AS (SELECT DISTINCT m.uri, l.label FROM members m LEFT JOIN lab l ON l.uri = m.uri)
+, dom AS (SELECT d.s AS uri, d.o AS domain, l.label AS domain_label FROM g d JOIN lab l ON l.uri = d.o WHERE d.p = 'rdfs:domain')
+, rng AS (SELECT r.s AS uri, r.o AS range, l.label AS range_label FROM g r JOIN lab l ON l.uri = r.o WHERE r.p = 'rdfs:range')
+, prop_rows AS (
+    SELECT DISTINCT pr.uri, n.label AS name, dom.domain, dom.domain_label, rng.range, rng.range_label
+    FROM props pr LEFT JOIN lab n ON n.uri = pr.uri LEFT JOIN dom ON dom.uri = pr.uri LEFT JOIN rng ON rng.uri = pr.uri)
+, nodes AS (
+    SELECT uri AS id, {display_label_sql('label', 'uri')} AS label, 'concept' AS type,
+           '/concepts?concept_uri=' || {uri_component_sql('uri')} AS url FROM conc
+    UNION ALL SELECT uri, {display_label_sql('name', 'uri')}, 'property',
+           '/properties?property_uri=' || {uri_component_sql('uri')} FROM prop_rows
+    UNION ALL SELECT uri, {display_label_sql('name', 'uri')}, 'table',
+           '/tables?table_uri=' || {uri_component_sql('uri')} FROM tabs
+    UNION ALL SELECT uri, {display_label_sql('name', 'uri')}, 'column',
+           '/columns?column_uri=' || {uri_component_sql('uri')} FROM cols)
+, hascol AS (
+    SELECT t.table_uri, c.uri AS column_uri
+    FROM (SELECT uri, string_split({display_label_sql('name', 'uri')}, '.') AS parts FROM cols) c
+    JOIN (SELECT name, min(uri) AS table_uri FROM tabs WHERE name IS NOT NULL GROUP BY name) t
+      ON t.name = array_to_string(c.parts[1:3], '.')
+    WHERE len(c.parts) >= 4)
+, early_ids AS (SELECT uri AS id FROM members UNION SELECT uri FROM props
+                UNION SELECT s FROM g WHERE p = 'rdf:type' AND o = 'uc:Table' AND o_kind = 'iri')
+, all_ids AS (SELECT id FROM early_ids UNION SELECT s FROM g WHERE p = 'rdf:type' AND o = 'uc:Column' AND o_kind = 'iri')
+, links AS (
+    SELECT DISTINCT * FROM (
+      SELECT r.s AS source, r.o AS target, r.p AS type
+      FROM g r JOIN members m ON m.uri = r.s
+      WHERE r.p IN ('rdfs:subClassOf', 'skos:broader', 'skos:narrower') AND r.o <> ''
+        AND r.o IN (SELECT uri FROM members)
+      UNION ALL SELECT uri, domain, 'domain' FROM prop_rows WHERE domain IN (SELECT uri FROM members)
+      UNION ALL SELECT uri, range, 'range' FROM prop_rows WHERE range IN (SELECT uri FROM members)
+      UNION ALL SELECT table_uri, concept_uri, 'assignment' FROM ta
+        WHERE table_uri IN (SELECT id FROM early_ids) AND concept_uri IN (SELECT id FROM early_ids)
+      UNION ALL SELECT table_uri, column_uri, 'hasColumn' FROM hascol
+      UNION ALL SELECT column_uri, property_uri, 'propertyAssignment' FROM ca
+        WHERE column_uri IN (SELECT uri FROM cols) AND column_uri IN (SELECT id FROM all_ids)
+          AND property_uri IN (SELECT id FROM all_ids)) x)
+"""
+
+
 def _list_sql(col: str, alias: str) -> str:
     return (f"coalesce(string_agg({col}, '||' ORDER BY {col}), '') AS {alias}, "
             f"count({col}) AS n_{alias}")
@@ -307,6 +366,13 @@ WHERE q.kind IS NULL OR q.kind = 'all'
     FROM g t LEFT JOIN g n ON n.p = 'uc:name' AND n.s = t.s
     WHERE t.p = 'rdf:type' AND t.o = 'uc:Column' AND t.o_kind = 'iri')
 SELECT fs.q, items.list, items.uri, items.label FROM items JOIN fs ON strpos(upper(items.text), upper(fs.q)) > 0"""),
+    "graph_nodes": with_common(GRAPH_VIEW_CTES + "SELECT * FROM nodes"),
+    "graph_links": with_common(GRAPH_VIEW_CTES + "SELECT * FROM links"),
+    "has_column": with_common(GRAPH_VIEW_CTES + "SELECT * FROM hascol"),
+    "graph_stats": with_common(GRAPH_VIEW_CTES + """
+SELECT t.type, coalesce(c.n, 0) AS n
+FROM (VALUES ('concept'), ('property'), ('table'), ('column')) AS t(type)
+LEFT JOIN (SELECT type, count(*) AS n FROM nodes GROUP BY type) c ON c.type = t.type"""),
     "tag_sync_plan": with_common(_plan_sql(50)),
     "tag_sync_plan_limit25": with_common(_plan_sql(25)),
 }

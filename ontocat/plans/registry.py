@@ -203,3 +203,34 @@ def q_list_filter(spark, sf_dir):
 
     fs = spark.createDataFrame([(q,) for q in LIST_FILTERS], "q string")
     return search.list_filter(_g(spark, sf_dir), fs)
+
+
+# ---------------------------------------------------------------- graph view
+
+
+@query("graph_nodes")
+def q_graph_nodes(spark, sf_dir):
+    from ontocat.operators import graphview
+
+    return graphview.graph_nodes(_g(spark, sf_dir))
+
+
+@query("graph_links")
+def q_graph_links(spark, sf_dir):
+    from ontocat.operators import graphview
+
+    return graphview.graph_links(_g(spark, sf_dir))
+
+
+@query("has_column")
+def q_has_column(spark, sf_dir):
+    from ontocat.operators import graphview
+
+    return graphview.has_column(_g(spark, sf_dir))
+
+
+@query("graph_stats")
+def q_graph_stats(spark, sf_dir):
+    from ontocat.operators import graphview
+
+    return graphview.graph_stats(_g(spark, sf_dir))
