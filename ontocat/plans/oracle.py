@@ -376,3 +376,7 @@ LEFT JOIN (SELECT type, count(*) AS n FROM nodes GROUP BY type) c ON c.type = t.
     "tag_sync_plan": with_common(_plan_sql(50)),
     "tag_sync_plan_limit25": with_common(_plan_sql(25)),
 }
+
+from ontocat.plans.oracle_mutations import MUTATION_BODIES  # noqa: E402
+
+ORACLE.update({k: with_common(v) for k, v in MUTATION_BODIES.items()})

@@ -234,3 +234,126 @@ def q_graph_stats(spark, sf_dir):
     from ontocat.operators import graphview
 
     return graphview.graph_stats(_g(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- mutations
+
+
+def _graph_out(g: DataFrame) -> DataFrame:
+    return g.select("s", "p", "o", "o_kind")
+
+
+@query("upsert_tables")
+def q_upsert_tables(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.upsert_tables(_g(spark, sf_dir), commands.table_commands(spark, sf_dir)))
+
+
+@query("upsert_columns")
+def q_upsert_columns(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.upsert_columns(_g(spark, sf_dir), commands.column_commands(spark, sf_dir)))
+
+
+@query("register_inventory")
+def q_register_inventory(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.register_inventory(_g(spark, sf_dir), commands.inventory(spark, sf_dir)))
+
+
+@query("insert_concepts")
+def q_insert_concepts(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    g, _ = mut.insert_concepts(_g(spark, sf_dir), commands.concept_inserts(spark, sf_dir))
+    return _graph_out(g)
+
+
+@query("insert_concepts_rejected")
+def q_insert_concepts_rejected(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    _, rejected = mut.insert_concepts(_g(spark, sf_dir), commands.concept_inserts(spark, sf_dir))
+    return rejected.select("seq", "uri", "label", "type")
+
+
+@query("insert_properties")
+def q_insert_properties(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.insert_properties(_g(spark, sf_dir), commands.property_inserts(spark, sf_dir)))
+
+
+@query("update_concepts")
+def q_update_concepts(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.update_concepts(_g(spark, sf_dir), commands.concept_updates(spark, sf_dir)))
+
+
+@query("update_properties")
+def q_update_properties(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.update_properties(_g(spark, sf_dir), commands.property_updates(spark, sf_dir)))
+
+
+@query("add_relationships")
+def q_add_relationships(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    g, _ = mut.add_relationships(_g(spark, sf_dir), commands.relationship_adds(spark, sf_dir))
+    return _graph_out(g)
+
+
+@query("add_relationships_rejected")
+def q_add_relationships_rejected(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    _, rejected = mut.add_relationships(_g(spark, sf_dir), commands.relationship_adds(spark, sf_dir))
+    return rejected.select("seq", "subject_uri", "predicate_type", "object_uri")
+
+
+@query("delete_relationships")
+def q_delete_relationships(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.delete_relationships(_g(spark, sf_dir), commands.relationship_deletes(spark, sf_dir)))
+
+
+@query("assign_concepts")
+def q_assign_concepts(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.assign_concepts(_g(spark, sf_dir), commands.concept_assignment_commands(spark, sf_dir)))
+
+
+@query("assign_properties")
+def q_assign_properties(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.assign_properties(_g(spark, sf_dir), commands.property_assignment_commands(spark, sf_dir)))
+
+
+@query("delete_objects")
+def q_delete_objects(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    return _graph_out(mut.delete_objects(_g(spark, sf_dir), commands.delete_commands(spark, sf_dir)))
