@@ -81,9 +81,9 @@ def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def _last(value: Column, seq: Column = F.col("seq"), when: Column | None = None) -> Column:
+def _last(value: Column, when: Column | None = None, seq: str = "seq") -> Column:
     """Aggregate: value of the row with the highest ``seq`` (among rows where ``when``)."""
-    st = F.struct(seq.alias("seq"), value.alias("v"))
+    st = F.struct(F.col(seq).alias("seq"), value.alias("v"))
     return F.max(st if when is None else F.when(when, st))["v"]
 
 

@@ -230,3 +230,118 @@ MUTATION_BODIES = {
     "assign_properties": ASSIGN_PROPERTIES,
     "delete_objects": DELETE_OBJECTS,
 }
+
+
+# ------------------------------------------------------------ import / export
+
+_SUP = "http://example.com/ontology/supplier/"
+_VOCAB_LIST = ", ".join(f"'{p}'" for p in VOCAB_PREFIXES)
+
+
+def export_term_sql(t: str) -> str:
+    return f"(CASE WHEN strpos({t}, ':') > 0 AND split_part({t}, ':', 1) IN ({_VOCAB_LIST}) THEN {expand_sql(t)} ELSE {t} END)"
+
+
+def compact_all_sql(x: str) -> str:
+    ordered = sorted(DEFAULT_NAMESPACES.items(), key=lambda kv: (-len(kv[1]), kv[0]))
+    arms = " ".join(f"WHEN starts_with({x}, '{iri}') THEN '{p}:' || substr({x}, {len(iri) + 1})" for p, iri in ordered)
+    return f"(CASE {arms} END)"
+
+
+PARSED = f"""
+, parsed AS (
+  SELECT concat('{_SUP}', s_suppkey) AS s, 'rdf:type' AS p, 'uc:Table' AS o, 'iri' AS o_kind,
+         CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM supplier
+  UNION ALL SELECT concat('{_SUP}', s_suppkey), 'uc:name', concat('main.suppliers.', s_name), 'lit', NULL, NULL FROM supplier
+  UNION ALL SELECT concat('{_SUP}', s_suppkey), '{USER_NS}nation', CAST(s_nationkey AS VARCHAR), 'lit', 'xsd:integer', NULL
+            FROM supplier
+  UNION ALL SELECT concat('{_SUP}', s_suppkey), 'rdfs:label', concat('Supplier "', s_suppkey, '"', chr(10), 'line'), 'lit',
+            NULL, 'en' FROM supplier
+  UNION ALL SELECT concat('_:imp_s', s_suppkey), 'rdfs:comment', concat('bnode of ', s_suppkey), 'lit', NULL, NULL FROM supplier
+  UNION ALL SELECT concat('t/', s_suppkey), 'rdf:type', 'uc:Table', 'iri', NULL, NULL FROM supplier
+  UNION ALL SELECT concat('{_SUP}', s_suppkey), '{USER_NS}since', concat(1990 + s_nationkey, '-01-0', 1 + s_nationkey % 9),
+            'lit', 'xsd:date', NULL FROM supplier
+  UNION ALL SELECT concat('{_SUP}', s_suppkey), '{USER_NS}active', CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END,
+            'lit', 'xsd:boolean', NULL FROM supplier)
+, gfull AS (SELECT s, p, o, o_kind, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM g)
+, added AS (SELECT DISTINCT * FROM parsed EXCEPT SELECT * FROM gfull)"""
+
+IMPORT_MERGE = PARSED + "\nSELECT * FROM added"
+
+IMPORT_REJECTS = "SELECT concat('supplier ', s_suppkey, ' is not a triple') AS value FROM supplier"
+
+_INT_TYPES = ", ".join(f"'{t}'" for t in (
+    "xsd:integer", "xsd:int", "xsd:long", "xsd:short", "xsd:byte", "xsd:nonNegativeInteger", "xsd:positiveInteger",
+    "xsd:negativeInteger", "xsd:nonPositiveInteger", "xsd:unsignedInt", "xsd:unsignedLong", "xsd:unsignedShort",
+    "xsd:unsignedByte"))
+
+LITERAL_DECODE = PARSED + f"""
+SELECT s, p, o, o_datatype,
+       CASE WHEN o_datatype IN ({_INT_TYPES}) THEN TRY_CAST(o AS BIGINT) END AS value_long,
+       CASE WHEN o_datatype IN ('xsd:decimal', 'xsd:double', 'xsd:float') THEN TRY_CAST(o AS DOUBLE) END AS value_double,
+       CASE WHEN o_datatype = 'xsd:boolean' THEN CASE WHEN o IN ('true', '1') THEN true WHEN o IN ('false', '0') THEN false END
+       END AS value_boolean,
+       CASE WHEN o_datatype = 'xsd:date' THEN TRY_CAST(o AS DATE) END AS value_date,
+       CASE WHEN o_datatype = 'xsd:dateTime' THEN TRY_CAST(o AS TIMESTAMP) END AS value_timestamp,
+       CASE WHEN o_datatype IS NULL OR o_datatype = 'xsd:string' THEN o END AS value_string
+FROM (SELECT s, p, o, o_kind, o_datatype, o_lang FROM gfull UNION SELECT * FROM added) m
+WHERE o_datatype IS NOT NULL"""
+
+EXPORT_TRIPLES = f"""
+SELECT concat_ws(' ',
+  CASE WHEN starts_with(s, '_:') THEN s ELSE '<' || {export_term_sql('s')} || '>' END,
+  '<' || {export_term_sql('p')} || '>',
+  CASE o_kind WHEN 'lit' THEN '"' || replace(replace(replace(replace(o, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') || '"'
+              WHEN 'bnode' THEN o ELSE '<' || {export_term_sql('o')} || '>' END,
+  '.') AS value
+FROM g"""
+
+SCALAR_NAMES = """
+, names AS (
+  SELECT concat(c_name, ' ', lower(c_mktsegment), '/x~y*z+w%v?u=t&s#r''q(p)o!n é') AS name, 'main' AS catalog,
+         lower(c_mktsegment) AS schema,
+         CASE WHEN c_acctbal < 0 THEN '' ELSE concat(c_name, ' (', c_nationkey, ')!*''~') END AS tbl
+  FROM customer)"""
+
+
+def _uri_component_sql(x: str) -> str:
+    e = f"url_encode({x})"
+    for enc, ch in (("%2A", "*"), ("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        e = f"replace({e}, '{enc}', '{ch}')"
+    return e
+
+
+GRAPH_IRIS = f"""
+, iris AS (SELECT DISTINCT {export_term_sql('t')} AS iri FROM (
+    SELECT s AS t FROM g WHERE NOT starts_with(s, '_:') UNION SELECT p FROM g UNION SELECT o FROM g WHERE o_kind = 'iri'))"""
+
+SCALAR_BODIES = {
+    "import_merge": IMPORT_MERGE,
+    "import_rejects": IMPORT_REJECTS,
+    "export_triples": EXPORT_TRIPLES,
+    "literal_decode": LITERAL_DECODE,
+    "mint_iri": SCALAR_NAMES + f"\nSELECT name, {mint_sql('name')} AS iri FROM names",
+    "mint_iri_parts": SCALAR_NAMES + f"""
+SELECT catalog, schema, tbl,
+       CASE WHEN coalesce(catalog, '') <> '' AND coalesce(schema, '') <> '' AND coalesce(tbl, '') <> ''
+            THEN '{USER_NS}' || {_uri_component_sql("concat_ws('.', catalog, schema, tbl)")} END AS iri
+FROM names""",
+    "qualified_names": """
+SELECT concat_ws('.', 'main', lower(c_mktsegment), replace(c_name, '#', '_')) AS table_name, CAST(NULL AS VARCHAR) AS column_name
+FROM customer
+UNION ALL
+SELECT concat_ws('.', 'main', lower(c_mktsegment), replace(c_name, '#', '_')),
+       concat_ws('.', 'main', lower(c_mktsegment), replace(c_name, '#', '_'), concat('o', o_orderkey))
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "local_name": GRAPH_IRIS + "\nSELECT iri, split_part(split_part(iri, '/', -1), '#', -1) AS local_name FROM iris",
+    "predicate_qname": GRAPH_IRIS + f"\nSELECT iri, {compact_all_sql('iri')} AS qname FROM iris",
+    "expand_curie": REL_ADD_CMDS + f"""
+, curies AS (SELECT p AS curie FROM g UNION SELECT predicate_type FROM cmds)
+SELECT curie, {expand_sql('curie')} AS iri FROM curies""",
+    "entity_by_uri": """
+SELECT t.s AS uri, n.o AS name
+FROM g t LEFT JOIN g n ON n.p = 'uc:name' AND n.s = t.s
+WHERE t.p = 'rdf:type' AND t.o = 'uc:Table' AND t.o_kind = 'iri'
+  AND t.s IN (SELECT concat('t/', c_custkey) FROM customer WHERE c_mktsegment = 'MACHINERY')""",
+}
+MUTATION_BODIES.update(SCALAR_BODIES)

@@ -357,3 +357,114 @@ def q_delete_objects(spark, sf_dir):
     from ontocat.sources import commands
 
     return _graph_out(mut.delete_objects(_g(spark, sf_dir), commands.delete_commands(spark, sf_dir)))
+
+
+# ------------------------------------------------------- import / export, scalars
+
+IMPORT_BATCH = "imp"
+
+
+def _import(spark, sf_dir):
+    from ontocat.sources import commands, ntriples
+
+    return ntriples.import_merge(_g(spark, sf_dir), commands.ntriples_lines(spark, sf_dir), IMPORT_BATCH)
+
+
+@query("import_merge")
+def q_import_merge(spark, sf_dir):
+    _, added, _ = _import(spark, sf_dir)
+    return added
+
+
+@query("import_rejects")
+def q_import_rejects(spark, sf_dir):
+    _, _, rejects = _import(spark, sf_dir)
+    return rejects
+
+
+@query("export_triples")
+def q_export_triples(spark, sf_dir):
+    from ontocat.sources import ntriples
+
+    return ntriples.export_lines(_g(spark, sf_dir))
+
+
+@query("literal_decode")
+def q_literal_decode(spark, sf_dir):
+    from ontocat.functions.scalars import literal_value
+
+    merged, _, _ = _import(spark, sf_dir)
+    lits = merged.filter(F.col("o_datatype").isNotNull())
+    vals = literal_value(F.col("o"), F.col("o_datatype"))
+    return lits.select("s", "p", "o", "o_datatype", *[c.alias(n) for n, c in vals.items()])
+
+
+@query("mint_iri")
+def q_mint_iri(spark, sf_dir):
+    from ontocat.functions.scalars import mint_iri
+    from ontocat.sources import commands
+
+    return commands.scalar_names(spark, sf_dir).select("name", mint_iri(F.col("name")).alias("iri"))
+
+
+@query("mint_iri_parts")
+def q_mint_iri_parts(spark, sf_dir):
+    from ontocat.functions.scalars import mint_iri_parts
+    from ontocat.sources import commands
+
+    return commands.scalar_names(spark, sf_dir).select(
+        "catalog", "schema", "tbl", mint_iri_parts("catalog", "schema", "tbl").alias("iri"))
+
+
+@query("qualified_names")
+def q_qualified_names(spark, sf_dir):
+    from ontocat.functions.scalars import qualified_name
+    from ontocat.sources import commands
+
+    inv = commands.inventory(spark, sf_dir)
+    return inv.select(qualified_name("catalog", "schema", "table").alias("table_name"),
+                      F.when(F.col("column").isNotNull(), qualified_name("catalog", "schema", "table", "column"))
+                      .alias("column_name"))
+
+
+def _graph_iris(g: DataFrame) -> DataFrame:
+    from ontocat.functions.scalars import export_form
+
+    s = g.filter(~F.startswith(F.col("s"), F.lit("_:"))).select(F.col("s").alias("t"))
+    p = g.select(F.col("p").alias("t"))
+    o = g.filter(F.col("o_kind") == "iri").select(F.col("o").alias("t"))
+    return s.unionByName(p).unionByName(o).distinct().select(export_form(F.col("t")).alias("iri")).distinct()
+
+
+@query("local_name")
+def q_local_name(spark, sf_dir):
+    from ontocat.functions.scalars import local_name
+
+    return _graph_iris(_g(spark, sf_dir)).select("iri", local_name(F.col("iri")).alias("local_name"))
+
+
+@query("predicate_qname")
+def q_predicate_qname(spark, sf_dir):
+    from ontocat.functions.scalars import compact_iri
+
+    return _graph_iris(_g(spark, sf_dir)).select("iri", compact_iri(F.col("iri")).alias("qname"))
+
+
+@query("expand_curie")
+def q_expand_curie(spark, sf_dir):
+    from ontocat.functions.scalars import expand_curie
+    from ontocat.sources import commands
+
+    g = _g(spark, sf_dir)
+    curies = g.select(F.col("p").alias("curie")).unionByName(
+        commands.relationship_adds(spark, sf_dir).select(F.col("predicate_type").alias("curie"))).distinct()
+    return curies.select("curie", expand_curie(F.col("curie")).alias("iri"))
+
+
+@query("entity_by_uri")
+def q_entity_by_uri(spark, sf_dir):
+    from ontocat.sources.fixtures import read_table
+
+    batch = read_table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "MACHINERY").select(
+        F.concat(F.lit("t/"), F.col("c_custkey")).alias("uri"))
+    return ent.tables(_g(spark, sf_dir), uri=batch)

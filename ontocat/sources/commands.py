@@ -23,9 +23,16 @@ def _rows(df: DataFrame, *structs: Column) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
-NULL_S = F.lit(None).cast("string")
-NULL_A = F.lit(None).cast("array<string>")
-EMPTY_A = F.array().cast("array<string>")
+def _null_s() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _null_a() -> Column:
+    return F.lit(None).cast("array<string>")
+
+
+def _empty_a() -> Column:
+    return F.array().cast("array<string>")
 
 
 def table_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def table_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
                  _cat("main.suppliers.", F.regexp_replace(nm, "#", "_")).alias("name")),
         F.struct((k * 3 + 1).cast("bigint").alias("seq"), _cat("ts/", nk).alias("uri"),
                  _cat("main.nations.", F.regexp_replace(nm, "#", "_")).alias("name")),
-        F.struct((k * 3 + 2).cast("bigint").alias("seq"), NULL_S.alias("uri"),
+        F.struct((k * 3 + 2).cast("bigint").alias("seq"), _null_s().alias("uri"),
                  _cat("main.", nk, ".", nm).alias("name")),
     )
 
@@ -51,7 +58,7 @@ def column_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         p,
         F.struct((k * 2).cast("bigint").alias("seq"), _cat("c/", k).alias("uri"),
                  _cat("main.parts.", F.regexp_replace("p_brand", "#", "_"), ".p", k).alias("name")),
-        F.struct((k * 2 + 1).cast("bigint").alias("seq"), NULL_S.alias("uri"),
+        F.struct((k * 2 + 1).cast("bigint").alias("seq"), _null_s().alias("uri"),
                  _cat("main.parts.", F.col("p_brand"), ".", F.col("p_name")).alias("name")),
     )
 
@@ -61,7 +68,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     o = read_table(spark, sf_dir, "orders")
     t = c.select(F.lit("main").alias("catalog"), F.lower("c_mktsegment").alias("schema"),
-                 F.regexp_replace("c_name", "#", "_").alias("table"), NULL_S.alias("column"))
+                 F.regexp_replace("c_name", "#", "_").alias("table"), _null_s().alias("column"))
     cols = o.join(c, o.o_custkey == c.c_custkey).select(
         F.lit("main").alias("catalog"), F.lower("c_mktsegment").alias("schema"),
         F.regexp_replace("c_name", "#", "_").alias("table"), _cat("o", F.col("o_orderkey")).alias("column"))
@@ -74,11 +81,11 @@ def concept_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, rk, nm = F.col("n_nationkey"), F.col("n_regionkey"), F.col("n_name")
     nat = n.select(
         k.cast("bigint").alias("seq"),
-        F.when(rk == 3, NULL_S).otherwise(_cat("n/", k)).alias("uri"),
+        F.when(rk == 3, _null_s()).otherwise(_cat("n/", k)).alias("uri"),
         _cat("Nation ", nm).alias("label"),
         F.when(k % 2 == 0, "rdfs_class").when(k % 3 == 0, "skos_concept").otherwise("bogus").alias("type"),
         F.when(rk == 0, F.lit("")).otherwise(_cat("from ", nm)).alias("comment"),
-        F.when(rk == 1, NULL_A).when(rk == 2, EMPTY_A).otherwise(F.array(F.lower(nm), _cat("x ", nm)))
+        F.when(rk == 1, _null_a()).when(rk == 2, _empty_a()).otherwise(F.array(F.lower(nm), _cat("x ", nm)))
         .alias("alt_labels"),
     )
     p = read_table(spark, sf_dir, "part")
@@ -99,7 +106,7 @@ def property_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, nm = F.col("r_regionkey"), F.col("r_name")
     reg = r.select(
         k.cast("bigint").alias("seq"),
-        F.when(k == 0, NULL_S).otherwise(_cat("pr/", k)).alias("uri"),
+        F.when(k == 0, _null_s()).otherwise(_cat("pr/", k)).alias("uri"),
         _cat(nm, " property").alias("label"),
         _cat("r/", k).alias("domain"),
         F.when(k % 2 == 0, _cat("n/", k)).otherwise(F.lit("")).alias("range"),
@@ -111,7 +118,7 @@ def property_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("sp/", F.col("s_nationkey")).alias("uri"),
         _cat("Supplier ", F.col("s_nationkey")).alias("label"),
         _cat("n/", F.col("s_nationkey")).alias("domain"),
-        NULL_S.alias("range"),
+        _null_s().alias("range"),
         F.array(F.col("s_name")).alias("alt_labels"),
     )
     return reg.unionByName(sup)
@@ -124,11 +131,11 @@ def concept_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     nat = _rows(
         n,
         F.struct((k * 2).cast("bigint").alias("seq"), _cat("n/", k).alias("uri"), F.upper(nm).alias("label"),
-                 _cat("c1 ", nm).alias("comment"), NULL_A.alias("alt_labels")),
+                 _cat("c1 ", nm).alias("comment"), _null_a().alias("alt_labels")),
         F.struct((k * 2 + 1).cast("bigint").alias("seq"), _cat("n/", k % 10).alias("uri"),
                  _cat("L2 ", nm).alias("label"),
                  F.when(rk.isin(0, 1), F.lit("")).otherwise(_cat("c2 ", nm)).alias("comment"),
-                 F.when(rk == 2, EMPTY_A).when(rk == 3, F.array(_cat("a2 ", nm))).otherwise(NULL_A)
+                 F.when(rk == 2, _empty_a()).when(rk == 3, F.array(_cat("a2 ", nm))).otherwise(_null_a())
                  .alias("alt_labels")),
     )
     c = read_table(spark, sf_dir, "customer")
@@ -138,7 +145,7 @@ def concept_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("n/", F.col("c_nationkey")).alias("uri"),
         _cat("L ", F.col("c_name")).alias("label"),
         F.when(ck % 2 == 0, F.lit("")).otherwise(_cat("C ", F.col("c_name"))).alias("comment"),
-        F.when(ck % 3 == 0, F.array(_cat("ca ", F.col("c_name")))).otherwise(NULL_A).alias("alt_labels"),
+        F.when(ck % 3 == 0, F.array(_cat("ca ", F.col("c_name")))).otherwise(_null_a()).alias("alt_labels"),
     )
     return nat.unionByName(cus)
 
@@ -150,7 +157,7 @@ def property_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = r.select(
         k.cast("bigint").alias("seq"), _cat("pr/", k + 1).alias("uri"), _cat("P ", nm).alias("label"),
         _cat("pc ", nm).alias("comment"), _cat("r/", k).alias("domain"), F.lit(" ").alias("range"),
-        NULL_A.alias("alt_labels"),
+        _null_a().alias("alt_labels"),
     )
     o = read_table(spark, sf_dir, "orders")
     ok = F.col("o_orderkey")
@@ -161,7 +168,7 @@ def property_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok % 2 == 0, F.lit(" ")).otherwise(_cat("pc ", ok)).alias("comment"),
         _cat("r/", ok % 5).alias("domain"),
         F.when(ok % 3 == 0, F.lit("")).otherwise(_cat("n/", ok % 25)).alias("range"),
-        F.when(ok % 4 == 0, F.array(_cat("pa ", ok))).otherwise(NULL_A).alias("alt_labels"),
+        F.when(ok % 4 == 0, F.array(_cat("pa ", ok))).otherwise(_null_a()).alias("alt_labels"),
     )
     return reg.unionByName(ords)
 
@@ -176,7 +183,7 @@ def relationship_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("n/", k).alias("subject_uri"),
         F.when(k % 4 == 0, "skos:broader").when(k % 4 == 1, "rdfs:subClassOf").when(k % 4 == 2, "user:relatedTo")
         .otherwise("bad:thing").alias("predicate_type"),
-        F.when(F.col("n_regionkey") == 4, NULL_S).otherwise(_cat("r/", (k + 1) % 5)).alias("object_uri"),
+        F.when(F.col("n_regionkey") == 4, _null_s()).otherwise(_cat("r/", (k + 1) % 5)).alias("object_uri"),
     )
     p = read_table(spark, sf_dir, "part")
     prt = p.select(
@@ -239,3 +246,51 @@ def delete_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(
         (F.col("c_custkey") + 100).cast("bigint").alias("seq"), _cat("t/", F.col("c_custkey")).alias("uri"))
     return n.unionByName(c)
+
+
+# IRIs written into the generated import file.
+_SUP = "http://example.com/ontology/supplier/"
+_RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+_RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+_XSD = "http://www.w3.org/2001/XMLSchema#"
+_UC = "http://example.com/ontology/uc/"
+_USER = "http://example.com/ontology/"
+
+
+def ntriples_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An N-Triples file (column ``value``) describing suppliers.
+
+    Per supplier: a typed table with a name, an integer, a date and a boolean
+    literal, a language-tagged label with escapes, a blank-node statement, a
+    statement the derived graph already holds (for the first suppliers), a
+    comment line and a malformed line.
+    """
+    s = read_table(spark, sf_dir, "supplier")
+    k, nk = F.col("s_suppkey"), F.col("s_nationkey")
+    subj = _cat("<", _SUP, k, ">")
+    lines = [
+        _cat(subj, " ", _RDF_TYPE, " <", _UC, "Table> ."),
+        _cat(subj, " <", _UC, "name> \"main.suppliers.", F.col("s_name"), "\" ."),
+        _cat(subj, " <", _USER, "nation> \"", nk, "\"^^<", _XSD, "integer> ."),
+        _cat(subj, " <", _RDFS, "label> \"Supplier \\\"", k, "\\\"\\nline\"@EN ."),
+        _cat("_:s", k, " <", _RDFS, "comment> \"bnode of ", k, "\" ."),
+        _cat("<t/", k, "> ", _RDF_TYPE, " <", _UC, "Table> ."),
+        _cat(subj, " <", _USER, "since> \"", 1990 + nk, "-01-0", 1 + nk % 9, "\"^^<", _XSD, "date> ."),
+        _cat(subj, " <", _USER, "active> \"", F.when(k % 2 == 0, "true").otherwise("false"), "\"^^<", _XSD,
+             "boolean> ."),
+        _cat("# supplier ", k),
+        _cat("supplier ", k, " is not a triple"),
+    ]
+    return s.select(F.explode(F.array(*lines)).alias("value"))
+
+
+def scalar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Awkward object names for IRI minting, one per customer."""
+    c = read_table(spark, sf_dir, "customer")
+    return c.select(
+        _cat(F.col("c_name"), " ", F.lower("c_mktsegment"), "/x~y*z+w%v?u=t&s#r'q(p)o!n é").alias("name"),
+        F.lit("main").alias("catalog"),
+        F.lower("c_mktsegment").alias("schema"),
+        F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(_cat(F.col("c_name"), " (", F.col("c_nationkey"),
+                                                                  ")!*'~")).alias("tbl"),
+    )
