@@ -19,17 +19,20 @@ THRESHOLD_NUM, THRESHOLD_DEN = 3, 10
 
 
 def trigrams(text: Column | str) -> Column:
-    """``array<string>`` of distinct trigrams of ``text``."""
+    """``array<string>`` of distinct trigrams of ``text``.
+
+    Words are rewritten into one string of padded words separated by ``|``
+    (``"  w1 |  w2 "``); every overlapping 3-character window that contains no
+    separator is a trigram. One ``regexp_extract_all`` with a look-ahead
+    capture yields all windows, so no per-element lambda is evaluated, and
+    the text is cleaned once (the expression references it once).
+    """
     t = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(F.lower(t), WORD_SPLIT), lambda w: w != "")
-    per_word = F.transform(
-        words,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w) + 1),
-            lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)),
-        ),
-    )
-    return F.array_distinct(F.flatten(per_word))
+    core = F.regexp_replace(F.lower(t), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    padded = F.concat(F.lit("  "), F.regexp_replace(core, WORD_SPLIT, " |  "), F.lit(" "))
+    windows = F.regexp_extract_all(padded, F.lit(r"(?=([^|]{3}))"), F.lit(1))
+    # Only an empty text pads to three blanks; no window of a real word is all blank.
+    return F.array_remove(F.array_distinct(windows), F.lit("   "))
 
 
 def similar_enough(shared: Column, n_left: Column, n_right: Column,

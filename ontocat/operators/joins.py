@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,14 @@ def row_count_at_most(df: DataFrame, bound: int) -> bool:
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when its row count is proven to be at most ``max_rows``.
 
-    Otherwise ``df`` is returned unchanged: the join stays a shuffle join, AQE
-    may still broadcast it from measured sizes, and its skew-join handling
-    splits hot keys.
+    The candidate is persisted while it is checked, so the check and the join
+    read the same computed rows once (a lost block is recomputed from lineage).
+    Above the bound the persisted copy is dropped and ``df`` is returned
+    unchanged: the join stays a shuffle join, AQE may still broadcast it from
+    measured sizes, and its skew-join handling splits hot keys.
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if row_count_at_most(kept, max_rows):
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df

@@ -1,19 +1,24 @@
 """Trigram similarity search over graph literals (F1, F2) and the list filter.
 
-F1 plan, for a *batch* of queries:
+F1, for a batch of queries. A bounded batch is compiled into the scan (see
+:func:`trigram_search`); beyond the bound the plan is a gram equi-join:
 
-1. distinct literal texts -> trigram sets -> one row per (text, gram);
+1. literal triples -> trigram set of each object -> one row per (triple, gram),
+   computed right on the scan partitions (no shuffle of the literal set);
 2. query trigrams, one row per (query, gram) -- the small side;
 3. equi-join on ``gram``: the query side is broadcast when its row count is
-   under a checked bound, so the exploded text side is never shuffled and a
-   very common gram cannot skew anything; above the bound it is a shuffle
+   under a checked bound, so the exploded literal side is never shuffled and
+   a very common gram cannot skew anything; above the bound it is a shuffle
    join that AQE splits for hot grams;
-4. ``count`` per (query, text) = shared grams (partial aggregation map-side);
-   keep ``10*shared >= 3*(n_text + n_query - shared)``;
-5. join the hits back to the literal triples for their subjects.
-
-Exact: any pair with similarity > 0 shares at least one gram, so no pair is
-missed, and nothing is ranked or capped.
+4. ``count`` per (query, triple) = shared grams, partially aggregated before
+   the only shuffle, which carries matched pairs alone; keep
+   ``10*shared >= 3*(n_text + n_query - shared)``;
+5. DISTINCT (query, subject, text) over the hits.
+
+Counting per triple (not per subject and text) keeps the count exact when one
+subject carries the same text under two predicates. Exact overall: any pair
+with similarity > 0 shares at least one gram, so no pair is missed, and
+nothing is ranked or capped.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ def literal_triples(g: DataFrame) -> DataFrame:
     return g.filter(F.col("o_kind") == LIT).select(F.col("s").alias("uri"), F.col("o").alias("text"))
 
 
+# Query batches up to this many distinct queries are evaluated inline.
+MAX_INLINE_QUERIES = 256
+
+
 def trigram_search(
     g: DataFrame,
     queries: DataFrame,
@@ -45,15 +54,62 @@ def trigram_search(
     """DISTINCT ``(query, uri, text)`` with trigram similarity >= num/den.
 
     ``queries`` has a ``query`` column (other columns are carried through).
+    A batch of at most :data:`MAX_INLINE_QUERIES` distinct queries (checked)
+    is compiled into the scan: each literal's trigram set is intersected with
+    every query's set as constant arrays, so the literal side is read once,
+    with no explode, join or shuffle before the final DISTINCT of the hits.
+    Larger batches use the gram equi-join of :func:`_trigram_search_join`.
     """
-    lits = literal_triples(g)
-    text_grams = (
-        lits.select("text").distinct()
-        .select("text", trigrams("text").alias("grams"))
-        .select("text", F.size("grams").alias("n_text"), F.explode("grams").alias("gram"))
-    )
     qcols = [c for c in queries.columns if c != "query"]
     q = queries.select("query").distinct()
+    qg = q.select("query", trigrams("query").alias("grams")).filter(F.size("grams") > 0)
+    small = qg.limit(MAX_INLINE_QUERIES + 1).collect()
+    if len(small) <= MAX_INLINE_QUERIES:
+        out = _trigram_search_inline(g, [(r["query"], r["grams"]) for r in small], num, den)
+    else:
+        out = _trigram_search_join(g, q, num, den)
+    if qcols:
+        out = out.join(queries.select("query", *qcols).distinct(), "query")
+    return out
+
+
+def _trigram_search_inline(g: DataFrame, qgrams: list[tuple[str, list[str]]], num: int, den: int) -> DataFrame:
+    if not qgrams:
+        return g.sparkSession.createDataFrame([], "query string, uri string, text string")
+    consts = F.array(*[
+        F.struct(F.lit(qtext).alias("query"), F.lit(len(gr)).alias("n_query"),
+                 F.array(*[F.lit(x) for x in gr]).alias("grams"))
+        for qtext, gr in qgrams
+    ])
+    lits = g.filter(F.col("o_kind") == LIT).select("s", "o", trigrams("o").alias("grams"))
+    scored = lits.select(
+        "s", "o",
+        F.filter(
+            F.transform(consts, lambda c: F.struct(
+                c["query"].alias("query"),
+                F.size(F.array_intersect(F.col("grams"), c["grams"])).alias("shared"),
+                c["n_query"].alias("n_query"))),
+            lambda m: similar_enough(m["shared"], F.size(F.col("grams")), m["n_query"], num, den),
+        ).alias("hits"),
+    )
+    # explode_outer + a filter on the generated column: a plain explode makes
+    # the optimizer infer ``size(hits) > 0`` and push it under the projection,
+    # which would evaluate the trigram sets a second time.
+    return (
+        scored.select(F.col("s").alias("uri"), F.col("o").alias("text"), F.explode_outer("hits").alias("h"))
+        .filter(F.col("h").isNotNull())
+        .select(F.col("h.query").alias("query"), "uri", "text")
+        .distinct()
+    )
+
+
+def _trigram_search_join(g: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
+    key = ["s", "p", "o", "o_datatype", "o_lang"]
+    text_grams = (
+        g.filter(F.col("o_kind") == LIT)
+        .select(*key, trigrams("o").alias("grams"))
+        .select(*key, F.size("grams").alias("n_text"), F.explode("grams").alias("gram"))
+    )
     query_grams = (
         q.select("query", trigrams("query").alias("grams"))
         .select("query", F.size("grams").alias("n_query"), F.explode("grams").alias("gram"))
@@ -61,15 +117,14 @@ def trigram_search(
     query_grams = broadcast_if_bounded(query_grams, MAX_BROADCAST_QUERY_GRAMS)
     shared = (
         text_grams.join(query_grams, "gram")
-        .groupBy("query", "n_query", "text", "n_text")
+        .groupBy("query", "n_query", *key, "n_text")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    hits = shared.filter(similar_enough(F.col("shared"), F.col("n_text"), F.col("n_query"), num, den)).select(
-        "query", "text")
-    out = hits.join(lits, "text").select("query", "uri", "text").distinct()
-    if qcols:
-        out = out.join(queries.select("query", *qcols).distinct(), "query")
-    return out
+    return (
+        shared.filter(similar_enough(F.col("shared"), F.col("n_text"), F.col("n_query"), num, den))
+        .select("query", F.col("s").alias("uri"), F.col("o").alias("text"))
+        .distinct()
+    )
 
 
 def trigram_search_kind(g: DataFrame, queries: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             try:
                 path = new_snapshot_path(spark, "graph")
-                write_graph(fixtures.derived_graph(spark, sf_dir), path)
+                write_graph(fixtures.derived_graph(spark, sf_dir, distinct=False), path, dedupe=True)
                 _PATHS[key] = path
             except Exception:  # noqa: BLE001 - fall back to the unmaterialised plan
                 return fixtures.derived_graph(spark, sf_dir)

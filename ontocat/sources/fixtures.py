@@ -54,7 +54,8 @@ def table_entity_name(segment: Column, cname: Column) -> Column:
     return _cat("main.", F.lower(segment), ".", F.regexp_replace(cname, "#", "_"))
 
 
-def derived_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_graph(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """The derived triples graph; ``distinct=False`` leaves the set dedupe to the writer."""
     V = Vocab
     region = read_table(spark, sf_dir, "region")
     nation = read_table(spark, sf_dir, "nation")
@@ -133,7 +134,8 @@ def derived_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         _t(cs, V.NAME, _cat(table_entity_name(F.col("c_mktsegment"), F.col("c_name")), ".o", ok), LIT),
     )
 
-    return r.unionByName(n).unionByName(pt).unionByName(pp).unionByName(c).unionByName(o).unionByName(on).distinct()
+    raw = r.unionByName(n).unionByName(pt).unionByName(pp).unionByName(c).unionByName(o).unionByName(on)
+    return raw.distinct() if distinct else raw
 
 
 def current_tags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,14 +34,21 @@ def open_graph(spark: SparkSession, path: str | None) -> DataFrame:
         raise
 
 
-def write_graph(g: DataFrame, path: str, n_rows: int | None = None) -> str:
-    """Write ``g`` (set semantics assumed) as a snapshot partitioned by predicate."""
+def write_graph(g: DataFrame, path: str, n_rows: int | None = None, dedupe: bool = False) -> str:
+    """Write ``g`` as a snapshot partitioned by predicate.
+
+    ``dedupe=True`` enforces set semantics on the way: duplicates share
+    ``(pk, s)`` and therefore a range partition, so the distinct runs on the
+    range-partitioned rows without a shuffle of its own.
+    """
     out = g.select(*TRIPLE_COLUMNS).withColumn(PK, predicate_key(F.col("p")))
     if n_rows is not None:
         n_files = max(1, -(-n_rows // ROWS_PER_FILE))
         out = out.repartitionByRange(n_files, PK, "s")
     else:
         out = out.repartitionByRange(PK, "s")
+    if dedupe:
+        out = out.distinct()
     out.sortWithinPartitions(PK, "s").write.mode("errorifexists").partitionBy(PK).parquet(path)
     return path
 

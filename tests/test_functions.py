@@ -97,3 +97,12 @@ def test_search_equals_brute_force(spark):
             if inter and 10 * inter >= 3 * len(a | b):
                 want.append((q, t))
     assert got == sorted(want)
+
+
+def test_search_join_plan_equals_inline_plan(spark, graph_small):
+    from ontocat.operators import search
+
+    qs = spark.createDataFrame([(q,) for q in ("promo", "nation 1", "customer 7", "brand 12", "x")], "query string")
+    inline = search.trigram_search(graph_small, qs)
+    joined = search._trigram_search_join(graph_small, qs, 3, 10)
+    assert sorted(inline.collect()) == sorted(joined.select("query", "uri", "text").collect())
