@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.model import Vocab, edges, instances, values
-from ontocat.operators.entities import concept_detail, concept_relationships, labels, restrict
+from ontocat.operators.entities import (concept_relationships, detail_of_present, labels, present_subjects,
+                                        request_batch, restrict)
 
 V = Vocab
 
@@ -19,6 +20,7 @@ def table_assignments(g: DataFrame, table_uri=None, concept_uri=None) -> DataFra
     (labels) small: AQE broadcasts the label side when its measured size allows,
     and otherwise splits skewed concept keys (one concept on very many tables).
     """
+    table_uri, concept_uri = request_batch(table_uri), request_batch(concept_uri)
     a = edges(g, V.CONCEPT_ASSIGNMENT, "table_uri", "concept_uri")
     a = restrict(restrict(a, "table_uri", table_uri), "concept_uri", concept_uri)
     names = restrict(values(g, V.NAME, "table_uri", "table_name"), "table_uri", table_uri)
@@ -29,6 +31,7 @@ def table_assignments(g: DataFrame, table_uri=None, concept_uri=None) -> DataFra
 
 def column_assignments(g: DataFrame, column_uri=None, property_uri=None) -> DataFrame:
     """``(column_uri, column_name, property_uri, property_name)``."""
+    column_uri, property_uri = request_batch(column_uri), request_batch(property_uri)
     a = edges(g, V.PROPERTY_ASSIGNMENT, "column_uri", "property_uri")
     a = restrict(restrict(a, "column_uri", column_uri), "property_uri", property_uri)
     names = restrict(values(g, V.NAME, "column_uri", "column_name"), "column_uri", column_uri)
@@ -43,6 +46,7 @@ def assigned_objects(g: DataFrame, uris) -> DataFrame:
     ``uris`` is one URI or a batch; the result carries the requested ``uri``.
     Rows of the two kinds have unlike shapes and are concatenated by name.
     """
+    uris = request_batch(uris)
     t = table_assignments(g, concept_uri=uris).withColumn("uri", F.col("concept_uri"))
     c = column_assignments(g, property_uri=uris).withColumn("uri", F.col("property_uri"))
     return t.unionByName(c, allowMissingColumns=True).select(
@@ -57,6 +61,7 @@ def concept_properties(g: DataFrame, concept=None) -> DataFrame:
     """
     props = instances(g, V.PROPERTY)
     names = labels(g, "uri", "name")
+    concept = request_batch(concept)
 
     def role(pred: str, name: str) -> DataFrame:
         e = restrict(edges(g, pred, "uri", "concept"), "concept", concept)
@@ -75,8 +80,8 @@ def concept_summary(g: DataFrame, uris, with_lists: bool = False) -> DataFrame:
     nests them as sorted lists; a list holds everything assigned to one concept,
     so use it only for pages of bounded concepts.
     """
-    detail = concept_detail(g, uris)
-    base = detail.select("uri")
+    base = present_subjects(g, uris)
+    detail = detail_of_present(g, base)
     rel = concept_relationships(g, base)
     tab = table_assignments(g, concept_uri=base).withColumnRenamed("concept_uri", "uri")
     prp = concept_properties(g, base).withColumnRenamed("uri", "property_uri").withColumnRenamed("concept", "uri")

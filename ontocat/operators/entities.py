@@ -22,15 +22,32 @@ from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import expand_curie
 from ontocat.model import Vocab, by_predicate, edges, instances, values
+from ontocat.operators.joins import broadcast_if_bounded
 
 V = Vocab
 
 
+# Request batches up to this many distinct URIs are broadcast to the scans they filter.
+MAX_BROADCAST_BATCH = 1_000_000
+
+
+def request_batch(uris: DataFrame | str | Iterable[str] | None):
+    """Prepare a batch of URIs once: distinct, size-checked and, when bounded,
+    persisted and broadcast, so every scan it filters is streamed past it
+    instead of being shuffled. Constants pass through unchanged."""
+    if not isinstance(uris, DataFrame) or getattr(uris, "_prepared_batch", False):
+        return uris
+    key = uris.columns[0]
+    batch = broadcast_if_bounded(uris.select(F.col(key).alias("uri")).distinct(), MAX_BROADCAST_BATCH)
+    batch._prepared_batch = True  # already distinct, checked and (if bounded) broadcast
+    return batch
+
+
 def restrict(df: DataFrame, col: str, uris: str | Iterable[str] | DataFrame | None) -> DataFrame:
     """Fix one variable to a value, a list of values or a DataFrame of values.
 
-    A DataFrame batch becomes a left semi-join (its single column is the key);
-    Catalyst infers the same filter for the other side of later joins.
+    A DataFrame batch becomes a left semi-join (its single column is the key;
+    prepare it with :func:`request_batch` to broadcast it behind a size check).
     """
     if uris is None:
         return df
@@ -38,7 +55,8 @@ def restrict(df: DataFrame, col: str, uris: str | Iterable[str] | DataFrame | No
         return df.filter(F.col(col) == uris)
     if isinstance(uris, DataFrame):
         key = uris.columns[0]
-        return df.join(uris.select(F.col(key).alias(col)).distinct(), col, "left_semi")
+        batch = uris if key == col else uris.withColumnRenamed(key, col)
+        return df.join(batch, col, "left_semi")
     return df.filter(F.col(col).isin(list(uris)))
 
 
@@ -51,12 +69,14 @@ def labels(g: DataFrame, col: str = "uri", out: str = "label") -> DataFrame:
 
 def tables(g: DataFrame, uri=None) -> DataFrame:
     """``(uri, name)`` per table; one row per name, no DISTINCT."""
+    uri = request_batch(uri)
     t = restrict(instances(g, V.TABLE), "uri", uri)
     return t.join(restrict(values(g, V.NAME, "uri", "name"), "uri", uri), "uri", "left")
 
 
 def columns(g: DataFrame, uri=None) -> DataFrame:
     """``(uri, name)`` per column."""
+    uri = request_batch(uri)
     c = restrict(instances(g, V.COLUMN), "uri", uri)
     return c.join(restrict(values(g, V.NAME, "uri", "name"), "uri", uri), "uri", "left")
 
@@ -77,6 +97,7 @@ def concept_members(g: DataFrame, bag: bool = False) -> DataFrame:
 
 def concepts(g: DataFrame, uri=None) -> DataFrame:
     """DISTINCT ``(uri, label)``; unlabelled concepts have a NULL label."""
+    uri = request_batch(uri)
     m = restrict(concept_members(g), "uri", uri)
     return m.join(restrict(labels(g), "uri", uri), "uri", "left").distinct()
 
@@ -122,6 +143,7 @@ def properties(g: DataFrame, uri=None) -> DataFrame:
     The domain (range) pattern and its label share one OPTIONAL, so an
     unlabelled domain is not shown at all; several values multiply.
     """
+    uri = request_batch(uri)
     p = property_members(g, uri)
     dom = edges(g, V.DOMAIN, "uri", "domain").join(labels(g, "domain", "domain_label"), "domain", "inner")
     rng = edges(g, V.RANGE, "uri", "range").join(labels(g, "range", "range_label"), "range", "inner")
@@ -150,20 +172,29 @@ def _type_rank(t: Column) -> Column:
 
 
 def _present(g: DataFrame, uris: DataFrame | str | Iterable[str]) -> DataFrame:
-    """Requested URIs that are the subject of at least one triple."""
+    """Requested URIs that are the subject of at least one triple (one pass over the graph)."""
     subj = g.select(F.col("s").alias("uri"))
-    return restrict(subj, "uri", uris).distinct()
+    return request_batch(restrict(subj, "uri", request_batch(uris)).distinct())
 
 
 def alt_labels(g: DataFrame, uri=None) -> DataFrame:
     """``(uri, alt_labels)`` for any resource with alt labels."""
-    a = restrict(values(g, V.ALT_LABEL, "uri", "alt"), "uri", uri)
+    a = restrict(values(g, V.ALT_LABEL, "uri", "alt"), "uri", request_batch(uri))
     return a.groupBy("uri").agg(F.sort_array(F.collect_list("alt")).alias("alt_labels"))
 
 
 def concept_detail(g: DataFrame, uris) -> DataFrame:
     """E5: one row per requested URI that exists: ``(uri, label, comment, type, alt_labels)``."""
-    base = _present(g, uris)
+    return detail_of_present(g, present_subjects(g, uris))
+
+
+def present_subjects(g: DataFrame, uris) -> DataFrame:
+    """The prepared batch of requested URIs that are the subject of some triple."""
+    return _present(g, uris)
+
+
+def detail_of_present(g: DataFrame, base: DataFrame) -> DataFrame:
+    """E5 for a batch already reduced to existing subjects (see :func:`present_subjects`)."""
     lab = restrict(labels(g), "uri", base).groupBy("uri").agg(F.min("label").alias("label"))
     com = restrict(values(g, V.COMMENT, "uri", "c"), "uri", base).groupBy("uri").agg(F.min("c").alias("comment"))
     typ = (
@@ -182,7 +213,7 @@ def concept_detail(g: DataFrame, uris) -> DataFrame:
 
 def property_detail(g: DataFrame, uris) -> DataFrame:
     """Like E5 for typed properties; domain/range kept even when unlabelled."""
-    base = property_members(g, uris)
+    base = request_batch(property_members(g, request_batch(uris)))
     lab = restrict(labels(g), "uri", base).groupBy("uri").agg(F.min("label").alias("label"))
     com = restrict(values(g, V.COMMENT, "uri", "c"), "uri", base).groupBy("uri").agg(F.min("c").alias("comment"))
 
@@ -211,7 +242,7 @@ def concept_relationships(g: DataFrame, uri=None, namespaces: dict[str, str] | N
     """
     rel = by_predicate(g, *V.HIERARCHY).select(
         F.col("s").alias("uri"), F.col("p").alias("predicate_type"), F.col("o").alias("object"))
-    rel = rel.join(concept_members(g), "uri", "left_semi") if uri is None else restrict(rel, "uri", uri)
+    rel = rel.join(concept_members(g), "uri", "left_semi") if uri is None else restrict(rel, "uri", request_batch(uri))
     return rel.join(labels(g, "object", "object_label"), "object", "left").select(
         "uri", expand_curie(F.col("predicate_type"), namespaces).alias("predicate"), "object", "object_label",
         "predicate_type",
