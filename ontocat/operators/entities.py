@@ -194,21 +194,26 @@ def present_subjects(g: DataFrame, uris) -> DataFrame:
 
 
 def detail_of_present(g: DataFrame, base: DataFrame) -> DataFrame:
-    """E5 for a batch already reduced to existing subjects (see :func:`present_subjects`)."""
-    lab = restrict(labels(g), "uri", base).groupBy("uri").agg(F.min("label").alias("label"))
-    com = restrict(values(g, V.COMMENT, "uri", "c"), "uri", base).groupBy("uri").agg(F.min("c").alias("comment"))
-    typ = (
-        restrict(values(g, V.TYPE, "uri", "t"), "uri", base)
-        .groupBy("uri")
-        .agg(F.min(F.struct(_type_rank(F.col("t")).alias("r"), F.col("t").alias("t"))).alias("m"))
-        .select("uri", F.col("m.t").alias("type"))
-    )
-    alts = alt_labels(g, base)
-    return (
-        base.join(lab, "uri", "left").join(com, "uri", "left").join(typ, "uri", "left").join(alts, "uri", "left")
-        .select("uri", "label", "comment", "type",
-                F.coalesce("alt_labels", F.array().cast("array<string>")).alias("alt_labels"))
+    """E5 for a batch already reduced to existing subjects (see :func:`present_subjects`).
+
+    One pass: the label, comment, type and alt-label scans of the batch are
+    aggregated together per URI with conditional aggregates.
+    """
+    rows = restrict(by_predicate(g, V.LABEL, V.COMMENT, V.TYPE, V.ALT_LABEL)
+                    .select(F.col("s").alias("uri"), "p", "o"), "uri", base)
+
+    def of(pred: str, value):
+        return F.when(F.col("p") == pred, value)
+
+    per = rows.groupBy("uri").agg(
+        F.min(of(V.LABEL, F.col("o"))).alias("label"),
+        F.min(of(V.COMMENT, F.col("o"))).alias("comment"),
+        F.min(of(V.TYPE, F.struct(_type_rank(F.col("o")).alias("r"), F.col("o").alias("t"))))["t"].alias("type"),
+        F.sort_array(F.collect_list(of(V.ALT_LABEL, F.col("o")))).alias("alt_labels"),
     )
+    return base.join(per, "uri", "left").select(
+        "uri", "label", "comment", "type",
+        F.coalesce("alt_labels", F.array().cast("array<string>")).alias("alt_labels"))
 
 
 def property_detail(g: DataFrame, uris) -> DataFrame:

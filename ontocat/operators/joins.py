@@ -23,6 +23,8 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     if row_count_at_most(kept, max_rows):
-        return F.broadcast(kept)
+        out = F.broadcast(kept)
+        out._bounded = True  # callers may rely on the proven bound
+        return out
     kept.unpersist()
     return df

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import expand_curie, mint_iri, qualified_name, store_form
-from ontocat.model import IRI, LIT, TRIPLE_COLUMNS, Vocab, by_predicate, instances, triples
+from ontocat.model import IRI, LIT, PK, TRIPLE_COLUMNS, Vocab, by_predicate, instances, triples
 from ontocat.operators.joins import broadcast_if_bounded
 
 V = Vocab
@@ -48,29 +48,50 @@ def _key_cond(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
+# Up to this many distinct predicates in a bounded batch of additions, the
+# "already present" check reads only their partitions.
+MAX_PRUNED_PREDICATES = 64
+
+
 def apply_changes(g: DataFrame, additions: DataFrame | None = None,
                   removals: DataFrame | None = None, removal_keys: tuple[str, ...] = ("s", "p")) -> DataFrame:
     """``(g minus removals) union (additions minus g)`` with set semantics.
 
     ``removals`` holds the key columns ``removal_keys`` of the triples to drop
     (e.g. ``(s, p)`` drops every value of a predicate, ``(s,)`` a whole subject).
+    The presence test for additions runs after the removals, so a triple that
+    is removed and added again survives.
     """
-    out = _triples_only(g)
+    keep = [*TRIPLE_COLUMNS, PK] if PK in g.columns else list(TRIPLE_COLUMNS)
+    out = g.select(*keep)
     if removals is not None:
         keys = list(removal_keys)
         rk = broadcast_if_bounded(removals.select(*keys).distinct(), MAX_BROADCAST_ROWS)
         out = out.join(rk, keys, "left_anti")
     if additions is not None:
-        adds = additions.select(*TRIPLE_COLUMNS).distinct()
-        small = broadcast_if_bounded(adds, MAX_BROADCAST_ROWS)
-        # Triples of the batch already present: stream the graph past the
-        # (broadcast) batch instead of shuffling the graph.
-        present = out.alias("g").join(small.alias("a"), _key_cond(out.alias("g"), small.alias("a"),
-                                                                   TRIPLE_COLUMNS), "left_semi")
-        new = adds.alias("a").join(present.alias("g"), _key_cond(adds.alias("a"), present.alias("g"),
-                                                                 TRIPLE_COLUMNS), "left_anti")
-        out = out.unionByName(new)
-    return out
+        out = out.select(*TRIPLE_COLUMNS).unionByName(triples_not_in(out, additions))
+    return out.select(*TRIPLE_COLUMNS)
+
+
+def triples_not_in(g: DataFrame, additions: DataFrame) -> DataFrame:
+    """The distinct triples of ``additions`` that ``g`` does not hold.
+
+    A bounded batch is broadcast and ``g`` is streamed past it once, reading
+    only the predicate partitions the batch touches; otherwise both sides are
+    shuffled (sort-merge semi/anti joins).
+    """
+    adds = additions.select(*TRIPLE_COLUMNS).distinct()
+    small = broadcast_if_bounded(adds, MAX_BROADCAST_ROWS)
+    candidates = g
+    if getattr(small, "_bounded", False):
+        preds = [r["p"] for r in small.select("p").distinct().limit(MAX_PRUNED_PREDICATES + 1).collect()]
+        if len(preds) <= MAX_PRUNED_PREDICATES:
+            candidates = by_predicate(g, *preds) if preds else g.filter(F.lit(False))
+    cand = candidates.select(*TRIPLE_COLUMNS)
+    present = cand.alias("g").join(small.alias("a"), _key_cond(cand.alias("g"), small.alias("a"), TRIPLE_COLUMNS),
+                                   "left_semi")
+    return small.alias("a").join(present.alias("g"), _key_cond(small.alias("a"), present.alias("g"),
+                                                                TRIPLE_COLUMNS), "left_anti")
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -90,44 +111,44 @@ def _last(value: Column, when: Column | None = None, seq: str = "seq") -> Column
 # --------------------------------------------------------------- U1, U2, S4
 
 
-def _register(g: DataFrame, cmds: DataFrame, cls: str) -> DataFrame:
+def _registration_adds(g: DataFrame, cmds: DataFrame, cls: str) -> DataFrame:
     """Insert-if-absent: the first command per URI wins; URIs already of ``cls`` are skipped."""
     c = cmds.select("seq", F.coalesce(F.when(_nonempty(F.col("uri")), F.col("uri")), mint_iri(F.col("name")))
                     .alias("uri"), "name")
     first = c.groupBy("uri").agg(F.min(F.struct("seq", "name"))["name"].alias("name"))
     fresh = first.join(instances(g, cls), "uri", "left_anti")
-    adds = fresh.select(F.explode(F.array(
+    return fresh.select(F.explode(F.array(
         F.struct(*triples(F.col("uri"), V.TYPE, F.lit(cls), IRI)),
         F.struct(*triples(F.col("uri"), V.NAME, F.col("name"), LIT)),
     )).alias("t")).select("t.*")
-    return apply_changes(g, additions=adds)
 
 
 def upsert_tables(g: DataFrame, cmds: DataFrame) -> DataFrame:
     """``cmds(seq, uri, name)``; an empty URI is minted from the name."""
-    return _register(g, cmds, V.TABLE)
+    return apply_changes(g, additions=_registration_adds(g, cmds, V.TABLE))
 
 
 def upsert_columns(g: DataFrame, cmds: DataFrame) -> DataFrame:
     """Like U1 for columns."""
-    return _register(g, cmds, V.COLUMN)
+    return apply_changes(g, additions=_registration_adds(g, cmds, V.COLUMN))
 
 
 def register_inventory(g: DataFrame, inventory: DataFrame) -> DataFrame:
     """``inventory(catalog, schema, table, column)`` -> names (P2) -> IRIs (P1) -> U1/U2.
 
-    A row with a NULL column registers the table; other rows register the column.
+    A row with a NULL column registers the table; other rows register the
+    column. Table registration adds no column types, so both sets of
+    additions are computed against ``g`` and applied in one rewrite.
     """
-    inv = inventory.select(
-        "catalog", "schema", "table", "column",
-        F.monotonically_increasing_id().alias("seq"),
-    )
+    inv = inventory.select("catalog", "schema", "table", "column",
+                           F.monotonically_increasing_id().alias("seq"))
     tables = inv.select("seq", F.lit(None).cast("string").alias("uri"),
-                        qualified_name("catalog", "schema", "table").alias("name")).distinct()
+                        qualified_name("catalog", "schema", "table").alias("name"))
     cols = inv.filter(F.col("column").isNotNull()).select(
         "seq", F.lit(None).cast("string").alias("uri"),
         qualified_name("catalog", "schema", "table", "column").alias("name"))
-    return upsert_columns(upsert_tables(g, tables), cols)
+    adds = _registration_adds(g, tables, V.TABLE).unionByName(_registration_adds(g, cols, V.COLUMN))
+    return apply_changes(g, additions=adds)
 
 
 # ---------------------------------------------------------------- U3, U4

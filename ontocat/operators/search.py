@@ -26,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontocat.functions.scalars import jinja_text, list_filter_match
+from ontocat.functions.scalars import jinja_text
 from ontocat.functions.trigrams import THRESHOLD_DEN, THRESHOLD_NUM, similar_enough, trigrams
 from ontocat.model import LIT
 from ontocat.operators import entities as ent
-from ontocat.operators.joins import broadcast_if_bounded, row_count_at_most
+from ontocat.operators.joins import broadcast_if_bounded
 
 # Query batches up to this many (query, gram) rows are broadcast.
 MAX_BROADCAST_QUERY_GRAMS = 200_000
@@ -166,22 +166,34 @@ def list_filter(g: DataFrame, filters: DataFrame) -> DataFrame:
     return substring_join(items, filters.select("q").distinct()).select("q", "list", "uri", "label")
 
 
-# Filter batches up to this size are broadcast to a single pass over the items.
-MAX_BROADCAST_FILTERS = 10_000
+# Filter batches up to this size are compiled into the item scan.
+MAX_INLINE_FILTERS = 256
 
 
 def substring_join(items: DataFrame, filters: DataFrame) -> DataFrame:
     """Pairs (item, q) where ``upper(item.text)`` contains ``upper(q)``.
 
-    A small, checked filter batch is broadcast and tested against every item in
-    one pass. A larger batch uses an exact equi-join instead: a text containing
-    ``q`` contains q's first ``L = min(3, len(q))`` characters, so both sides
-    are keyed by length-``L`` substrings (every position of the text, the
-    prefix of ``q``), joined on ``(L, key)``, then verified with ``contains``.
-    The empty filter matches every item.
+    A small, checked filter batch is compiled into the scan of the items as
+    one constant ``contains`` test per filter, so there is no join at all. A
+    larger batch uses an exact equi-join instead: a text containing ``q``
+    contains q's first ``L = min(3, len(q))`` characters, so both sides are
+    keyed by length-``L`` substrings (every position of the text, the prefix
+    of ``q``), joined on ``(L, key)``, then verified with ``contains``. The
+    empty filter matches every item.
     """
-    if row_count_at_most(filters, MAX_BROADCAST_FILTERS):
-        return items.join(F.broadcast(filters), list_filter_match([F.col("text")], F.col("q")))
+    small = filters.select("q").distinct().limit(MAX_INLINE_FILTERS + 1).collect()
+    if len(small) <= MAX_INLINE_FILTERS:
+        qs = [r["q"] for r in small if r["q"] is not None]
+        if not qs:
+            return items.withColumn("q", F.lit(None).cast("string")).filter(F.lit(False))
+        ut = F.upper(F.col("text"))
+        hits = F.array_compact(F.array(*[F.when(F.contains(ut, F.upper(F.lit(q))), F.lit(q)) for q in qs]))
+        # explode_outer + filter on the generated column keeps the optimizer from
+        # pushing an inferred size filter (and a second evaluation) into the scan.
+        return (
+            items.select("*", F.explode_outer(hits).alias("q"))
+            .filter(F.col("q").isNotNull())
+        )
     ut = F.upper(F.col("text"))
     fq = filters.select("q", F.upper("q").alias("uq")).withColumn("L", F.least(F.length("uq"), F.lit(3)))
     has_empty = fq.filter(F.col("L") == 0).limit(1).count() > 0

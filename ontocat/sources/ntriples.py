@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import export_form, store_form
 from ontocat.model import BNODE, IRI, LIT, TRIPLE_COLUMNS
-from ontocat.operators.mutations import apply_changes
+from ontocat.operators.mutations import triples_not_in
 
 _IRI = r"<[^>]*>"
 _BNODE = r"_:[A-Za-z0-9_][A-Za-z0-9_.\-]*"
@@ -106,22 +106,11 @@ def import_merge(g: DataFrame, lines: DataFrame, batch_id: str, namespaces=None
     were not in ``g`` (its row count is the reference's "triples imported").
     """
     parsed, rejects = parse_lines(lines, batch_id, namespaces)
-    merged = apply_changes(g, additions=parsed)
-    added = _added(g.select(*TRIPLE_COLUMNS), parsed)
+    added = triples_not_in(g, parsed)
+    merged = g.select(*TRIPLE_COLUMNS).unionByName(added)
     return merged, added, rejects
 
 
-def _added(base: DataFrame, parsed: DataFrame) -> DataFrame:
-    from ontocat.operators.joins import broadcast_if_bounded
-    from ontocat.operators.mutations import MAX_BROADCAST_ROWS, _key_cond
-
-    small = broadcast_if_bounded(parsed, MAX_BROADCAST_ROWS)
-    present = base.alias("g").join(small.alias("a"), _key_cond(base.alias("g"), small.alias("a"), TRIPLE_COLUMNS),
-                                   "left_semi")
-    return parsed.alias("a").join(present.alias("g"), _key_cond(parsed.alias("a"), present.alias("g"),
-                                                                TRIPLE_COLUMNS), "left_anti")
-
-
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one or more N-Triples files (a directory or glob works too)."""
     return spark.read.text(path)

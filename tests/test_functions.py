@@ -106,3 +106,18 @@ def test_search_join_plan_equals_inline_plan(spark, graph_small):
     inline = search.trigram_search(graph_small, qs)
     joined = search._trigram_search_join(graph_small, qs, 3, 10)
     assert sorted(inline.collect()) == sorted(joined.select("query", "uri", "text").collect())
+
+
+def test_substring_join_paths_agree(spark, monkeypatch):
+    from ontocat.operators import search
+
+    items = spark.createDataFrame([(str(i), t) for i, t in enumerate(
+        ["Alpha beta", "ALPHABET", "gamma", "x/y None", "ß straße", "", "ab"])], "uri string, text string")
+    filters = spark.createDataFrame([(q,) for q in ("alp", "a", "BE", "none", "STRASSE", "ß", "zz", "")], "q string")
+    inline = sorted(tuple(r) for r in search.substring_join(items, filters).select("uri", "q").collect())
+    monkeypatch.setattr(search, "MAX_INLINE_FILTERS", 0)
+    joined = sorted(tuple(r) for r in search.substring_join(items, filters).select("uri", "q").collect())
+    want = sorted((u, q) for u, t in [(str(i), t) for i, t in enumerate(
+        ["Alpha beta", "ALPHABET", "gamma", "x/y None", "ß straße", "", "ab"])]
+        for q in ("alp", "a", "BE", "none", "STRASSE", "ß", "zz", "") if q.upper() in t.upper())
+    assert inline == joined == want
