@@ -28,7 +28,7 @@ V = Vocab
 
 
 # Request batches up to this many distinct URIs are broadcast to the scans they filter.
-MAX_BROADCAST_BATCH = 1_000_000
+MAX_BROADCAST_BATCH = 500_000
 
 
 def request_batch(uris: DataFrame | str | Iterable[str] | None):

@@ -74,8 +74,9 @@ def graph_links(g: DataFrame) -> DataFrame:
     prop_ids = ent.property_members(g).select(F.col("uri").alias("id"))
     table_ids = instances(g, Vocab.TABLE).select(F.col("uri").alias("id"))
     column_ids = instances(g, Vocab.COLUMN).select(F.col("uri").alias("id"))
-    early_ids = concept_ids.unionByName(prop_ids).unionByName(table_ids).distinct()
-    all_ids = early_ids.unionByName(column_ids).distinct()
+    # Only ever the right side of semi-joins, so no dedupe (and no shuffle for it).
+    early_ids = concept_ids.unionByName(prop_ids).unionByName(table_ids)
+    all_ids = early_ids.unionByName(column_ids)
 
     def ends_in(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
         return df.join(ids.withColumnRenamed("id", col), col, "left_semi")

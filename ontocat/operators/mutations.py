@@ -29,8 +29,8 @@ from ontocat.operators.joins import broadcast_if_bounded
 
 V = Vocab
 
-# Batches up to this many rows are broadcast against the graph.
-MAX_BROADCAST_ROWS = 2_000_000
+# Batches up to this many triples (~25 MB) are broadcast against the graph.
+MAX_BROADCAST_ROWS = 250_000
 
 # Concept type choices accepted by concept inserts.
 CONCEPT_TYPES = {"rdfs_class": V.CLASS, "skos_concept": V.CONCEPT}
