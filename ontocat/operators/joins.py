@@ -15,16 +15,16 @@ def row_count_at_most(df: DataFrame, bound: int) -> bool:
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when its row count is proven to be at most ``max_rows``.
 
-    The candidate is persisted while it is checked, so the check and the join
-    read the same computed rows once (a lost block is recomputed from lineage).
-    Above the bound the persisted copy is dropped and ``df`` is returned
-    unchanged: the join stays a shuffle join, AQE may still broadcast it from
-    measured sizes, and its skew-join handling splits hot keys.
+    The candidate side is persisted (memory, spilling to disk) and counted, so
+    it is computed exactly once whichever way the join goes: at most
+    ``max_rows`` rows it is broadcast and the large side is streamed past it;
+    above the bound the same persisted rows feed a shuffle join, where AQE's
+    skew-join handling splits hot keys. A lost block is recomputed from lineage.
+    The result carries ``_bounded`` (and ``_rows``) for callers.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if row_count_at_most(kept, max_rows):
-        out = F.broadcast(kept)
-        out._bounded = True  # callers may rely on the proven bound
-        return out
-    kept.unpersist()
-    return df
+    n = kept.count()
+    out = F.broadcast(kept) if n <= max_rows else kept
+    out._bounded = n <= max_rows
+    out._rows = n
+    return out
