@@ -147,7 +147,7 @@ def literal_value(o: Column | str, datatype: Column | str) -> dict[str, Column]:
         "value_boolean": F.when(dt == "xsd:boolean", F.when(oc.isin("true", "1"), True)
                                 .when(oc.isin("false", "0"), False)),
         "value_date": F.when(dt == "xsd:date", oc.try_cast("date")),
-        "value_timestamp": F.when(dt == "xsd:dateTime", oc.try_cast("timestamp")),
+        "value_timestamp": F.when(dt == "xsd:dateTime", oc.try_cast("timestamp_ntz")),
         "value_string": F.when(dt.isNull() | (dt == "xsd:string"), oc),
     }
 

@@ -48,6 +48,9 @@ def tag_mappings(g: DataFrame) -> DataFrame:
     )
 
 
+MAPPING_JSON_SCHEMA = "name string, type string, tags array<string>"
+
+
 def mappings_from_json(df: DataFrame) -> DataFrame:
     """A mapping read with ``spark.read.json`` (``{name, type, tags[]}``) in long form."""
     return df.select("type", "name", F.explode("tags").alias("tag"))

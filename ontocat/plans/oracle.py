@@ -375,6 +375,10 @@ FROM (VALUES ('concept'), ('property'), ('table'), ('column')) AS t(type)
 LEFT JOIN (SELECT type, count(*) AS n FROM nodes GROUP BY type) c ON c.type = t.type"""),
     "tag_sync_plan": with_common(_plan_sql(50)),
     "tag_sync_plan_limit25": with_common(_plan_sql(25)),
+    "tag_changes_from_json": with_common(_plan_sql(50).replace(
+        "SELECT ch.entity_type, ch.entity_name, ch.tag_key, ch.action, per.resulting >= 50 AS skipped",
+        "SELECT ch.entity_type, ch.entity_name, ch.tag_key, ch.action, "
+        "CASE WHEN ch.action = 'delete' THEN 0 ELSE 1 END AS step") + " WHERE per.resulting < 50"),
 }
 
 from ontocat.plans.oracle_mutations import MUTATION_BODIES  # noqa: E402

@@ -468,3 +468,15 @@ def q_entity_by_uri(spark, sf_dir):
     batch = read_table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "MACHINERY").select(
         F.concat(F.lit("t/"), F.col("c_custkey")).alias("uri"))
     return ent.tables(_g(spark, sf_dir), uri=batch)
+
+
+@query("tag_changes_from_json")
+def q_tag_changes_from_json(spark, sf_dir):
+    """S6 + G1 + S7: the mapping handed off as JSON, read back, planned, emitted as a change table."""
+    from ontocat.session import new_snapshot_path
+
+    path = new_snapshot_path(spark, "mappings-json")
+    tagsync.tag_mappings(_g(spark, sf_dir)).write.mode("errorifexists").json(path)
+    mapping = tagsync.mappings_from_json(spark.read.schema(tagsync.MAPPING_JSON_SCHEMA).json(path))
+    plan = tagsync.tag_sync_plan(mapping, inputs.current_tags(spark, sf_dir))
+    return tagsync.change_table(plan)
