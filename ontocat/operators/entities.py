@@ -9,8 +9,9 @@ Graph pattern -> DataFrame mapping used throughout:
 * a fixed variable (``initBindings``) is :func:`restrict`, a filter for one
   value and a semi-join for a batch.
 
-Lists are built last, from rows already reduced to one entity each, and are
-returned sorted.
+Lists are built last, sorted, with :func:`ontocat.operators.lists.chunked_lists`:
+one row per entity (``chunk`` 0) unless an entity has more than the chunk size
+of values, which then spread over several bounded rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ontocat.functions.scalars import expand_curie
 from ontocat.model import Vocab, by_predicate, edges, instances, values
 from ontocat.operators.joins import broadcast_if_bounded
+from ontocat.operators.lists import chunked_lists
 
 V = Vocab
 
@@ -103,7 +105,7 @@ def concepts(g: DataFrame, uri=None) -> DataFrame:
 
 
 def concepts_alt_labels(g: DataFrame, dedupe: bool = True) -> DataFrame:
-    """A1: ``(uri, label, alt_labels)`` grouped by ``(uri, label)``.
+    """A1: ``(uri, label, chunk, alt_labels)`` grouped by ``(uri, label)``.
 
     ``dedupe=False`` is the faithful bag: a concept matching k membership
     branches repeats each alt label k times.
@@ -113,7 +115,7 @@ def concepts_alt_labels(g: DataFrame, dedupe: bool = True) -> DataFrame:
     rows = members.join(labels(g), "uri", "left").join(alts, "uri", "left")
     if dedupe:
         rows = rows.distinct()
-    return rows.groupBy("uri", "label").agg(F.sort_array(F.collect_list("alt")).alias("alt_labels"))
+    return chunked_lists(rows, ["uri", "label"], "alt", "alt_labels")
 
 
 def concepts_alt_label_pairs(g: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -157,10 +159,10 @@ def properties(g: DataFrame, uri=None) -> DataFrame:
 
 
 def properties_alt_labels(g: DataFrame) -> DataFrame:
-    """A2: ``(uri, name, alt_labels)`` grouped by ``(uri, name)``."""
+    """A2: ``(uri, name, chunk, alt_labels)`` grouped by ``(uri, name)``."""
     alts = values(g, V.ALT_LABEL, "uri", "alt")
     rows = property_members(g).join(labels(g, "uri", "name"), "uri", "left").join(alts, "uri", "left")
-    return rows.groupBy("uri", "name").agg(F.sort_array(F.collect_list("alt")).alias("alt_labels"))
+    return chunked_lists(rows, ["uri", "name"], "alt", "alt_labels")
 
 
 # ---------------------------------------------------------------- E5 - E8
@@ -178,9 +180,16 @@ def _present(g: DataFrame, uris: DataFrame | str | Iterable[str]) -> DataFrame:
 
 
 def alt_labels(g: DataFrame, uri=None) -> DataFrame:
-    """``(uri, alt_labels)`` for any resource with alt labels."""
+    """``(uri, chunk, alt_labels)`` for any resource with alt labels."""
     a = restrict(values(g, V.ALT_LABEL, "uri", "alt"), "uri", request_batch(uri))
-    return a.groupBy("uri").agg(F.sort_array(F.collect_list("alt")).alias("alt_labels"))
+    return chunked_lists(a, ["uri"], "alt", "alt_labels")
+
+
+def _with_alt_chunks(g: DataFrame, rows: DataFrame, base: DataFrame) -> DataFrame:
+    """``rows`` (one per URI) with ``chunk, alt_labels``; chunk 0 and ``[]`` when there are none."""
+    out = rows.join(alt_labels(g, base), "uri", "left")
+    return out.withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("bigint"))).withColumn(
+        "alt_labels", F.coalesce("alt_labels", F.array().cast("array<string>")))
 
 
 def concept_detail(g: DataFrame, uris) -> DataFrame:
@@ -199,7 +208,7 @@ def detail_of_present(g: DataFrame, base: DataFrame) -> DataFrame:
     One pass: the label, comment, type and alt-label scans of the batch are
     aggregated together per URI with conditional aggregates.
     """
-    rows = restrict(by_predicate(g, V.LABEL, V.COMMENT, V.TYPE, V.ALT_LABEL)
+    rows = restrict(by_predicate(g, V.LABEL, V.COMMENT, V.TYPE)
                     .select(F.col("s").alias("uri"), "p", "o"), "uri", base)
 
     def of(pred: str, value):
@@ -209,11 +218,9 @@ def detail_of_present(g: DataFrame, base: DataFrame) -> DataFrame:
         F.min(of(V.LABEL, F.col("o"))).alias("label"),
         F.min(of(V.COMMENT, F.col("o"))).alias("comment"),
         F.min(of(V.TYPE, F.struct(_type_rank(F.col("o")).alias("r"), F.col("o").alias("t"))))["t"].alias("type"),
-        F.sort_array(F.collect_list(of(V.ALT_LABEL, F.col("o")))).alias("alt_labels"),
     )
-    return base.join(per, "uri", "left").select(
-        "uri", "label", "comment", "type",
-        F.coalesce("alt_labels", F.array().cast("array<string>")).alias("alt_labels"))
+    return _with_alt_chunks(g, base.join(per, "uri", "left"), base).select(
+        "uri", "label", "comment", "type", "chunk", "alt_labels")
 
 
 def property_detail(g: DataFrame, uris) -> DataFrame:
@@ -228,14 +235,12 @@ def property_detail(g: DataFrame, uris) -> DataFrame:
         return e.groupBy("uri").agg(F.min(F.struct(name, f"{name}_label")).alias("m")).select(
             "uri", F.col(f"m.{name}").alias(name), F.col(f"m.{name}_label").alias(f"{name}_label"))
 
-    alts = alt_labels(g, base)
-    return (
+    rows = (
         base.join(lab, "uri", "left").join(com, "uri", "left")
         .join(end(V.DOMAIN, "domain"), "uri", "left").join(end(V.RANGE, "range"), "uri", "left")
-        .join(alts, "uri", "left")
-        .select("uri", "label", "comment", "domain", "domain_label", "range", "range_label",
-                F.coalesce("alt_labels", F.array().cast("array<string>")).alias("alt_labels"))
     )
+    return _with_alt_chunks(g, rows, base).select(
+        "uri", "label", "comment", "domain", "domain_label", "range", "range_label", "chunk", "alt_labels")
 
 
 def concept_relationships(g: DataFrame, uri=None, namespaces: dict[str, str] | None = None) -> DataFrame:

@@ -163,7 +163,8 @@ def list_filter(g: DataFrame, filters: DataFrame) -> DataFrame:
     k = ent.columns(g).select(F.lit("columns").alias("list"), "uri", F.col("name").alias("label"),
                               F.concat_ws(" ", F.col("uri"), jinja_text("name")).alias("text"))
     items = c.unionByName(p).unionByName(t).unionByName(k)
-    return substring_join(items, filters.select("q").distinct()).select("q", "list", "uri", "label")
+    # An entity whose alt labels span several list chunks matches once.
+    return substring_join(items, filters.select("q").distinct()).select("q", "list", "uri", "label").distinct()
 
 
 # Filter batches up to this size are compiled into the item scan.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.operators.assignments import column_assignments, table_assignments
+from ontocat.operators.lists import chunked_lists
 
 # Defaults of the sync job.
 DEFAULT_PREFIX = "TYPE_"
@@ -39,20 +40,16 @@ def tag_mapping_pairs(g: DataFrame) -> DataFrame:
 
 
 def tag_mappings(g: DataFrame) -> DataFrame:
-    """``(name, type, tags)`` with the sorted tag list of each catalog object."""
-    return (
-        tag_mapping_pairs(g)
-        .groupBy("type", "name")
-        .agg(F.sort_array(F.collect_list("tag")).alias("tags"))
-        .select("name", "type", "tags")
-    )
+    """``(name, type, chunk, tags)``: the sorted tag list of each catalog object
+    (one row per object unless it carries more tags than the list chunk size)."""
+    return chunked_lists(tag_mapping_pairs(g), ["type", "name"], "tag", "tags").select("name", "type", "chunk", "tags")
 
 
-MAPPING_JSON_SCHEMA = "name string, type string, tags array<string>"
+MAPPING_JSON_SCHEMA = "name string, type string, chunk bigint, tags array<string>"
 
 
 def mappings_from_json(df: DataFrame) -> DataFrame:
-    """A mapping read with ``spark.read.json`` (``{name, type, tags[]}``) in long form."""
+    """A mapping read with ``spark.read.json`` (``{name, type, tags[]}``, chunks allowed) in long form."""
     return df.select("type", "name", F.explode("tags").alias("tag"))
 
 

@@ -163,7 +163,7 @@ DETAIL_CTES = f"""
 
 def _detail_select(base: str) -> str:
     return f"""
-SELECT b.uri, lmin.label, cmin.comment, tmin.type,
+SELECT b.uri, lmin.label, cmin.comment, tmin.type, CAST(0 AS BIGINT) AS chunk,
        coalesce(alts.alt_labels, '') AS alt_labels, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
 FROM {base} b LEFT JOIN lmin ON lmin.uri = b.uri LEFT JOIN cmin ON cmin.uri = b.uri
 LEFT JOIN tmin ON tmin.uri = b.uri LEFT JOIN alts ON alts.uri = b.uri"""
@@ -279,9 +279,9 @@ FROM props pr LEFT JOIN lab n ON n.uri = pr.uri LEFT JOIN dom ON dom.uri = pr.ur
 , rows AS (
   SELECT DISTINCT m.uri, l.label, a.o AS alt
   FROM members m LEFT JOIN lab l ON l.uri = m.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = m.uri)
-SELECT uri, label, {_list_sql('alt', 'alt_labels')} FROM rows GROUP BY uri, label"""),
+SELECT uri, label, CAST(0 AS BIGINT) AS chunk, {_list_sql('alt', 'alt_labels')} FROM rows GROUP BY uri, label"""),
     "concepts_alt_labels_bag": with_common(f"""
-SELECT m.uri, l.label, {_list_sql('a.o', 'alt_labels')}
+SELECT m.uri, l.label, CAST(0 AS BIGINT) AS chunk, {_list_sql('a.o', 'alt_labels')}
 FROM members_bag m LEFT JOIN lab l ON l.uri = m.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = m.uri
 GROUP BY m.uri, l.label"""),
     "concept_alt_label_pairs": with_common("""
@@ -289,13 +289,13 @@ SELECT m.uri, l.label, a.o AS alt_label, count(*) AS n
 FROM members_bag m LEFT JOIN lab l ON l.uri = m.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = m.uri
 GROUP BY m.uri, l.label, a.o"""),
     "properties_alt_labels": with_common(f"""
-SELECT pr.uri, n.label AS name, {_list_sql('a.o', 'alt_labels')}
+SELECT pr.uri, n.label AS name, CAST(0 AS BIGINT) AS chunk, {_list_sql('a.o', 'alt_labels')}
 FROM props pr LEFT JOIN lab n ON n.uri = pr.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = pr.uri
 GROUP BY pr.uri, n.label"""),
     "table_assignments": with_common("SELECT * FROM ta"),
     "column_assignments": with_common("SELECT * FROM ca"),
     "tag_mappings": with_common(f"""
-SELECT name, type, {_list_sql('tag', 'tags')} FROM pairs GROUP BY type, name"""),
+SELECT name, type, CAST(0 AS BIGINT) AS chunk, {_list_sql('tag', 'tags')} FROM pairs GROUP BY type, name"""),
     "tag_mapping_pairs": with_common("SELECT type, name, tag FROM pairs"),
     "concept_detail": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """
 , req AS (SELECT uri FROM members UNION ALL SELECT o FROM g WHERE p = 'uc:conceptAssignment')
@@ -311,12 +311,12 @@ SELECT name, type, {_list_sql('tag', 'tags')} FROM pairs GROUP BY type, name""")
            JOIN (SELECT uri, min(range) AS range FROM r GROUP BY uri) m ON m.uri = r.uri AND m.range = r.range
            GROUP BY r.uri, r.range)
 SELECT b.uri, lmin.label, cmin.comment, dmin.domain, dmin.domain_label, rmin.range, rmin.range_label,
-       coalesce(alts.alt_labels, '') AS alt_labels, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
+       CAST(0 AS BIGINT) AS chunk, coalesce(alts.alt_labels, '') AS alt_labels, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
 FROM base b LEFT JOIN lmin ON lmin.uri = b.uri LEFT JOIN cmin ON cmin.uri = b.uri
 LEFT JOIN dmin ON dmin.uri = b.uri LEFT JOIN rmin ON rmin.uri = b.uri LEFT JOIN alts ON alts.uri = b.uri"""),
     "concept_relationships": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + "SELECT * FROM rel"),
     "alt_labels": with_common("""
-SELECT s AS uri, string_agg(o, '||' ORDER BY o) AS alt_labels, count(*) AS n_alt_labels
+SELECT s AS uri, CAST(0 AS BIGINT) AS chunk, string_agg(o, '||' ORDER BY o) AS alt_labels, count(*) AS n_alt_labels
 FROM g WHERE p = 'skos:altLabel' GROUP BY s"""),
     "concept_properties": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + "SELECT * FROM cprops"),
     "concept_summary": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """

@@ -1,0 +1,24 @@
+"""Chunked per-group lists keep every value and bound every row."""
+
+from collections import Counter
+
+from ontocat.operators.lists import chunked_lists
+
+
+def test_small_groups_get_one_sorted_chunk(spark):
+    rows = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("b", None), (None, "z")],
+                                 "k string, v string")
+    got = {(r.k, r.chunk): r.vs for r in chunked_lists(rows, ["k"], "v", "vs").collect()}
+    assert got == {("a", 0): ["x", "x", "y"], ("b", 0): [], (None, 0): ["z"]}
+
+
+def test_hot_group_is_split_into_bounded_chunks(spark):
+    hot = [("hot", f"v{i % 700}") for i in range(5000)]  # repeated values too
+    rows = spark.createDataFrame(hot + [("cold", "c1")], "k string, v string")
+    out = chunked_lists(rows, ["k"], "v", "vs", chunk_size=1000).collect()
+    hot_rows = [r for r in out if r.k == "hot"]
+    assert len(hot_rows) == 5 and {r.chunk for r in hot_rows} == set(range(5))
+    assert max(len(r.vs) for r in hot_rows) < 1500
+    merged = Counter(v for r in hot_rows for v in r.vs)
+    assert merged == Counter(v for _, v in hot)
+    assert [(r.chunk, r.vs) for r in out if r.k == "cold"] == [(0, ["c1"])]
