@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.model import Vocab, edges, instances, values
+from ontocat.operators.lists import chunked_lists
 from ontocat.operators.entities import (concept_relationships, detail_of_present, labels, present_subjects,
                                         request_batch, restrict)
 
@@ -71,39 +72,47 @@ def concept_properties(g: DataFrame, concept=None) -> DataFrame:
     return role(V.DOMAIN, "domain").unionByName(role(V.RANGE, "range"))
 
 
-def concept_summary(g: DataFrame, uris, with_lists: bool = False) -> DataFrame:
+def concept_summary(g: DataFrame, uris) -> DataFrame:
     """The concept page bundle for a batch of concepts.
 
-    One row per existing concept: the E5 detail plus the number of outgoing
-    relationships, assigned tables and related properties. The item rows
-    themselves are E7 / J4 / G3 keyed by the concept. ``with_lists=True`` also
-    nests them as sorted lists; a list holds everything assigned to one concept,
-    so use it only for pages of bounded concepts.
+    One row per existing concept (per alt-label chunk): the E5 detail plus the
+    number of outgoing relationships, assigned tables and related properties.
+    The items themselves come from :func:`concept_summary_items`.
     """
     base = present_subjects(g, uris)
     detail = detail_of_present(g, base)
-    rel = concept_relationships(g, base)
-    tab = table_assignments(g, concept_uri=base).withColumnRenamed("concept_uri", "uri")
-    prp = concept_properties(g, base).withColumnRenamed("uri", "property_uri").withColumnRenamed("concept", "uri")
-    counts = [
-        rel.groupBy("uri").agg(F.count(F.lit(1)).alias("n_relationships")),
-        tab.groupBy("uri").agg(F.count(F.lit(1)).alias("n_assigned_tables")),
-        prp.groupBy("uri").agg(F.count(F.lit(1)).alias("n_properties")),
-    ]
+    rel, tab, prp = _summary_parts(g, base)
     out = detail
-    for c in counts:
-        out = out.join(c, "uri", "left")
-    for name in ("n_relationships", "n_assigned_tables", "n_properties"):
+    for part, name in ((rel, "n_relationships"), (tab, "n_assigned_tables"), (prp, "n_properties")):
+        out = out.join(part.groupBy("uri").agg(F.count(F.lit(1)).alias(name)), "uri", "left")
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
-    if with_lists:
-        lists = [
-            rel.groupBy("uri").agg(F.sort_array(F.collect_list(
-                F.struct("predicate_type", "object", "object_label"))).alias("relationships")),
-            tab.groupBy("uri").agg(F.sort_array(F.collect_list(
-                F.struct("table_uri", "table_name"))).alias("assigned_tables")),
-            prp.groupBy("uri").agg(F.sort_array(F.collect_list(
-                F.struct("property_uri", "name", "role"))).alias("related_properties")),
-        ]
-        for lst in lists:
-            out = out.join(lst, "uri", "left")
     return out
+
+
+def concept_summary_items(g: DataFrame, uris) -> DataFrame:
+    """G4 items: ``(uri, section, chunk, items)`` with ``items`` a sorted list of
+    ``struct<uri, label, role>`` per concept and section (``relationship``,
+    ``assigned_table``, ``property``), chunked like every list here, so a
+    concept assigned to a huge number of tables still yields bounded rows."""
+    base = present_subjects(g, uris)
+    rel, tab, prp = _summary_parts(g, base)
+    item = F.struct
+    long = (
+        rel.select("uri", F.lit("relationship").alias("section"),
+                   item(F.col("object").alias("uri"), F.col("object_label").alias("label"),
+                        F.col("predicate_type").alias("role")).alias("item"))
+        .unionByName(tab.select("uri", F.lit("assigned_table").alias("section"),
+                                item(F.col("table_uri").alias("uri"), F.col("table_name").alias("label"),
+                                     F.lit("assignment").alias("role")).alias("item")))
+        .unionByName(prp.select("uri", F.lit("property").alias("section"),
+                                item(F.col("property_uri").alias("uri"), F.col("name").alias("label"),
+                                     F.col("role").alias("role")).alias("item")))
+    )
+    return chunked_lists(long, ["uri", "section"], "item", "items")
+
+
+def _summary_parts(g: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rel = concept_relationships(g, base)
+    tab = table_assignments(g, concept_uri=base).withColumnRenamed("concept_uri", "uri")
+    prp = concept_properties(g, base).withColumnRenamed("uri", "property_uri").withColumnRenamed("concept", "uri")
+    return rel, tab, prp

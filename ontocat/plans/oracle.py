@@ -328,6 +328,19 @@ FROM g WHERE p = 'skos:altLabel' GROUP BY s"""),
 SELECT det.*, coalesce(nrel.n, 0) AS n_relationships, coalesce(ntab.n, 0) AS n_assigned_tables,
        coalesce(nprp.n, 0) AS n_properties
 FROM det LEFT JOIN nrel ON nrel.uri = det.uri LEFT JOIN ntab ON ntab.uri = det.uri LEFT JOIN nprp ON nprp.uri = det.uri"""),
+    "concept_summary_items": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """
+, base AS (SELECT DISTINCT m.uri FROM members m JOIN g ON g.s = m.uri)
+, items AS (
+    SELECT uri, 'relationship' AS section, object AS i_uri, object_label AS i_label, predicate_type AS i_role
+    FROM rel WHERE uri IN (SELECT uri FROM base)
+    UNION ALL
+    SELECT concept_uri, 'assigned_table', table_uri, table_name, 'assignment' FROM ta WHERE concept_uri IN (SELECT uri FROM base)
+    UNION ALL
+    SELECT concept, 'property', uri, name, role FROM cprops WHERE concept IN (SELECT uri FROM base))
+SELECT uri, section, CAST(0 AS BIGINT) AS chunk, count(*) AS n_items,
+       string_agg(coalesce(i_uri, '') || '|' || coalesce(i_label, '') || '|' || coalesce(i_role, ''), '||'
+                  ORDER BY i_uri NULLS FIRST, i_label NULLS FIRST, i_role NULLS FIRST) AS items
+FROM items GROUP BY uri, section"""),
     "assigned_objects": with_common("""
 , req AS (SELECT uri FROM members UNION SELECT uri FROM props)
 SELECT ta.concept_uri AS uri, ta.table_uri, ta.table_name, ta.concept_uri, ta.concept_name,

@@ -480,3 +480,14 @@ def q_tag_changes_from_json(spark, sf_dir):
     mapping = tagsync.mappings_from_json(spark.read.schema(tagsync.MAPPING_JSON_SCHEMA).json(path))
     plan = tagsync.tag_sync_plan(mapping, inputs.current_tags(spark, sf_dir))
     return tagsync.change_table(plan)
+
+
+@query("concept_summary_items")
+def q_concept_summary_items(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    items = asg.concept_summary_items(g, ent.concept_members(g))
+    return items.select(
+        "uri", "section", "chunk", F.size("items").cast("bigint").alias("n_items"),
+        F.concat_ws("||", F.transform("items", lambda i: F.concat_ws(
+            "|", F.coalesce(i["uri"], F.lit("")), F.coalesce(i["label"], F.lit("")),
+            F.coalesce(i["role"], F.lit(""))))).alias("items"))
