@@ -5,9 +5,7 @@ one row. :func:`chunked_lists` bounds both: a group with at most
 ``chunk_size`` values yields exactly one row (``chunk`` 0) holding the whole
 sorted list, which is what every ordinary entity gets, while a larger group is
 spread over ``ceil(n / chunk_size)`` chunks by hash. Each chunk is a row of
-about ``chunk_size`` values, built in its own task. The per-group size is an
-algebraic count (partial aggregation), and its join back to the rows is
-left to AQE's skew-join split.
+about ``chunk_size`` values, built in its own task.
 """
 
 from __future__ import annotations
@@ -15,33 +13,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontocat.operators.joins import broadcast_if_bounded
+
 LIST_CHUNK_SIZE = 1000
 
 
+# Up to this many hot groups (more values than the chunk size) are broadcast.
+MAX_BROADCAST_HOT_GROUPS = 100_000
+
+
 def chunked_lists(rows: DataFrame, keys: list[str], value: str, out: str,
                   chunk_size: int | None = None) -> DataFrame:
     """``keys + [chunk, out]``: sorted lists of ``value`` per group, split into chunks.
 
     NULL values are not listed (a group with none gets chunk 0 and an empty
     list); NULL keys form groups of their own; duplicates are kept (bags).
+
+    Plan: per-group counts (partial aggregation) keep only the *hot* groups,
+    those above ``chunk_size``. There are at most ``n / chunk_size`` of them,
+    and the set is broadcast behind a size check, so rows are tagged with
+    their chunk map-side and the only shuffle of the rows is the final
+    grouping by ``(keys, chunk)``. With too many hot groups to broadcast, the
+    hot set is joined with a shuffle instead.
     """
     size = chunk_size or LIST_CHUNK_SIZE
     r = rows.select(*keys, value)
     renamed = [f"_k{i}" for i in range(len(keys))]
-    counts = r.groupBy(*keys).agg(F.count(value).alias("_n")).select(
-        *[F.col(k).alias(n) for k, n in zip(keys, renamed)], "_n")
+    hot = (
+        r.groupBy(*keys).agg(F.count(value).alias("_n"))
+        .filter(F.col("_n") > size)
+        .select(*[F.col(k).alias(n) for k, n in zip(keys, renamed)],
+                F.ceil(F.col("_n") / F.lit(size)).cast("bigint").alias("_chunks"))
+    )
+    hot = broadcast_if_bounded(hot, MAX_BROADCAST_HOT_GROUPS)
     cond = None
     for k, n in zip(keys, renamed):
-        c = r[k].eqNullSafe(counts[n])
+        c = r[k].eqNullSafe(hot[n])
         cond = c if cond is None else cond & c
-    joined = r.join(counts, cond, "inner").select(*keys, value, "_n")
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(size))).cast("bigint")
-    chunk = F.when(F.col("_n") <= size, F.lit(0).cast("bigint")).otherwise(
-        # Hash of the value plus a row id, so repeated values of a bag spread too.
-        F.pmod(F.xxhash64(F.col(value), F.monotonically_increasing_id()), n_chunks))
-    return (
-        joined.withColumn("chunk", chunk)
-        .repartition(*keys, "chunk")
-        .groupBy(*keys, "chunk")
-        .agg(F.sort_array(F.collect_list(value)).alias(out))
+    tagged = r.join(hot, cond, "left").select(
+        *keys, value,
+        F.when(F.col("_chunks").isNull(), F.lit(0).cast("bigint")).otherwise(
+            # Hash of the value plus a row id, so repeated values of a bag spread too.
+            F.pmod(F.xxhash64(F.col(value), F.monotonically_increasing_id()), F.col("_chunks"))).alias("chunk"),
     )
+    if not getattr(hot, "_bounded", False):
+        # After a shuffle join the rows are clustered by the keys alone, which
+        # would keep a hot group in one task; spread its chunks explicitly.
+        tagged = tagged.repartition(*keys, "chunk")
+    return tagged.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(value)).alias(out))

@@ -22,3 +22,13 @@ def test_hot_group_is_split_into_bounded_chunks(spark):
     merged = Counter(v for r in hot_rows for v in r.vs)
     assert merged == Counter(v for _, v in hot)
     assert [(r.chunk, r.vs) for r in out if r.k == "cold"] == [(0, ["c1"])]
+
+
+def test_hot_groups_via_shuffle_path(spark, monkeypatch):
+    from ontocat.operators import lists
+
+    monkeypatch.setattr(lists, "MAX_BROADCAST_HOT_GROUPS", 0)
+    rows = spark.createDataFrame([("hot", f"v{i}") for i in range(2500)] + [("cold", "c")], "k string, v string")
+    out = lists.chunked_lists(rows, ["k"], "v", "vs", chunk_size=1000).collect()
+    assert sorted(r.chunk for r in out if r.k == "hot") == [0, 1, 2]
+    assert sum(len(r.vs) for r in out if r.k == "hot") == 2500
