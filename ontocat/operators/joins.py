@@ -12,6 +12,19 @@ def row_count_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+_PERSISTED: list[DataFrame] = []
+
+
+def release_batches() -> None:
+    """Unpersist every side persisted by :func:`broadcast_if_bounded` so far.
+
+    Safe at any time: a DataFrame that still refers to a released side simply
+    recomputes it from lineage.
+    """
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when its row count is proven to be at most ``max_rows``.
 
@@ -23,6 +36,7 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     The result carries ``_bounded`` (and ``_rows``) for callers.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(kept)
     n = kept.count()
     out = F.broadcast(kept) if n <= max_rows else kept
     out._bounded = n <= max_rows

@@ -8,6 +8,7 @@ columns are rendered as one ``||``-joined sorted string plus their size.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ontocat.operators import assignments as asg
 from ontocat.operators import entities as ent
 from ontocat.operators import tagsync
+from ontocat.operators.joins import release_batches
 from ontocat.plans import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +26,14 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Batches persisted for size checks by earlier queries are released.
+            release_batches()
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
+        return run
 
     return deco
 

@@ -127,3 +127,14 @@ def test_search_covers_all_literals_and_bnodes(spark):
     qs = spark.createDataFrame([("dog",)], "query string")
     got = sorted((r.uri, r.text) for r in search.trigram_search(g, qs).collect())
     assert got == [("_:b1", "Dogs"), (z("Dog"), "Dog"), (z("Dog"), "a dog's life")]
+
+
+def test_sync_plan_include_unmapped(spark):
+    mapping = spark.createDataFrame([("tables", "a", "X")], "type string, name string, tag string")
+    current = spark.createDataFrame([("tables", "stale", "TYPE_Q"), ("tables", "stale", "OTHER")],
+                                    "entity_type string, entity_name string, tag_key string")
+    default = tagsync.tag_sync_plan(mapping, current).collect()
+    assert [(r.entity_name, r.tag_key, r.action) for r in default] == [("a", "TYPE_X", "add")]
+    wide = sorted((r.entity_name, r.tag_key, r.action)
+                  for r in tagsync.tag_sync_plan(mapping, current, include_unmapped=True).collect())
+    assert wide == [("a", "TYPE_X", "add"), ("stale", "TYPE_Q", "delete")]
