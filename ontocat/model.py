@@ -106,11 +106,6 @@ def empty_graph(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TRIPLE_SCHEMA)
 
 
-def iri(c: Column | str) -> Column:
-    """Build IRI-object triple columns from a string column."""
-    return F.col(c) if isinstance(c, str) else c
-
-
 def triples(s: Column, p: Column | str, o: Column, kind: str, datatype: Column | None = None,
             lang: Column | None = None) -> list[Column]:
     """Columns of a triple, for ``select``."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontocat.functions.scalars import display_label, local_name, uri_component
+from ontocat.functions.scalars import display_label, uri_component
 from ontocat.model import Vocab, instances
 from ontocat.operators import entities as ent
 from ontocat.operators.assignments import column_assignments, table_assignments
@@ -116,5 +116,3 @@ def graph_stats(g: DataFrame) -> DataFrame:
     types = g.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in NODE_TYPES])).alias("type"))
     return types.join(counts, "type", "left").select("type", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
-
-__all__ = ["graph_nodes", "graph_links", "graph_stats", "has_column", "local_name"]

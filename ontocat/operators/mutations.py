@@ -330,9 +330,3 @@ def delete_objects(g: DataFrame, cmds: DataFrame) -> DataFrame:
     References to it from other subjects stay (dangling)."""
     return apply_changes(g, removals=cmds.select(F.col("uri").alias("s")), removal_keys=("s",))
 
-
-__all__ = [
-    "apply_changes", "upsert_tables", "upsert_columns", "register_inventory", "insert_concepts",
-    "insert_properties", "update_concepts", "update_properties", "add_relationships",
-    "delete_relationships", "assign_concepts", "assign_properties", "delete_objects", "by_predicate",
-]

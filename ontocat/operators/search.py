@@ -1,7 +1,9 @@
 """Trigram similarity search over graph literals (F1, F2) and the list filter.
 
-F1, for a batch of queries. A bounded batch is compiled into the scan (see
-:func:`trigram_search`); beyond the bound the plan is a gram equi-join:
+F1, for a batch of queries. A bounded batch (the usual case) is compiled into
+the scan: each literal's trigram set is intersected with every query's set
+held as constant arrays, one pass, no join, and only hits are shuffled (for
+the final DISTINCT). Beyond the bound the plan is a gram equi-join:
 
 1. literal triples -> trigram set of each object -> one row per (triple, gram),
    computed right on the scan partitions (no shuffle of the literal set);
