@@ -26,7 +26,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     for k, v in RECOMMENDED_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("ONTOCAT_DRIVER_MEMORY", "8g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("ONTOCAT_DRIVER_MEMORY", "16g"))
+    # Local runs execute many short jobs in one JVM: let the cleaner release
+    # broadcast and shuffle blocks of finished queries promptly.
+    builder = builder.config("spark.cleaner.periodicGC.interval", "2min")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
