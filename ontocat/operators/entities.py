@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import expand_curie
-from ontocat.model import Vocab, by_predicate, edges, instances, values
+from ontocat.model import KNOWN_PREDICATES, PK, Vocab, by_predicate, edges, instances, values
 from ontocat.operators.joins import broadcast_if_bounded
 from ontocat.operators.lists import chunked_lists
 
@@ -173,10 +173,35 @@ def _type_rank(t: Column) -> Column:
     return F.when(t == V.CLASS, 0).when(t == V.CONCEPT, 1).otherwise(2)
 
 
+# Predicates of the ontology side: small partitions that hold the subjects
+# page look-ups ask for.
+ONTOLOGY_PREDICATES = (V.TYPE, V.LABEL, V.COMMENT, V.SUBCLASS_OF, V.ALT_LABEL, V.BROADER, V.NARROWER,
+                       V.DOMAIN, V.RANGE)
+
+
 def _present(g: DataFrame, uris: DataFrame | str | Iterable[str]) -> DataFrame:
-    """Requested URIs that are the subject of at least one triple (one pass over the graph)."""
-    subj = g.select(F.col("s").alias("uri"))
-    return request_batch(restrict(subj, "uri", request_batch(uris)).distinct())
+    """Requested URIs that are the subject of at least one triple.
+
+    Two phases: the ontology partitions answer for most requests; only URIs
+    not found there are looked up in the remaining (catalog-sized)
+    partitions, and that scan is skipped when none are left.
+    """
+    req = request_batch(uris)
+    if not isinstance(req, DataFrame):
+        return request_batch(restrict(g.select(F.col("s").alias("uri")), "uri", req).distinct())
+    found = restrict(by_predicate(g, *ONTOLOGY_PREDICATES).select(F.col("s").alias("uri")), "uri", req).distinct()
+    rest = request_batch(req.join(found, "uri", "left_anti"))
+    if getattr(rest, "_rows", None) == 0:
+        return request_batch(found)
+    others = _other_predicates(g, ONTOLOGY_PREDICATES).select(F.col("s").alias("uri"))
+    return request_batch(found.unionByName(restrict(others, "uri", rest).distinct()))
+
+
+def _other_predicates(g: DataFrame, preds: tuple[str, ...]) -> DataFrame:
+    """Triples whose predicate is not in ``preds`` (partition-pruned on stored graphs)."""
+    if PK in g.columns:
+        g = g.filter(~F.col(PK).isin(*[p for p in preds if p in KNOWN_PREDICATES]))
+    return g.filter(~F.col("p").isin(*preds))
 
 
 def alt_labels(g: DataFrame, uri=None) -> DataFrame:

@@ -138,3 +138,17 @@ def test_sync_plan_include_unmapped(spark):
     wide = sorted((r.entity_name, r.tag_key, r.action)
                   for r in tagsync.tag_sync_plan(mapping, current, include_unmapped=True).collect())
     assert wide == [("a", "TYPE_X", "add"), ("stale", "TYPE_Q", "delete")]
+
+
+def test_detail_finds_subjects_outside_the_ontology_partitions(spark):
+    from ontocat.sources.store import snapshot
+
+    g = snapshot(spark, make_graph(spark, [
+        (z("t"), "uc:name", "a.b.c", "lit"),             # catalog predicate only
+        (z("c"), "rdfs:label", "C", "lit"),              # ontology predicate
+        (z("x"), "http://example.org/custom", "v", "lit"),  # predicate outside the vocabulary
+    ]))
+    got = sorted(r.uri for r in ent.concept_detail(g, [z("t"), z("c"), z("x"), z("nope")]).collect())
+    assert got == [z("c"), z("t"), z("x")]
+    only_ontology = [r.uri for r in ent.concept_detail(g, [z("c")]).collect()]
+    assert only_ontology == [z("c")]
