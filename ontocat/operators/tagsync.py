@@ -73,7 +73,7 @@ def tag_sync_plan(
 
     Output ``(entity_type, entity_name, tag_key, action, skipped)``.
     """
-    desired = mapping.select(
+    desired = mapping.filter(F.col("tag").isNotNull()).select(
         F.col("type").alias("entity_type"),
         F.col("name").alias("entity_name"),
         F.concat(F.lit(prefix), F.col("tag")).alias("tag_key"),
