@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import expand_curie
 from ontocat.model import KNOWN_PREDICATES, PK, Vocab, by_predicate, edges, instances, values
-from ontocat.operators.joins import broadcast_if_bounded
+from ontocat.operators.joins import broadcast_if_bounded, track_persisted
 from ontocat.operators.lists import chunked_lists
 
 V = Vocab
@@ -192,9 +193,20 @@ def _present(g: DataFrame, uris: DataFrame | str | Iterable[str]) -> DataFrame:
     found = restrict(by_predicate(g, *ONTOLOGY_PREDICATES).select(F.col("s").alias("uri")), "uri", req).distinct()
     rest = request_batch(req.join(found, "uri", "left_anti"))
     if getattr(rest, "_rows", None) == 0:
-        return request_batch(found)
-    others = _other_predicates(g, ONTOLOGY_PREDICATES).select(F.col("s").alias("uri"))
-    return request_batch(found.unionByName(restrict(others, "uri", rest).distinct()))
+        present = found
+    else:
+        others = _other_predicates(g, ONTOLOGY_PREDICATES).select(F.col("s").alias("uri"))
+        present = found.unionByName(restrict(others, "uri", rest).distinct())
+    if getattr(req, "_bounded", False):
+        # A subset of a proven-bounded batch is bounded too: no second count.
+        return _prepared(F.broadcast(track_persisted(present.persist(StorageLevel.MEMORY_AND_DISK))))
+    return request_batch(present)
+
+
+def _prepared(df: DataFrame) -> DataFrame:
+    df._prepared_batch = True
+    df._bounded = True
+    return df
 
 
 def _other_predicates(g: DataFrame, preds: tuple[str, ...]) -> DataFrame:

@@ -15,6 +15,12 @@ def row_count_at_most(df: DataFrame, bound: int) -> bool:
 _PERSISTED: list[DataFrame] = []
 
 
+def track_persisted(df: DataFrame) -> DataFrame:
+    """Register a DataFrame persisted by an operator, so :func:`release_batches` frees it."""
+    _PERSISTED.append(df)
+    return df
+
+
 def release_batches() -> None:
     """Unpersist every side persisted by :func:`broadcast_if_bounded` so far.
 
