@@ -90,14 +90,19 @@ def columns(g: DataFrame, uri=None) -> DataFrame:
 def concept_members(g: DataFrame, bag: bool = False) -> DataFrame:
     """Concept membership: typed ``rdfs:Class`` OR subject of ``rdfs:subClassOf`` OR typed
     ``skos:Concept``. ``bag=True`` keeps one row per matching branch solution."""
-    u = (
-        instances(g, V.CLASS)
-        .unionByName(by_predicate(g, V.SUBCLASS_OF).select(F.col("s").alias("uri")))
-        .unionByName(instances(g, V.CONCEPT))
-    )
+    u = _member_solutions(g).select("uri")
     return u if bag else u.distinct()
 
 
+def _member_solutions(g: DataFrame) -> DataFrame:
+    """``(uri, via)``: one row per membership branch solution; ``via`` tells them apart."""
+    return (
+        instances(g, V.CLASS).withColumn("via", F.lit(V.CLASS))
+        .unionByName(by_predicate(g, V.SUBCLASS_OF).select(F.col("s").alias("uri"), F.col("o").alias("via")))
+        .unionByName(instances(g, V.CONCEPT).withColumn("via", F.lit(V.CONCEPT)))
+    )
+
+
 def concepts(g: DataFrame, uri=None) -> DataFrame:
     """DISTINCT ``(uri, label)``; unlabelled concepts have a NULL label."""
     uri = request_batch(uri)
@@ -112,11 +117,11 @@ def concepts_alt_labels(g: DataFrame, dedupe: bool = True) -> DataFrame:
     branches repeats each alt label k times.
     """
     alts = values(g, V.ALT_LABEL, "uri", "alt")
-    members = concept_members(g, bag=not dedupe)
-    rows = members.join(labels(g), "uri", "left").join(alts, "uri", "left")
     if dedupe:
-        rows = rows.distinct()
-    return chunked_lists(rows, ["uri", "label"], "alt", "alt_labels")
+        rows = concept_members(g).join(labels(g), "uri", "left").join(alts, "uri", "left").distinct()
+        return chunked_lists(rows, ["uri", "label"], "alt", "alt_labels")
+    rows = _member_solutions(g).join(labels(g), "uri", "left").join(alts, "uri", "left")
+    return chunked_lists(rows, ["uri", "label"], "alt", "alt_labels", spread=("via",))
 
 
 def concepts_alt_label_pairs(g: DataFrame, dedupe: bool = True) -> DataFrame:

@@ -23,11 +23,15 @@ MAX_BROADCAST_HOT_GROUPS = 100_000
 
 
 def chunked_lists(rows: DataFrame, keys: list[str], value: str, out: str,
-                  chunk_size: int | None = None) -> DataFrame:
+                  chunk_size: int | None = None, spread: tuple[str, ...] = ()) -> DataFrame:
     """``keys + [chunk, out]``: sorted lists of ``value`` per group, split into chunks.
 
     NULL values are not listed (a group with none gets chunk 0 and an empty
     list); NULL keys form groups of their own; duplicates are kept (bags).
+    ``spread`` names columns that tell duplicate rows apart (e.g. their
+    source); the chunk is a hash of the value and those columns, so it is
+    deterministic and a task re-run after an executor loss assigns the same
+    chunks.
 
     Plan: per-group counts (partial aggregation) keep only the *hot* groups,
     those above ``chunk_size``. There are at most ``n / chunk_size`` of them,
@@ -37,7 +41,7 @@ def chunked_lists(rows: DataFrame, keys: list[str], value: str, out: str,
     hot set is joined with a shuffle instead.
     """
     size = chunk_size or LIST_CHUNK_SIZE
-    r = rows.select(*keys, value)
+    r = rows.select(*keys, value, *spread)
     renamed = [f"_k{i}" for i in range(len(keys))]
     hot = (
         r.groupBy(*keys).agg(F.count(value).alias("_n"))
@@ -53,8 +57,7 @@ def chunked_lists(rows: DataFrame, keys: list[str], value: str, out: str,
     tagged = r.join(hot, cond, "left").select(
         *keys, value,
         F.when(F.col("_chunks").isNull(), F.lit(0).cast("bigint")).otherwise(
-            # Hash of the value plus a row id, so repeated values of a bag spread too.
-            F.pmod(F.xxhash64(F.col(value), F.monotonically_increasing_id()), F.col("_chunks"))).alias("chunk"),
+            F.pmod(F.xxhash64(F.col(value), *[F.col(c) for c in spread]), F.col("_chunks"))).alias("chunk"),
     )
     if not getattr(hot, "_bounded", False):
         # After a shuffle join the rows are clustered by the keys alone, which

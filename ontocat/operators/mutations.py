@@ -140,8 +140,9 @@ def register_inventory(g: DataFrame, inventory: DataFrame) -> DataFrame:
     column. Table registration adds no column types, so both sets of
     additions are computed against ``g`` and applied in one rewrite.
     """
-    inv = inventory.select("catalog", "schema", "table", "column",
-                           F.monotonically_increasing_id().alias("seq"))
+    # A minted URI comes from exactly one name (percent-quoting is injective),
+    # so every command for a URI carries the same name and order is irrelevant.
+    inv = inventory.select("catalog", "schema", "table", "column", F.lit(0).cast("bigint").alias("seq"))
     tables = inv.select("seq", F.lit(None).cast("string").alias("uri"),
                         qualified_name("catalog", "schema", "table").alias("name"))
     cols = inv.filter(F.col("column").isNotNull()).select(
