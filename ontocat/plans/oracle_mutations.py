@@ -287,12 +287,23 @@ SELECT s, p, o, o_datatype,
 FROM (SELECT s, p, o, o_kind, o_datatype, o_lang FROM gfull UNION SELECT * FROM added) m
 WHERE o_datatype IS NOT NULL"""
 
+def escape_iri_sql(x: str) -> str:
+    """SQL form of :func:`ontocat.sources.ntriples.escape_iri` (backslash first)."""
+    from ontocat.sources.ntriples import IRI_FORBIDDEN
+
+    e = x
+    for ch in IRI_FORBIDDEN:
+        lit = ch.replace("'", "''")
+        e = f"replace({e}, '{lit}', '\\u{ord(ch):04X}')"
+    return e
+
+
 EXPORT_TRIPLES = f"""
 SELECT concat_ws(' ',
-  CASE WHEN starts_with(s, '_:') THEN s ELSE '<' || {export_term_sql('s')} || '>' END,
-  '<' || {export_term_sql('p')} || '>',
+  CASE WHEN starts_with(s, '_:') THEN s ELSE '<' || {escape_iri_sql(export_term_sql('s'))} || '>' END,
+  '<' || {escape_iri_sql(export_term_sql('p'))} || '>',
   CASE o_kind WHEN 'lit' THEN '"' || replace(replace(replace(replace(o, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') || '"'
-              WHEN 'bnode' THEN o ELSE '<' || {export_term_sql('o')} || '>' END,
+              WHEN 'bnode' THEN o ELSE '<' || {escape_iri_sql(export_term_sql('o'))} || '>' END,
   '.') AS value
 FROM g"""
 

@@ -36,17 +36,47 @@ def unescape(x: Column) -> Column:
     stays a backslash followed by ``n``. Runs of ``\\uXXXX`` are decoded
     together as UTF-16, which joins surrogate pairs.
     """
-    e = F.replace(x, F.lit("\\\\"), F.lit(_PLACEHOLDER))
+    e = _park_backslash(F.replace(x, F.lit("\\\\"), F.lit(_PLACEHOLDER)))
+    e = _decode_uchars(e)
+    for esc, ch in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"),
+                    ("\\'", "'")):
+        e = F.replace(e, F.lit(esc), F.lit(ch))
+    return F.replace(e, F.lit(_PLACEHOLDER), F.lit("\\"))
+
+
+# Characters N-Triples does not allow inside <IRI>, written as \uXXXX.
+IRI_FORBIDDEN = ("\\", " ", "<", ">", '"', "{", "}", "|", "^", "`")
+
+
+def escape_iri(x: Column) -> Column:
+    """IRI text for ``<...>``: forbidden characters become ``\\uXXXX`` escapes (backslash first)."""
+    e = x
+    for ch in IRI_FORBIDDEN:
+        e = F.replace(e, F.lit(ch), F.lit("\\u%04X" % ord(ch)))
+    return e
+
+
+def _park_backslash(x: Column) -> Column:
+    """Escaped backslashes (as UCHAR) onto a placeholder, so decoding never forms new escapes."""
+    e = x
+    for esc in ("\\u005C", "\\u005c", "\\U0000005C", "\\U0000005c"):
+        e = F.replace(e, F.lit(esc), F.lit(_PLACEHOLDER))
+    return e
+
+
+def _decode_uchars(e: Column) -> Column:
+    """Decode ``\\uXXXX`` runs (as UTF-16, joining surrogate pairs) and ``\\UXXXXXXXX``."""
     runs = F.regexp_extract_all(e, F.lit(r"((?:\\u[0-9A-Fa-f]{4})+)"), F.lit(1))
     e = F.aggregate(runs, e, lambda acc, m: F.replace(
         acc, m, F.decode(F.unhex(F.regexp_replace(m, r"\\u", "")), "UTF-16BE")))
     longs = F.regexp_extract_all(e, F.lit(r"(\\U[0-9A-Fa-f]{8})"), F.lit(1))
-    e = F.aggregate(longs, e, lambda acc, m: F.replace(
+    return F.aggregate(longs, e, lambda acc, m: F.replace(
         acc, m, F.decode(F.unhex(F.substring(m, 3, 8)), "UTF-32")))
-    for esc, ch in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"),
-                    ("\\'", "'")):
-        e = F.replace(e, F.lit(esc), F.lit(ch))
-    return F.replace(e, F.lit(_PLACEHOLDER), F.lit("\\"))
+
+
+def unescape_iri(x: Column) -> Column:
+    """Decode ``\\uXXXX`` / ``\\UXXXXXXXX`` escapes inside an IRI."""
+    return F.replace(_decode_uchars(_park_backslash(x)), F.lit(_PLACEHOLDER), F.lit("\\"))
 
 
 def escape(x: Column) -> Column:
@@ -60,7 +90,7 @@ def escape(x: Column) -> Column:
 def _term(t: Column, batch_id: str | None, namespaces) -> tuple[Column, Column]:
     """(value, kind) of a subject/object IRI or blank node token."""
     is_b = F.startswith(t, F.lit("_:"))
-    iri_val = store_form(F.regexp_extract(t, r"^<(.*)>$", 1), namespaces)
+    iri_val = store_form(unescape_iri(F.regexp_extract(t, r"^<(.*)>$", 1)), namespaces)
     b_val = F.concat(F.lit(f"_:{batch_id}_"), F.substring(t, 3, 1 << 30)) if batch_id else t
     return F.when(is_b, b_val).otherwise(iri_val), F.when(is_b, F.lit(BNODE)).otherwise(F.lit(IRI))
 
@@ -89,7 +119,7 @@ def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None)
     lang = F.regexp_extract(o_tok, r'"@([A-Za-z]+(?:-[A-Za-z0-9]+)*)$', 1)
     triples = ok.select(
         s_val.alias("s"),
-        store_form(F.regexp_extract(F.col("tp"), r"^<(.*)>$", 1), namespaces).alias("p"),
+        store_form(unescape_iri(F.regexp_extract(F.col("tp"), r"^<(.*)>$", 1)), namespaces).alias("p"),
         F.when(is_lit, lexical).otherwise(o_ref).alias("o"),
         F.when(is_lit, F.lit(LIT)).otherwise(o_ref_kind).alias("o_kind"),
         F.when(is_lit & (dt != ""), store_form(dt, namespaces)).alias("o_datatype"),
@@ -119,7 +149,8 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 def export_lines(g: DataFrame, namespaces=None) -> DataFrame:
     """S3: one N-Triples statement per triple, column ``value``."""
     def ref(term: Column, kind: Column) -> Column:
-        return F.when(kind == BNODE, term).otherwise(F.concat(F.lit("<"), export_form(term, namespaces), F.lit(">")))
+        return F.when(kind == BNODE, term).otherwise(
+            F.concat(F.lit("<"), escape_iri(export_form(term, namespaces)), F.lit(">")))
 
     s_kind = F.when(F.startswith(F.col("s"), F.lit("_:")), F.lit(BNODE)).otherwise(F.lit(IRI))
     lit = F.concat(

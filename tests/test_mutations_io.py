@@ -113,3 +113,14 @@ def test_snapshot_round_trip(spark, graph_small):
     n_type = graph_small.filter(F.col("p") == "rdf:type").count()
     assert snap.filter(F.col("pk") == "rdf:type").count() == n_type
     assert open_graph(spark, "/nonexistent/ontocat/graph").count() == 0
+
+
+def test_iri_and_literal_escapes_round_trip(spark):
+    from ontocat.sources.ntriples import escape, escape_iri, unescape, unescape_iri
+
+    vals = ["ty/PROMO BURNISHED COPPER", 'a<b>c"d{e}f|g^h`i\\j', "x\\u0020y", "a\\u0020 b", "\\\\u005C z", "é 😀"]
+    df = spark.createDataFrame([(v,) for v in vals], "x string")
+    out = df.select("x", unescape_iri(escape_iri(F.col("x"))).alias("i"), unescape(escape(F.col("x"))).alias("l"))
+    assert all(r.x == r.i == r.l for r in out.collect())
+    lines = ntriples.export_lines(make_graph(spark, [(EX + "a b", "rdfs:label", "x", "lit")]))
+    assert lines.first().value.startswith(f"<{EX}a\\u0020b> ")
