@@ -25,13 +25,13 @@ def trigrams(text: Column | str) -> Column:
     (``"  w1 |  w2 "``); every overlapping 3-character window that contains no
     separator is a trigram. One ``regexp_extract_all`` with a look-ahead
     capture yields all windows, so no per-element lambda is evaluated, and
-    the text is cleaned once (the expression references it once).
+    one regex replacement prepares the text.
     """
     t = F.col(text) if isinstance(text, str) else text
-    core = F.regexp_replace(F.lower(t), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    padded = F.concat(F.lit("  "), F.regexp_replace(core, WORD_SPLIT, " |  "), F.lit(" "))
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(t), WORD_SPLIT, " |  "), F.lit(" "))
     windows = F.regexp_extract_all(padded, F.lit(r"(?=([^|]{3}))"), F.lit(1))
-    # Only an empty text pads to three blanks; no window of a real word is all blank.
+    # Separators at the ends (or an empty text) only add windows that hold a
+    # '|' or are all blank; no window of a real word is all blank.
     return F.array_remove(F.array_distinct(windows), F.lit("   "))
 
 
