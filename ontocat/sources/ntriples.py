@@ -87,19 +87,13 @@ def escape(x: Column) -> Column:
     return e
 
 
-def _term(t: Column, batch_id: str | None, namespaces) -> tuple[Column, Column]:
-    """(value, kind) of a subject/object IRI or blank node token."""
-    is_b = F.startswith(t, F.lit("_:"))
-    iri_val = store_form(unescape_iri(F.regexp_extract(t, r"^<(.*)>$", 1)), namespaces)
-    b_val = F.concat(F.lit(f"_:{batch_id}_"), F.substring(t, 3, 1 << 30)) if batch_id else t
-    return F.when(is_b, b_val).otherwise(iri_val), F.when(is_b, F.lit(BNODE)).otherwise(F.lit(IRI))
-
-
 def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None) -> tuple[DataFrame, DataFrame]:
     """Parse a ``value`` column of N-Triples lines.
 
     Returns ``(triples, rejects)``: distinct triples in stored form, and the
     non-empty, non-comment lines that are not a statement (``value``).
+    Decoding happens in its own projection, before the namespace compaction
+    that references each term several times, so every term is decoded once.
     """
     v = F.col("value")
     m = lines.select(
@@ -109,21 +103,35 @@ def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None)
         F.regexp_extract(v, STATEMENT, 3).alias("to"),
     )
     rejects = m.filter((F.col("ts") == "") & ~v.rlike(SKIP)).select("value")
-    ok = m.filter(F.col("ts") != "")
-    s_val, _ = _term(F.col("ts"), batch_id, namespaces)
+
+    def iri_of(tok: str) -> Column:
+        return unescape_iri(F.regexp_extract(F.col(tok), r"^<(.*)>$", 1))
+
+    def bnode_of(tok: str) -> Column:
+        t = F.col(tok)
+        return F.concat(F.lit(f"_:{batch_id}_"), F.substring(t, 3, 1 << 30)) if batch_id else t
+
     o_tok = F.col("to")
-    is_lit = F.startswith(o_tok, F.lit('"'))
-    o_ref, o_ref_kind = _term(o_tok, batch_id, namespaces)
-    lexical = unescape(F.regexp_extract(o_tok, r'^"((?:[^"\\]|\\.)*)"', 1))
-    dt = F.regexp_extract(o_tok, r'\^\^<([^>]*)>$', 1)
-    lang = F.regexp_extract(o_tok, r'"@([A-Za-z]+(?:-[A-Za-z0-9]+)*)$', 1)
-    triples = ok.select(
-        s_val.alias("s"),
-        store_form(unescape_iri(F.regexp_extract(F.col("tp"), r"^<(.*)>$", 1)), namespaces).alias("p"),
-        F.when(is_lit, lexical).otherwise(o_ref).alias("o"),
-        F.when(is_lit, F.lit(LIT)).otherwise(o_ref_kind).alias("o_kind"),
-        F.when(is_lit & (dt != ""), store_form(dt, namespaces)).alias("o_datatype"),
-        F.when(is_lit & (lang != ""), F.lower(lang)).alias("o_lang"),
+    decoded = m.filter(F.col("ts") != "").select(
+        F.startswith(F.col("ts"), F.lit("_:")).alias("s_bnode"),
+        iri_of("ts").alias("s_iri"), bnode_of("ts").alias("s_b"),
+        iri_of("tp").alias("p_iri"),
+        F.when(F.startswith(o_tok, F.lit('"')), F.lit(LIT))
+        .when(F.startswith(o_tok, F.lit("_:")), F.lit(BNODE)).otherwise(F.lit(IRI)).alias("o_kind"),
+        iri_of("to").alias("o_iri"), bnode_of("to").alias("o_b"),
+        unescape(F.regexp_extract(o_tok, r'^"((?:[^"\\]|\\.)*)"', 1)).alias("lexical"),
+        F.regexp_extract(o_tok, r'\^\^<([^>]*)>$', 1).alias("dt"),
+        F.regexp_extract(o_tok, r'"@([A-Za-z]+(?:-[A-Za-z0-9]+)*)$', 1).alias("lang"),
+    )
+    k = F.col("o_kind")
+    triples = decoded.select(
+        F.when(F.col("s_bnode"), F.col("s_b")).otherwise(store_form(F.col("s_iri"), namespaces)).alias("s"),
+        store_form(F.col("p_iri"), namespaces).alias("p"),
+        F.when(k == LIT, F.col("lexical")).when(k == BNODE, F.col("o_b"))
+        .otherwise(store_form(F.col("o_iri"), namespaces)).alias("o"),
+        k.alias("o_kind"),
+        F.when((k == LIT) & (F.col("dt") != ""), store_form(F.col("dt"), namespaces)).alias("o_datatype"),
+        F.when((k == LIT) & (F.col("lang") != ""), F.lower(F.col("lang"))).alias("o_lang"),
     ).distinct()
     return triples, rejects
 
