@@ -94,8 +94,10 @@ def triples_not_in(g: DataFrame, additions: DataFrame) -> DataFrame:
                                                                 TRIPLE_COLUMNS), "left_anti")
 
 
-def _blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) == "", None).otherwise(c)
+def _stripped_or_null(c: Column) -> Column:
+    """``value.strip() or None``: surrounding whitespace removed, blank becomes NULL."""
+    stripped = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.when(stripped == "", None).otherwise(stripped)
 
 
 def _nonempty(c: Column) -> Column:
@@ -241,10 +243,11 @@ def update_properties(g: DataFrame, cmds: DataFrame) -> DataFrame:
     """``cmds(seq, uri, label, comment, domain, range, alt_labels)``.
 
     Label, comment, domain and range are always replaced by the last command
-    (blank or NULL clears them; the label is kept as given); alt labels as U5.
+    (values are stripped of surrounding whitespace, and a blank or NULL value
+    clears the field; the label is kept as given); alt labels as U5.
     """
     c = cmds.select("seq", "uri", "label", "alt_labels",
-                    *[_blank_to_null(F.col(x)).alias(x) for x in ("comment", "domain", "range")])
+                    *[_stripped_or_null(F.col(x)).alias(x) for x in ("comment", "domain", "range")])
     per = c.groupBy("uri").agg(
         _last(F.col("label")).alias("label"),
         _last(F.col("comment")).alias("comment"),

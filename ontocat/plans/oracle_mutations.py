@@ -151,9 +151,9 @@ UPDATE_PROPERTIES = """
          CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('n/', o_orderkey % 25) END,
          CASE WHEN o_orderkey % 4 = 0 THEN [concat('pa ', o_orderkey)] ELSE NULL END FROM orders)
 , c2 AS (SELECT seq, uri, label, alt_labels,
-                CASE WHEN trim(comment) = '' THEN NULL ELSE comment END AS comment,
-                CASE WHEN trim(domain) = '' THEN NULL ELSE domain END AS domain,
-                CASE WHEN trim(range) = '' THEN NULL ELSE range END AS range FROM cmds)
+                nullif(trim(comment), '') AS comment,
+                nullif(trim(domain), '') AS domain,
+                nullif(trim(range), '') AS range FROM cmds)
 , per AS (
   SELECT uri, arg_max_null(label, seq) AS label, arg_max_null(comment, seq) AS comment,
          arg_max_null(domain, seq) AS domain, arg_max_null(range, seq) AS range,

@@ -42,7 +42,7 @@ PBASE = [("p/1", "rdfs:label", "P", "lit"), ("p/1", "rdfs:comment", "c0", "lit")
          ("p/1", "rdfs:domain", "d/0", "iri"), ("p/1", "rdfs:range", "r/0", "iri"),
          ("p/1", "skos:altLabel", "z", "lit"), ("p/2", "rdfs:label", "Q", "lit")]
 PURIS = st.sampled_from(["p/1", "p/2"])
-OPT = st.sampled_from([None, "", " ", "v"])
+OPT = st.sampled_from([None, "", " ", "v", " v "])
 
 
 def sequential_props(cmds):
