@@ -186,6 +186,7 @@ def _candidates(similarity: tuple[int, int]):
             run = np.cumsum(np.r_[True, ~same])
             rows = np.flatnonzero(np.r_[same, False])
             n, left = n.astype(np.int64), n.astype(np.int64) - pos
+            low, high = low.view(np.uint64), high.view(np.uint64)
             key = table["key"]
             links, step = Links(), 1
             while len(rows):
@@ -196,7 +197,7 @@ def _candidates(similarity: tuple[int, int]):
                 both = n[rows] + n[other]
                 need = -(-part * both // (part + whole))
                 apart = (np.bitwise_count(low[rows] ^ low[other]).astype(np.int64)
-                         + np.bitwise_count(high[rows] ^ high[other]))
+                         + np.bitwise_count(high[rows] ^ high[other]))  # of unsigned words: signed ones count |x|
                 near = (np.minimum(left[rows], left[other]) >= need) & (apart <= both - 2 * need)
                 for x, y in zip(rows[near].tolist(), other[near].tolist()):
                     links.add(key[x].as_py(), key[y].as_py())
