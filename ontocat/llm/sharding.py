@@ -59,8 +59,8 @@ def cut_points(sizes: list[int], shards: int) -> list[int]:
     for left in range(shards, 0, -1):
         aim = sums[at] + (sums[-1] - sums[at]) / left
         end = max(bisect_left(sums, aim, at), at)
-        if end > at and aim - sums[end - 1] < sums[end] - aim:
-            end -= 1
+        if end > at and sums[end - 1] > sums[at] and aim - sums[end - 1] < sums[end] - aim:
+            end -= 1  # but never to an empty shard before a large group
         end = min(end, bisect_right(sums, sums[at] + capacity) - 1)
         while need[end] > left - 1:
             end += 1
