@@ -25,10 +25,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """Hashes of words seen by this worker."""
+    """Hashes of the words that this worker has seen, some 10 MB at most."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 16:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
