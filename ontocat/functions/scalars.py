@@ -7,7 +7,6 @@ P3  local_name          last ``/`` segment, then last ``#`` segment
 P4  compact_iri         full IRI -> ``prefix:local`` for bound namespaces
 P5  expand_curie        ``prefix:local`` -> full IRI; NULL when the prefix is unbound
 P6  literal_value       typed access to a literal by its datatype
-P9  list_filter_match   case-insensitive substring test over searchable text
 P11 display_label       empty or missing label -> local name
 """
 
@@ -70,8 +69,8 @@ def qualified_name(*parts: Column | str) -> Column:
 
 
 def local_name(uri: Column | str) -> Column:
-    """``uri.split('/').pop().split('#').pop()``."""
-    last = F.element_at(F.split(_c(uri), "/"), -1)
+    """``uri.split('/').pop().split('#').pop()`` of the full IRI."""
+    last = F.element_at(F.split(export_form(uri), "/"), -1)
     return F.element_at(F.split(last, "#"), -1)
 
 
@@ -107,14 +106,9 @@ def compact_iri(x: Column | str, namespaces: dict[str, str] | None = None,
 def expand_curie(x: Column | str, namespaces: dict[str, str] | None = None) -> Column:
     """P5: full IRI for ``prefix:local``; NULL when there is no ``:`` or the prefix is unbound."""
     xc = _c(x)
-    prefix = F.substring_index(xc, ":", 1)
-    local = F.substring(xc, F.length(prefix) + 2, 1 << 30)
-    out = None
-    for p, ns_iri in sorted((namespaces or DEFAULT_NAMESPACES).items()):
-        hit = prefix == p
-        val = F.concat(F.lit(ns_iri), local)
-        out = F.when(hit, val) if out is None else out.when(hit, val)
-    return F.when(F.contains(xc, F.lit(":")), out)
+    at = F.instr(xc, ":")
+    bound = F.create_map(*[F.lit(t) for pair in sorted((namespaces or DEFAULT_NAMESPACES).items()) for t in pair])
+    return F.when(at > 0, F.concat(bound[F.substr(xc, F.lit(1), at - 1)], F.substr(xc, at + 1)))
 
 
 def store_form(full_iri: Column | str, namespaces: dict[str, str] | None = None) -> Column:
@@ -124,10 +118,8 @@ def store_form(full_iri: Column | str, namespaces: dict[str, str] | None = None)
 
 def export_form(term: Column | str, namespaces: dict[str, str] | None = None) -> Column:
     """Inverse of :func:`store_form` for IRIs (vocabulary CURIEs are expanded)."""
-    tc = _c(term)
-    prefix = F.substring_index(tc, ":", 1)
-    is_vocab = F.contains(tc, F.lit(":")) & prefix.isin(*VOCAB_PREFIXES)
-    return F.when(is_vocab, expand_curie(tc, namespaces)).otherwise(tc)
+    vocabulary = {p: iri for p, iri in (namespaces or DEFAULT_NAMESPACES).items() if p in VOCAB_PREFIXES}
+    return F.coalesce(expand_curie(term, vocabulary), _c(term))
 
 
 # XSD datatypes decoded by literal_value, grouped by target type.
@@ -152,13 +144,6 @@ def literal_value(o: Column | str, datatype: Column | str) -> dict[str, Column]:
     }
 
 
-def list_filter_match(searchable: list[Column], query: Column | str) -> Column:
-    """``searchable.join(' ').toUpperCase().includes(query.toUpperCase())``."""
-    q = F.lit(query) if isinstance(query, str) else query
-    text = F.concat_ws(" ", *searchable)
-    return F.contains(F.upper(text), F.upper(q))
-
-
 def jinja_text(x: Column | str) -> Column:
     """How a template renders a value: a missing value prints as ``None``."""
     return F.coalesce(_c(x), F.lit("None"))

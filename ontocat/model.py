@@ -7,8 +7,9 @@ rows share all six columns). Vocabulary terms are stored in compact form
 lexical form in ``o`` plus optional datatype (compact, e.g. ``xsd:integer``)
 and language tag.
 
-Stored graphs are parquet partitioned by :func:`predicate_key`, so that the
-predicate filter almost every operator starts with becomes partition pruning.
+Stored graphs are parquet partitioned by :func:`storage_key`, so that the
+predicate, class or literal filter almost every operator starts with becomes
+partition pruning.
 """
 
 from __future__ import annotations
@@ -92,14 +93,29 @@ KNOWN_PREDICATES = (
 )
 
 
-def namespaces_df(spark: SparkSession, namespaces: dict[str, str] | None = None) -> DataFrame:
-    """Tiny ``(prefix, iri)`` table; bounded by the number of bound prefixes."""
-    ns = namespaces or DEFAULT_NAMESPACES
-    return spark.createDataFrame(sorted(ns.items()), "prefix string, iri string")
+# Classes whose rdf:type rows get their own storage partition, so ontology look-ups
+# never read the type rows of catalog objects.
+KNOWN_CLASSES = (Vocab.CLASS, Vocab.CONCEPT, Vocab.PROPERTY, Vocab.OWL_CLASS, Vocab.TABLE, Vocab.COLUMN)
+CATALOG_CLASSES = (Vocab.TABLE, Vocab.COLUMN)
+LITERALS = "~lit"
 
 
-def predicate_key(p: Column) -> Column:
-    return F.when(p.isin(*KNOWN_PREDICATES), p).otherwise(F.lit(OTHER_PARTITION))
+def storage_key(p: Column, o: Column, o_kind: Column) -> Column:
+    """Partition of a triple: its predicate if known, split by class for types and by literal objects."""
+    base = F.when(p.isin(*KNOWN_PREDICATES), p).otherwise(F.lit(OTHER_PARTITION))
+    return (F.when(o_kind == LIT, F.concat(base, F.lit(LITERALS)))
+            .when((p == Vocab.TYPE) & (o_kind == IRI) & o.isin(*KNOWN_CLASSES), F.concat(p, F.lit("|"), o)).otherwise(base))
+
+
+def class_key(cls: str) -> str:
+    return f"{Vocab.TYPE}|{cls}" if cls in KNOWN_CLASSES else Vocab.TYPE
+
+
+def storage_keys(preds, classes=KNOWN_CLASSES) -> list[str]:
+    """The partitions that hold triples of ``preds`` (for types: of unknown classes and ``classes``)."""
+    bases = {p if p in KNOWN_PREDICATES else OTHER_PARTITION for p in preds}
+    typed = {class_key(c) for c in classes} if Vocab.TYPE in preds else set()
+    return sorted(bases | {b + LITERALS for b in bases} | typed)
 
 
 def empty_graph(spark: SparkSession) -> DataFrame:
@@ -120,50 +136,38 @@ def triples(s: Column, p: Column | str, o: Column, kind: str, datatype: Column |
     ]
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Project to the triple schema, in order."""
-    return df.select(*[F.col(c).cast("string").alias(c) for c in TRIPLE_COLUMNS])
-
-
 # ---------------------------------------------------------------------------
 # Pattern helpers. Each one is a predicate scan; on a stored graph the
 # ``pk`` filter prunes partitions, on an in-memory graph it is a plain filter.
 # ---------------------------------------------------------------------------
 
 
-def _pk_filter(g: DataFrame, preds: tuple[str, ...]) -> DataFrame:
-    if PK in g.columns:
-        keys = sorted({p if p in KNOWN_PREDICATES else OTHER_PARTITION for p in preds})
-        g = g.filter(F.col(PK).isin(*keys))
-    return g
-
-
 def by_predicate(g: DataFrame, *preds: str) -> DataFrame:
     """Triples whose predicate is one of ``preds`` (``FILTER(?p IN (...))``)."""
-    g = _pk_filter(g, preds)
+    if PK in g.columns:
+        g = g.filter(F.col(PK).isin(*storage_keys(preds)))
     cond = F.col("p") == preds[0] if len(preds) == 1 else F.col("p").isin(*preds)
     return g.filter(cond)
 
 
+def literals(g: DataFrame) -> DataFrame:
+    """Triples with a literal object."""
+    if PK in g.columns:
+        g = g.filter(F.col(PK).isin(*[k + LITERALS for k in (*KNOWN_PREDICATES, OTHER_PARTITION)]))
+    return g.filter(F.col("o_kind") == LIT)
+
+
 def edges(g: DataFrame, pred: str, src: str, dst: str) -> DataFrame:
     """``?src pred ?dst`` as ``(src, dst)`` (any object kind)."""
     return by_predicate(g, pred).select(F.col("s").alias(src), F.col("o").alias(dst))
 
 
-def iri_edges(g: DataFrame, pred: str, src: str, dst: str) -> DataFrame:
-    """``?src pred ?dst`` where the object is an IRI or blank node."""
-    return (
-        by_predicate(g, pred)
-        .filter(F.col("o_kind") != LIT)
-        .select(F.col("s").alias(src), F.col("o").alias(dst))
-    )
-
-
 def instances(g: DataFrame, cls: str, col: str = "uri") -> DataFrame:
     """Subjects of ``?x rdf:type cls``; one row per subject (graphs are sets)."""
+    if PK in g.columns:
+        g = g.filter(F.col(PK) == class_key(cls))
     return (
-        by_predicate(g, Vocab.TYPE)
-        .filter((F.col("o") == cls) & (F.col("o_kind") == IRI))
+        g.filter((F.col("p") == Vocab.TYPE) & (F.col("o") == cls) & (F.col("o_kind") == IRI))
         .select(F.col("s").alias(col))
     )
 

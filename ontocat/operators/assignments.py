@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.model import Vocab, edges, instances, values
-from ontocat.operators.lists import chunked_lists
-from ontocat.operators.entities import (concept_relationships, detail_of_present, labels, present_subjects,
+from ontocat.operators.entities import (concept_relationships, detail_of_present, full_iris, labels, present_subjects,
                                         request_batch, restrict)
 
 V = Vocab
@@ -26,7 +25,7 @@ def table_assignments(g: DataFrame, table_uri=None, concept_uri=None) -> DataFra
     a = restrict(restrict(a, "table_uri", table_uri), "concept_uri", concept_uri)
     names = restrict(values(g, V.NAME, "table_uri", "table_name"), "table_uri", table_uri)
     labs = restrict(labels(g, "concept_uri", "concept_name"), "concept_uri", concept_uri)
-    return a.join(names, "table_uri", "left").join(labs, "concept_uri", "left").select(
+    return full_iris(a.join(names, "table_uri", "left").join(labs, "concept_uri", "left"), "table_uri", "concept_uri").select(
         "table_uri", "table_name", "concept_uri", "concept_name")
 
 
@@ -37,7 +36,7 @@ def column_assignments(g: DataFrame, column_uri=None, property_uri=None) -> Data
     a = restrict(restrict(a, "column_uri", column_uri), "property_uri", property_uri)
     names = restrict(values(g, V.NAME, "column_uri", "column_name"), "column_uri", column_uri)
     labs = restrict(labels(g, "property_uri", "property_name"), "property_uri", property_uri)
-    return a.join(names, "column_uri", "left").join(labs, "property_uri", "left").select(
+    return full_iris(a.join(names, "column_uri", "left").join(labs, "property_uri", "left"), "column_uri", "property_uri").select(
         "column_uri", "column_name", "property_uri", "property_name")
 
 
@@ -66,7 +65,7 @@ def concept_properties(g: DataFrame, concept=None) -> DataFrame:
 
     def role(pred: str, name: str) -> DataFrame:
         e = restrict(edges(g, pred, "uri", "concept"), "concept", concept)
-        return e.join(props, "uri", "left_semi").join(names, "uri", "left").select(
+        return full_iris(e.join(props, "uri", "left_semi").join(names, "uri", "left"), "concept", "uri").select(
             "concept", "uri", "name", F.lit(name).alias("role"))
 
     return role(V.DOMAIN, "domain").unionByName(role(V.RANGE, "range"))
@@ -75,8 +74,8 @@ def concept_properties(g: DataFrame, concept=None) -> DataFrame:
 def concept_summary(g: DataFrame, uris) -> DataFrame:
     """The concept page bundle for a batch of concepts.
 
-    One row per existing concept (per alt-label chunk): the E5 detail plus the
-    number of outgoing relationships, assigned tables and related properties.
+    One row per existing concept: the E5 detail plus the number of outgoing
+    relationships, assigned tables and related properties.
     The items themselves come from :func:`concept_summary_items`.
     """
     base = present_subjects(g, uris)
@@ -90,25 +89,21 @@ def concept_summary(g: DataFrame, uris) -> DataFrame:
 
 
 def concept_summary_items(g: DataFrame, uris) -> DataFrame:
-    """G4 items: ``(uri, section, chunk, items)`` with ``items`` a sorted list of
-    ``struct<uri, label, role>`` per concept and section (``relationship``,
-    ``assigned_table``, ``property``), chunked like every list here, so a
-    concept assigned to a huge number of tables still yields bounded rows."""
+    """G4 items: ``(uri, section, item_uri, item_label, item_role)``, one row per item.
+
+    Sections are ``relationship``, ``assigned_table`` and ``property``. No list
+    is built, so a concept assigned to a huge number of tables is as many rows.
+    """
     base = present_subjects(g, uris)
     rel, tab, prp = _summary_parts(g, base)
-    item = F.struct
-    long = (
-        rel.select("uri", F.lit("relationship").alias("section"),
-                   item(F.col("object").alias("uri"), F.col("object_label").alias("label"),
-                        F.col("predicate_type").alias("role")).alias("item"))
-        .unionByName(tab.select("uri", F.lit("assigned_table").alias("section"),
-                                item(F.col("table_uri").alias("uri"), F.col("table_name").alias("label"),
-                                     F.lit("assignment").alias("role")).alias("item")))
-        .unionByName(prp.select("uri", F.lit("property").alias("section"),
-                                item(F.col("property_uri").alias("uri"), F.col("name").alias("label"),
-                                     F.col("role").alias("role")).alias("item")))
-    )
-    return chunked_lists(long, ["uri", "section"], "item", "items")
+
+    def section(rows: DataFrame, name: str, uri: str, label: str, role) -> DataFrame:
+        return rows.select("uri", F.lit(name).alias("section"), F.col(uri).alias("item_uri"),
+                           F.col(label).alias("item_label"), role.alias("item_role"))
+
+    return (section(rel, "relationship", "object", "object_label", F.col("predicate_type"))
+            .unionByName(section(tab, "assigned_table", "table_uri", "table_name", F.lit("assignment")))
+            .unionByName(section(prp, "property", "property_uri", "name", F.col("role"))))
 
 
 def _summary_parts(g: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import display_label, uri_component
-from ontocat.model import Vocab, instances
+from ontocat.model import Vocab, by_predicate, edges, instances
 from ontocat.operators import entities as ent
-from ontocat.operators.assignments import column_assignments, table_assignments
+from ontocat.operators.joins import broadcast_if_bounded
 
 NODE_TYPES = ("concept", "property", "table", "column")
+# The pages that nodes link to.
 _PAGES = {"concept": "/concepts?concept_uri=", "property": "/properties?property_uri=",
           "table": "/tables?table_uri=", "column": "/columns?column_uri="}
 
@@ -69,45 +70,46 @@ def has_column(g: DataFrame) -> DataFrame:
 
 
 def graph_links(g: DataFrame) -> DataFrame:
-    """``(source, target, type)``."""
-    concept_ids = ent.concept_members(g).select(F.col("uri").alias("id"))
-    prop_ids = ent.property_members(g).select(F.col("uri").alias("id"))
-    table_ids = instances(g, Vocab.TABLE).select(F.col("uri").alias("id"))
-    column_ids = instances(g, Vocab.COLUMN).select(F.col("uri").alias("id"))
+    """``(source, target, type)``.
+
+    Built from the bare edges; names are read for ``hasColumn`` alone and labels
+    only to know which domains and ranges have one. Targets are few and may be
+    hot (a property on a third of all columns), so it is the distinct targets
+    that are held against the node ids, and the edges are then filtered by the
+    small set that is left.
+    """
+    V = Vocab
+    concepts, props = ent.concept_members(g), ent.property_members(g)
     # Only ever the right side of semi-joins, so no dedupe (and no shuffle for it).
-    early_ids = concept_ids.unionByName(prop_ids).unionByName(table_ids)
-    all_ids = early_ids.unionByName(column_ids)
-
-    def ends_in(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-        return df.join(ids.withColumnRenamed("id", col), col, "left_semi")
-
-    rel = ent.concept_relationships(g).filter(F.col("object").isNotNull() & (F.col("object") != ""))
-    hier = ends_in(rel, "object", concept_ids).select(
-        F.col("uri").alias("source"), F.col("object").alias("target"),
-        F.coalesce(F.col("predicate_type"), F.lit("related")).alias("type"))
-
-    props = ent.properties(g)
-    dom = ends_in(props.filter(F.col("domain").isNotNull()), "domain", concept_ids).select(
-        F.col("uri").alias("source"), F.col("domain").alias("target"), F.lit("domain").alias("type"))
-    rng = ends_in(props.filter(F.col("range").isNotNull()), "range", concept_ids).select(
-        F.col("uri").alias("source"), F.col("range").alias("target"), F.lit("range").alias("type"))
-
-    ta = table_assignments(g).select("table_uri", "concept_uri")
-    assign = ends_in(ends_in(ta, "table_uri", early_ids), "concept_uri", early_ids).select(
-        F.col("table_uri").alias("source"), F.col("concept_uri").alias("target"), F.lit("assignment").alias("type"))
-
-    hc = has_column(g).select(F.col("table_uri").alias("source"), F.col("column_uri").alias("target"),
-                              F.lit("hasColumn").alias("type"))
-
-    ca = ends_in(column_assignments(g).select("column_uri", "property_uri"), "column_uri", column_ids)
-    passign = ends_in(ends_in(ca, "column_uri", all_ids), "property_uri", all_ids).select(
-        F.col("column_uri").alias("source"), F.col("property_uri").alias("target"),
-        F.lit("propertyAssignment").alias("type"))
-
-    return (
-        hier.unionByName(dom).unionByName(rng).unionByName(assign).unionByName(hc).unionByName(passign)
-        .distinct()
-    )
+    early = concepts.unionByName(props).unionByName(instances(g, V.TABLE))
+    typed_columns = instances(g, V.COLUMN)
+
+    def source_in(df: DataFrame, ids: DataFrame) -> DataFrame:
+        return df.join(ids.withColumnRenamed("uri", "source"), "source", "left_semi")
+
+    def target_in(df: DataFrame, ids: DataFrame) -> DataFrame:
+        known = df.select("target").distinct().join(ids.withColumnRenamed("uri", "target"), "target", "left_semi")
+        return df.join(broadcast_if_bounded(known), "target", "left_semi")
+
+    rel = by_predicate(g, *V.HIERARCHY).filter("o != ''").select(
+        F.col("s").alias("source"), F.col("o").alias("target"), F.col("p").alias("type"))
+    hier = source_in(target_in(rel, concepts), concepts)
+
+    def of_property(pred: str, name: str) -> DataFrame:
+        labelled = concepts.join(ent.labels(g), "uri", "left_semi")
+        return source_in(target_in(edges(g, pred, "source", "target"), labelled), props).withColumn("type", F.lit(name))
+
+    assigned = edges(g, V.CONCEPT_ASSIGNMENT, "source", "target")
+    assign = source_in(target_in(assigned, early), early).withColumn("type", F.lit("assignment"))
+    on_columns = edges(g, V.PROPERTY_ASSIGNMENT, "source", "target")
+    passign = source_in(target_in(on_columns, early.unionByName(typed_columns)), typed_columns).withColumn(
+        "type", F.lit("propertyAssignment"))
+    linked = [hier, of_property(V.DOMAIN, "domain"), of_property(V.RANGE, "range"), assign, passign]
+    out = has_column(g).select(F.col("table_uri").alias("source"), F.col("column_uri").alias("target"),
+                               F.lit("hasColumn").alias("type"))
+    for more in linked:
+        out = out.unionByName(more.select("source", "target", "type"))
+    return ent.full_iris(out.distinct(), "source", "target")
 
 
 def graph_stats(g: DataFrame) -> DataFrame:

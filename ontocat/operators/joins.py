@@ -1,50 +1,28 @@
-"""Join helpers: broadcast only behind a size check, with a shuffle plan beyond it."""
+"""Join helper: broadcast only behind a check of rows and bytes."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A side is broadcast when it has at most so many rows and so many bytes of values.
+MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
 
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows; reads at most ``bound + 1`` rows."""
-    return df.limit(bound + 1).count() <= bound
 
+def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                         max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its rows and bytes are proven to be within the bounds, else ``df``.
 
-_PERSISTED: list[DataFrame] = []
-
-
-def track_persisted(df: DataFrame) -> DataFrame:
-    """Register a DataFrame persisted by an operator, so :func:`release_batches` frees it."""
-    _PERSISTED.append(df)
-    return df
-
-
-def release_batches() -> None:
-    """Unpersist every side persisted by :func:`broadcast_if_bounded` so far.
-
-    Safe at any time: a DataFrame that still refers to a released side simply
-    recomputes it from lineage.
-    """
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist(blocking=False)
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven to be at most ``max_rows``.
-
-    The candidate side is persisted (memory, spilling to disk) and counted, so
-    it is computed exactly once whichever way the join goes: at most
-    ``max_rows`` rows it is broadcast and the large side is streamed past it;
-    above the bound the same persisted rows feed a shuffle join, where AQE's
-    skew-join handling splits hot keys. A lost block is recomputed from lineage.
-    The result carries ``_bounded`` (and ``_rows``) for callers.
+    The check reads at most ``max_rows + 1`` rows and returns two numbers.
+    Nothing is persisted: a side that small is cheap to compute again, and a
+    larger one goes through a shuffle join, where AQE splits hot keys. The
+    result carries ``_bounded`` and, if so, ``_rows`` for callers.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(kept)
-    n = kept.count()
-    out = F.broadcast(kept) if n <= max_rows else kept
-    out._bounded = n <= max_rows
-    out._rows = n
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    seen = df.limit(max(max_rows, 0) + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("bytes")).first()
+    bounded = seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
+    out = F.broadcast(df) if bounded else df.alias("side")
+    out._bounded = bounded
+    out._rows = seen["n"] if bounded else None
     return out

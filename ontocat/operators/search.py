@@ -1,51 +1,34 @@
 """Trigram similarity search over graph literals (F1, F2) and the list filter.
 
-F1, for a batch of queries. A bounded batch (the usual case) is compiled into
-the scan: each literal's trigram set is intersected with every query's set
-held as constant arrays, one pass, no join, and only hits are shuffled (for
-the final DISTINCT). Beyond the bound the plan is a gram equi-join:
-
-1. literal triples -> trigram set of each object -> one row per (triple, gram),
-   computed right on the scan partitions (no shuffle of the literal set);
-2. query trigrams, one row per (query, gram) -- the small side;
-3. equi-join on ``gram``: the query side is broadcast when its row count is
-   under a checked bound, so the exploded literal side is never shuffled and
-   a very common gram cannot skew anything; above the bound it is a shuffle
-   join that AQE splits for hot grams;
-4. ``count`` per (query, triple) = shared grams, partially aggregated before
-   the only shuffle, which carries matched pairs alone; keep
-   ``10*shared >= 3*(n_text + n_query - shared)``;
-5. DISTINCT (query, subject, text) over the hits.
+F1, one plan for any batch of queries:
+
+1. the literal partitions are scanned; a literal whose number of trigrams can't
+   reach the threshold with any query of the batch is dropped before its
+   trigrams become rows (similarity >= num/den bounds the sizes both ways);
+2. literal trigrams meet query trigrams in an equi-join on the gram. The query
+   side is broadcast when its rows and bytes are under a checked bound, so
+   literals are never shuffled and a very common gram cannot skew anything;
+   beyond it AQE splits hot grams of a shuffle join;
+3. shared grams are counted per (query, triple), partially before the only
+   shuffle, which carries matched pairs alone; then the threshold decides;
+4. DISTINCT (query, subject, text) over the hits.
 
 Counting per triple (not per subject and text) keeps the count exact when one
 subject carries the same text under two predicates. Exact overall: any pair
-with similarity > 0 shares at least one gram, so no pair is missed, and
-nothing is ranked or capped.
+with similarity > 0 shares at least one gram, and nothing is ranked or capped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import jinja_text
 from ontocat.functions.trigrams import THRESHOLD_DEN, THRESHOLD_NUM, similar_enough, trigrams
-from ontocat.model import LIT
+from ontocat.model import literals
 from ontocat.operators import entities as ent
 from ontocat.operators.joins import broadcast_if_bounded
 
-# Query batches up to this many (query, gram) rows are broadcast.
-MAX_BROADCAST_QUERY_GRAMS = 200_000
-
-
-def literal_triples(g: DataFrame) -> DataFrame:
-    """``(uri, text)`` for every literal object (any predicate, blank-node subjects too)."""
-    return g.filter(F.col("o_kind") == LIT).select(F.col("s").alias("uri"), F.col("o").alias("text"))
-
-
-# Query batches up to this many distinct queries are evaluated inline.
-MAX_INLINE_QUERIES = 256
-
 
 def trigram_search(
     g: DataFrame,
@@ -56,69 +39,33 @@ def trigram_search(
     """DISTINCT ``(query, uri, text)`` with trigram similarity >= num/den.
 
     ``queries`` has a ``query`` column (other columns are carried through).
-    A batch of at most :data:`MAX_INLINE_QUERIES` distinct queries (checked)
-    is compiled into the scan: each literal's trigram set is intersected with
-    every query's set as constant arrays, so the literal side is read once,
-    with no explode, join or shuffle before the final DISTINCT of the hits.
-    Larger batches use the gram equi-join of :func:`_trigram_search_join`.
     """
     qcols = [c for c in queries.columns if c != "query"]
     q = queries.select("query").distinct()
-    qg = q.select("query", trigrams("query").alias("grams")).filter(F.size("grams") > 0)
-    small = qg.limit(MAX_INLINE_QUERIES + 1).collect()
-    if len(small) <= MAX_INLINE_QUERIES:
-        out = _trigram_search_inline(g, [(r["query"], r["grams"]) for r in small], num, den)
-    else:
-        out = _trigram_search_join(g, q, num, den)
+    out = ent.full_iris(_gram_join(g, q, num, den), "uri")
     if qcols:
         out = out.join(queries.select("query", *qcols).distinct(), "query")
     return out
 
 
-def _trigram_search_inline(g: DataFrame, qgrams: list[tuple[str, list[str]]], num: int, den: int) -> DataFrame:
-    if not qgrams:
-        return g.sparkSession.createDataFrame([], "query string, uri string, text string")
-    consts = F.array(*[
-        F.struct(F.lit(qtext).alias("query"), F.lit(len(gr)).alias("n_query"),
-                 F.array(*[F.lit(x) for x in gr]).alias("grams"))
-        for qtext, gr in qgrams
-    ])
-    lits = g.filter(F.col("o_kind") == LIT).select("s", "o", trigrams("o").alias("grams"))
-    scored = lits.select(
-        "s", "o",
-        F.filter(
-            F.transform(consts, lambda c: F.struct(
-                c["query"].alias("query"),
-                F.size(F.array_intersect(F.col("grams"), c["grams"])).alias("shared"),
-                c["n_query"].alias("n_query"))),
-            lambda m: similar_enough(m["shared"], F.size(F.col("grams")), m["n_query"], num, den),
-        ).alias("hits"),
-    )
-    # explode_outer + a filter on the generated column: a plain explode makes
-    # the optimizer infer ``size(hits) > 0`` and push it under the projection,
-    # which would evaluate the trigram sets a second time.
-    return (
-        scored.select(F.col("s").alias("uri"), F.col("o").alias("text"), F.explode_outer("hits").alias("h"))
-        .filter(F.col("h").isNotNull())
-        .select(F.col("h.query").alias("query"), "uri", "text")
-        .distinct()
-    )
-
-
-def _trigram_search_join(g: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
+def _gram_join(g: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
     key = ["s", "p", "o", "o_datatype", "o_lang"]
-    text_grams = (
-        g.filter(F.col("o_kind") == LIT)
-        .select(*key, trigrams("o").alias("grams"))
-        .select(*key, F.size("grams").alias("n_text"), F.explode("grams").alias("gram"))
-    )
     query_grams = (
         q.select("query", trigrams("query").alias("grams"))
         .select("query", F.size("grams").alias("n_query"), F.explode("grams").alias("gram"))
     )
-    query_grams = broadcast_if_bounded(query_grams, MAX_BROADCAST_QUERY_GRAMS)
+    sizes = query_grams.agg(F.min("n_query").alias("least"), F.max("n_query").alias("most")).first()
+    least, most = (sizes["least"] or 0) * num, (sizes["most"] or 0) * den
+    text_grams = (
+        literals(g).select(*key, trigrams("o").alias("grams"))
+        .select(*key, F.size("grams").alias("n_text"), "grams")
+        .filter((F.col("n_text") * den >= least) & (F.col("n_text") * num <= most))
+        .select(*key, "n_text", F.explode("grams").alias("gram"))
+    )
+    query_grams = broadcast_if_bounded(query_grams)
     shared = (
         text_grams.join(query_grams, "gram")
+        .filter((F.col("n_text") * den >= F.col("n_query") * num) & (F.col("n_query") * den >= F.col("n_text") * num))
         .groupBy("query", "n_query", *key, "n_text")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
@@ -133,8 +80,8 @@ def trigram_search_kind(g: DataFrame, queries: DataFrame) -> DataFrame:
     """F1 narrowed by ``kind``: ``concept`` / ``property`` keep subjects of that
     kind; ``all`` or NULL keeps every hit. Output ``(query, kind, uri, text)``."""
     hits = trigram_search(g, queries.select("query", "kind"))
-    is_c = ent.concept_members(g).withColumn("is_concept", F.lit(True))
-    is_p = ent.property_members(g).withColumn("is_property", F.lit(True))
+    is_c = ent.full_iris(ent.concept_members(g), "uri").withColumn("is_concept", F.lit(True))
+    is_p = ent.full_iris(ent.property_members(g), "uri").withColumn("is_property", F.lit(True))
     flagged = hits.join(is_c, "uri", "left").join(is_p, "uri", "left")
     k = F.col("kind")
     keep = (
@@ -153,62 +100,69 @@ def list_filter(g: DataFrame, filters: DataFrame) -> DataFrame:
     = alt labels (space-joined), URI, label; tables and columns = URI, name. A
     missing label or name is rendered as ``None`` and is searchable as such.
     ``filters`` has a ``q`` column. Output ``(q, list, uri, label)``.
+
+    The text is never joined whole. Each field is a row ``(item, place, text)``
+    that carries the end of the text before it, as long as the longest filter,
+    so a match inside a field or across any number of short fields is found in
+    the row where it ends, however many alt labels an item has.
     """
+    filters = filters.select("q").distinct()
+    longest = filters.agg(F.max(F.length("q"))).first()[0] or 0
     c = ent.concepts_alt_labels(g, dedupe=False).select(
-        F.lit("concepts").alias("list"), "uri", "label",
-        F.concat_ws(" ", F.array_join("alt_labels", " "), F.col("uri"), jinja_text("label")).alias("text"))
-    p = ent.properties_alt_labels(g).select(
-        F.lit("properties").alias("list"), "uri", F.col("name").alias("label"),
-        F.concat_ws(" ", F.array_join("alt_labels", " "), F.col("uri"), jinja_text("name")).alias("text"))
-    t = ent.tables(g).select(F.lit("tables").alias("list"), "uri", F.col("name").alias("label"),
-                             F.concat_ws(" ", F.col("uri"), jinja_text("name")).alias("text"))
-    k = ent.columns(g).select(F.lit("columns").alias("list"), "uri", F.col("name").alias("label"),
-                              F.concat_ws(" ", F.col("uri"), jinja_text("name")).alias("text"))
-    items = c.unionByName(p).unionByName(t).unionByName(k)
-    # An entity whose alt labels span several list chunks matches once.
-    return substring_join(items, filters.select("q").distinct()).select("q", "list", "uri", "label").distinct()
+        F.lit("concepts").alias("list"), "uri", "label", "alt_label",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy")).drop("copy")
+    p = ent.properties_alt_labels(g).select(F.lit("properties").alias("list"), "uri", F.col("name").alias("label"), "alt_label")
+    item = ["list", "uri", "label"]
+    many = c.unionByName(p)
+    alts = many.select(*item, F.lit(0).alias("place"), F.coalesce("alt_label", F.lit("")).alias("text"))
+    heads = many.select(*item).distinct()
+    ends = heads.select(*item, F.lit(1).alias("place"), F.concat_ws(" ", "uri", jinja_text("label")).alias("text"))
+    fields = _with_text_before(alts.unionByName(ends), item, longest)
+    t = ent.tables(g).select(F.lit("tables").alias("list"), "uri", F.col("name").alias("label"))
+    k = ent.columns(g).select(F.lit("columns").alias("list"), "uri", F.col("name").alias("label"))
+    plain = t.unionByName(k).select(*item, F.concat_ws(" ", "uri", jinja_text("label")).alias("text"))
+    return substring_join(fields.unionByName(plain), filters).select("q", *item).distinct()
+
+
+def _with_text_before(fields: DataFrame, item: list[str], length: int) -> DataFrame:
+    """``text`` preceded by the last ``length`` characters of the item's fields before it, space-joined.
+
+    Every field before is at least one character with its space, so a frame of
+    ``length`` rows is enough.
+    """
+    if length < 1:
+        return fields.select(*item, "text")
+    before = Window.partitionBy(*item).orderBy("place", "text").rowsBetween(-length, -1)
+    ends = F.collect_list(F.concat(F.right(F.col("text"), F.lit(length)), F.lit(" "))).over(before)
+    return fields.select(*item, F.concat(F.right(F.array_join(ends, ""), F.lit(length)), F.col("text")).alias("text"))
 
 
-# Filter batches up to this size are compiled into the item scan.
-MAX_INLINE_FILTERS = 256
+# Filters are found by their first characters, up to this many.
+PREFIX = 3
 
 
 def substring_join(items: DataFrame, filters: DataFrame) -> DataFrame:
-    """Pairs (item, q) where ``upper(item.text)`` contains ``upper(q)``.
-
-    A small, checked filter batch is compiled into the scan of the items as
-    one constant ``contains`` test per filter, so there is no join at all. A
-    larger batch uses an exact equi-join instead: a text containing ``q``
-    contains q's first ``L = min(3, len(q))`` characters, so both sides are
-    keyed by length-``L`` substrings (every position of the text, the prefix
-    of ``q``), joined on ``(L, key)``, then verified with ``contains``. The
-    empty filter matches every item.
+    """Pairs (item, q) where ``upper(item.text)`` contains ``upper(q)``; NULL filters match nothing.
+
+    A text that contains ``q`` contains its first ``min(3, len(q))`` characters,
+    so an equi-join on such pieces (the distinct ones of the text, the first of
+    ``q``) finds the candidates, which ``contains`` then decides. The empty
+    filter's piece is the empty string, which every text has. The filter side is
+    broadcast behind a check of its size.
     """
-    small = filters.select("q").distinct().limit(MAX_INLINE_FILTERS + 1).collect()
-    if len(small) <= MAX_INLINE_FILTERS:
-        qs = [r["q"] for r in small if r["q"] is not None]
-        if not qs:
-            return items.withColumn("q", F.lit(None).cast("string")).filter(F.lit(False))
-        ut = F.upper(F.col("text"))
-        hits = F.array_compact(F.array(*[F.when(F.contains(ut, F.upper(F.lit(q))), F.lit(q)) for q in qs]))
-        # explode_outer + filter on the generated column keeps the optimizer from
-        # pushing an inferred size filter (and a second evaluation) into the scan.
-        return (
-            items.select("*", F.explode_outer(hits).alias("q"))
-            .filter(F.col("q").isNotNull())
-        )
     ut = F.upper(F.col("text"))
-    fq = filters.select("q", F.upper("q").alias("uq")).withColumn("L", F.least(F.length("uq"), F.lit(3)))
-    has_empty = fq.filter(F.col("L") == 0).limit(1).count() > 0
-    fq = fq.filter(F.col("L") > 0).select("q", "uq", "L", F.substr("uq", F.lit(1), F.col("L")).alias("key"))
-    lengths = [r["L"] for r in fq.select("L").distinct().collect()]  # at most 3 values
-    keyed = items.select(
-        "*",
-        F.explode(F.sequence(F.lit(1), F.greatest(F.length(ut), F.lit(1)))).alias("pos"),
-    ).select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("L"), F.substr(ut, F.col("pos"), F.lit(n)).alias("key"))
-                                      for n in lengths] or [F.struct(F.lit(0).alias("L"), F.lit("").alias("key"))]))
-             .alias("k")).select(*items.columns, "k.L", "k.key")
-    hits = keyed.join(fq, ["L", "key"]).filter(F.contains(ut, F.col("uq"))).select(*items.columns, "q").distinct()
-    if has_empty:
-        hits = hits.unionByName(items.withColumn("q", F.lit("")))
-    return hits
+    fq = filters.filter("q is not null").select("q", F.upper("q").alias("uq")).withColumn(
+        "piece", F.substr("uq", F.lit(1), F.least(F.length("uq"), F.lit(PREFIX))))
+    lengths = sorted(r[0] for r in fq.select(F.length("piece")).distinct().collect())  # at most 4 values
+
+    def pieces(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        starts = F.when(F.length(ut) >= n, F.sequence(F.lit(1), F.length(ut) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(ut, i, F.lit(n))))
+
+    if not lengths:
+        return items.withColumn("q", F.lit(None).cast("string")).filter(F.lit(False))
+    keyed = items.withColumn("piece", F.explode(F.concat(*[pieces(n) for n in lengths])))
+    return (keyed.join(broadcast_if_bounded(fq), "piece").filter(F.contains(ut, F.col("uq")))
+            .select(*items.columns, "q"))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontocat.operators.assignments import column_assignments, table_assignments
-from ontocat.operators.lists import chunked_lists
 
 # Defaults of the sync job.
 DEFAULT_PREFIX = "TYPE_"
@@ -26,39 +25,34 @@ def _truthy(c: str):
     return F.col(c).isNotNull() & (F.col(c) != "")
 
 
-def _mapping_rows(g: DataFrame) -> DataFrame:
-    """``(type, name, tag, source, target)``: one row per assignment solution."""
-    t = table_assignments(g).filter(_truthy("table_name") & _truthy("concept_name")).select(
-        F.lit("tables").alias("type"), F.col("table_name").alias("name"), F.col("concept_name").alias("tag"),
-        F.col("table_uri").alias("source"), F.col("concept_uri").alias("target"))
-    c = column_assignments(g).filter(_truthy("column_name") & _truthy("property_name")).select(
-        F.lit("columns").alias("type"), F.col("column_name").alias("name"), F.col("property_name").alias("tag"),
-        F.col("column_uri").alias("source"), F.col("property_uri").alias("target"))
-    return t.unionByName(c)
-
-
 def tag_mapping_pairs(g: DataFrame) -> DataFrame:
     """G2 long form: ``(type, name, tag)``, one row per assignment (a bag).
 
     Keeps rows whose object name and target label are both non-empty; the
     mapping is keyed by *name*, so two URIs sharing a name merge.
     """
-    return _mapping_rows(g).select("type", "name", "tag")
+    t = table_assignments(g).filter(_truthy("table_name") & _truthy("concept_name")).select(
+        F.lit("tables").alias("type"), F.col("table_name").alias("name"), F.col("concept_name").alias("tag"))
+    c = column_assignments(g).filter(_truthy("column_name") & _truthy("property_name")).select(
+        F.lit("columns").alias("type"), F.col("column_name").alias("name"), F.col("property_name").alias("tag"))
+    return t.unionByName(c)
 
 
 def tag_mappings(g: DataFrame) -> DataFrame:
-    """``(name, type, chunk, tags)``: the sorted tag list of each catalog object
-    (one row per object unless it carries more tags than the list chunk size)."""
-    # Repeated tags of one name come from different assignments: spread by their source and target.
-    return chunked_lists(_mapping_rows(g), ["type", "name"], "tag", "tags", spread=("source", "target")).select(
-        "name", "type", "chunk", "tags")
+    """``(name, type, tag, n)``: each tag of each catalog object with its multiplicity."""
+    return tag_mapping_pairs(g).groupBy("name", "type", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mappings_to_json(mapping: DataFrame) -> DataFrame:
+    """S6 rows ``{name, type, tags[]}`` for ``write.json``, one tag each, so no entity's list has to fit in a row."""
+    return mapping.select("name", "type", F.array("tag").alias("tags"))
 
 
-MAPPING_JSON_SCHEMA = "name string, type string, chunk bigint, tags array<string>"
+MAPPING_JSON_SCHEMA = "name string, type string, tags array<string>"
 
 
 def mappings_from_json(df: DataFrame) -> DataFrame:
-    """A mapping read with ``spark.read.json`` (``{name, type, tags[]}``, chunks allowed) in long form."""
+    """A mapping read with ``spark.read.json`` (``{name, type, tags[]}``, any number of rows per entity) in long form."""
     return df.select("type", "name", F.explode("tags").alias("tag"))
 
 

@@ -1,10 +1,8 @@
 """Inputs of the registered queries, derived by Spark from the driver tables.
 
 The derived graph is materialised once per session and data folder as a
-predicate-partitioned snapshot in the shared storage folder, exactly like a
-stored production graph; every query then reads it with partition pruning.
-If the snapshot cannot be written the in-memory plan is used instead (same
-rows, just without the pruning).
+partitioned snapshot in the shared storage folder, exactly like a stored
+production graph; every query then reads it with partition pruning.
 """
 
 from __future__ import annotations
@@ -31,12 +29,9 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _LOCK:
         path = _PATHS.get(key)
         if path is None:
-            try:
-                path = new_snapshot_path(spark, "graph")
-                write_graph(fixtures.derived_graph(spark, sf_dir, distinct=False), path, dedupe=True)
-                _PATHS[key] = path
-            except Exception:  # noqa: BLE001 - fall back to the unmaterialised plan
-                return fixtures.derived_graph(spark, sf_dir)
+            path = new_snapshot_path(spark, "graph")
+            write_graph(fixtures.derived_graph(spark, sf_dir, distinct=False), path, dedupe=True)
+            _PATHS[key] = path
     return open_graph(spark, path)
 
 
@@ -46,10 +41,7 @@ def current_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _LOCK:
         path = _PATHS.get(key)
         if path is None:
-            try:
-                path = new_snapshot_path(spark, "current_tags")
-                fixtures.current_tags(spark, sf_dir).write.parquet(path)
-                _PATHS[key] = path
-            except Exception:  # noqa: BLE001
-                return fixtures.current_tags(spark, sf_dir)
+            path = new_snapshot_path(spark, "current_tags")
+            fixtures.current_tags(spark, sf_dir).write.parquet(path)
+            _PATHS[key] = path
     return spark.read.parquet(path)

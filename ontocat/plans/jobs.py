@@ -3,9 +3,11 @@
 * ``sync``   stored graph + current tags -> tag mapping -> sync plan -> change table (S1, S5, G2, G1, S7)
 * ``import`` stored graph + N-Triples files -> new graph snapshot + rejects (S1, S2)
 * ``export`` stored graph -> N-Triples text files (S1, S3)
+* ``apply``  stored graph + command table -> new graph snapshot + rejects (S1, S4, U1-U11)
 
 Each job writes to new paths only (never over its inputs) and returns the
-paths it wrote. Run as ``python -m ontocat.plans.jobs <job> ...``.
+paths it wrote. A graph path without a graph is an error unless ``--create`` is
+given. Snapshots hold the partitions that changed and refer to the others. Run as ``python -m ontocat.plans.jobs <job> ...``.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ import json
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ontocat.operators import tagsync
+from ontocat.operators.mutations import CHANGES, ChangeSet
+from ontocat.model import PK
 from ontocat.sources import ntriples
-from ontocat.sources.store import open_graph, write_graph
+from ontocat.sources.store import open_graph, write_changed
 
 
 def sync_tags(spark: SparkSession, graph_path: str, current_tags_path: str, out_path: str,
@@ -38,18 +43,36 @@ def sync_tags(spark: SparkSession, graph_path: str, current_tags_path: str, out_
     return {"plan": plan_path, "changes": changes_path}
 
 
+def _apply(spark: SparkSession, graph_path: str | None, change: ChangeSet, out_path: str, create: bool) -> str:
+    """The new snapshot: only the partitions that the change set touches are read whole and written."""
+    g = open_graph(spark, graph_path, create)
+    touched = change.touched(g)
+    part = g.filter(F.col(PK).isin(*touched)) if touched else g.filter(F.lit(False))
+    old = None if create and not g.take(1) else graph_path
+    return write_changed(spark, old, change.apply(part), out_path, touched)
+
+
 def import_graph(spark: SparkSession, graph_path: str | None, files: str, out_path: str,
-                 batch_id: str | None = None) -> dict[str, str]:
+                 batch_id: str | None = None, create: bool = False) -> dict[str, str]:
     """Merge N-Triples files into the graph as a new snapshot; rejected lines go beside it."""
-    g = open_graph(spark, graph_path)
     bid = batch_id or uuid.uuid4().hex[:12]
-    merged, _, rejects = ntriples.import_merge(g, ntriples.read_ntriples(spark, files), bid)
+    parsed, rejects = ntriples.parse_lines(ntriples.read_ntriples(spark, files), bid)
     graph_out, rejects_out = f"{out_path}/graph", f"{out_path}/rejects"
-    write_graph(merged, graph_out)
+    _apply(spark, graph_path, ChangeSet(parsed), graph_out, create)
     rejects.write.mode("errorifexists").text(rejects_out)
     return {"graph": graph_out, "rejects": rejects_out}
 
 
+def apply_commands(spark: SparkSession, graph_path: str | None, command: str, commands_path: str, out_path: str,
+                   create: bool = False) -> dict[str, str]:
+    """Apply a command table (Parquet; columns as its operator says); rejected commands go beside the snapshot."""
+    change = CHANGES[command](open_graph(spark, graph_path, create), spark.read.parquet(commands_path))
+    graph_out, rejects_out = f"{out_path}/graph", f"{out_path}/rejects"
+    _apply(spark, graph_path, change, graph_out, create)
+    change.rejected.write.mode("errorifexists").parquet(rejects_out)
+    return {"graph": graph_out, "rejects": rejects_out}
+
+
 def export_graph(spark: SparkSession, graph_path: str, out_path: str) -> dict[str, str]:
     """Write the graph as N-Triples text."""
     return {"ntriples": ntriples.export_graph(open_graph(spark, graph_path), out_path)}
@@ -70,6 +93,13 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--files", required=True)
     i.add_argument("--out", required=True)
     i.add_argument("--batch-id")
+    i.add_argument("--create", action="store_true")
+    c = sub.add_parser("apply")
+    c.add_argument("--graph", required=True)
+    c.add_argument("--command", required=True, choices=sorted(CHANGES))
+    c.add_argument("--commands", required=True)
+    c.add_argument("--out", required=True)
+    c.add_argument("--create", action="store_true")
     e = sub.add_parser("export")
     e.add_argument("--graph", required=True)
     e.add_argument("--out", required=True)
@@ -78,7 +108,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.job == "sync":
         out = sync_tags(spark, a.graph, a.current_tags, a.out, a.prefix, a.limit, a.include_unmapped)
     elif a.job == "import":
-        out = import_graph(spark, a.graph, a.files, a.out, a.batch_id)
+        out = import_graph(spark, a.graph, a.files, a.out, a.batch_id, a.create)
+    elif a.job == "apply":
+        out = apply_commands(spark, a.graph, a.command, a.commands, a.out, a.create)
     else:
         out = export_graph(spark, a.graph, a.out)
     print(json.dumps(out))

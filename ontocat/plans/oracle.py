@@ -3,7 +3,7 @@
 Each entry is a complete SQL text over the driver's tables (registered as
 views). It rebuilds the derived graph and current tags with the definitions of
 FIXTURES.md, then restates the operator in plain SQL. Column names equal the
-Spark query's; lists are compared as sorted ``||`` strings.
+Spark query's.
 """
 
 from __future__ import annotations
@@ -40,6 +40,17 @@ g AS (
     UNION ALL SELECT concat('c/', o_orderkey), 'rdf:type', 'uc:Column', 'iri' FROM orders WHERE o_orderkey % 13 <> 12
     UNION ALL SELECT concat('c/', o_orderkey), 'uc:name', concat('main.', lower(c_mktsegment), '.', replace(c_name, '#', '_'), '.o', o_orderkey), 'lit' FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 29 <> 28
     UNION ALL SELECT concat('c/', o_orderkey), 'uc:propertyAssignment', concat('pr/', left(o_orderpriority, 1)), 'iri' FROM orders
+    UNION ALL SELECT concat('pt/', p_partkey), 'rdf:type', 'skos:Concept', 'iri' FROM part
+    UNION ALL SELECT concat('pt/', p_partkey), 'rdfs:label', p_name, 'lit' FROM part WHERE p_partkey % 17 <> 16
+    UNION ALL SELECT concat('pt/', p_partkey), 'skos:broader', concat('ty/', p_type), 'iri' FROM part
+    UNION ALL SELECT concat('pt/', p_partkey), 'skos:altLabel', concat(p_name, ' ', p_brand), 'lit' FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT concat('sp/', s_suppkey), 'rdf:type', 'rdf:Property', 'iri' FROM supplier
+    UNION ALL SELECT concat('sp/', s_suppkey), 'rdfs:label', s_name, 'lit' FROM supplier
+    UNION ALL SELECT concat('sp/', s_suppkey), 'rdfs:domain', concat('pt/', s_suppkey), 'iri' FROM supplier
+    UNION ALL SELECT concat('sp/', s_suppkey), 'rdfs:range', concat('n/', s_nationkey), 'iri' FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT concat('sp/', s_suppkey), 'skos:altLabel', lower(s_name), 'lit' FROM supplier WHERE s_suppkey % 5 <> 0
+    UNION ALL SELECT concat('t/', c_custkey), 'uc:conceptAssignment', 'pt/1', 'iri' FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT 'r/0', 'skos:altLabel', concat('syn ', c_name), 'lit' FROM customer
   ) AS raw_triples
 )"""
 
@@ -146,8 +157,7 @@ DETAIL_CTES = f"""
 , lmin AS (SELECT uri, min(label) AS label FROM lab GROUP BY uri)
 , cmin AS (SELECT s AS uri, min(o) AS comment FROM g WHERE p = 'rdfs:comment' GROUP BY s)
 , tmin AS (SELECT s AS uri, substr(min({TYPE_RANK_SQL} || o), 2) AS type FROM g WHERE p = 'rdf:type' GROUP BY s)
-, alts AS (SELECT s AS uri, string_agg(o, '||' ORDER BY o) AS alt_labels, count(*) AS n_alt_labels
-           FROM g WHERE p = 'skos:altLabel' GROUP BY s)
+, alts AS (SELECT s AS uri, count(*) AS n_alt_labels FROM g WHERE p = 'skos:altLabel' GROUP BY s)
 , rel AS (
     SELECT r.s AS uri, {{expand}} AS predicate, r.o AS object, l.label AS object_label, r.p AS predicate_type
     FROM g r JOIN members m ON m.uri = r.s LEFT JOIN lab l ON l.uri = r.o
@@ -163,8 +173,7 @@ DETAIL_CTES = f"""
 
 def _detail_select(base: str) -> str:
     return f"""
-SELECT b.uri, lmin.label, cmin.comment, tmin.type, CAST(0 AS BIGINT) AS chunk,
-       coalesce(alts.alt_labels, '') AS alt_labels, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
+SELECT b.uri, lmin.label, cmin.comment, coalesce({expand_sql('tmin.type')}, tmin.type) AS type, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
 FROM {base} b LEFT JOIN lmin ON lmin.uri = b.uri LEFT JOIN cmin ON cmin.uri = b.uri
 LEFT JOIN tmin ON tmin.uri = b.uri LEFT JOIN alts ON alts.uri = b.uri"""
 
@@ -254,11 +263,6 @@ GRAPH_VIEW_CTES = f"""
 """
 
 
-def _list_sql(col: str, alias: str) -> str:
-    return (f"coalesce(string_agg({col}, '||' ORDER BY {col}), '') AS {alias}, "
-            f"count({col}) AS n_{alias}")
-
-
 ORACLE: dict[str, str] = {
     "tables": with_common("""
 SELECT t.s AS uri, n.o AS name
@@ -275,27 +279,26 @@ SELECT DISTINCT m.uri, l.label FROM members m LEFT JOIN lab l ON l.uri = m.uri""
 , rng AS (SELECT r.s AS uri, r.o AS range, l.label AS range_label FROM g r JOIN lab l ON l.uri = r.o WHERE r.p = 'rdfs:range')
 SELECT DISTINCT pr.uri, n.label AS name, dom.domain, dom.domain_label, rng.range, rng.range_label
 FROM props pr LEFT JOIN lab n ON n.uri = pr.uri LEFT JOIN dom ON dom.uri = pr.uri LEFT JOIN rng ON rng.uri = pr.uri"""),
-    "concepts_alt_labels": with_common(f"""
+    "concepts_alt_labels": with_common("""
 , rows AS (
   SELECT DISTINCT m.uri, l.label, a.o AS alt
   FROM members m LEFT JOIN lab l ON l.uri = m.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = m.uri)
-SELECT uri, label, CAST(0 AS BIGINT) AS chunk, {_list_sql('alt', 'alt_labels')} FROM rows GROUP BY uri, label"""),
-    "concepts_alt_labels_bag": with_common(f"""
-SELECT m.uri, l.label, CAST(0 AS BIGINT) AS chunk, {_list_sql('a.o', 'alt_labels')}
+SELECT uri, label, alt AS alt_label FROM rows"""),
+    "concepts_alt_labels_bag": with_common("""
+SELECT m.uri, l.label, a.o AS alt_label, count(*) AS n
 FROM members_bag m LEFT JOIN lab l ON l.uri = m.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = m.uri
-GROUP BY m.uri, l.label"""),
+GROUP BY m.uri, l.label, a.o"""),
     "concept_alt_label_pairs": with_common("""
 SELECT m.uri, l.label, a.o AS alt_label, count(*) AS n
 FROM members_bag m LEFT JOIN lab l ON l.uri = m.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = m.uri
 GROUP BY m.uri, l.label, a.o"""),
-    "properties_alt_labels": with_common(f"""
-SELECT pr.uri, n.label AS name, CAST(0 AS BIGINT) AS chunk, {_list_sql('a.o', 'alt_labels')}
-FROM props pr LEFT JOIN lab n ON n.uri = pr.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = pr.uri
-GROUP BY pr.uri, n.label"""),
+    "properties_alt_labels": with_common("""
+SELECT pr.uri, n.label AS name, a.o AS alt_label
+FROM props pr LEFT JOIN lab n ON n.uri = pr.uri LEFT JOIN g a ON a.p = 'skos:altLabel' AND a.s = pr.uri"""),
     "table_assignments": with_common("SELECT * FROM ta"),
     "column_assignments": with_common("SELECT * FROM ca"),
-    "tag_mappings": with_common(f"""
-SELECT name, type, CAST(0 AS BIGINT) AS chunk, {_list_sql('tag', 'tags')} FROM pairs GROUP BY type, name"""),
+    "tag_mappings": with_common("""
+SELECT name, type, tag, count(*) AS n FROM pairs GROUP BY type, name, tag"""),
     "tag_mapping_pairs": with_common("SELECT type, name, tag FROM pairs"),
     "concept_detail": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """
 , req AS (SELECT uri FROM members UNION ALL SELECT o FROM g WHERE p = 'uc:conceptAssignment')
@@ -311,13 +314,12 @@ SELECT name, type, CAST(0 AS BIGINT) AS chunk, {_list_sql('tag', 'tags')} FROM p
            JOIN (SELECT uri, min(range) AS range FROM r GROUP BY uri) m ON m.uri = r.uri AND m.range = r.range
            GROUP BY r.uri, r.range)
 SELECT b.uri, lmin.label, cmin.comment, dmin.domain, dmin.domain_label, rmin.range, rmin.range_label,
-       CAST(0 AS BIGINT) AS chunk, coalesce(alts.alt_labels, '') AS alt_labels, coalesce(alts.n_alt_labels, 0) AS n_alt_labels
+       coalesce(alts.n_alt_labels, 0) AS n_alt_labels
 FROM base b LEFT JOIN lmin ON lmin.uri = b.uri LEFT JOIN cmin ON cmin.uri = b.uri
 LEFT JOIN dmin ON dmin.uri = b.uri LEFT JOIN rmin ON rmin.uri = b.uri LEFT JOIN alts ON alts.uri = b.uri"""),
     "concept_relationships": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + "SELECT * FROM rel"),
     "alt_labels": with_common("""
-SELECT s AS uri, CAST(0 AS BIGINT) AS chunk, string_agg(o, '||' ORDER BY o) AS alt_labels, count(*) AS n_alt_labels
-FROM g WHERE p = 'skos:altLabel' GROUP BY s"""),
+SELECT s AS uri, o AS alt_label FROM g WHERE p = 'skos:altLabel'"""),
     "concept_properties": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + "SELECT * FROM cprops"),
     "concept_summary": with_common(DETAIL_CTES.replace("{expand}", expand_sql("r.p")) + """
 , base AS (SELECT DISTINCT m.uri FROM members m JOIN g ON g.s = m.uri)
@@ -337,10 +339,7 @@ FROM det LEFT JOIN nrel ON nrel.uri = det.uri LEFT JOIN ntab ON ntab.uri = det.u
     SELECT concept_uri, 'assigned_table', table_uri, table_name, 'assignment' FROM ta WHERE concept_uri IN (SELECT uri FROM base)
     UNION ALL
     SELECT concept, 'property', uri, name, role FROM cprops WHERE concept IN (SELECT uri FROM base))
-SELECT uri, section, CAST(0 AS BIGINT) AS chunk, count(*) AS n_items,
-       string_agg(coalesce(i_uri, '') || '|' || coalesce(i_label, '') || '|' || coalesce(i_role, ''), '||'
-                  ORDER BY i_uri NULLS FIRST, i_label NULLS FIRST, i_role NULLS FIRST) AS items
-FROM items GROUP BY uri, section"""),
+SELECT uri, section, i_uri AS item_uri, i_label AS item_label, i_role AS item_role FROM items"""),
     "assigned_objects": with_common("""
 , req AS (SELECT uri FROM members UNION SELECT uri FROM props)
 SELECT ta.concept_uri AS uri, ta.table_uri, ta.table_name, ta.concept_uri, ta.concept_name,

@@ -99,7 +99,7 @@ INSERT_PROPERTIES = f"""
 , cmds AS (
   SELECT CAST(r_regionkey AS BIGINT) AS seq, CASE WHEN r_regionkey = 0 THEN NULL ELSE concat('pr/', r_regionkey) END AS uri,
          concat(r_name, ' property') AS label, concat('r/', r_regionkey) AS domain,
-         CASE WHEN r_regionkey % 2 = 0 THEN concat('n/', r_regionkey) ELSE '' END AS range, [lower(r_name)] AS alt_labels
+         CASE WHEN r_regionkey = 2 THEN 'xsd:string' WHEN r_regionkey % 2 = 0 THEN concat('n/', r_regionkey) ELSE '' END AS range, [lower(r_name)] AS alt_labels
   FROM region
   UNION ALL SELECT s_suppkey + 100, concat('sp/', s_nationkey), concat('Supplier ', s_nationkey), concat('n/', s_nationkey),
          NULL, [s_name] FROM supplier)
@@ -174,14 +174,15 @@ REL_ADD_CMDS = f"""
   SELECT CAST(n_nationkey AS BIGINT) AS seq, concat('n/', n_nationkey) AS subject_uri,
          CASE WHEN n_nationkey % 4 = 0 THEN 'skos:broader' WHEN n_nationkey % 4 = 1 THEN 'rdfs:subClassOf'
               WHEN n_nationkey % 4 = 2 THEN 'user:relatedTo' ELSE 'bad:thing' END AS predicate_type,
-         CASE WHEN n_regionkey = 4 THEN NULL ELSE concat('r/', (n_nationkey + 1) % 5) END AS object_uri FROM nation
+         CASE WHEN n_regionkey = 4 THEN NULL WHEN n_regionkey = 3 THEN 'http://www.w3.org/2002/07/owl#Thing'
+              ELSE concat('r/', (n_nationkey + 1) % 5) END AS object_uri FROM nation
   UNION ALL SELECT p_partkey + 100, concat('ty/', p_type), 'skos:related', concat('b/', replace(p_brand, '#', '')) FROM part)
 , res AS (SELECT *, {expand_sql('predicate_type')} AS full_p FROM cmds)
 , good AS (SELECT * FROM res WHERE coalesce(subject_uri, '') <> '' AND coalesce(predicate_type, '') <> ''
            AND coalesce(object_uri, '') <> '' AND full_p IS NOT NULL)"""
 
 ADD_RELATIONSHIPS = REL_ADD_CMDS + f"""
-, adds AS (SELECT subject_uri AS s, {store_sql('full_p')} AS p, object_uri AS o, 'iri' AS o_kind FROM good)
+, adds AS (SELECT subject_uri AS s, {store_sql('full_p')} AS p, {store_sql('object_uri')} AS o, 'iri' AS o_kind FROM good)
 {SET_UNION}"""
 
 ADD_RELATIONSHIPS_REJECTED = REL_ADD_CMDS + """
@@ -198,6 +199,12 @@ DELETE_RELATIONSHIPS = f"""
 SELECT s, p, o, o_kind FROM g
 WHERE NOT EXISTS (SELECT 1 FROM rm WHERE rm.s = g.s AND rm.p = g.p AND rm.o = g.o AND g.o_kind = 'iri')"""
 
+DELETE_RELATIONSHIPS_REJECTED = """
+SELECT CAST(n_nationkey + 1000000000 AS BIGINT) AS seq, concat('n/', n_nationkey) AS subject_uri,
+       CASE WHEN n_nationkey % 4 = 1 THEN 'bad:thing' ELSE 'rdfs:subClassOf' END AS predicate_type,
+       CASE WHEN n_nationkey % 4 = 1 THEN concat('r/', n_nationkey) ELSE '' END AS object_uri
+FROM nation WHERE n_nationkey % 6 = 5"""
+
 ASSIGN_CONCEPTS = f"""
 , adds AS (
   SELECT concat('t/', c_custkey) AS s, 'uc:conceptAssignment' AS p, concat('r/', c_nationkey % 5) AS o, 'iri' AS o_kind FROM customer
@@ -226,6 +233,7 @@ MUTATION_BODIES = {
     "add_relationships": ADD_RELATIONSHIPS,
     "add_relationships_rejected": ADD_RELATIONSHIPS_REJECTED,
     "delete_relationships": DELETE_RELATIONSHIPS,
+    "delete_relationships_rejected": DELETE_RELATIONSHIPS_REJECTED,
     "assign_concepts": ASSIGN_CONCEPTS,
     "assign_properties": ASSIGN_PROPERTIES,
     "delete_objects": DELETE_OBJECTS,
@@ -262,12 +270,16 @@ PARSED = f"""
   UNION ALL SELECT concat('{_SUP}', s_suppkey), '{USER_NS}since', concat(1990 + s_nationkey, '-01-0', 1 + s_nationkey % 9),
             'lit', 'xsd:date', NULL FROM supplier
   UNION ALL SELECT concat('{_SUP}', s_suppkey), '{USER_NS}active', CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END,
-            'lit', 'xsd:boolean', NULL FROM supplier)
+            'lit', 'xsd:boolean', NULL FROM supplier
+  UNION ALL SELECT concat('http://example.com/ontology/document/', doc_id), 'rdfs:comment', text, 'lit', NULL, NULL
+            FROM documents WHERE text IS NOT NULL)
 , gfull AS (SELECT s, p, o, o_kind, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM g)
 , added AS (SELECT DISTINCT * FROM parsed EXCEPT SELECT * FROM gfull)"""
 
 IMPORT_MERGE = PARSED + "\nSELECT * FROM added"
 
+IMPORT_MERGED_GRAPH = PARSED + "\nSELECT * FROM gfull UNION SELECT * FROM added"
+
 IMPORT_REJECTS = "SELECT concat('supplier ', s_suppkey, ' is not a triple') AS value FROM supplier"
 
 _INT_TYPES = ", ".join(f"'{t}'" for t in (
@@ -276,7 +288,7 @@ _INT_TYPES = ", ".join(f"'{t}'" for t in (
     "xsd:unsignedByte"))
 
 LITERAL_DECODE = PARSED + f"""
-SELECT s, p, o, o_datatype,
+SELECT s, p, o, o_kind, o_datatype,
        CASE WHEN o_datatype IN ({_INT_TYPES}) THEN TRY_CAST(o AS BIGINT) END AS value_long,
        CASE WHEN o_datatype IN ('xsd:decimal', 'xsd:double', 'xsd:float') THEN TRY_CAST(o AS DOUBLE) END AS value_double,
        CASE WHEN o_datatype = 'xsd:boolean' THEN CASE WHEN o IN ('true', '1') THEN true WHEN o IN ('false', '0') THEN false END
@@ -284,8 +296,7 @@ SELECT s, p, o, o_datatype,
        CASE WHEN o_datatype = 'xsd:date' THEN TRY_CAST(o AS DATE) END AS value_date,
        CASE WHEN o_datatype = 'xsd:dateTime' THEN TRY_CAST(o AS TIMESTAMP) END AS value_timestamp,
        CASE WHEN o_datatype IS NULL OR o_datatype = 'xsd:string' THEN o END AS value_string
-FROM (SELECT s, p, o, o_kind, o_datatype, o_lang FROM gfull UNION SELECT * FROM added) m
-WHERE o_datatype IS NOT NULL"""
+FROM (SELECT s, p, o, o_kind, o_datatype, o_lang FROM gfull UNION SELECT * FROM added) m"""
 
 def escape_iri_sql(x: str) -> str:
     """SQL form of :func:`ontocat.sources.ntriples.escape_iri` (backslash first)."""
@@ -328,6 +339,7 @@ GRAPH_IRIS = f"""
 
 SCALAR_BODIES = {
     "import_merge": IMPORT_MERGE,
+    "import_merged_graph": IMPORT_MERGED_GRAPH,
     "import_rejects": IMPORT_REJECTS,
     "export_triples": EXPORT_TRIPLES,
     "literal_decode": LITERAL_DECODE,

@@ -2,22 +2,20 @@
 
 Every query reads the graph (or tags) Spark derives from the driver tables in
 ``sf_dir`` and runs the operator over all of it. Outputs use plain columns so
-that they compare against the SQL in :mod:`ontocat.plans.oracle`: list
-columns are rendered as one ``||``-joined sorted string plus their size.
+that they compare against the SQL in :mod:`ontocat.plans.oracle`.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ontocat.model import Vocab, by_predicate
 from ontocat.operators import assignments as asg
 from ontocat.operators import entities as ent
 from ontocat.operators import tagsync
-from ontocat.operators.joins import release_batches
 from ontocat.plans import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,24 +24,12 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str):
     def deco(fn: Query) -> Query:
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # Batches persisted for size checks by earlier queries are released.
-            release_batches()
-            return fn(spark, sf_dir)
-
-        QUERIES[name] = run
-        return run
+        QUERIES[name] = fn
+        return fn
 
     return deco
 
 
-def render_list(df: DataFrame, col: str) -> DataFrame:
-    """Replace an ``array<string>`` column by its sorted ``||`` text and its size."""
-    return df.withColumn(f"n_{col}", F.size(F.col(col)).cast("bigint")).withColumn(
-        col, F.concat_ws("||", F.sort_array(F.col(col))))
-
-
 def _g(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.graph(spark, sf_dir)
 
@@ -73,22 +59,22 @@ def q_properties(spark, sf_dir):
 
 @query("concepts_alt_labels")
 def q_concepts_alt_labels(spark, sf_dir):
-    return render_list(ent.concepts_alt_labels(_g(spark, sf_dir), dedupe=True), "alt_labels")
+    return ent.concepts_alt_labels(_g(spark, sf_dir), dedupe=True).drop("n")
 
 
 @query("concepts_alt_labels_bag")
 def q_concepts_alt_labels_bag(spark, sf_dir):
-    return render_list(ent.concepts_alt_labels(_g(spark, sf_dir), dedupe=False), "alt_labels")
+    return ent.concepts_alt_labels(_g(spark, sf_dir), dedupe=False)
 
 
 @query("concept_alt_label_pairs")
 def q_concept_alt_label_pairs(spark, sf_dir):
-    return ent.concepts_alt_label_pairs(_g(spark, sf_dir), dedupe=False)
+    return ent.concepts_alt_labels(_g(spark, sf_dir), dedupe=False)
 
 
 @query("properties_alt_labels")
 def q_properties_alt_labels(spark, sf_dir):
-    return render_list(ent.properties_alt_labels(_g(spark, sf_dir)), "alt_labels")
+    return ent.properties_alt_labels(_g(spark, sf_dir))
 
 
 # --------------------------------------------------------------- assignments
@@ -109,7 +95,7 @@ def q_column_assignments(spark, sf_dir):
 
 @query("tag_mappings")
 def q_tag_mappings(spark, sf_dir):
-    return render_list(tagsync.tag_mappings(_g(spark, sf_dir)), "tags")
+    return tagsync.tag_mappings(_g(spark, sf_dir))
 
 
 @query("tag_mapping_pairs")
@@ -134,24 +120,21 @@ def q_tag_sync_plan_limit25(spark, sf_dir):
 
 def _assigned_or_member_concepts(g: DataFrame) -> DataFrame:
     """Request batch for concept pages: every concept plus every assignment target."""
-    targets = g.filter(F.col("p") == "uc:conceptAssignment").select(F.col("o").alias("uri"))
-    if "pk" in g.columns:
-        targets = g.filter((F.col("pk") == "uc:conceptAssignment") & (F.col("p") == "uc:conceptAssignment")).select(
-            F.col("o").alias("uri"))
+    targets = by_predicate(g, Vocab.CONCEPT_ASSIGNMENT).select(F.col("o").alias("uri"))
     return ent.concept_members(g).unionByName(targets)
 
 
 @query("concept_detail")
 def q_concept_detail(spark, sf_dir):
     g = _g(spark, sf_dir)
-    return render_list(ent.concept_detail(g, _assigned_or_member_concepts(g)), "alt_labels")
+    return ent.concept_detail(g, _assigned_or_member_concepts(g))
 
 
 @query("property_detail")
 def q_property_detail(spark, sf_dir):
     g = _g(spark, sf_dir)
     targets = asg.column_assignments(g).select(F.col("property_uri").alias("uri"))
-    return render_list(ent.property_detail(g, targets), "alt_labels")
+    return ent.property_detail(g, targets)
 
 
 @query("concept_relationships")
@@ -161,7 +144,7 @@ def q_concept_relationships(spark, sf_dir):
 
 @query("alt_labels")
 def q_alt_labels(spark, sf_dir):
-    return render_list(ent.alt_labels(_g(spark, sf_dir)), "alt_labels")
+    return ent.alt_labels(_g(spark, sf_dir))
 
 
 @query("concept_properties")
@@ -172,7 +155,7 @@ def q_concept_properties(spark, sf_dir):
 @query("concept_summary")
 def q_concept_summary(spark, sf_dir):
     g = _g(spark, sf_dir)
-    return render_list(asg.concept_summary(g, ent.concept_members(g)), "alt_labels")
+    return asg.concept_summary(g, ent.concept_members(g))
 
 
 @query("assigned_objects")
@@ -343,6 +326,15 @@ def q_delete_relationships(spark, sf_dir):
     return _graph_out(mut.delete_relationships(_g(spark, sf_dir), commands.relationship_deletes(spark, sf_dir)))
 
 
+@query("delete_relationships_rejected")
+def q_delete_relationships_rejected(spark, sf_dir):
+    from ontocat.operators import mutations as mut
+    from ontocat.sources import commands
+
+    change = mut.relationship_delete_changes(_g(spark, sf_dir), commands.relationship_deletes(spark, sf_dir))
+    return change.rejected.select("seq", "subject_uri", "predicate_type", "object_uri")
+
+
 @query("assign_concepts")
 def q_assign_concepts(spark, sf_dir):
     from ontocat.operators import mutations as mut
@@ -384,6 +376,12 @@ def q_import_merge(spark, sf_dir):
     return added
 
 
+@query("import_merged_graph")
+def q_import_merged_graph(spark, sf_dir):
+    merged, _, _ = _import(spark, sf_dir)
+    return merged
+
+
 @query("import_rejects")
 def q_import_rejects(spark, sf_dir):
     _, _, rejects = _import(spark, sf_dir)
@@ -402,9 +400,8 @@ def q_literal_decode(spark, sf_dir):
     from ontocat.functions.scalars import literal_value
 
     merged, _, _ = _import(spark, sf_dir)
-    lits = merged.filter(F.col("o_datatype").isNotNull())
-    vals = literal_value(F.col("o"), F.col("o_datatype"))
-    return lits.select("s", "p", "o", "o_datatype", *[c.alias(n) for n, c in vals.items()])
+    vals = literal_value(F.col("o"), F.when(F.col("o_kind") == "lit", F.col("o_datatype")))
+    return merged.select("s", "p", "o", "o_kind", "o_datatype", *[c.alias(n) for n, c in vals.items()])
 
 
 @query("mint_iri")
@@ -484,7 +481,7 @@ def q_tag_changes_from_json(spark, sf_dir):
     from ontocat.session import new_snapshot_path
 
     path = new_snapshot_path(spark, "mappings-json")
-    tagsync.tag_mappings(_g(spark, sf_dir)).write.mode("errorifexists").json(path)
+    tagsync.mappings_to_json(tagsync.tag_mapping_pairs(_g(spark, sf_dir))).write.mode("errorifexists").json(path)
     mapping = tagsync.mappings_from_json(spark.read.schema(tagsync.MAPPING_JSON_SCHEMA).json(path))
     plan = tagsync.tag_sync_plan(mapping, inputs.current_tags(spark, sf_dir))
     return tagsync.change_table(plan)
@@ -493,9 +490,4 @@ def q_tag_changes_from_json(spark, sf_dir):
 @query("concept_summary_items")
 def q_concept_summary_items(spark, sf_dir):
     g = _g(spark, sf_dir)
-    items = asg.concept_summary_items(g, ent.concept_members(g))
-    return items.select(
-        "uri", "section", "chunk", F.size("items").cast("bigint").alias("n_items"),
-        F.concat_ws("||", F.transform("items", lambda i: F.concat_ws(
-            "|", F.coalesce(i["uri"], F.lit("")), F.coalesce(i["label"], F.lit("")),
-            F.coalesce(i["role"], F.lit(""))))).alias("items"))
+    return asg.concept_summary_items(g, ent.concept_members(g))

@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontocat.sources.fixtures import read_table
+from ontocat.sources.ntriples import escape
+
+
+# Vocabulary IRIs given in full.
+_OWL_THING = "http://www.w3.org/2002/07/owl#Thing"
+_XSD_STRING = "http://www.w3.org/2001/XMLSchema#string"
 
 
 def _cat(*parts) -> Column:
@@ -109,7 +115,7 @@ def property_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, _null_s()).otherwise(_cat("pr/", k)).alias("uri"),
         _cat(nm, " property").alias("label"),
         _cat("r/", k).alias("domain"),
-        F.when(k % 2 == 0, _cat("n/", k)).otherwise(F.lit("")).alias("range"),
+        F.when(k == 2, F.lit(_XSD_STRING)).when(k % 2 == 0, _cat("n/", k)).otherwise(F.lit("")).alias("range"),
         F.array(F.lower(nm)).alias("alt_labels"),
     )
     s = read_table(spark, sf_dir, "supplier")
@@ -183,7 +189,8 @@ def relationship_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("n/", k).alias("subject_uri"),
         F.when(k % 4 == 0, "skos:broader").when(k % 4 == 1, "rdfs:subClassOf").when(k % 4 == 2, "user:relatedTo")
         .otherwise("bad:thing").alias("predicate_type"),
-        F.when(F.col("n_regionkey") == 4, _null_s()).otherwise(_cat("r/", (k + 1) % 5)).alias("object_uri"),
+        F.when(F.col("n_regionkey") == 4, _null_s()).when(F.col("n_regionkey") == 3, F.lit(_OWL_THING))
+        .otherwise(_cat("r/", (k + 1) % 5)).alias("object_uri"),
     )
     p = read_table(spark, sf_dir, "part")
     prt = p.select(
@@ -196,7 +203,8 @@ def relationship_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relationship_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U8: hierarchy edges of nations and the narrower edges of large parts' types."""
+    """U8: hierarchy edges of nations and the narrower edges of large parts' types; an unknown
+    prefix and an empty object (both rejected)."""
     n = read_table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     nat = _rows(
@@ -215,7 +223,11 @@ def relationship_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("skos:narrower").alias("predicate_type"),
         _cat("b/", F.regexp_replace("p_brand", "#", "")).alias("object_uri"),
     )
-    return nat.unionByName(prt)
+    bad = n.filter(k % 6 == 5).select(
+        (k + 1_000_000_000).cast("bigint").alias("seq"), _cat("n/", k).alias("subject_uri"),
+        F.when(k % 4 == 1, "bad:thing").otherwise("rdfs:subClassOf").alias("predicate_type"),
+        F.when(k % 4 == 1, _cat("r/", k)).otherwise(F.lit("")).alias("object_uri"))
+    return nat.unionByName(prt).unionByName(bad)
 
 
 def concept_assignment_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +262,7 @@ def delete_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # IRIs written into the generated import file.
 _SUP = "http://example.com/ontology/supplier/"
+_DOC = "http://example.com/ontology/document/"
 _RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 _RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 _XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -263,7 +276,8 @@ def ntriples_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Per supplier: a typed table with a name, an integer, a date and a boolean
     literal, a language-tagged label with escapes, a blank-node statement, a
     statement the derived graph already holds (for the first suppliers), a
-    comment line and a malformed line.
+    comment line and a malformed line. Per document: its whole text as a comment,
+    with escapes and a character reference.
     """
     s = read_table(spark, sf_dir, "supplier")
     k, nk = F.col("s_suppkey"), F.col("s_nationkey")
@@ -281,7 +295,10 @@ def ntriples_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("# supplier ", k),
         _cat("supplier ", k, " is not a triple"),
     ]
-    return s.select(F.explode(F.array(*lines)).alias("value"))
+    d = read_table(spark, sf_dir, "documents").filter("text is not null")
+    text = F.replace(escape(F.col("text")), F.lit("\u00e9"), F.lit("\\u00E9"))
+    about = d.select(_cat("<", _DOC, F.col("doc_id"), "> <", _RDFS, "comment> \"", text, "\" .").alias("value"))
+    return s.select(F.explode(F.array(*lines)).alias("value")).unionByName(about)
 
 
 def scalar_names(spark: SparkSession, sf_dir: str) -> DataFrame:

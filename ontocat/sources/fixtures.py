@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from ontocat.model import IRI, LIT, TRIPLE_COLUMNS, Vocab
 
-FIXTURE_TABLES = ("region", "nation", "part", "orders", "customer", "lineitem", "supplier")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,6 +92,29 @@ def derived_graph(spark: SparkSession, sf_dir: str, distinct: bool = True) -> Da
         _t(br, V.LABEL, F.col("p_brand"), LIT),
     )
 
+    # An ontology that grows with the tables: a concept per part, a property per supplier,
+    # one concept with a synonym per customer and one assigned to a third of the tables.
+    pk = F.col("p_partkey")
+    px = _cat("pt/", pk)
+    parts = _emit(
+        part,
+        _t(px, V.TYPE, F.lit(V.CONCEPT), IRI),
+        _t(px, V.LABEL, F.col("p_name"), LIT, pk % 17 != 16),
+        _t(px, V.BROADER, ty, IRI),
+        _t(px, V.ALT_LABEL, _cat(F.col("p_name"), " ", F.col("p_brand")), LIT, pk % 3 == 0),
+    )
+    supplier = read_table(spark, sf_dir, "supplier")
+    sk = F.col("s_suppkey")
+    sx = _cat("sp/", sk)
+    suppliers = _emit(
+        supplier,
+        _t(sx, V.TYPE, F.lit(V.PROPERTY), IRI),
+        _t(sx, V.LABEL, F.col("s_name"), LIT),
+        _t(sx, V.DOMAIN, _cat("pt/", sk), IRI),
+        _t(sx, V.RANGE, _cat("n/", F.col("s_nationkey")), IRI, sk % 2 == 0),
+        _t(sx, V.ALT_LABEL, F.lower(F.col("s_name")), LIT, sk % 5 != 0),
+    )
+
     prio = orders.select("o_orderpriority").distinct()
     pc = F.substring("o_orderpriority", 1, 1)
     pr = _cat("pr/", pc)
@@ -116,6 +136,8 @@ def derived_graph(spark: SparkSession, sf_dir: str, distinct: bool = True) -> Da
         _t(ts, V.CONCEPT_ASSIGNMENT, _cat("n/", F.col("c_nationkey")), IRI),
         _t(ts, V.CONCEPT_ASSIGNMENT, F.lit("ty/PROMO"), IRI, ck % 4 == 0),
         _t(ts, V.CONCEPT_ASSIGNMENT, F.lit("gone/2"), IRI, ck % 97 == 0),
+        _t(ts, V.CONCEPT_ASSIGNMENT, F.lit("pt/1"), IRI, ck % 3 == 0),
+        _t(F.lit("r/0"), V.ALT_LABEL, _cat("syn ", F.col("c_name")), LIT),
     )
 
     ok = F.col("o_orderkey")
@@ -134,7 +156,7 @@ def derived_graph(spark: SparkSession, sf_dir: str, distinct: bool = True) -> Da
         _t(cs, V.NAME, _cat(table_entity_name(F.col("c_mktsegment"), F.col("c_name")), ".o", ok), LIT),
     )
 
-    raw = r.unionByName(n).unionByName(pt).unionByName(pp).unionByName(c).unionByName(o).unionByName(on)
+    raw = r.unionByName(n).unionByName(pt).unionByName(parts).unionByName(suppliers).unionByName(pp).unionByName(c).unionByName(o).unionByName(on)
     return raw.distinct() if distinct else raw
 
 

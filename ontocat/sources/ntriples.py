@@ -13,6 +13,8 @@ blank-node triples twice (fresh nodes each time), as a graph store does.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,26 +24,45 @@ from ontocat.operators.mutations import triples_not_in
 
 _IRI = r"<[^>]*>"
 _BNODE = r"_:[A-Za-z0-9_][A-Za-z0-9_.\-]*"
-_LITERAL = r'"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
+# Possessive, so that a literal of any length is matched without recursion or backtracking.
+_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+_LITERAL = _QUOTED.replace("(", "(?:", 1) + r'(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
 STATEMENT = rf"^\s*({_IRI}|{_BNODE})\s+({_IRI})\s+({_IRI}|{_BNODE}|{_LITERAL})\s*\.\s*(?:#.*)?$"
 SKIP = r"^\s*(#.*)?$"
+MARK = "\u0001"
 
-_PLACEHOLDER = "\u0000"
+# A text as pieces: plain text, a run of \\uXXXX (UTF-16 units, so that surrogate pairs stay together), one
+# \\UXXXXXXXX, or a backslash with the character it escapes.
+_PIECES = r"(?s)[^\\]++|(?:\\u[0-9A-Fa-f]{4})++|\\U[0-9A-Fa-f]{8}|\\."
+# Surrogates without their other half; they stand for no character.
+_LONE = (r"\\u[dD][89abAB][0-9A-Fa-f]{2}(?!\\u[dD][c-fC-F][0-9A-Fa-f]{2})"
+         r"|(?<!\\u[dD][89abAB][0-9A-Fa-f]{2})\\u[dD][c-fC-F][0-9A-Fa-f]{2}")
+# What the escaped characters stand for.
+ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
 
 def unescape(x: Column) -> Column:
     """Decode N-Triples string escapes: ``\\\\ \\" \\n \\r \\t \\b \\f`` and ``\\uXXXX`` / ``\\UXXXXXXXX``.
 
-    An escaped backslash is parked on a placeholder first so that ``\\\\n``
-    stays a backslash followed by ``n``. Runs of ``\\uXXXX`` are decoded
-    together as UTF-16, which joins surrogate pairs.
+    Every piece is decoded on its own, so no decoded text is read as an escape
+    again. Code points that do not exist become U+FFFD.
     """
-    e = _park_backslash(F.replace(x, F.lit("\\\\"), F.lit(_PLACEHOLDER)))
-    e = _decode_uchars(e)
-    for esc, ch in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"),
-                    ("\\'", "'")):
-        e = F.replace(e, F.lit(esc), F.lit(ch))
-    return F.replace(e, F.lit(_PLACEHOLDER), F.lit("\\"))
+    return F.when(F.contains(x, F.lit("\\")), F.array_join(F.transform(
+        F.regexp_extract_all(x, F.lit(_PIECES), F.lit(0)), _decoded), "")).otherwise(x)
+
+
+def _decoded(piece: Column) -> Column:
+    second = F.substring(piece, 2, 1)
+    utf16 = F.regexp_replace(F.regexp_replace(piece, _LONE, r"\\uFFFD"), r"\\u", "")
+    digits = F.upper(F.substring(piece, 3, 8))
+    exists = (digits <= "0010FFFF") & ~digits.between("0000D800", "0000DFFF")
+    out = (F.when(~F.startswith(piece, F.lit("\\")), piece)
+           .when((second == "u") & (F.length(piece) >= 6), F.decode(F.unhex(utf16), "UTF-16BE"))
+           .when((second == "U") & (F.length(piece) == 10),
+                 F.decode(F.unhex(F.when(exists, digits).otherwise("0000FFFD")), "UTF-32")))
+    for letter, char in ESCAPED.items():
+        out = out.when(second == letter, F.lit(char))
+    return out.otherwise(F.substring(piece, 2, 2))
 
 
 # Characters N-Triples does not allow inside <IRI>, written as \uXXXX.
@@ -53,30 +74,12 @@ def escape_iri(x: Column) -> Column:
     e = x
     for ch in IRI_FORBIDDEN:
         e = F.replace(e, F.lit(ch), F.lit("\\u%04X" % ord(ch)))
-    return e
-
-
-def _park_backslash(x: Column) -> Column:
-    """Escaped backslashes (as UCHAR) onto a placeholder, so decoding never forms new escapes."""
-    e = x
-    for esc in ("\\u005C", "\\u005c", "\\U0000005C", "\\U0000005c"):
-        e = F.replace(e, F.lit(esc), F.lit(_PLACEHOLDER))
-    return e
-
-
-def _decode_uchars(e: Column) -> Column:
-    """Decode ``\\uXXXX`` runs (as UTF-16, joining surrogate pairs) and ``\\UXXXXXXXX``."""
-    runs = F.regexp_extract_all(e, F.lit(r"((?:\\u[0-9A-Fa-f]{4})+)"), F.lit(1))
-    e = F.aggregate(runs, e, lambda acc, m: F.replace(
-        acc, m, F.decode(F.unhex(F.regexp_replace(m, r"\\u", "")), "UTF-16BE")))
-    longs = F.regexp_extract_all(e, F.lit(r"(\\U[0-9A-Fa-f]{8})"), F.lit(1))
-    return F.aggregate(longs, e, lambda acc, m: F.replace(
-        acc, m, F.decode(F.unhex(F.substring(m, 3, 8)), "UTF-32")))
+    return F.when(x.rlike("[" + re.escape("".join(IRI_FORBIDDEN)) + "]"), e).otherwise(x)
 
 
 def unescape_iri(x: Column) -> Column:
     """Decode ``\\uXXXX`` / ``\\UXXXXXXXX`` escapes inside an IRI."""
-    return F.replace(_decode_uchars(_park_backslash(x)), F.lit(_PLACEHOLDER), F.lit("\\"))
+    return unescape(x)
 
 
 def escape(x: Column) -> Column:
@@ -84,7 +87,7 @@ def escape(x: Column) -> Column:
     e = F.replace(x, F.lit("\\"), F.lit("\\\\"))
     for ch, esc in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
         e = F.replace(e, F.lit(ch), F.lit(esc))
-    return e
+    return F.when(x.rlike(r'["\\\n\r]'), e).otherwise(x)
 
 
 def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None) -> tuple[DataFrame, DataFrame]:
@@ -96,13 +99,13 @@ def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None)
     that references each term several times, so every term is decoded once.
     """
     v = F.col("value")
-    m = lines.select(
-        v,
-        F.regexp_extract(v, STATEMENT, 1).alias("ts"),
-        F.regexp_extract(v, STATEMENT, 2).alias("tp"),
-        F.regexp_extract(v, STATEMENT, 3).alias("to"),
-    )
-    rejects = m.filter((F.col("ts") == "") & ~v.rlike(SKIP)).select("value")
+    # One match per line: the three terms, each behind a mark that no line of a statement starts with.
+    marked = F.regexp_replace(v, STATEMENT, MARK + "$1" + MARK + "$2" + MARK + "$3")
+    statement = F.startswith(F.col("marked"), F.lit(MARK)) & ~F.startswith(v, F.lit(MARK))
+    m = lines.select(v, marked.alias("marked")).select(
+        v, F.when(statement, F.split("marked", MARK, 4)).alias("terms"))
+    rejects = m.filter(F.col("terms").isNull() & ~v.rlike(SKIP)).select("value")
+    m = m.filter(F.col("terms").isNotNull()).select(*[F.col("terms")[i + 1].alias(n) for i, n in enumerate(("ts", "tp", "to"))])
 
     def iri_of(tok: str) -> Column:
         return unescape_iri(F.regexp_extract(F.col(tok), r"^<(.*)>$", 1))
@@ -112,16 +115,17 @@ def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None)
         return F.concat(F.lit(f"_:{batch_id}_"), F.substring(t, 3, 1 << 30)) if batch_id else t
 
     o_tok = F.col("to")
-    decoded = m.filter(F.col("ts") != "").select(
+    decoded = m.select(
         F.startswith(F.col("ts"), F.lit("_:")).alias("s_bnode"),
         iri_of("ts").alias("s_iri"), bnode_of("ts").alias("s_b"),
         iri_of("tp").alias("p_iri"),
         F.when(F.startswith(o_tok, F.lit('"')), F.lit(LIT))
         .when(F.startswith(o_tok, F.lit("_:")), F.lit(BNODE)).otherwise(F.lit(IRI)).alias("o_kind"),
         iri_of("to").alias("o_iri"), bnode_of("to").alias("o_b"),
-        unescape(F.regexp_extract(o_tok, r'^"((?:[^"\\]|\\.)*)"', 1)).alias("lexical"),
-        F.regexp_extract(o_tok, r'\^\^<([^>]*)>$', 1).alias("dt"),
-        F.regexp_extract(o_tok, r'"@([A-Za-z]+(?:-[A-Za-z0-9]+)*)$', 1).alias("lang"),
+        unescape(F.regexp_extract(o_tok, '^' + _QUOTED, 1)).alias("lexical"),
+        F.when(F.endswith(o_tok, F.lit(">")), F.substring_index(F.rtrim(o_tok, F.lit(">")), "^^<", -1)).otherwise("").alias("dt"),
+        F.when(F.startswith(o_tok, F.lit('"')) & ~F.endswith(o_tok, F.lit('"')),
+               F.regexp_extract(F.substring_index(o_tok, '"', -1), r'^@([A-Za-z]+(?:-[A-Za-z0-9]+)*)$', 1)).otherwise("").alias("lang"),
     )
     k = F.col("o_kind")
     triples = decoded.select(

@@ -99,25 +99,31 @@ def test_search_equals_brute_force(spark):
     assert got == sorted(want)
 
 
-def test_search_join_plan_equals_inline_plan(spark, graph_small):
-    from ontocat.operators import search
-
-    qs = spark.createDataFrame([(q,) for q in ("promo", "nation 1", "customer 7", "brand 12", "x")], "query string")
-    inline = search.trigram_search(graph_small, qs)
-    joined = search._trigram_search_join(graph_small, qs, 3, 10)
-    assert sorted(inline.collect()) == sorted(joined.select("query", "uri", "text").collect())
-
-
-def test_substring_join_paths_agree(spark, monkeypatch):
+def test_substring_join(spark):
     from ontocat.operators import search
 
     items = spark.createDataFrame([(str(i), t) for i, t in enumerate(
         ["Alpha beta", "ALPHABET", "gamma", "x/y None", "ß straße", "", "ab"])], "uri string, text string")
     filters = spark.createDataFrame([(q,) for q in ("alp", "a", "BE", "none", "STRASSE", "ß", "zz", "")], "q string")
-    inline = sorted(tuple(r) for r in search.substring_join(items, filters).select("uri", "q").collect())
-    monkeypatch.setattr(search, "MAX_INLINE_FILTERS", 0)
     joined = sorted(tuple(r) for r in search.substring_join(items, filters).select("uri", "q").collect())
     want = sorted((u, q) for u, t in [(str(i), t) for i, t in enumerate(
         ["Alpha beta", "ALPHABET", "gamma", "x/y None", "ß straße", "", "ab"])]
         for q in ("alp", "a", "BE", "none", "STRASSE", "ß", "zz", "") if q.upper() in t.upper())
-    assert inline == joined == want
+    assert joined == want
+
+
+def test_list_filter_with_very_many_alt_labels(spark):
+    """One property of 1,100 alt labels: filters inside a label, over two neighbours, and over label, URI and name."""
+    from conftest import make_graph
+    from ontocat.operators import entities, search
+
+    uri, alts = "http://example.org/p", sorted(f"label number {i:05d}" for i in range(1100))
+    g = make_graph(spark, [(uri, "rdf:type", "rdf:Property"), (uri, "rdfs:label", "the name", "lit"),
+                           *[(uri, "skos:altLabel", a, "lit") for a in alts]])
+    two = [f"{a[-7:]} {b[:9]}" for a, b in zip(alts, alts[1:])][:200]
+    more = [alts[7], f"{alts[-1]} {uri} the", "p THE NAME", " ", "", f"{alts[0]} {alts[2]}", None]
+    found = search.list_filter(g, spark.createDataFrame([(q,) for q in two + more], "q string")).collect()
+    assert {r.q for r in found} == {*two, *more[:5]} and len(found) == 205
+    assert entities.property_detail(g, [uri]).count() == 1
+    assert entities.property_detail(g, [uri]).first().n_alt_labels == 1100
+    assert entities.alt_labels(g, uri).count() == 1100

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from conftest import make_graph
 from ontocat.model import TRIPLE_COLUMNS
+from ontocat.operators import entities as ent
+from ontocat.operators import graphview
 from ontocat.operators import mutations as mut
 from ontocat.operators import tagsync
 from ontocat.sources import ntriples
@@ -111,8 +113,9 @@ def test_snapshot_round_trip(spark, graph_small):
     snap = snapshot(spark, graph_small)
     assert rows(snap) == rows(graph_small)
     n_type = graph_small.filter(F.col("p") == "rdf:type").count()
-    assert snap.filter(F.col("pk") == "rdf:type").count() == n_type
-    assert open_graph(spark, "/nonexistent/ontocat/graph").count() == 0
+    assert snap.filter(F.startswith("pk", F.lit("rdf:type"))).count() == n_type
+    assert snap.filter(F.endswith("pk", F.lit("~lit"))).count() == graph_small.filter("o_kind = 'lit'").count()
+    assert open_graph(spark, None).count() == 0
 
 
 def test_iri_and_literal_escapes_round_trip(spark):
@@ -124,3 +127,34 @@ def test_iri_and_literal_escapes_round_trip(spark):
     assert all(r.x == r.i == r.l for r in out.collect())
     lines = ntriples.export_lines(make_graph(spark, [(EX + "a b", "rdfs:label", "x", "lit")]))
     assert lines.first().value.startswith(f"<{EX}a\\u0020b> ")
+
+
+def test_long_literals_and_escapes_are_parsed(spark):
+    long = "x" * 200_000 + "\\n" * 50_000
+    cases = {"\\u00e9 x \\u00e9\\u0041": "é x éA", "a\\u0000b": "a\u0000b", "\\uD83D\\uDE00 \\U0001F600": "\U0001f600 \U0001f600",
+             "\\\\u0041 \\\\n \\t\\\"": "\\u0041 \\n \t\"", "\\uD83D alone \\uDE00": "\ufffd alone \ufffd", "\\U00110000": "\ufffd",
+             "\\u005Cn \\u005c\\u005C": "\\n \\\\", long: "x" * 200_000 + "\n" * 50_000}
+    lines = [(f'<s{i}> <p> "{raw}" .',) for i, raw in enumerate(cases)]
+    parsed, rejects = ntriples.parse_lines(spark.createDataFrame(lines, "value string"))
+    assert rejects.count() == 0
+    assert {r.s: r.o for r in parsed.collect()} == {f"s{i}": text for i, text in enumerate(cases.values())}
+
+
+def test_one_term_form_for_every_incoming_iri(spark):
+    thing = "http://www.w3.org/2002/07/owl#Thing"
+    lines = spark.createDataFrame([(f"<{EX}a> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <{thing}> .",),
+                                   (f"<{EX}a> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <{EX}b> .",)], "value string")
+    g, _, _ = ntriples.import_merge(open_graph(spark, None), lines, "b")
+    schema = "seq long, subject_uri string, predicate_type string, object_uri string"
+    cmd = spark.createDataFrame([(1, EX + "a", "rdfs:subClassOf", thing)], schema)
+    assert g.count() == 2
+    gone = mut.delete_relationships(g, cmd)
+    assert gone.count() == 1
+    assert mut.add_relationships(gone, cmd)[0].count() == 2 and mut.add_relationships(g, cmd)[0].count() == 2
+    rel = {r.object for r in ent.concept_relationships(g, EX + "a").collect()}
+    assert rel == {thing, EX + "b"}
+    typed = make_graph(spark, [("owl:Thing", "rdf:type", "rdfs:Class"), ("owl:Thing", "rdfs:comment", "top", "lit")])
+    assert [tuple(r) for r in ent.concepts(typed, thing).collect()] == [(thing, None)]
+    assert ent.concept_detail(typed, spark.createDataFrame([(thing,)], "uri string")).first().comment == "top"
+    node = graphview.graph_nodes(typed).first()
+    assert (node.id, node.label) == (thing, "Thing")

@@ -45,10 +45,10 @@ def test_alt_label_repeats_per_membership_branch(spark):
         (z("Dog"), "rdfs:label", "Dog", "lit"), (z("Dog"), "skos:altLabel", "Hund", "lit"),
         (z("Animal"), "rdf:type", "rdfs:Class"),
     ])
-    bag = {r.uri: r.alt_labels for r in ent.concepts_alt_labels(g, dedupe=False).collect()}
-    clean = {r.uri: r.alt_labels for r in ent.concepts_alt_labels(g, dedupe=True).collect()}
-    assert bag[z("Dog")] == ["Hund", "Hund"] and clean[z("Dog")] == ["Hund"]
-    assert bag[z("Animal")] == [] and clean[z("Animal")] == []
+    bag = {r.uri: (r.alt_label, r.n) for r in ent.concepts_alt_labels(g, dedupe=False).collect()}
+    clean = {r.uri: (r.alt_label, r.n) for r in ent.concepts_alt_labels(g, dedupe=True).collect()}
+    assert bag == {z("Dog"): ("Hund", 2), z("Animal"): (None, 1)}
+    assert clean == {z("Dog"): ("Hund", 1), z("Animal"): (None, 1)}
 
 
 def test_domain_visibility_differs_between_list_and_detail(spark):
@@ -70,7 +70,8 @@ def test_concept_detail_first_solution_is_deterministic(spark):
     ])
     d = ent.concept_detail(g, [z("C"), z("missing")]).collect()
     assert len(d) == 1
-    assert (d[0].label, d[0].type, d[0].alt_labels) == ("a", "rdfs:Class", ["x", "y"])
+    assert (d[0].label, d[0].type, d[0].n_alt_labels) == ("a", "http://www.w3.org/2000/01/rdf-schema#Class", 2)
+    assert {r.alt_label for r in ent.alt_labels(g, [z("C")]).collect()} == {"x", "y"}
 
 
 def test_mapping_groups_by_name_and_drops_dangling(spark):
@@ -82,7 +83,7 @@ def test_mapping_groups_by_name_and_drops_dangling(spark):
         (z("A"), "rdfs:label", "Alpha", "lit"), (z("B"), "rdfs:label", "Alpha", "lit"),
     ])
     rows = tagsync.tag_mappings(g).collect()
-    assert [(r.name, r.type, r.tags) for r in rows] == [("c.s.t", "tables", ["Alpha", "Alpha"])]
+    assert [(r.name, r.type, r.tag, r.n) for r in rows] == [("c.s.t", "tables", "Alpha", 2)]
 
 
 def test_sync_plan_rules(spark):
