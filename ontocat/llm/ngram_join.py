@@ -9,16 +9,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ontocat.llm.common import components, cut, free_name, sorted_runs
+from ontocat.operators.joins import broadcast_if_bounded
 
 NGRAM = 3
 SIMILARITY = (90, 100)
 #: Counters of the frequency sketch that orders the n-grams: 4 bytes each, whatever the input.
 SKETCH_BITS = 20
+#: Bits of the filter that keeps documents without candidates out of the verifying join.
+FILTER_BITS = 23
 #: Rows of a prefix n-gram, and members of a candidate group, that one task compares at a time.
 RUN_ROWS = 8_192
-GROUP_ROWS = 1_024
+GROUP_ROWS = 512
 
 _SLICE = 4_096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,10 +76,10 @@ def overlap(n: int, m: int, similarity: tuple[int, int]) -> int:
     return -(-part * (n + m) // (part + whole))
 
 
-def _sketch(docs: DataFrame, ngram: int, bits: int) -> np.ndarray:
-    """How many documents' n-grams fall on each of ``2 ** bits`` counters.
+def _counters(rows: DataFrame, hashes, bits: int) -> np.ndarray:
+    """How often each of ``2 ** bits`` counters is hit by the ``hashes`` (64 bits) of the rows' only column.
 
-    Tasks count all their texts into one array and hand it on in slices; slices
+    Tasks count all their rows into one array and hand it on in slices; slices
     are added up as they stream in. The result has a fixed size.
     """
     shift = np.uint64(64 - bits)
@@ -83,8 +87,8 @@ def _sketch(docs: DataFrame, ngram: int, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for text in batch.column(0):
-                np.add.at(sums, (ngram_set(text.as_py(), ngram) >> shift).astype(np.int64), 1)
+            for found in hashes(batch.column(0)):
+                np.add.at(sums, (found >> shift).astype(np.int64), 1)
         yield from _slices(enumerate(sums.reshape(-1, min(_SLICE, 1 << bits))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +100,38 @@ def _sketch(docs: DataFrame, ngram: int, bits: int) -> np.ndarray:
         yield from _slices(sums.items())
 
     schema = "slice int, counts binary"
-    rows = (docs.select(F.col("text").cast("binary")).mapInArrow(count, schema).repartition("slice")
-            .mapInArrow(add, schema).collect())
     out = np.zeros(1 << bits, np.uint32).reshape(-1, min(_SLICE, 1 << bits))
-    for r in rows:
+    for r in rows.mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect():
         out[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
     return out.ravel()
 
 
+def _sketch(docs: DataFrame, ngram: int, bits: int) -> np.ndarray:
+    """How many documents' n-grams fall on each counter."""
+    return _counters(docs.select("text"), lambda texts: (ngram_set(t.as_py(), ngram) for t in texts), bits)
+
+
+def _only_members(rows: DataFrame, members: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` whose ``hash`` may be one of ``members (hash)``: a bit set of fixed size is broadcast and read in the scan.
+
+    It lets through what it can't tell apart, so a join must follow; it spares
+    that join's shuffle the texts of documents without any candidate.
+    """
+    found = _counters(members.select("hash"), lambda hashes: [_scrambled(hashes)], bits)
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(found > 0))
+
+    @arrow_udf("boolean")
+    def may_be(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for chunk in hashes:
+            at = (_scrambled(chunk) >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.array(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1)
+    return rows.filter(may_be("hash"))
+
+
+def _scrambled(hashes: pa.Array) -> np.ndarray:
+    return hashes.to_numpy(zero_copy_only=False).view(np.uint64) * _MIX
+
+
 def _slices(parts) -> Iterator[pa.RecordBatch]:
     used = [(int(at), values.tobytes()) for at, values in parts if values.any()]
     if used:
@@ -310,37 +338,35 @@ def similar_links(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[t
     return [(order[a], order[b]) for a, b in links.links]
 
 
-def _verified(similarity: tuple[int, int]):
+def _verified(ngram: int, similarity: tuple[int, int]):
+    """Links between the documents of a group, found in a prefix tree of their n-gram sets."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["component", "pair"]):
             keys, group, pair = (table[c].to_pylist() for c in ("key", "component", "pair"))
-            lists = table["grams"].combine_chunks()
-            flat = lists.flatten().to_numpy().view(np.uint64)
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            found, a = [], 0
+            texts, found, a = table["text"], [], 0
             for z in range(1, len(keys) + 1):
                 if z == len(keys) or (group[z], pair[z]) != (group[a], pair[a]):
-                    sets = [flat[ends[r]:ends[r + 1]] for r in range(a, z)]
-                    found += [(keys[a + x], keys[a + y]) for x, y in similar_links(sets, similarity)]
+                    rows = list({keys[r]: r for r in range(a, z)}.values())  # a repeated row counts once
+                    sets = [ngram_set(texts[r].as_py(), ngram) for r in rows]
+                    found += [(keys[rows[x]], keys[rows[y]]) for x, y in similar_links(sets, similarity)]
                     a = z
             if found:
                 yield _edge_batch(found)
     return verify
 
 
-def _with_sets(ngram: int):
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _once(ngram: int):
+    """Rows whose text is the set that their key stands for, each key once per task."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            keep, sets = [], []
-            for at, (key, text) in enumerate(zip(batch.column(0), batch.column(3))):
-                grams = ngram_set(text.as_py(), ngram)
-                if set_key(grams) == key.as_py():
+            keep = []
+            for at, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen and set_key(ngram_set(batch.column(3)[at].as_py(), ngram)) == key:
+                    seen.add(key)
                     keep.append(at)
-                    sets.append(grams.view(np.int64))
-            taken = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2),
-                                              pa.array(sets, pa.list_(pa.int64()))], ["key", "component", "parts", "grams"])
-    return compute
+            yield batch.take(pa.array(keep, pa.int64()))
+    return pick
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM,
@@ -361,9 +387,10 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
        size, position and parity bits, all of which only exclude pairs that
        can't be similar; the rest is handed on as a spanning forest, never as
        all pairs. N-grams that the sketch shows to be hot are dealt in parts.
-    4. Each connected group of candidates gets its full sets once and builds a
-       prefix tree in which similar sets are found exactly; groups of more than
-       ``group_rows`` sets are dealt in parts, every pair of which is one tree.
+    4. Each connected group of candidates gets the texts of its classes once and
+       builds a prefix tree of their sets, in which similar ones are found
+       exactly; groups of more than ``group_rows`` classes are dealt in parts,
+       every pair of which is one tree.
     5. Verified links give the components.
 
     Texts without words (null, empty, blank) have n = 0, are linked with nothing
@@ -389,17 +416,21 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                         .mapInArrow(_candidates(similarity), "a binary, b binary"))
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
     members = (groups.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "least"), "key"))
-    texts = rows.join(members, (rows["hash"] == F.col("least.hash")) & rows["doc_id"].eqNullSafe(F.col("least.doc_id")))
-    sets = (texts.select("key", "component", "parts", "text")
-            .mapInArrow(_with_sets(ngram), "key binary, component binary, parts int, grams array<bigint>")
-            .dropDuplicates(["key"]))
-    links = (_in_parts(sets, ["component"], "parts").sortWithinPartitions("component", "pair")
-             .mapInArrow(_verified(similarity), "a binary, b binary"))
+    members = cut(members)
+    rows = _only_members(rows, members.select("least.hash"))
+    texts = rows.join(broadcast_if_bounded(members),
+                      (F.col("least.hash") == rows["hash"]) & F.col("least.doc_id").eqNullSafe(rows["doc_id"]))
+    texts = (texts.select("key", "component", "parts", "text")
+             .mapInArrow(_once(ngram), "key binary, component binary, parts int, text binary"))
+    links = (_in_parts(texts, ["component"], "parts").sortWithinPartitions("component", "pair")
+             .mapInArrow(_verified(ngram, similarity), "a binary, b binary"))
     linked = components(links)
     named = linked.join(classes.select(F.col("key").alias("node"), "least"), "node")
     heads = named.groupBy("component").agg(F.min("least").alias("head"))
     heads = named.select("node", "component").join(heads, "component").select(F.col("node").alias("key"), "head")
-    of_class = classes.select("key", "least").join(heads, "key", "left").select("key", F.coalesce("head", "least").alias("head"))
+    # written, so that the join of all rows with it is one whose hot keys Spark can split
+    of_class = cut(classes.select("key", "least").join(heads, "key", "left")
+                   .select("key", F.coalesce("head", "least").alias("head")))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     return (described.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"), own.alias("own"))
             .join(of_class, "key", "left")
