@@ -160,7 +160,8 @@ def _prefixes(shared, ngram: int, similarity: tuple[int, int], run_rows: int):
                 low.append(a)
                 high.append(b)
                 tokens.append(grams[first].view(np.int64))
-                parts.append((-(-often[first].astype(np.int64) // hot)).astype(np.int32))
+                part_of = (-(-often[first].astype(np.int64) // hot)).astype(np.int32)
+                parts.append(part_of if (part_of > 1).any() else None)  # mostly all 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.binary()),
                  pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
@@ -405,21 +406,22 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     described = cut(rows.mapInArrow(
         _prefixes(shared, ngram, similarity, run_rows),
         "doc_id bigint, hash bigint, n int, key binary, low bigint, high bigint, tokens array<bigint>, parts array<int>"))
+    worded = described.filter("n > 0")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash"))
-    classes = cut(described.filter("n > 0").groupBy("key").agg(
-        smallest.alias("least"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"),
-        F.first("tokens").alias("tokens"), F.first("parts").alias("parts")))
-    runs = _in_parts(classes.select("key", "n", "low", "high", F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t"))
-                     .select("key", "n", "low", "high", "pos", F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts")),
-                     ["token"], "parts")
+    classes = cut(worded.groupBy("key").agg(smallest.alias("least")))
+    sets = worded.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "tokens", "parts")])
+    token = F.posexplode(F.arrays_zip("tokens", F.coalesce("parts", F.array().cast("array<int>")).alias("parts"))).alias("pos", "t")
+    runs = _in_parts(sets.select("key", "n", "low", "high", token)
+                     .select("key", "n", "low", "high", "pos", F.col("t.tokens").alias("token"),
+                             F.coalesce("t.parts", F.lit(1)).alias("parts")), ["token"], "parts")
     groups = components(runs.sortWithinPartitions("token", "pair", "n")
                         .mapInArrow(_candidates(similarity), "a binary, b binary"))
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
     members = (groups.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "least"), "key"))
-    members = cut(members)
-    rows = _only_members(rows, members.select("least.hash"))
-    texts = rows.join(broadcast_if_bounded(members),
-                      (F.col("least.hash") == rows["hash"]) & F.col("least.doc_id").eqNullSafe(rows["doc_id"]))
+    members = broadcast_if_bounded(cut(members))
+    if not members._bounded:
+        rows = _only_members(rows, members.select("least.hash"))
+    texts = rows.join(members, (F.col("least.hash") == rows["hash"]) & F.col("least.doc_id").eqNullSafe(rows["doc_id"]))
     texts = (texts.select("key", "component", "parts", "text")
              .mapInArrow(_once(ngram), "key binary, component binary, parts int, text binary"))
     links = (_in_parts(texts, ["component"], "parts").sortWithinPartitions("component", "pair")
@@ -444,9 +446,15 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Rows equal in id and text are one document, so one of them stays.
     """
-    firsts = similar_documents(docs, doc_id=doc_id, text=text, **options).filter("first")
-    at, key = free_name(docs, "_hash"), free_name(docs, "_id")
-    firsts = firsts.select(F.col("doc_id").alias(key), F.col("hash").alias(at + "_first")).distinct()
+    found = similar_documents(docs, doc_id=doc_id, text=text, **options)
+    keys = cut(found.groupBy("doc_id", "hash").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+               .filter("not first or n > 1"))  # few: the rows to drop, and those that are there several times
+    at, out = free_name(docs, "_hash"), docs.columns
     rows = docs.withColumn(at, F.xxhash64(docs[text]))
-    kept = rows.join(firsts, rows[doc_id].cast("bigint").eqNullSafe(firsts[key]) & (rows[at] == firsts[at + "_first"]), "left_semi")
-    return kept.dropDuplicates([doc_id, at]).drop(at)
+
+    def among(picked: DataFrame, how: str) -> DataFrame:
+        side = broadcast_if_bounded(picked.select(F.col("doc_id").alias("_i"), F.col("hash").alias("_h")))
+        return rows.join(side, rows[doc_id].cast("bigint").eqNullSafe(side["_i"]) & (rows[at] == side["_h"]), how)
+
+    repeated = among(keys.filter("first"), "left_semi").dropDuplicates([doc_id, at])
+    return among(keys, "left_anti").unionByName(repeated).select(*out)
