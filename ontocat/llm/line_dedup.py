@@ -125,6 +125,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = cut(lines)
     owners = (lines.groupBy("line").agg(F.min(F.struct("doc", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1").drop("n"))
+    owners = cut(owners)  # so that the join below is one whose hot lines Spark can split
     pairs = (lines.join(owners, "line").filter("doc != first.doc or row != first.row")
              .select(F.col("doc").alias("later"), F.col("row").alias("later_row"), F.col("first.doc").alias("earlier"),
                      F.col("first.row").alias("earlier_row"), "line", "anchor", F.col("at").alias("at_later"),
