@@ -18,6 +18,10 @@ NGRAM = 3
 SIMILARITY = (90, 100)
 #: Counters of the frequency sketch that orders the n-grams: 4 bytes each, whatever the input.
 SKETCH_BITS = 20
+#: Parity bits of every set, and of sets of more n-grams than ``LONG``, which the few bits can't tell apart.
+SHORT_BITS = 128
+LONG_BITS = 4_096
+LONG = 600
 #: Bits of the filter that keeps documents without candidates out of the verifying join.
 FILTER_BITS = 23
 #: Rows of a prefix n-gram, and members of a candidate group, that one task compares at a time.
@@ -63,11 +67,10 @@ def set_key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def parity_bits(grams: np.ndarray) -> tuple[int, int]:
-    """128 parity bits: two sets differ in at least as many n-grams as their bits differ."""
-    odd = (np.bincount((grams >> np.uint64(9)).astype(np.int64) & 127, minlength=128) & 1).astype(np.uint8)
-    low, high = np.packbits(odd).view(np.int64)
-    return int(low), int(high)
+def parity_bits(grams: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` parity bits as 64-bit words: two sets differ in at least as many n-grams as their bits differ."""
+    odd = (np.bincount((grams >> np.uint64(9)).astype(np.int64) & bits - 1, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
 
 
 def overlap(n: int, m: int, similarity: tuple[int, int]) -> int:
@@ -139,7 +142,7 @@ def _slices(parts) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values, pa.binary())], ["slice", "counts"])
 
 
-def _prefixes(shared, ngram: int, similarity: tuple[int, int], run_rows: int):
+def _prefixes(shared, ngram: int, similarity: tuple[int, int], run_rows: int, long: int):
     """Per text: set size, set key, parity bits and its rare-first prefix with the parts of hot n-grams."""
     part, whole = similarity
 
@@ -148,24 +151,26 @@ def _prefixes(shared, ngram: int, similarity: tuple[int, int], run_rows: int):
         shift = np.uint64(64 - (len(counts).bit_length() - 1))
         hot = max(run_rows, 8 * int(counts.mean()))
         for batch in batches:
-            n, keys, low, high, tokens, parts = [], [], [], [], [], []
+            n, keys, low, high, tokens, parts, many = [], [], [], [], [], [], []
             for text in batch.column(2):
                 grams = ngram_set(text.as_py(), ngram)
                 size = len(grams)
                 often = counts[(grams >> shift).astype(np.int64)]
                 first = np.lexsort((grams, often))[:size + 1 + (-part * size // whole) if size else 0]
-                a, b = parity_bits(grams)
+                a, b = parity_bits(grams, SHORT_BITS).view(np.int64)
                 n.append(size)
                 keys.append(set_key(grams))
-                low.append(a)
-                high.append(b)
+                low.append(int(a))
+                high.append(int(b))
+                many.append(parity_bits(grams, LONG_BITS).tobytes() if size > long else None)
                 tokens.append(grams[first].view(np.int64))
                 part_of = (-(-often[first].astype(np.int64) // hot)).astype(np.int32)
                 parts.append(part_of if (part_of > 1).any() else None)  # mostly all 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.binary()),
                  pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-                 pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "hash", "n", "key", "low", "high", "tokens", "parts"])
+                 pa.array(parts, pa.list_(pa.int32())), pa.array(many, pa.binary())],
+                ["doc_id", "hash", "n", "key", "low", "high", "tokens", "parts", "many"])
     return describe
 
 
@@ -236,6 +241,39 @@ def _candidates(similarity: tuple[int, int]):
     return find
 
 
+def _refined(similarity: tuple[int, int]):
+    """Members of a group that size and all their parity bits can't tell apart, as a spanning forest."""
+    part, whole = similarity
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, ["component", "pair"]):
+            keys, group, pair, many = (table[c].to_pylist() for c in ("key", "component", "pair", "many"))
+            n, low, high = (table[c].to_numpy() for c in ("n", "low", "high"))
+            n, bits = n.astype(np.int64), np.stack([low, high], axis=1).view(np.uint64)
+            nothing = bytes(LONG_BITS // 8)
+            links, a = Links(), 0
+            for z in range(1, len(keys) + 1):
+                if z < len(keys) and (group[z], pair[z]) == (group[a], pair[a]):
+                    continue
+                long = np.array([many[r] is not None for r in range(a, z)])
+                more = np.frombuffer(b"".join(many[r] or nothing for r in range(a, z)), np.uint64).reshape(z - a, -1)
+                for at in range(a, z - 1):
+                    rest = np.arange(at + 1, z)
+                    both = n[at] + n[rest]
+                    allowed = both + 2 * (-part * both // (part + whole))  # n + m - 2 * least overlap
+                    near = ((n[rest] * part <= n[at] * whole) & (n[at] * part <= n[rest] * whole)
+                            & (np.bitwise_count(bits[at] ^ bits[rest]).sum(axis=1, dtype=np.int64) <= allowed))
+                    if long[at - a] and (too := rest[near & long[rest - a]]).size:
+                        apart = np.bitwise_count(more[at - a] ^ more[too - a]).sum(axis=1, dtype=np.int64)
+                        near[too - at - 1] = apart <= allowed[too - at - 1]
+                    for other in rest[near].tolist():
+                        links.add(keys[at], keys[other])
+                a = z
+            if links.links:
+                yield _edge_batch(links.links)
+    return refine
+
+
 class Trie:
     """A prefix tree of sets whose n-grams are in one global order, each edge a run of n-grams.
 
@@ -372,7 +410,8 @@ def _once(ngram: int):
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM,
                       similarity: tuple[int, int] = SIMILARITY, sketch_bits: int = SKETCH_BITS,
-                      run_rows: int = RUN_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+                      run_rows: int = RUN_ROWS, group_rows: int = GROUP_ROWS,
+                      long: int = LONG) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``hash`` (of the text), ``n``, ``component_id``, ``first``.
 
     Documents are linked when their n-gram sets have a Jaccard similarity of at
@@ -388,7 +427,9 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
        size, position and parity bits, all of which only exclude pairs that
        can't be similar; the rest is handed on as a spanning forest, never as
        all pairs. N-grams that the sketch shows to be hot are dealt in parts.
-    4. Each connected group of candidates gets the texts of its classes once and
+       Connected groups of candidates are then told apart once more, by many
+       more parity bits for long sets.
+    4. Each group that is left gets the texts of its classes once and
        builds a prefix tree of their sets, in which similar ones are found
        exactly; groups of more than ``group_rows`` classes are dealt in parts,
        every pair of which is one tree.
@@ -404,8 +445,9 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                        docs[text].cast("binary").alias("text"))
     shared = spark.sparkContext.broadcast(_sketch(rows, ngram, sketch_bits))
     described = cut(rows.mapInArrow(
-        _prefixes(shared, ngram, similarity, run_rows),
-        "doc_id bigint, hash bigint, n int, key binary, low bigint, high bigint, tokens array<bigint>, parts array<int>"))
+        _prefixes(shared, ngram, similarity, run_rows, long),
+        "doc_id bigint, hash bigint, n int, key binary, low bigint, high bigint, tokens array<bigint>, parts array<int>, "
+        "many binary"))
     worded = described.filter("n > 0")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash"))
     classes = cut(worded.groupBy("key").agg(smallest.alias("least")))
@@ -416,8 +458,17 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                              F.coalesce("t.parts", F.lit(1)).alias("parts")), ["token"], "parts")
     groups = components(runs.sortWithinPartitions("token", "pair", "n")
                         .mapInArrow(_candidates(similarity), "a binary, b binary"))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
-    members = (groups.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "least"), "key"))
+
+
+    def sized(found: DataFrame) -> DataFrame:
+        """``(key, component, parts)``: members of the groups, which are dealt in parts of ``group_rows``."""
+        sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
+        return found.join(sizes, "component").withColumnRenamed("node", "key")
+
+    marks = sized(groups).join(worded.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "many")]), "key")
+    groups = components(_in_parts(marks, ["component"], "parts").sortWithinPartitions("component", "pair")
+                        .mapInArrow(_refined(similarity), "a binary, b binary"))
+    members = sized(groups).join(classes.select("key", "least"), "key")
     members = broadcast_if_bounded(cut(members))
     if not members._bounded:
         rows = _only_members(rows, members.select("least.hash"))

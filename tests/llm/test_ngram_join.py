@@ -55,7 +55,7 @@ def test_components_equal_brute_force(spark, monkeypatch, ngram, part, small):
     rows = near_rows(ngram)
     if small:  # also the ways beyond the bounds: parts of n-grams and groups, a filter and a shuffled join
         monkeypatch.setattr(N, "broadcast_if_bounded", lambda df: joins.broadcast_if_bounded(df, max_rows=-1))
-    options = {"run_rows": 3, "group_rows": 4, "sketch_bits": 6} if small else {}
+    options = {"run_rows": 3, "group_rows": 4, "sketch_bits": 6, "long": 40} if small else {}
     found = N.similar_documents(spark.createDataFrame(rows, DOCS), ngram=ngram, similarity=(part, 100), **options)
     got = sorted((r.doc_id, r.n, r.component_id) for r in found.collect())
     assert got == sorted(brute(rows, ngram, part, 100))
@@ -83,8 +83,8 @@ def test_parity_bits_never_exceed_the_difference():
     for _ in range(200):
         pool = rng.integers(0, 2 ** 63, 300, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 200))) for _ in range(2))
-        apart = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) % 2 ** 64).bit_count() for x, y in zip(N.parity_bits(a), N.parity_bits(b)))
-        assert apart <= len(np.setxor1d(a, b))
+        for bits in (N.SHORT_BITS, N.LONG_BITS):
+            assert np.bitwise_count(N.parity_bits(a, bits) ^ N.parity_bits(b, bits)).sum() <= len(np.setxor1d(a, b))
 
 
 def test_messy_and_one_of_each(spark):
