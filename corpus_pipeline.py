@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ontocat.llm import decontaminate, mixing, ngram_join, quality, sharding
-from ontocat.llm.common import read
+from ontocat.llm.common import read, shipped
 from ontocat.session import new_snapshot_path
 
 #: Near duplicates among training documents: five-word n-grams, similarity of 0.8 or more.
@@ -18,26 +18,31 @@ NGRAM = 5
 SIMILARITY = (80, 100)
 
 
+@shipped
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
+@shipped
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies."""
     return ngram_join.one_of_each(docs, ngram=NGRAM, similarity=SIMILARITY)
 
 
+@shipped
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: documents as often as their source's target takes them."""
     return mixing.mixture(docs)
 
 
+@shipped
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and their place in it."""
     placed = sharding.shard_documents(docs)

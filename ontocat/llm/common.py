@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import ontocat
 from ontocat.session import storage_root
 
 
@@ -16,6 +21,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Tasks import it by name, and a cluster's executors (or a driver started in
+    another folder) may not have it on their path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_ontocat_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(ontocat.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ontocat-package-"), "ontocat_package.zip")  # served by the driver
+    with zipfile.ZipFile(path, "w") as out:
+        for top, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                out.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._ontocat_shipped = True
+
+
+def shipped(job):
+    """The job ``(spark, ...)``, after the package has been sent to the executors."""
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args):
+        ship_package(spark)
+        return job(spark, *args)
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ontocat.llm import ann, chat_format, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, token_counts, url_filter
-from ontocat.llm.common import read, sha256_hex
+from ontocat.llm.common import read, sha256_hex, shipped
 
 #: The rules that the url query applies.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -93,9 +93,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sharding, op4_mixing, op5_nearest, op6_url_filter,
+QUERIES = {f.__name__: shipped(f) for f in (op1_decontaminate, op2_quality, op3_sharding, op4_mixing, op5_nearest, op6_url_filter,
                                    op7_token_counts, op8_line_dedup, op9_ngram_join, op10_chat_format)}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = shipped(corpus_pipeline.run)
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -126,6 +126,19 @@ q as (select *, case
   when ('.' || host) like '%.org' and starts_with(path, '/fr/') then 'org/fr/'
   when ('.' || host) like '%.net' and starts_with(path, '/') then 'net/' end as rule from p)
 select *, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from q""",
+    "op9_ngram_join": r"""
+with recursive d as (
+  select doc_id, row_number() over () as r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w
+  from documents),
+s as (select distinct r, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+n as (select r, count(*) as n from s group by r),
+common as (select a.r as x, b.r as y, count(*) as c from s a join s b on a.g = b.g and a.r <> b.r group by a.r, b.r),
+link as (select x, y from common join n nx on nx.r = x join n ny on ny.r = y where 100 * c >= 90 * (nx.n + ny.n - c)),
+reach(r, t) as (select r, r from d union select reach.r, link.y from reach join link on link.x = reach.t)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(o.doc_id) as component_id
+from d left join n using (r) join reach using (r) join d o on o.r = reach.t group by d.r, d.doc_id, n.n""",
     "op10_chat_format": r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
