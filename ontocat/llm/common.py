@@ -122,28 +122,33 @@ def _run_start(table: pa.Table, keys: Sequence[str], last: tuple) -> int:
     return low
 
 
+#: Links per task in the rounds of ``components``, which are many and mostly small.
+LINKS_PER_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the undirected ``edges (a, b)``.
 
     The label of a component is its smallest node. Rounds of large-star and
     small-star joins; a node's neighbours are never gathered, only their
     minimum, so a node with very many links stays cheap. Every round is
-    checkpointed; the rounds end when the links no longer change.
+    checkpointed; the rounds end when the links no longer change. Rounds never
+    have more links than the input has, whose number sets the number of tasks.
     """
-    spark = edges.sparkSession
     edges = cut(edges.filter(F.col("a") != F.col("b")).distinct())
-    seen = None
+    tasks = edges.count() // LINKS_PER_TASK + 1
+    edges, seen = edges.coalesce(tasks), None
     while True:
         # large star: larger neighbours are linked to the smallest neighbour (or the node itself)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.filter("b > a").join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").coalesce(tasks).distinct())
         # small star: smaller neighbours and the node itself are linked to the smallest neighbour
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
-        edges = cut(small)
+                 .unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").coalesce(tasks).distinct())
+        edges = cut(small.coalesce(tasks))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
