@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from ontocat.llm.common import cut, free_name, sorted_runs
+from ontocat.llm.common import cut, free_name
 
-#: Lines of fewer words are no anchors; they go only inside an aligned block.
+#: Lines of fewer words are no anchors; they go only inside an aligned block or with a whole copy.
 ANCHOR_WORDS = 5
 
 
@@ -38,46 +39,60 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def aligned(later: dict[int, int], earlier: dict[int, int], anchors: list[tuple[int, int]]) -> set[int]:
-    """Positions of the later document inside common blocks.
+def singles(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of a document that can be anchors and are there once, in order of their hash, and their positions."""
+    found, at, n = np.unique(lines, return_index=True, return_counts=True)
+    once = (n == 1) & (found & 1 == 1)
+    return found[once], at[once]
 
-    ``later`` and ``earlier`` map positions to lines, ``anchors`` are lines
-    unique in both. Each anchor of the patience chain grows over equal
-    neighbours on both sides as far as the next anchor.
+
+def aligned(later: np.ndarray, earlier: np.ndarray) -> set[int]:
+    """Positions of the later document inside blocks that it has in common with the earlier one.
+
+    Documents are arrays of line hashes, 0 for blank lines; odd hashes can be
+    anchors. Anchors are lines unique in both. Each anchor of the patience chain
+    grows over equal neighbours on both sides as far as the next anchor.
     """
-    chain = patience(sorted(anchors))
+    (mine, at), (other, there) = singles(later), singles(earlier)
+    _, i, j = np.intersect1d(mine, other, assume_unique=True, return_indices=True)
+    chain = patience(sorted(zip(at[i].tolist(), there[j].tolist())))
+    a, b = later.tolist(), earlier.tolist()
     found: set[int] = set()
-    edges = [(-1, -1), *chain, (1 << 62, 1 << 62)]
-    for at in range(1, len(edges) - 1):
-        found.add(edges[at][0])
-        for step, (stop_l, stop_e) in ((-1, edges[at - 1]), (1, edges[at + 1])):
-            i, j = edges[at][0] + step, edges[at][1] + step
-            while i != stop_l and j != stop_e and i in later and later[i] == earlier.get(j):
+    edges = [(-1, -1), *chain, (len(a), len(b))]
+    for n in range(1, len(edges) - 1):
+        found.add(edges[n][0])
+        for step, (stop_l, stop_e) in ((-1, edges[n - 1]), (1, edges[n + 1])):
+            i, j = edges[n][0] + step, edges[n][1] + step
+            while i != stop_l and j != stop_e and a[i] and a[i] == b[j]:
                 found.add(i)
                 i, j = i + step, j + step
     return found
 
 
+def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return (flat[a:z] for a, z in zip(offsets[:-1], offsets[1:]))
+
+
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document and line that can be an anchor in it."""
+    for batch in batches:
+        found = [singles(lines)[0] for lines in _arrays(batch.column(2))]
+        if found:
+            n = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), n), pa.int64()) for c in (0, 1)]
+                                             + [pa.array(np.concatenate(found), pa.int64())], ["doc", "row", "line"])
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a document pair (one per shared line) to the later document's positions in common blocks."""
-    keys = ["later", "later_row", "earlier", "earlier_row"]
-    for table in sorted_runs(batches, keys):
-        key = np.stack([table[k].to_numpy() for k in keys])
-        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])
-        line, anchor = table["line"].to_pylist(), table["anchor"].to_pylist()
-        at_later, at_earlier = table["at_later"].to_pylist(), table["at_earlier"].to_pylist()
-        out = []
-        for a, z in zip(starts[:-1], starts[1:]):
-            anchors = [(at_later[r][0], at_earlier[r][0]) for r in range(a, z)
-                       if anchor[r] and len(at_later[r]) == 1 == len(at_earlier[r])]
-            if anchors:
-                later = {p: line[r] for r in range(a, z) for p in at_later[r]}
-                earlier = {p: line[r] for r in range(a, z) for p in at_earlier[r]}
-                out.append((int(key[0, a]), int(key[1, a]), sorted(aligned(later, earlier, anchors))))
-        if out:
-            docs, rows, gone = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()),
-                                              pa.array(gone, pa.list_(pa.int32()))], ["later", "later_row", "gone"])
+    """A document pair to the later document's positions in common blocks, and the lines there."""
+    for batch in batches:
+        gone, lines = [], []
+        for later, earlier in zip(_arrays(batch.column(2)), _arrays(batch.column(3))):
+            gone.append(np.array(sorted(aligned(later, earlier)), np.int32))
+            lines.append(later[gone[-1]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())),
+                                          pa.array(lines, pa.list_(pa.int64()))], ["doc", "row", "gone", "lines"])
 
 
 @arrow_udf(StringType())
@@ -96,15 +111,21 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 out: str = "deduped") -> DataFrame:
     """``docs`` with a struct column ``out``: n_lines, n_deleted, text without the lines an earlier document has.
 
-    Each distinct line belongs to the first document (by id) that has it; every
-    later document with the line is paired with that owner. So a line in n
-    documents makes n - 1 pair rows, never all pairs, and no frequency has to be
-    cut off: rare lines pair documents, and very common ones cost no more per
-    occurrence. A pair is aligned by patience diff: lines of ``anchor_words``
-    words or more that are unique in both documents are anchors, their longest
-    common chain is kept, and blocks grow from it over equal neighbours. The
-    blocks are deleted from the later document. A line's later occurrences are
-    thus judged against its owner, which keeps it.
+    Documents with the same lines, blank ones aside, are one class: its first
+    document (by id) stays for the others, which lose all their lines. The first
+    ones are paired by lines that can be anchors: lines of ``anchor_words``
+    words or more that are in a document once. Each such line pairs every
+    later document with the first document that has it once, never all with
+    all, and no frequency has to be cut off. A pair is aligned by patience diff
+    over all lines of both documents: the longest common chain of the lines
+    unique in both is kept, and blocks grow from it over equal neighbours. The
+    blocks are deleted from the later document.
+
+    A line that its document has kept, as it is outside the chain, is paired in
+    the next round with the first of the later documents that have kept it too.
+    Rounds end when no line has another document to be paired with. So a line
+    that can be an anchor stays only if aligning its document with each earlier
+    one that keeps it does not reach it.
 
     Lines are the parts between ``\\n``, compared without blanks at their ends.
     Null texts have 0 lines and stay null, empty texts have one blank line. Rows
@@ -116,27 +137,42 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     doc, row, gone_name = (free_name(docs, n) for n in ("_doc", "_row", "_gone"))
     last = F.lit((1 << 63) - 1)
     numbered = docs.select(*kept, F.coalesce(docs[doc_id].cast("bigint"), last).alias(doc), F.xxhash64(docs[text]).alias(row))
-    lines = (numbered.select(F.col(doc).alias("doc"), F.col(row).alias("row"),
-                             F.posexplode(F.split(numbered[text], "\n")).alias("pos", "line"))
-             .withColumn("line", F.trim(F.translate("line", "\t\r", "  "))).filter("line != ''")
-             .withColumn("anchor", F.size(F.split("line", " +")) >= anchor_words)
-             .groupBy("doc", "row", F.xxhash64("line").alias("line"))
-             .agg(F.sort_array(F.collect_set("pos")).alias("at"), F.max("anchor").alias("anchor")))
-    lines = cut(lines)
-    owners = (lines.groupBy("line").agg(F.min(F.struct("doc", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-              .filter("n > 1").drop("n"))
-    owners = cut(owners)  # so that the join below is one whose hot lines Spark can split
-    pairs = (lines.join(owners, "line").filter("doc != first.doc or row != first.row")
-             .select(F.col("doc").alias("later"), F.col("row").alias("later_row"), F.col("first.doc").alias("earlier"),
-                     F.col("first.row").alias("earlier_row"), "line", "anchor", F.col("at").alias("at_later"),
-                     F.col("first.at").alias("at_earlier")))
-    keys = ["later", "later_row", "earlier", "earlier_row"]
-    gone = (pairs.repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(_align, "later bigint, later_row bigint, gone array<int>")
-            .groupBy(F.col("later").alias(doc), F.col("later_row").alias(row))
-            .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias(gone_name)))
+    trimmed = F.transform(F.split(numbered[text], "\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
+    # the last bit of a hash tells whether the line can be an anchor
+    hashed = F.transform("lines", lambda x: F.when(x == "", F.lit(0).cast("bigint")).otherwise(
+        F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR((F.size(F.split(x, " +")) >= anchor_words).cast("bigint"))))
+    firsts = (numbered.filter(numbered[text].isNotNull())
+              .select(F.col(doc).alias("doc"), F.col(row).alias("row"), trimmed.alias("lines"))
+              .select(F.md5(F.concat_ws("\n", F.filter("lines", lambda x: x != ""))).alias("whole"), "doc", "row", hashed.alias("lines"))
+              .groupBy("whole").agg(F.min(F.struct("doc", "row", "lines")).alias("first")).select("first.*"))
+    firsts = cut(firsts)
+    left = firsts.mapInArrow(_singles, "doc bigint, row bigint, line bigint")
+    later, earlier = (firsts.select(F.col("doc").alias(d), F.col("row").alias(f"{d}_row"), F.col("lines").alias(f"{d}_lines"))
+                      for d in ("later", "earlier"))
+    found = []
+    while True:
+        owners = (left.groupBy("line").agg(F.min(F.struct("doc", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+                  .filter("n > 1").drop("n"))
+        owners = cut(owners)  # so that the join below is one whose hot lines Spark can split
+        left = cut(left.join(owners, "line").filter("doc != first.doc or row != first.row"))
+        if left.isEmpty():
+            break
+        pairs = left.select(F.col("doc").alias("later"), F.col("row").alias("later_row"), F.col("first.doc").alias("earlier"),
+                            F.col("first.row").alias("earlier_row")).distinct()
+        pairs = cut(pairs).join(earlier, ["earlier", "earlier_row"]).join(later, ["later", "later_row"])
+        found.append(cut(pairs.select("later", "later_row", "later_lines", "earlier_lines")
+                         .mapInArrow(_align, "doc bigint, row bigint, gone array<int>, lines array<bigint>")))
+        gone = found[-1].select("doc", "row", F.explode("lines").alias("line"))
+        left = left.select("doc", "row", "line").join(gone, ["doc", "row", "line"], "left_anti")
+    gone = functools.reduce(DataFrame.unionByName, found) if found else firsts.select(
+        "doc", "row", F.array().cast("array<int>").alias("gone")).limit(0)
+    gone = (gone.groupBy("doc", "row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    gone = (firsts.select("doc", "row").join(gone, ["doc", "row"], "left")
+            .select(F.col("doc").alias(doc), F.col("row").alias(row), F.coalesce("gone", F.array().cast("array<int>")).alias(gone_name)))
     joined = numbered.join(gone, [doc, row], "left")
+    all_lines = F.filter(F.transform(trimmed, lambda x, at: F.when(x != "", at)), lambda at: at.isNotNull())
+    joined = joined.withColumn(gone_name, F.coalesce(gone_name, all_lines))  # the first of the class has been found above
     return joined.select(*kept, F.struct(
         F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(gone_name), F.lit(0)).cast("bigint").alias("n_deleted"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(gone_name)).cast("bigint").alias("n_deleted"),
         _without(F.col(text), F.col(gone_name)).alias("text")).alias(out))

@@ -60,3 +60,20 @@ def test_messy_and_empty(spark):
     rows = {r.doc_id: r.x for r in done.collect() if r.doc_id is not None}
     assert rows[1].n_deleted == 0 and rows[2].n_deleted == 1 and rows[5].n_lines == 0 and rows[3].n_deleted == 0
     assert L.dedup_lines(empty_docs(spark)).count() == 0
+
+
+def test_owner_with_a_repeated_line_is_no_obstacle(spark):
+    x = LINES[0]
+    out = run(spark, [(1, f"{x}\nmiddle of the first one alone\n{x}"), (2, f"{x}\nsecond"), (3, f"third\n{x}"), (4, f"{x}\nfourth")])
+    assert [out[i][1] for i in (1, 2, 3, 4)] == [0, 0, 1, 1]
+
+
+def test_neighbours_of_a_third_owner_belong_to_the_block(spark):
+    out = run(spark, [(1, "}\nfirst document and its own line"), (2, f"{LINES[0]}\n}}\n{LINES[1]}"), (3, f"{LINES[0]}\n}}\nend of three")])
+    assert out[1][1] == 0 and out[2][1] == 0 and out[3] == (3, 2, "end of three")
+
+
+def test_moved_lines_find_another_partner(spark):
+    a, b = "\n".join(LINES[:6]), "\n".join([*LINES[3:6], *LINES[:3], "second"])
+    out = run(spark, [(1, a), (2, b), (3, "\n".join([*LINES[3:6], *LINES[:3], "third"]))])
+    assert out[2][1] == 3 and out[3] == (7, 6, "third")
