@@ -15,8 +15,8 @@ from pyspark.sql.types import StringType
 
 from ontocat.llm.common import cut, free_name
 
-#: Lines of fewer words are no anchors; they go only inside an aligned block or with a whole copy.
-ANCHOR_WORDS = 5
+#: Lines of fewer characters, blanks not counted, are no anchors; they go inside an aligned block or with a whole copy.
+ANCHOR_CHARS = 5
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,14 +107,14 @@ def _without(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.string())
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", anchor_words: int = ANCHOR_WORDS,
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", anchor_chars: int = ANCHOR_CHARS,
                 out: str = "deduped") -> DataFrame:
     """``docs`` with a struct column ``out``: n_lines, n_deleted, text without the lines an earlier document has.
 
     Documents with the same lines, blank ones aside, are one class: its first
     document (by id) stays for the others, which lose all their lines. The first
-    ones are paired by lines that can be anchors: lines of ``anchor_words``
-    words or more that are in a document once. Each such line pairs every
+    ones are paired by lines that can be anchors: lines of ``anchor_chars``
+    characters or more that are in a document once. Each such line pairs every
     later document with the first document that has it once, never all with
     all, and no frequency has to be cut off. A pair is aligned by patience diff
     over all lines of both documents: the longest common chain of the lines
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     trimmed = F.transform(F.split(numbered[text], "\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
     # the last bit of a hash tells whether the line can be an anchor
     hashed = F.transform("lines", lambda x: F.when(x == "", F.lit(0).cast("bigint")).otherwise(
-        F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR((F.size(F.split(x, " +")) >= anchor_words).cast("bigint"))))
+        F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR((F.length(F.translate(x, " ", "")) >= anchor_chars).cast("bigint"))))
     firsts = (numbered.filter(numbered[text].isNotNull())
               .select(F.col(doc).alias("doc"), F.col(row).alias("row"), trimmed.alias("lines"))
               .select(F.md5(F.concat_ws("\n", F.filter("lines", lambda x: x != ""))).alias("whole"), "doc", "row", hashed.alias("lines"))

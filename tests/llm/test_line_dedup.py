@@ -62,6 +62,39 @@ def test_messy_and_empty(spark):
     assert L.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def chains(later, earlier):
+    """All lines of both documents aligned, without the operator's code: positions of the later one in common blocks."""
+    once = [x for x in later if len(x.replace(" ", "")) >= L.ANCHOR_CHARS and later.count(x) == 1 == earlier.count(x)]
+    chain = [(later.index(x), earlier.index(x)) for x in once]
+    best = L.patience(chain)  # once is in order of the later document
+    found = set()
+    for n, (i, j) in enumerate(best):
+        for step, stop in ((-1, best[n - 1] if n else (-1, -1)), (1, best[n + 1] if n + 1 < len(best) else (len(later), len(earlier)))):
+            a, b = i, j
+            while a != stop[0] and b != stop[1] and later[a] and later[a] == earlier[b]:
+                found.add(a)
+                a, b = a + step, b + step
+    return found
+
+
+def test_against_alignment_of_all_pairs(spark):
+    rng = random.Random(11)
+    for _ in range(3):
+        pool = [f"line {i} of the pool" for i in range(12)] + ["}", "ok", "一二三四五六"]
+        texts = [[f"head of {i} alone", *rng.choices(pool, k=rng.randrange(2, 9))] for i in range(25)]
+        out = run(spark, [(i, "\n".join(t)) for i, t in enumerate(texts)])
+        left = [out[i][2].split("\n") for i in range(len(texts))]
+        for i, mine in enumerate(texts):
+            reached = {e: chains(mine, texts[e]) for e in range(i)}
+            every = set().union(*reached.values())
+            for at, x in enumerate(mine):
+                if mine.count(x) == 1:
+                    if x not in left[i]:
+                        assert at in every  # what goes is in a block shared with an earlier document
+                    elif len(x.replace(" ", "")) >= L.ANCHOR_CHARS:  # what stays is out of reach of all that keep it
+                        assert all(at not in reached[e] for e in range(i) if x in left[e] and texts[e].count(x) == 1)
+
+
 def test_owner_with_a_repeated_line_is_no_obstacle(spark):
     x = LINES[0]
     out = run(spark, [(1, f"{x}\nmiddle of the first one alone\n{x}"), (2, f"{x}\nsecond"), (3, f"third\n{x}"), (4, f"{x}\nfourth")])
@@ -77,3 +110,9 @@ def test_moved_lines_find_another_partner(spark):
     a, b = "\n".join(LINES[:6]), "\n".join([*LINES[3:6], *LINES[:3], "second"])
     out = run(spark, [(1, a), (2, b), (3, "\n".join([*LINES[3:6], *LINES[:3], "third"]))])
     assert out[2][1] == 3 and out[3] == (7, 6, "third")
+
+
+def test_copies_of_short_lines_and_texts_without_blanks(spark):
+    short, chinese = "- a\n- b\n\n- a", "我们在这里读书"
+    out = run(spark, [(1, short), (2, short), (3, "- a"), (4, chinese + "\nfour"), (5, "five\n" + chinese), (6, short + "\n- c")])
+    assert out[2] == (4, 3, "") and out[3][1] == 0 and out[4][1] == 0 and out[5] == (2, 1, "five") and out[6][1] == 0
