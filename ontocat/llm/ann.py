@@ -90,11 +90,16 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     norms = (rows * rows).sum(axis=1)
     rough = norms[None] - 2 * queries @ rows.T
     slack = 1e-9 * (np.abs(norms).max() + (queries * queries).sum(axis=1).max())
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, ids[by_id][1:] != ids[by_id][:-1]])  # the first row of each id
     for q, near in enumerate(rough):
         near[ids == query_ids[q]] = np.inf
         close = np.flatnonzero(np.isfinite(near))
         if len(close) > k:
-            close = close[near[close] <= np.partition(near[close], k - 1)[k - 1] + slack]
+            each = near if len(starts) == len(ids) else np.minimum.reduceat(near[by_id], starts)
+            each = each[np.isfinite(each)]
+            if len(each) > k:
+                close = close[near[close] <= np.partition(each, k - 1)[k - 1] + slack]
         gaps = rows[close] - queries[q]
         exact = np.sqrt((gaps * gaps).sum(axis=1))
         best: dict[int, float] = {}
@@ -141,7 +146,7 @@ def _probe(queries: DataFrame, rows: DataFrame, tables: int, probes: int, k: int
     def dealt(frame: DataFrame, kind: int) -> DataFrame:
         """Each row in one part of its bucket, with every part of the other kind."""
         own, other = ("parts", "qparts") if kind else ("qparts", "parts")
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        mine = F.pmod(F.xxhash64("id", "vec"), F.col(own)).cast("int")  # rows of one id are dealt too
         frame = frame.join(F.broadcast(sizes), "bucket").withColumn("own", mine).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         part, qpart = ("own", "other") if kind else ("other", "own")
@@ -177,11 +182,12 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding"
     take no part, nor rows without id; vectors are only compared with those of
     their length. A repeated id is one candidate, with its nearest row; a
     query's own id is never its candidate, and repeated query rows are searched
-    as one, the nearest distance counting. Other columns are not read.
+    as one, the nearest distance counting. Rows equal in id and vector are made
+    one before hashing; other rows of one id are dealt like those of any other. Other columns are not read.
     """
     asked = F.pmod(F.col("id"), F.lit(100)) == 0 if query is None else query
     rows = (vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-            .filter(F.col("id").isNotNull() & usable(F.col("vec"))))
+            .filter(F.col("id").isNotNull() & usable(F.col("vec"))).distinct())
     queries = rows.filter(asked)
     done = cut(_best(_probe(queries, rows, tables, probes, k), k))  # at most k rows per query
     full = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)

@@ -56,3 +56,37 @@ def test_small_and_unusable(spark):
     assert list(map(tuple, found[["query_id", "vec_id"]].to_numpy())) == [(0, 1), (0, 2), (0, 100), (100, 0), (100, 1), (100, 2)]
     assert A.search(spark.createDataFrame([], SCHEMA)).count() == 0
     assert A.search(spark.createDataFrame([(100, [1.0], 0)], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("times", [3, 20])
+def test_repeated_rows_change_nothing(spark, times):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=6).tolist(), 0) for i in range(200)], SCHEMA)
+    whole = sorted(map(tuple, A.search(rows).collect()))
+    assert len(whole) == 20
+    repeated = rows.crossJoin(spark.range(times)).select(*rows.columns)
+    assert sorted(map(tuple, A.search(repeated).collect())) == whole
+
+
+@pytest.mark.parametrize("times", [3, 20])
+def test_an_id_with_many_vectors_is_one_candidate(spark, monkeypatch, times):
+    monkeypatch.setattr(A, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in range(40)]
+    rows += [(i, [x + 1e-3 * n for x in v], 0) for i, v, _ in rows[1:] for n in range(1, times)]
+    found = A.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).toPandas().sort_values("rank")
+    gaps = {}
+    for i, v, _ in rows[1:]:
+        gap = float(np.sqrt(((np.array(v) - rows[0][1]) ** 2).sum()))
+        if i:
+            gaps[i] = min(gap, gaps.get(i, gap))
+    want = sorted((g, i) for i, g in gaps.items())[:10]
+    got = found[found.query_id == 0]
+    assert list(got["rank"]) == list(range(1, 11)) and list(got.vec_id) == [i for _, i in want]
+    assert list(got.score) == pytest.approx([g for g, _ in want])
+
+
+def test_nearest_counts_ids_not_rows():
+    ids = np.array([1] * 10 + [2, 3])
+    rows = np.array([[1.0 + n / 100, 0.0] for n in range(10)] + [[2.0, 0.0], [3.0, 0.0]])
+    assert [v for _, v, _ in A.nearest(np.zeros((1, 2)), np.array([9]), rows, ids, 2)] == [1, 2]
