@@ -175,11 +175,15 @@ def _prefixes(shared, ngram: int, similarity: tuple[int, int], run_rows: int, lo
 
 
 def _in_parts(rows: DataFrame, group: list[str], parts: str) -> DataFrame:
-    """Deals a group's rows into ``parts`` parts and every pair of parts; a group of one part stays as it is."""
+    """Deals a group's rows into ``parts`` parts and every pair of parts; a group of one part stays as it is.
+
+    ``alone`` tells in a row of one part that this pair is its own part with itself.
+    """
     own = F.pmod(F.xxhash64("key"), F.col(parts)).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
     return (rows.withColumn("pair", F.least("own", "other") * F.col(parts) + F.greatest("own", "other"))
-            .drop("own", "other", parts).repartition(*group, "pair"))
+            .withColumn("alone", F.col("own") == F.col("other")).withColumnRenamed("own", "part")
+            .drop("other", parts).repartition(*group, "pair"))
 
 
 class Links:
@@ -326,7 +330,8 @@ class Trie:
         Overlap up to a node is counted once for all sets below it. A subtree
         goes when even all that is left of the query, or of its largest set,
         could not reach the overlap that its smallest set needs, or when the
-        one set in it is ``known`` to be connected with the query.
+        one set in it is ``known``: connected with the query, or reported by
+        another tree.
         """
         mine = self.sets[query]
         size, (part, whole) = len(mine), similarity
@@ -354,9 +359,10 @@ class Trie:
                 todo += [(child, common) for child in below]
 
 
-def similar_links(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], similarity: tuple[int, int], skip=None) -> list[tuple[int, int]]:
     """Links that connect whatever similar pairs connect, by a prefix tree over the sets.
 
+    With ``skip``, all similar pairs but those of sets for which it holds.
     N-grams are ordered by how many of the sets have them, most first, so that
     near copies share long paths.
     """
@@ -368,13 +374,16 @@ def similar_links(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[t
     ordered = [np.sort(x) for x in np.split(rank[where], np.cumsum([len(s) for s in sets])[:-1])]
     order = sorted(range(len(sets)), key=lambda i: ordered[i].astype(">i8").tobytes())
     trie = Trie([ordered[i] for i in order])
-    marked, links = np.zeros(len(grams), bool), Links()
+    marked, links, pairs = np.zeros(len(grams), bool), Links(), []
     for query, mine in enumerate(trie.sets):
         marked[mine] = True
-        for other in trie.similar(query, marked, similarity, lambda x: links.find(x) == links.find(query)):
-            links.add(query, other)
+        if skip:
+            pairs += [(query, x) for x in trie.similar(query, marked, similarity, lambda x: skip(order[query], order[x]))]
+        else:
+            for other in trie.similar(query, marked, similarity, lambda x: links.find(x) == links.find(query)):
+                links.add(query, other)
         marked[mine] = False
-    return [(order[a], order[b]) for a, b in links.links]
+    return [(order[a], order[b]) for a, b in (pairs if skip else links.links)]
 
 
 def _verified(ngram: int, similarity: tuple[int, int]):
@@ -394,6 +403,36 @@ def _verified(ngram: int, similarity: tuple[int, int]):
     return verify
 
 
+def _all_verified(ngram: int, similarity: tuple[int, int], pairs: bool):
+    """All similar pairs of a group's classes, each from one tree; or, of each class, the documents linked in a tree and a forest."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, ["component", "pair"]):
+            keys, group, pair, part, alone, copies = (table[c].to_pylist() for c in (
+                "key", "component", "pair", "part", "alone", "copies"))
+            texts, a = table["text"], 0
+            for z in range(1, len(keys) + 1):
+                if z < len(keys) and (group[z], pair[z]) == (group[a], pair[a]):
+                    continue
+                rows = list({keys[r]: r for r in range(a, z)}.values())
+                sets = [ngram_set(texts[r].as_py(), ngram) for r in rows]
+                # pairs inside one part are reported where the part is alone
+                found = similar_links(sets, similarity, lambda x, y: part[rows[x]] == part[rows[y]] and not alone[rows[x]])
+                found = [(rows[x], rows[y]) for x, y in found]
+                if found and pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[r] for r in side], pa.binary()) for side in zip(*found)], ["a", "b"])
+                elif found:
+                    links, n = Links(), dict.fromkeys(rows, 0)
+                    for x, y in found:
+                        links.add(x, y)
+                        n[x], n[y] = n[x] + copies[y], n[y] + copies[x]
+                    out = [(keys[x], keys[y], None) for x, y in links.links] + [(keys[r], None, n[r]) for r in rows if n[r]]
+                    one, other, linked = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(other, pa.binary()),
+                                                      pa.array(linked, pa.int64())], ["a", "b", "n_links"])
+                a = z
+    return verify
+
+
 def _once(ngram: int):
     """Rows whose text is the set that their key stands for, each key once per task."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,38 +447,9 @@ def _once(ngram: int):
     return pick
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM,
-                      similarity: tuple[int, int] = SIMILARITY, sketch_bits: int = SKETCH_BITS,
-                      run_rows: int = RUN_ROWS, group_rows: int = GROUP_ROWS,
-                      long: int = LONG) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``hash`` (of the text), ``n``, ``component_id``, ``first``.
-
-    Documents are linked when their n-gram sets have a Jaccard similarity of at
-    least ``similarity`` (a fraction, compared in integers); ``component_id`` is
-    the smallest id reachable by links and ``first`` marks the row(s) of the
-    smallest (id, text hash) of each component. No link is lost:
-
-    1. Equal sets become one class, however many copies there are.
-    2. All n-grams are put into one global order, rare first: by a frequency
-       sketch over all texts (fixed size, broadcast), then by hash. Similar sets
-       must share one of their first n - ceil(s * n) + 1 n-grams.
-    3. Classes are dealt by these n-grams. Rows of one n-gram are told apart by
-       size, position and parity bits, all of which only exclude pairs that
-       can't be similar; the rest is handed on as a spanning forest, never as
-       all pairs. N-grams that the sketch shows to be hot are dealt in parts.
-       Connected groups of candidates are then told apart once more, by many
-       more parity bits for long sets.
-    4. Each group that is left gets the texts of its classes once and
-       builds a prefix tree of their sets, in which similar ones are found
-       exactly; groups of more than ``group_rows`` classes are dealt in parts,
-       every pair of which is one tree.
-    5. Verified links give the components.
-
-    Texts without words (null, empty, blank) have n = 0, are linked with nothing
-    and are their own component. Null ids count as larger than any id and
-    a component without ids has a null ``component_id``. Repeated rows are
-    copies of each other. Empty input gives no rows. Other columns are not read.
-    """
+def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, similarity: tuple[int, int], sketch_bits: int = SKETCH_BITS,
+             run_rows: int = RUN_ROWS, group_rows: int = GROUP_ROWS, long: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described documents, the classes of equal sets, and the texts of classes that may have similar ones, dealt by group."""
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("hash"),
                        docs[text].cast("binary").alias("text"))
@@ -450,7 +460,7 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         "many binary"))
     worded = described.filter("n > 0")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash"))
-    classes = cut(worded.groupBy("key").agg(smallest.alias("least")))
+    classes = cut(worded.groupBy("key").agg(smallest.alias("least"), F.count(F.lit(1)).alias("copies")))
     sets = worded.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "tokens", "parts")])
     token = F.posexplode(F.arrays_zip("tokens", F.coalesce("parts", F.array().cast("array<int>")).alias("parts"))).alias("pos", "t")
     runs = _in_parts(sets.select("key", "n", "low", "high", token)
@@ -468,28 +478,91 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     marks = sized(groups).join(worded.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "many")]), "key")
     groups = components(_in_parts(marks, ["component"], "parts").sortWithinPartitions("component", "pair")
                         .mapInArrow(_refined(similarity), "a binary, b binary"))
-    members = sized(groups).join(classes.select("key", "least"), "key")
+    members = sized(groups).join(classes, "key")
     members = broadcast_if_bounded(cut(members))
     if not members._bounded:
         rows = _only_members(rows, members.select("least.hash"))
     texts = rows.join(members, (F.col("least.hash") == rows["hash"]) & F.col("least.doc_id").eqNullSafe(rows["doc_id"]))
-    texts = (texts.select("key", "component", "parts", "text")
-             .mapInArrow(_once(ngram), "key binary, component binary, parts int, text binary"))
-    links = (_in_parts(texts, ["component"], "parts").sortWithinPartitions("component", "pair")
-             .mapInArrow(_verified(ngram, similarity), "a binary, b binary"))
-    linked = components(links)
+    texts = (texts.select("key", "component", "parts", "text", "copies")
+             .mapInArrow(_once(ngram), "key binary, component binary, parts int, text binary, copies bigint"))
+    return described, classes, _in_parts(texts, ["component"], "parts").sortWithinPartitions("component", "pair")
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM,
+                      similarity: tuple[int, int] = SIMILARITY, links: bool = False, **options) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``hash`` (of the text), ``n``, ``component_id``, ``first``.
+
+    Documents are linked when their n-gram sets have a Jaccard similarity of at
+    least ``similarity`` (a fraction, compared in integers); ``component_id`` is
+    the smallest id reachable by links and ``first`` marks the row(s) of the
+    smallest (id, text hash) of each component. With ``links`` there is also
+    ``n_links``, the number of other rows that a row is linked with: every
+    candidate pair of classes is verified then, where components only need a
+    forest. ``similar_pairs`` gives the pairs themselves. No component is lost:
+
+    1. Equal sets become one class, however many copies there are.
+    2. All n-grams are put into one global order, rare first: by a frequency
+       sketch over all texts (fixed size, broadcast), then by hash. Similar sets
+       must share one of their first n - ceil(s * n) + 1 n-grams.
+    3. Classes are dealt by these n-grams. Rows of one n-gram are told apart by
+       size, position and parity bits, all of which only exclude pairs that
+       can't be similar; the rest is handed on as a spanning forest, never as
+       all pairs. N-grams that the sketch shows to be hot are dealt in parts.
+       Connected groups of candidates are then told apart once more, by many
+       more parity bits for long sets.
+    4. Each group that is left gets the texts of its classes once and
+       builds a prefix tree of their sets, in which similar ones are found
+       exactly; groups of more than ``group_rows`` classes are dealt in parts,
+       every pair of which is one tree.
+    5. Verified links give the components.
+
+    Texts without words (null, empty, blank) have n = 0, are linked with nothing
+    and are their own component. Null ids count as larger than any id and
+    a component without ids has a null ``component_id``. Repeated rows are
+    copies of each other. Empty input gives no rows. Other columns are not read.
+    """
+    described, classes, texts = _grouped(docs, doc_id, text, ngram, similarity, **options)
+    if links:
+        found = cut(texts.mapInArrow(_all_verified(ngram, similarity, False), "a binary, b binary, n_links bigint"))
+        forest = found.filter("b is not null").select("a", "b")
+        counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("n_links"))
+        classes = cut(classes.join(counts, "key", "left").withColumn(
+            "n_links", F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))))
+    else:
+        forest = texts.mapInArrow(_verified(ngram, similarity), "a binary, b binary")
+    linked = components(forest)
     named = linked.join(classes.select(F.col("key").alias("node"), "least"), "node")
     heads = named.groupBy("component").agg(F.min("least").alias("head"))
     heads = named.select("node", "component").join(heads, "component").select(F.col("node").alias("key"), "head")
     # written, so that the join of all rows with it is one whose hot keys Spark can split
-    of_class = cut(classes.select("key", "least").join(heads, "key", "left")
-                   .select("key", F.coalesce("head", "least").alias("head")))
+    more = ["n_links"] if links else []
+    of_class = cut(classes.select("key", "least", *more).join(heads, "key", "left")
+                   .select("key", F.coalesce("head", "least").alias("head"), *more))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     return (described.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"), own.alias("own"))
             .join(of_class, "key", "left")
             .select("doc_id", "hash", F.col("n").cast("bigint").alias("n"),
                     F.coalesce("head", "own")["doc_id"].alias("component_id"),
-                    F.coalesce("head", "own").eqNullSafe(F.col("own")).alias("first")))
+                    F.coalesce("head", "own").eqNullSafe(F.col("own")).alias("first"),
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in more]))
+
+
+def similar_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM,
+                  similarity: tuple[int, int] = SIMILARITY, **options) -> DataFrame:
+    """Every pair of similar classes once: ``doc_id``, ``hash``, ``copies``, ``other_id``, ``other_hash``, ``other_copies``.
+
+    A class is all rows of one n-gram set, named by the smallest (id, text hash)
+    among them; rows of one class are similar without being listed. The pair's
+    first class is the one that is smaller by name. A group of m classes that
+    are all similar has m * (m - 1) / 2 pairs.
+    """
+    _, classes, texts = _grouped(docs, doc_id, text, ngram, similarity, **options)
+    found = cut(texts.mapInArrow(_all_verified(ngram, similarity, True), "a binary, b binary"))
+    one, other = (classes.select(F.col("key").alias(c), F.struct("least", "copies").alias(name)) for c, name in (("a", "x"), ("b", "y")))
+    found = found.join(one, "a").join(other, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return found.select(*[F.col(f"{side}.{c}").alias(name) for side, names in (
+        ("x", ("doc_id", "hash", "copies")), ("y", ("other_id", "other_hash", "other_copies")))
+        for c, name in zip(("least.doc_id", "least.hash", "copies"), names)])
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

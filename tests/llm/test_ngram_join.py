@@ -114,3 +114,25 @@ def test_sorted_runs_keep_runs_whole():
         tables = [t["k"].to_pylist() for t in common.sorted_runs(batches, ["k"])]
         assert sum(tables, []) == values
         assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
+
+
+@pytest.mark.parametrize("ngram,part", [(3, 90), (1, 50)])
+@pytest.mark.parametrize("small", [False, True])
+def test_links_and_pairs_equal_brute_force(spark, ngram, part, small):
+    rows = near_rows(7, 60) + [(2000 + i, None) for i in range(2)]
+    sets = sets_of([t for _, t in rows], ngram)
+    similar = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])
+               if a and b and 100 * len(a & b) >= part * len(a | b)]
+    links = [sum(i in p for p in similar) for i in range(len(rows))]
+    options = {"run_rows": 3, "group_rows": 4, "sketch_bits": 6, "long": 40} if small else {}
+    docs = spark.createDataFrame(rows, DOCS)
+    found = N.similar_documents(docs, ngram=ngram, similarity=(part, 100), links=True, **options)
+    want = [(doc, n, least, links[i]) for i, (doc, n, least) in enumerate(brute(rows, ngram, part, 100))]
+    assert sorted((r.doc_id, r.n, r.component_id, r.n_links) for r in found.collect()) == sorted(want)
+    first = {frozenset(s): doc for (doc, _), s in reversed(list(zip(rows, sets)))}
+    pairs = {tuple(sorted((first[frozenset(sets[i])], first[frozenset(sets[j])]))) for i, j in similar if sets[i] != sets[j]}
+    forest = N.Links()
+    for p in pairs:
+        forest.add(*p)
+    got = [(r.doc_id, r.other_id) for r in N.similar_pairs(docs, ngram=ngram, similarity=(part, 100), **options).collect()]
+    assert len(pairs) > len(forest.links) and sorted(got) == sorted(pairs)  # links that close a cycle are there too
