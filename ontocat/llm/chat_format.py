@@ -334,3 +334,18 @@ def read_back(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[str,
             turns.append((fields.get("[ROLE]", ""), fields.get("[INST]", "")))
             fields = {}
     return turns, [unescape(text[a:b]) for a, b in spans]
+
+
+def read_back_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What :func:`read_back` finds in formatted conversations: turns, all they say, and the text under the loss spans."""
+    for batch in batches:
+        n, said, loss = [], [], []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            turns, learned = read_back(text, [(s["start"], s["stop"]) for s in spans])
+            n.append(len(turns))
+            said.append("".join(f"{role}\n{words}\n" for role, words in turns))
+            loss.append("".join(learned))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(loss, pa.string()),
+             pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64())],
+            ["conv_id", "n_turns", "said", "loss", "formatted_chars"])

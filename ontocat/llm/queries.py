@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,26 +65,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What can be read back from formatted conversations."""
-    for batch in batches:
-        n, said, loss = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            turns, learned = chat_format.read_back(text, [(s["start"], s["stop"]) for s in spans])
-            n.append(len(turns))
-            said.append("".join(f"{role}\n{words}\n" for role, words in turns))
-            loss.append("".join(learned))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(loss, pa.string()),
-             pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64())],
-            ["conv_id", "n_turns", "said", "loss", "formatted_chars"])
-
-
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
     formatted = chat_format.format_conversations(turns.unionByName(extra))
-    back = formatted.mapInArrow(_digest, "conv_id bigint, n_turns bigint, said string, loss string, formatted_chars bigint")
+    back = formatted.mapInArrow(chat_format.read_back_batches, "conv_id bigint, n_turns bigint, said string, loss string, formatted_chars bigint")
     return back.select("conv_id", "n_turns", sha256_hex(F.col("said")).alias("turns_sha256"),
                        F.length("loss").cast("bigint").alias("loss_chars"), sha256_hex(F.col("loss")).alias("loss_sha256"),
                        "formatted_chars")

@@ -1,11 +1,16 @@
 """The registered queries: SQL where there is any, the stated columns, and whole tables."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
 from check_oracle import TABLES, digest
 from ontocat.llm.queries import ORACLE, QUERIES
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
@@ -38,3 +43,18 @@ def test_columns_and_rows(spark, name):
     assert df.columns == COLUMNS[name].split()
     if df.columns[0] == "doc_id":
         assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_tasks_need_nothing_from_the_repository_root(tmp_path):
+    """Queries run where executors have only the package that the queries send."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from ontocat.session import local_session
+spark = local_session(2, 2)
+import __spark_entry__
+print("ROWS", __spark_entry__.queries()["op10_chat_format"](spark, {SF!r}).count(), __spark_entry__.queries()["op1_decontaminate"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
