@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 
 from ontocat.llm import token_counts as T
@@ -36,3 +39,22 @@ def test_every_length(spark):
 def test_messy_and_empty(spark):
     check(messy_docs(spark))
     assert T.suffix_sums(T.length_histogram(empty_docs(spark))).count() == 0
+
+
+def test_long_white_space_is_counted_like_short(monkeypatch):
+    """Runs cut out of a text give the counts of the plain encoder wherever that one survives."""
+    with open(T.VOCABULARY, "rb") as f:
+        encoding = T.encoder(f.read())
+    monkeypatch.setattr(T, "LONG_BLANK", re.compile(T.LONG_BLANK.pattern.replace("4096", "3")))
+    rng = random.Random(3)
+    for _ in range(2_000):
+        text = "".join(rng.choice(["a", "b1", " ", "'s", "!", "\x1c", "\u00e9", rng.choice(" \t\n\r\x0b\x85\xa0\u3000") * rng.randrange(1, 7)])
+                       for _ in range(rng.randrange(12)))
+        assert T.n_tokens(encoding, text) == len(encoding.encode_ordinary(text)), text
+
+
+def test_millions_of_blanks(spark):
+    texts = ["a" + " " * 1_000_000 + "x", "\n" * 2_000_000, "\t \n" * 500_000 + "x", " " * 5_000_000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    lengths = sorted(r[0] for r in docs.select(T.token_length(docs)).collect())
+    assert len(lengths) == 4 and lengths[0] >= 1_000_000
