@@ -84,12 +84,30 @@ def usable(vec: Column) -> Column:
     return F.coalesce(F.exists(vec, lambda v: v != 0) & ~bad, F.lit(False))
 
 
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, for components of any size.
+
+    Gaps are scaled by a power of two per row, which changes no digit, so that
+    their squares neither overflow nor vanish; a distance beyond the largest
+    double is infinite.
+    """
+    halves = rows * 0.5 - query * 0.5 if max(np.abs(rows).max(initial=0), np.abs(query).max(initial=0)) > 2.0 ** 1000 else None
+    gaps = rows - query if halves is None else halves
+    power = np.frexp(np.abs(gaps).max(axis=1, initial=0))[1]
+    gaps = np.ldexp(gaps, -power[:, None])
+    with np.errstate(over="ignore"):
+        return np.ldexp(np.sqrt((gaps * gaps).sum(axis=1)), power + (halves is not None))
+
+
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
     """Exact ``(query, id, distance)`` of the k nearest rows of each query, without the query's own id; ties to the smaller id."""
     out = []
-    norms = (rows * rows).sum(axis=1)
-    rough = norms[None] - 2 * queries @ rows.T
-    slack = 1e-9 * (np.abs(norms).max() + (queries * queries).sum(axis=1).max())
+    # scaled by a power of two, so that no square overflows; what vanishes is within the slack
+    top = -int(np.frexp(max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)))[1])
+    scaled, asked = np.ldexp(rows, top), np.ldexp(queries, top)
+    norms = (scaled * scaled).sum(axis=1)
+    rough = norms[None] - 2 * asked @ scaled.T
+    slack = 1e-9 * (np.abs(norms).max() + (asked * asked).sum(axis=1).max())
     by_id = np.argsort(ids, kind="stable")
     starts = np.flatnonzero(np.r_[True, ids[by_id][1:] != ids[by_id][:-1]])  # the first row of each id
     for q, near in enumerate(rough):
@@ -100,8 +118,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
             each = each[np.isfinite(each)]
             if len(each) > k:
                 close = close[near[close] <= np.partition(each, k - 1)[k - 1] + slack]
-        gaps = rows[close] - queries[q]
-        exact = np.sqrt((gaps * gaps).sum(axis=1))
+        exact = distances(rows[close], queries[q])
         best: dict[int, float] = {}
         for at in np.lexsort((ids[close], exact)):  # a repeated id counts once, with its nearest row
             if len(best) == k:

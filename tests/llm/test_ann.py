@@ -90,3 +90,20 @@ def test_nearest_counts_ids_not_rows():
     ids = np.array([1] * 10 + [2, 3])
     rows = np.array([[1.0 + n / 100, 0.0] for n in range(10)] + [[2.0, 0.0], [3.0, 0.0]])
     assert [v for _, v, _ in A.nearest(np.zeros((1, 2)), np.array([9]), rows, ids, 2)] == [1, 2]
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e190]), (2, [-1e200, 3e200]), (3, [1.0, 2.0]), (4, [2.0, 2.0]), (100, [3e-200, 4e-200]), (5, [3e-200, 4.5e-200]),
+            (6, [1e308, 0.0]), (200, [-1e308, 0.0])]
+    found = A.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).toPandas().sort_values(["query_id", "rank"])
+    by = {q: list(zip(g.vec_id, g.score)) for q, g in found.groupby("query_id")}
+    assert {q: len(v) for q, v in by.items()} == {0: 8, 100: 8, 200: 8}
+    assert by[0][0] == (1, 1e190) and by[0][1][0] == 3 and by[100][0] == (5, pytest.approx(0.5e-200, rel=1e-12))
+    assert by[200][-1] == (6, float("inf"))
+
+
+def test_distances_are_those_of_the_plain_formula():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(200, 64)), rng.normal(size=64)
+    gaps = x - q
+    assert (A.distances(x, q) == np.sqrt((gaps * gaps).sum(axis=1))).all()
