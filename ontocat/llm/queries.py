@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ontocat.llm import ann, chat_format, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, token_counts, url_filter
+from ontocat.llm import (ann, chat_format, decontaminate, exact_search, line_dedup, mixing, ngram_join, phrases, quality, sharding, token_counts,
+                         url_filter, vector_codes)
 from ontocat.llm.common import read, sha256_hex, shipped
 
 #: The rules that the url query applies.
@@ -75,8 +76,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "formatted_chars")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(read(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: shipped(f) for f in (op1_decontaminate, op2_quality, op3_sharding, op4_mixing, op5_nearest, op6_url_filter,
-                                   op7_token_counts, op8_line_dedup, op9_ngram_join, op10_chat_format)}
+                                   op7_token_counts, op8_line_dedup, op9_ngram_join, op10_chat_format, op11_phrases,
+                                   op12_vector_codes, op13_exact_search)}
 QUERIES["pipeline"] = shipped(corpus_pipeline.run)
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,6 +145,64 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        cast(sum(length(er) + length(et) + length('<s>[ROLE][/ROLE][INST][/INST]</s>')) as bigint) as formatted_chars
 from e group by conv_id""",
+    "op11_phrases": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, row_number() over () as r,
+         regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w
+  from documents),
+spots as (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces where len(w) > 0),
+grams as (select lang, w, i, unnest(range(1, least(3, len(w) - i + 1) + 1)) as k from spots),
+counted as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f from grams group by all),
+totals as (select lang, cast(sum(f) as bigint) as n from counted where k = 1 group by lang),
+cand as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counted where k > 1 and f >= 10),
+cuts as (select lang, k, phrase, a, c, array_to_string(w[1:c], ' ') as left_part, array_to_string(w[c + 1:k], ' ') as right_part
+         from (select *, unnest(range(1, k)) as c from cand)),
+scored as (select cuts.*, x.f as l, y.f as r, cast((1000000::hugeint * a * a) // (x.f::hugeint * y.f) as bigint) as score
+           from cuts join counted x on x.lang = cuts.lang and x.phrase = left_part join counted y on y.lang = cuts.lang and y.phrase = right_part),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+around as (select lang, phrase, max(a) as a from (
+             select lang, array_to_string(w[1:2], ' ') as phrase, a from cand where k = 3
+             union all select lang, array_to_string(w[2:3], ' '), a from cand where k = 3) group by all),
+kept as (select best.* from best left join around on around.lang = best.lang and around.phrase = best.phrase
+         where around.a is null or not (100 * around.a >= 50 * best.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select ranked.lang, cast(rank as integer) as rank, phrase, a, l, r, n, score from ranked join totals on totals.lang = ranked.lang where rank <= 2000""",
+    "op13_exact_search": r"""
+with v as (select vec_id, len(embedding) as k, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
+           where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(max(list_inner_product(q.x, c.x)) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id and q.k = c.k where q.vec_id % 50 = 0 group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
 }
+
+
+def _lloyd_sql(entries: int = 16, rounds: int = 6) -> str:
+    """The codes and codebooks of the vector compression, every round as a pair of table expressions."""
+    nearest = ("a{n} as materialized (select r, p, arg_min(e, d * 16 + e) as e, min(d) as d from (select r, p, e, "
+               "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) as d from parts join b{n} using (p)) group by r, p)")
+    moved = ("b{m} as materialized (select p, e, coalesce(g.c, b{n}.c) as c from b{n} left join (select p, e, list(x order by i) as c from "
+             "(select p, e, i, floor(sum(x[i]) / count(*)) as x from a{n} join parts using (r, p), range(1, 9) t(i) where i <= len(x) group by p, e, i) "
+             "group by p, e) g using (p, e))")
+    steps = [nearest.format(n=0)]
+    for n in range(rounds):
+        steps += [moved.format(n=n, m=n + 1), nearest.format(n=n + 1)]
+    joined = ",\n".join(steps)
+    return rf"""
+with v as materialized (
+  select row_number() over (order by vec_id, embedding) - 1 as r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * cast(x as double))) as x
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select r, p, x[p * (len(x) // 8) + 1:(p + 1) * (len(x) // 8)] as x from v, range(8) t(p)),
+b0 as materialized (select p, r as e, x as c from parts where r < {entries}),
+{joined},
+coded as (select r, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a{rounds} group by r),
+books as (select sha256(string_agg(cast(cast(c[i] as bigint) as varchar), ',' order by p, e, i)) as codebooks_sha256
+          from b{rounds}, range(1, 9) t(i) where i <= len(c))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from v join coded using (r), books"""
+
+
+ORACLE["op12_vector_codes"] = _lloyd_sql()
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -20,6 +20,9 @@ COLUMNS = {
     "op5_nearest": "query_id rank vec_id score",
     "op6_url_filter": "page_id host path rule verdict",
     "op9_ngram_join": "doc_id n_shingles component_id",
+    "op11_phrases": "lang rank phrase a l r n score",
+    "op12_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op13_exact_search": "query_id rank vec_id score",
     "op10_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
 }
 
