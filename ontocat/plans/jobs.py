@@ -1,7 +1,7 @@
 """Batch jobs: read stored inputs, run the operators, write the outputs.
 
 * ``sync``   stored graph + current tags -> tag mapping -> sync plan -> change table (S1, S5, G2, G1, S7)
-* ``import`` stored graph + N-Triples files -> new graph snapshot + rejects (S1, S2)
+* ``import`` stored graph + N-Triples or Turtle files -> new graph snapshot + rejects (S1, S2)
 * ``export`` stored graph -> N-Triples text files (S1, S3)
 * ``apply``  stored graph + command table -> new graph snapshot + rejects (S1, S4, U1-U11)
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ontocat.operators import tagsync
 from ontocat.operators.mutations import CHANGES, ChangeSet
 from ontocat.model import PK
-from ontocat.sources import ntriples
+from ontocat.sources import ntriples, turtle
 from ontocat.sources.store import open_graph, write_changed
 
 
@@ -53,10 +53,13 @@ def _apply(spark: SparkSession, graph_path: str | None, change: ChangeSet, out_p
 
 
 def import_graph(spark: SparkSession, graph_path: str | None, files: str, out_path: str,
-                 batch_id: str | None = None, create: bool = False) -> dict[str, str]:
-    """Merge N-Triples files into the graph as a new snapshot; rejected lines go beside it."""
+                 batch_id: str | None = None, create: bool = False, syntax: str = "ntriples") -> dict[str, str]:
+    """Merge N-Triples or Turtle files into the graph as a new snapshot; what was rejected goes beside it."""
     bid = batch_id or uuid.uuid4().hex[:12]
-    parsed, rejects = ntriples.parse_lines(ntriples.read_ntriples(spark, files), bid)
+    if syntax == "turtle":
+        parsed, rejects = turtle.parse_turtle(turtle.read_turtle(spark, files), bid)
+    else:
+        parsed, rejects = ntriples.parse_lines(ntriples.read_ntriples(spark, files), bid)
     graph_out, rejects_out = f"{out_path}/graph", f"{out_path}/rejects"
     _apply(spark, graph_path, ChangeSet(parsed), graph_out, create)
     rejects.write.mode("errorifexists").text(rejects_out)
@@ -94,6 +97,7 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--out", required=True)
     i.add_argument("--batch-id")
     i.add_argument("--create", action="store_true")
+    i.add_argument("--syntax", choices=["ntriples", "turtle"], default="ntriples")
     c = sub.add_parser("apply")
     c.add_argument("--graph", required=True)
     c.add_argument("--command", required=True, choices=sorted(CHANGES))
@@ -108,7 +112,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.job == "sync":
         out = sync_tags(spark, a.graph, a.current_tags, a.out, a.prefix, a.limit, a.include_unmapped)
     elif a.job == "import":
-        out = import_graph(spark, a.graph, a.files, a.out, a.batch_id, a.create)
+        out = import_graph(spark, a.graph, a.files, a.out, a.batch_id, a.create, a.syntax)
     elif a.job == "apply":
         out = apply_commands(spark, a.graph, a.command, a.commands, a.out, a.create)
     else:

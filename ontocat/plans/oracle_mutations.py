@@ -282,6 +282,33 @@ IMPORT_MERGED_GRAPH = PARSED + "\nSELECT * FROM gfull UNION SELECT * FROM added"
 
 IMPORT_REJECTS = "SELECT concat('supplier ', s_suppkey, ' is not a triple') AS value FROM supplier"
 
+_TTL = "http://example.com/ontology/supplier/"
+_TTL_NS = "CASE WHEN s_suppkey > 5 THEN 'http://example.com/ontology/other/' ELSE 'http://example.com/ontology/' END"
+IMPORT_TURTLE = f"""
+, parsed AS (
+  SELECT concat('{_TTL}', s_suppkey) AS s, 'rdf:type' AS p, 'uc:Table' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_datatype,
+         CAST(NULL AS VARCHAR) AS o_lang FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), 'rdf:type', concat('http://example.com/ontology/class/', s_nationkey), 'iri', NULL, NULL FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), 'uc:name', concat('main.suppliers.', s_name), 'lit', NULL, NULL FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), 'rdfs:label', concat('Supplier "', s_suppkey, '"', chr(10), 'line'), 'lit', NULL, 'en' FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), 'rdfs:label', 'x.y; "z"', 'lit', NULL, 'en-gb' FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), concat({_TTL_NS}, 'nation'), CAST(s_nationkey AS VARCHAR), 'lit', 'xsd:integer', NULL FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), concat({_TTL_NS}, 'balance'), concat(s_nationkey, '.5'), 'lit', 'xsd:decimal', NULL FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), concat({_TTL_NS}, 'active'), CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END, 'lit',
+            'xsd:boolean', NULL FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), concat({_TTL_NS}, 'since'), concat(1990 + s_nationkey, '-01-0', 1 + s_nationkey % 9), 'lit',
+            'xsd:date', NULL FROM supplier
+  UNION ALL SELECT concat('{_TTL}', s_suppkey), 'rdfs:seeAlso', '_:', 'bnode', NULL, NULL FROM supplier
+  UNION ALL SELECT '_:', 'rdfs:comment', concat('bnode', chr(10), 'of ', s_suppkey), 'lit', NULL, NULL FROM supplier
+  UNION ALL SELECT concat('http://example.com/ontology/document/', doc_id), 'rdfs:comment', text, 'lit', NULL, NULL FROM documents
+            WHERE text IS NOT NULL)
+, gfull AS (SELECT s, p, o, o_kind, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM g)
+SELECT DISTINCT * FROM parsed EXCEPT SELECT * FROM gfull"""
+
+IMPORT_TURTLE_REJECTS = """
+SELECT concat('<supplier/', s_suppkey, '> rdfs:comment nosuch:k .') AS value FROM supplier
+UNION ALL SELECT concat('supplier ', s_suppkey, ' is not a triple .') FROM supplier"""
+
 _INT_TYPES = ", ".join(f"'{t}'" for t in (
     "xsd:integer", "xsd:int", "xsd:long", "xsd:short", "xsd:byte", "xsd:nonNegativeInteger", "xsd:positiveInteger",
     "xsd:negativeInteger", "xsd:nonPositiveInteger", "xsd:unsignedInt", "xsd:unsignedLong", "xsd:unsignedShort",
@@ -341,6 +368,8 @@ SCALAR_BODIES = {
     "import_merge": IMPORT_MERGE,
     "import_merged_graph": IMPORT_MERGED_GRAPH,
     "import_rejects": IMPORT_REJECTS,
+    "import_turtle": IMPORT_TURTLE,
+    "import_turtle_rejects": IMPORT_TURTLE_REJECTS,
     "export_triples": EXPORT_TRIPLES,
     "literal_decode": LITERAL_DECODE,
     "mint_iri": SCALAR_NAMES + f"\nSELECT name, {mint_sql('name')} AS iri FROM names",

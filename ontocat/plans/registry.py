@@ -384,7 +384,31 @@ def q_import_merged_graph(spark, sf_dir):
 
 @query("import_rejects")
 def q_import_rejects(spark, sf_dir):
-    _, _, rejects = _import(spark, sf_dir)
+    from ontocat.sources import commands, ntriples
+
+    return ntriples.rejected_lines(commands.ntriples_lines(spark, sf_dir))
+
+
+def _turtle(spark, sf_dir):
+    from ontocat.sources import commands, turtle
+
+    return turtle.parse_turtle(commands.turtle_lines(spark, sf_dir), IMPORT_BATCH)
+
+
+@query("import_turtle")
+def q_import_turtle(spark, sf_dir):
+    """The triples of Turtle files that the graph does not hold; a blank node shows as ``_:``, as its label is made up."""
+    from ontocat.sources import ntriples
+
+    parsed, _ = _turtle(spark, sf_dir)
+    _, added = ntriples.merge_parsed(_g(spark, sf_dir), parsed)
+    return added.select(*[F.when(F.startswith(F.col(c), F.lit("_:")), F.lit("_:")).otherwise(F.col(c)).alias(c) if c in ("s", "o") else F.col(c)
+                          for c in added.columns])
+
+
+@query("import_turtle_rejects")
+def q_import_turtle_rejects(spark, sf_dir):
+    _, rejects = _turtle(spark, sf_dir)
     return rejects
 
 

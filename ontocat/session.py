@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -59,3 +60,22 @@ def storage_root(spark: SparkSession) -> str:
 def new_snapshot_path(spark: SparkSession, kind: str) -> str:
     """A fresh, never-reused path under the shared storage root."""
     return f"{storage_root(spark)}/ontocat/{kind}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Tasks that run its Python code import it by name, and a cluster's executors
+    (or a driver started in another folder) may not have it on their path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_ontocat_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ontocat-package-"), "ontocat_package.zip")  # served by the driver
+    with zipfile.ZipFile(path, "w") as out:
+        for top, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                out.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._ontocat_shipped = True

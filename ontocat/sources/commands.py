@@ -301,6 +301,44 @@ def ntriples_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.explode(F.array(*lines)).alias("value")).unionByName(about)
 
 
+def turtle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turtle files as lines ``(file, split, at, value)``, in many splits that cut statements and strings.
+
+    A file per nation of suppliers, with abbreviated statements of many lines,
+    both forms of directives, a prefix that is bound anew in the middle, an
+    unnamed blank node, a statement with an unbound prefix and one that is no
+    Turtle; eight files of documents, whose whole texts are long strings.
+    """
+    s = read_table(spark, sf_dir, "supplier")
+    k, nk = F.col("s_suppkey"), F.col("s_nationkey")
+    about = _cat("# supplier ", k, "; no [ statement .\n<supplier/", k, "> a uc:Table ,\n    <class/", nk, "> ;\n  uc:name \"main.suppliers.", F.col("s_name"),
+                 "\" ;\n  rdfs:label \"Supplier \\\"", k, "\\\"\\nline\"@EN , 'x.y; \"z\"'@en-GB ; ;\n  user:nation ", nk, " ; user:balance ", nk,
+                 ".5 ; user:active ", F.when(k % 2 == 0, "true").otherwise("false"), " ;\n  user:since \"", 1990 + nk, "-01-0", 1 + nk % 9,
+                 "\"^^xsd:date ;\n  rdfs:seeAlso [ rdfs:comment \"\"\"bnode\nof ", k, "\"\"\" ] .\n<supplier/", k,
+                 "> rdfs:comment nosuch:k .\nsupplier ", k, " is not a triple .")
+    head = _cat("@prefix uc: <", _UC, "> .\n@prefix rdfs: <", _RDFS, ">. PREFIX xsd: <", _XSD, ">\n@prefix user: <", _USER, "> . @base <", _USER, "> .")
+    again = _cat("prefix user:\n<", _USER, "other/>")
+    d = read_table(spark, sf_dir, "documents").filter("text is not null")
+    long = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+    def part(rows: DataFrame, file: Column, place, text: Column) -> DataFrame:
+        return rows.select(file.alias("file"), (F.lit(place) if isinstance(place, int) else place).cast("bigint").alias("place"), text.alias("text"))
+
+    nation, doc_file = _cat("nation-", nk), _cat("documents-", F.col("doc_id") % 8)
+    parts = (part(s, nation, 2 * k, about).unionByName(part(s.select("s_nationkey").distinct(), nation, -1, head))
+             .unionByName(part(s.select("s_nationkey").distinct(), nation, 2 * REBOUND + 1, again))
+             .unionByName(part(d, doc_file, 2 * F.col("doc_id"), _cat("<document/", F.col("doc_id"), "> rdfs:comment\n\"\"\"", long, "\"\"\" .")))
+             .unionByName(part(d.select((F.col("doc_id") % 8).alias("doc_id")).distinct(), doc_file, -1, head)))
+    lines = parts.select("file", "place", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    return (lines.select("file", (F.col("place") * 1024 + F.least(F.shiftright("line", 2), F.lit(1023))).alias("split"),
+                         (F.col("place") * (1 << 24) + F.col("line")).alias("at"), "value")
+            .repartition("file", "split").sortWithinPartitions("file", "split", "at"))
+
+
+#: Suppliers of higher keys come after their file binds its prefix anew.
+REBOUND = 5
+
+
 def scalar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Awkward object names for IRI minting, one per customer."""
     c = read_table(spark, sf_dir, "customer")

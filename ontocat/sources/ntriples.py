@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontocat.functions.scalars import export_form, store_form
-from ontocat.model import BNODE, IRI, LIT, TRIPLE_COLUMNS
+from ontocat.model import BNODE, IRI, LIT, TRIPLE_COLUMNS, TRIPLE_SCHEMA
 from ontocat.operators.mutations import triples_not_in
+from ontocat.session import new_snapshot_path
 
 _IRI = r"<[^>]*>"
 _BNODE = r"_:[A-Za-z0-9_][A-Za-z0-9_.\-]*"
@@ -90,6 +91,23 @@ def escape(x: Column) -> Column:
     return F.when(x.rlike(r'["\\\n\r]'), e).otherwise(x)
 
 
+def _matched(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """Lines with their statement's three terms, each behind a mark that no line of a statement starts with.
+
+    The generator is a border that the optimiser does not merge projections
+    across, so the statement is matched once per line.
+    """
+    marked = F.regexp_replace(F.col("value"), STATEMENT, MARK + "$1" + MARK + "$2" + MARK + "$3")
+    statement = F.startswith(F.col("marked"), F.lit(MARK)) & ~F.startswith(F.col("value"), F.lit(MARK))
+    return lines.select("value", F.explode(F.array(marked)).alias("marked")), F.coalesce(statement, F.lit(False))
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """The non-empty, non-comment lines of ``lines`` that are no statement (``value``)."""
+    m, statement = _matched(lines)
+    return m.filter(~statement & ~F.col("value").rlike(SKIP)).select("value")
+
+
 def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None) -> tuple[DataFrame, DataFrame]:
     """Parse a ``value`` column of N-Triples lines.
 
@@ -98,15 +116,14 @@ def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None)
     Decoding happens in its own projection, before the namespace compaction
     that references each term several times, so every term is decoded once.
     """
-    v = F.col("value")
-    # One match per line: the three terms, each behind a mark that no line of a statement starts with.
-    marked = F.regexp_replace(v, STATEMENT, MARK + "$1" + MARK + "$2" + MARK + "$3")
-    statement = F.startswith(F.col("marked"), F.lit(MARK)) & ~F.startswith(v, F.lit(MARK))
-    m = lines.select(v, marked.alias("marked")).select(
-        v, F.when(statement, F.split("marked", MARK, 4)).alias("terms"))
-    rejects = m.filter(F.col("terms").isNull() & ~v.rlike(SKIP)).select("value")
-    m = m.filter(F.col("terms").isNotNull()).select(*[F.col("terms")[i + 1].alias(n) for i, n in enumerate(("ts", "tp", "to"))])
+    m, statement = _matched(lines)
+    m = m.filter(statement).select(F.explode(F.array(F.split("marked", MARK, 4))).alias("terms"))
+    m = m.select(*[F.col("terms")[i + 1].alias(n) for i, n in enumerate(("ts", "tp", "to"))])
+    return decode_terms(m, batch_id, namespaces), rejected_lines(lines)
+
 
+def decode_terms(m: DataFrame, batch_id: str | None = None, namespaces=None) -> DataFrame:
+    """Distinct triples in stored form from N-Triples terms in the columns ``ts``, ``tp`` and ``to``."""
     def iri_of(tok: str) -> Column:
         return unescape_iri(F.regexp_extract(F.col(tok), r"^<(.*)>$", 1))
 
@@ -137,7 +154,7 @@ def parse_lines(lines: DataFrame, batch_id: str | None = None, namespaces=None)
         F.when((k == LIT) & (F.col("dt") != ""), store_form(F.col("dt"), namespaces)).alias("o_datatype"),
         F.when((k == LIT) & (F.col("lang") != ""), F.lower(F.col("lang"))).alias("o_lang"),
     ).distinct()
-    return triples, rejects
+    return triples
 
 
 def import_merge(g: DataFrame, lines: DataFrame, batch_id: str, namespaces=None
@@ -146,11 +163,20 @@ def import_merge(g: DataFrame, lines: DataFrame, batch_id: str, namespaces=None
 
     Returns ``(merged_graph, added, rejects)``; ``added`` holds the triples that
     were not in ``g`` (its row count is the reference's "triples imported").
+    The parsed triples are written to the shared folder first, so the lines are
+    parsed once, however often the merge reads them.
     """
     parsed, rejects = parse_lines(lines, batch_id, namespaces)
-    added = triples_not_in(g, parsed)
-    merged = g.select(*TRIPLE_COLUMNS).unionByName(added)
-    return merged, added, rejects
+    return merge_parsed(g, parsed) + (rejects,)
+
+
+def merge_parsed(g: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(merged_graph, added)`` of a graph and triples from a parser, which runs once."""
+    spark = g.sparkSession
+    path = new_snapshot_path(spark, "parsed")
+    parsed.write.parquet(path)
+    added = triples_not_in(g, spark.read.schema(TRIPLE_SCHEMA).parquet(path))
+    return g.select(*TRIPLE_COLUMNS).unionByName(added), added
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
