@@ -3,7 +3,8 @@
 * ``sync``   stored graph + current tags -> tag mapping -> sync plan -> change table (S1, S5, G2, G1, S7)
 * ``import`` stored graph + N-Triples or Turtle files -> new graph snapshot + rejects (S1, S2)
 * ``export`` stored graph -> N-Triples text files (S1, S3)
-* ``apply``  stored graph + command table -> new graph snapshot + rejects (S1, S4, U1-U11)
+* ``apply``  stored graph + command table -> new graph snapshot + rejects (S1, S4, U1-U11); with ``--log``, the next
+  commit of a graph log
 
 Each job writes to new paths only (never over its inputs) and returns the
 paths it wrote. A graph path without a graph is an error unless ``--create`` is
@@ -23,6 +24,7 @@ from ontocat.operators import tagsync
 from ontocat.operators.mutations import CHANGES, ChangeSet
 from ontocat.model import PK
 from ontocat.sources import ntriples, turtle
+from ontocat.sources.snapshot_log import READS, GraphLog
 from ontocat.sources.store import open_graph, write_changed
 
 
@@ -76,6 +78,16 @@ def apply_commands(spark: SparkSession, graph_path: str | None, command: str, co
     return {"graph": graph_out, "rejects": rejects_out}
 
 
+def apply_logged(spark: SparkSession, log_path: str, command: str, commands_path: str) -> dict[str, str]:
+    """Apply a command table as the next commit of a graph log, beside other writers; rejects go beside the data."""
+    log, plan = GraphLog(spark, log_path), CHANGES[command]
+    cmds = spark.read.parquet(commands_path)
+    entry = log.commit(lambda g: plan(g, cmds), READS.get(command, ()), note=command)
+    rejects_out = f"{log.root}/rejects/{uuid.uuid4().hex}"
+    plan(log.open(), cmds).rejected.write.parquet(rejects_out)
+    return {"log": log.root, "commit": str(entry.number), "rejects": rejects_out}
+
+
 def export_graph(spark: SparkSession, graph_path: str, out_path: str) -> dict[str, str]:
     """Write the graph as N-Triples text."""
     return {"ntriples": ntriples.export_graph(open_graph(spark, graph_path), out_path)}
@@ -99,20 +111,26 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--create", action="store_true")
     i.add_argument("--syntax", choices=["ntriples", "turtle"], default="ntriples")
     c = sub.add_parser("apply")
-    c.add_argument("--graph", required=True)
+    where = c.add_mutually_exclusive_group(required=True)
+    where.add_argument("--graph")
+    where.add_argument("--log")
     c.add_argument("--command", required=True, choices=sorted(CHANGES))
     c.add_argument("--commands", required=True)
-    c.add_argument("--out", required=True)
+    c.add_argument("--out")
     c.add_argument("--create", action="store_true")
     e = sub.add_parser("export")
     e.add_argument("--graph", required=True)
     e.add_argument("--out", required=True)
     a = ap.parse_args(argv)
+    if a.job == "apply" and not (a.log or a.out):
+        ap.error("apply --graph needs --out")
     spark = SparkSession.builder.appName(f"ontocat-{a.job}").getOrCreate()
     if a.job == "sync":
         out = sync_tags(spark, a.graph, a.current_tags, a.out, a.prefix, a.limit, a.include_unmapped)
     elif a.job == "import":
         out = import_graph(spark, a.graph, a.files, a.out, a.batch_id, a.create, a.syntax)
+    elif a.job == "apply" and a.log:
+        out = apply_logged(spark, a.log, a.command, a.commands)
     elif a.job == "apply":
         out = apply_commands(spark, a.graph, a.command, a.commands, a.out, a.create)
     else:

@@ -396,3 +396,5 @@ LEFT JOIN (SELECT type, count(*) AS n FROM nodes GROUP BY type) c ON c.type = t.
 from ontocat.plans.oracle_mutations import MUTATION_BODIES  # noqa: E402
 
 ORACLE.update({k: with_common(v) for k, v in MUTATION_BODIES.items()})
+ORACLE["snapshot_log"] = " UNION ".join(
+    f"SELECT s, p, o, o_kind FROM ({ORACLE[k]}) {k}" for k in ("assign_concepts", "assign_properties"))

@@ -351,6 +351,26 @@ def q_assign_properties(spark, sf_dir):
     return _graph_out(mut.assign_properties(_g(spark, sf_dir), commands.property_assignment_commands(spark, sf_dir)))
 
 
+@query("snapshot_log")
+def q_snapshot_log(spark, sf_dir):
+    """Two writers plan on the same snapshot of a log; the graph that their commits give."""
+    from ontocat.operators import mutations as mut
+    from ontocat.session import new_snapshot_path
+    from ontocat.sources import commands
+    from ontocat.sources.snapshot_log import GraphLog
+
+    log = GraphLog(spark, new_snapshot_path(spark, "graph-log"))
+    log.start(_g(spark, sf_dir))
+
+    def overtaken(g):
+        if log.latest().number == 0:  # another writer commits while this one plans
+            log.commit(lambda h: mut.property_assignment_changes(h, commands.property_assignment_commands(spark, sf_dir)))
+        return mut.concept_assignment_changes(g, commands.concept_assignment_commands(spark, sf_dir))
+
+    log.commit(overtaken)
+    return _graph_out(log.open())
+
+
 @query("delete_objects")
 def q_delete_objects(spark, sf_dir):
     from ontocat.operators import mutations as mut
