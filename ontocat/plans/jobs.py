@@ -21,13 +21,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ontocat.operators import tagsync
+from ontocat.operators.command_log import log_changes
 from ontocat.operators.mutations import CHANGES, ChangeSet
 from ontocat.model import PK
 from ontocat.sources import ntriples, turtle
-from ontocat.sources.snapshot_log import READS, GraphLog
+from ontocat.sources.snapshot_log import EVERYTHING, READS, GraphLog
 from ontocat.sources.store import open_graph, write_changed
 
 
+#: Commands of the ``apply`` job; ``log`` is a table of mixed commands in their order.
+COMMANDS = {**CHANGES, "log": log_changes}
+
+
 def sync_tags(spark: SparkSession, graph_path: str, current_tags_path: str, out_path: str,
               prefix: str = tagsync.DEFAULT_PREFIX, limit: int = tagsync.MAX_TAGS,
               include_unmapped: bool = False) -> dict[str, str]:
@@ -71,7 +76,7 @@ def import_graph(spark: SparkSession, graph_path: str | None, files: str, out_pa
 def apply_commands(spark: SparkSession, graph_path: str | None, command: str, commands_path: str, out_path: str,
                    create: bool = False) -> dict[str, str]:
     """Apply a command table (Parquet; columns as its operator says); rejected commands go beside the snapshot."""
-    change = CHANGES[command](open_graph(spark, graph_path, create), spark.read.parquet(commands_path))
+    change = COMMANDS[command](open_graph(spark, graph_path, create), spark.read.parquet(commands_path))
     graph_out, rejects_out = f"{out_path}/graph", f"{out_path}/rejects"
     _apply(spark, graph_path, change, graph_out, create)
     change.rejected.write.mode("errorifexists").parquet(rejects_out)
@@ -80,9 +85,9 @@ def apply_commands(spark: SparkSession, graph_path: str | None, command: str, co
 
 def apply_logged(spark: SparkSession, log_path: str, command: str, commands_path: str) -> dict[str, str]:
     """Apply a command table as the next commit of a graph log, beside other writers; rejects go beside the data."""
-    log, plan = GraphLog(spark, log_path), CHANGES[command]
+    log, plan = GraphLog(spark, log_path), COMMANDS[command]
     cmds = spark.read.parquet(commands_path)
-    entry = log.commit(lambda g: plan(g, cmds), READS.get(command, ()), note=command)
+    entry = log.commit(lambda g: plan(g, cmds), READS.get(command, (EVERYTHING,) if command == "log" else ()), note=command)
     rejects_out = f"{log.root}/rejects/{uuid.uuid4().hex}"
     plan(log.open(), cmds).rejected.write.parquet(rejects_out)
     return {"log": log.root, "commit": str(entry.number), "rejects": rejects_out}
@@ -114,7 +119,7 @@ def main(argv: list[str] | None = None) -> None:
     where = c.add_mutually_exclusive_group(required=True)
     where.add_argument("--graph")
     where.add_argument("--log")
-    c.add_argument("--command", required=True, choices=sorted(CHANGES))
+    c.add_argument("--command", required=True, choices=sorted(COMMANDS))
     c.add_argument("--commands", required=True)
     c.add_argument("--out")
     c.add_argument("--create", action="store_true")

@@ -221,7 +221,43 @@ DELETE_OBJECTS = """
          UNION ALL SELECT concat('t/', c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT s, p, o, o_kind FROM g WHERE s NOT IN (SELECT s FROM rm)"""
 
+COMMAND_LOG = """
+, cu AS (SELECT c_custkey AS k, c_custkey * 16 AS q, concat('t/', c_custkey) AS t, concat('mc/', c_nationkey) AS m, concat('r/', c_custkey % 5) AS r
+         FROM customer)
+, ins AS (
+  SELECT q AS seq, t AS s, 'uc:conceptAssignment' AS p, r AS o, 'iri' AS o_kind FROM cu
+  UNION ALL SELECT q + 1, t, 'rdf:type', 'uc:Table', 'iri' FROM cu
+  UNION ALL SELECT q + 1, t, 'uc:name', concat('again ', k), 'lit' FROM cu
+            WHERE t NOT IN (SELECT s FROM g WHERE p = 'rdf:type' AND o = 'uc:Table' AND o_kind = 'iri')
+  UNION ALL SELECT q + 3, t, 'rdf:type', 'uc:Table', 'iri' FROM cu
+  UNION ALL SELECT q + 3, t, 'uc:name', concat('anew ', k), 'lit' FROM cu WHERE k % 3 = 0
+  UNION ALL SELECT q + 4, m, unnest(['rdf:type', 'rdfs:label', 'rdfs:comment', 'skos:altLabel']),
+                   unnest(['skos:Concept', concat('L', k), concat('C', k % 3), concat('A', k % 4)]), unnest(['iri', 'lit', 'lit', 'lit']) FROM cu
+  UNION ALL SELECT q + 5, m, 'rdfs:label', concat('U', k), 'lit' FROM cu WHERE k % 7 = 0
+  UNION ALL SELECT q + 5, m, 'skos:altLabel', concat('B', k), 'lit' FROM cu WHERE k % 14 = 0
+  UNION ALL SELECT q + 6, m, 'skos:broader', r, 'iri' FROM cu
+  UNION ALL SELECT q + 8, t, 'uc:conceptAssignment', m, 'iri' FROM cu)
+, res AS (SELECT q + 5 AS seq, m AS s, 'rdfs:label' AS p FROM cu WHERE k % 7 = 0
+          UNION ALL SELECT q + 5, m, 'skos:altLabel' FROM cu WHERE k % 14 = 0)
+, rs AS (SELECT s, p, max(seq) AS x FROM res GROUP BY s, p)
+, dr AS (SELECT t AS s, max(q + 2) AS x FROM cu WHERE k % 3 = 0 GROUP BY t)
+, de AS (SELECT m AS s, 'skos:broader' AS p, concat('r/', (k + 2) % 5) AS o, 'iri' AS o_kind, max(q + 7) AS x FROM cu WHERE k % 2 = 0 GROUP BY ALL)
+, last AS (SELECT s, p, o, o_kind, max(seq) AS a FROM (SELECT seq, s, p, o, o_kind FROM ins UNION ALL SELECT -1, s, p, o, o_kind FROM g) GROUP BY ALL)
+SELECT last.s, last.p, last.o, last.o_kind FROM last
+LEFT JOIN rs ON rs.s = last.s AND rs.p = last.p LEFT JOIN dr ON dr.s = last.s
+LEFT JOIN de ON de.s = last.s AND de.p = last.p AND de.o = last.o AND de.o_kind = last.o_kind
+WHERE a >= greatest(coalesce(rs.x, -1), coalesce(dr.x, -1), coalesce(de.x, -1))"""
+
+COMMAND_LOG_REJECTED = """
+SELECT c_custkey * 16 + 2 AS seq, 'delete-objects' AS kind FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey * 16 + 5, 'update-concepts' FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT c_custkey * 16 + 7, 'delete-relationships' FROM customer WHERE c_custkey % 2 <> 0
+UNION ALL SELECT c_custkey * 16 + 9, 'add-relationships' FROM customer
+UNION ALL SELECT c_custkey * 16 + 10, 'compact' FROM customer"""
+
 MUTATION_BODIES = {
+    "command_log": COMMAND_LOG,
+    "command_log_rejected": "SELECT CAST(seq AS BIGINT) AS seq, kind FROM (" + COMMAND_LOG_REJECTED + ")",
     "upsert_tables": TABLE_CMDS + register_sql("uc:Table"),
     "upsert_columns": COLUMN_CMDS + register_sql("uc:Column"),
     "register_inventory": INVENTORY,

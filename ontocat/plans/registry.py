@@ -351,6 +351,23 @@ def q_assign_properties(spark, sf_dir):
     return _graph_out(mut.assign_properties(_g(spark, sf_dir), commands.property_assignment_commands(spark, sf_dir)))
 
 
+@query("command_log")
+def q_command_log(spark, sf_dir):
+    """U1-U11 as one ordered log of mixed commands."""
+    from ontocat.operators.command_log import apply_log
+    from ontocat.sources import commands
+
+    return _graph_out(apply_log(_g(spark, sf_dir), commands.mixed_log(spark, sf_dir))[0])
+
+
+@query("command_log_rejected")
+def q_command_log_rejected(spark, sf_dir):
+    from ontocat.operators.command_log import events
+    from ontocat.sources import commands
+
+    return events(commands.mixed_log(spark, sf_dir))[1].select("seq", "kind")
+
+
 @query("snapshot_log")
 def q_snapshot_log(spark, sf_dir):
     """Two writers plan on the same snapshot of a log; the graph that their commits give."""

@@ -260,6 +260,33 @@ def delete_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(c)
 
 
+def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of mixed commands, eleven per customer: tables registered, dropped and registered anew, concepts per
+    nation that grow, are updated and lose relationships again, a rejected prefix and a rejected kind."""
+    c = read_table(spark, sf_dir, "customer")
+    k, nk = F.col("c_custkey"), F.col("c_nationkey")
+    table, concept, region = _cat("t/", k), _cat("mc/", nk), _cat("r/", k % 5)
+
+    def command(at: int, kind: str, uri: Column, name=None, label=None, type_=None, comment=None, alts=None, predicate=None, target=None) -> Column:
+        def text(x):
+            return _null_s() if x is None else F.lit(x) if isinstance(x, str) else x
+
+        return F.struct((k * 16 + at).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), uri.alias("uri"), text(name).alias("name"),
+                        text(label).alias("label"), text(type_).alias("type"), text(comment).alias("comment"),
+                        (_null_a() if alts is None else alts).alias("alt_labels"), text(predicate).alias("predicate_type"), text(target).alias("target_uri"))
+
+    return _rows(
+        c, command(0, "assign-concepts", table, target=region), command(1, "register-tables", table, name=_cat("again ", k)),
+        command(2, "delete-objects", F.when(k % 3 == 0, table)), command(3, "register-tables", table, name=_cat("anew ", k)),
+        command(4, "insert-concepts", concept, label=_cat("L", k), type_="skos_concept", comment=_cat("C", k % 3), alts=F.array(_cat("A", k % 4))),
+        command(5, "update-concepts", F.when(k % 7 == 0, concept), label=_cat("U", k), comment=F.when(k % 2 == 0, ""),
+                alts=F.when(k % 14 == 0, F.array(_cat("B", k)))),
+        command(6, "add-relationships", concept, predicate="skos:broader", target=region),
+        command(7, "delete-relationships", F.when(k % 2 == 0, concept), predicate="skos:broader", target=_cat("r/", (k + 2) % 5)),
+        command(8, "assign-concepts", table, target=concept), command(9, "add-relationships", table, predicate="bad:x", target=region),
+        command(10, "compact", table))
+
+
 # IRIs written into the generated import file.
 _SUP = "http://example.com/ontology/supplier/"
 _DOC = "http://example.com/ontology/document/"
