@@ -398,3 +398,20 @@ from ontocat.plans.oracle_mutations import MUTATION_BODIES  # noqa: E402
 ORACLE.update({k: with_common(v) for k, v in MUTATION_BODIES.items()})
 ORACLE["snapshot_log"] = " UNION ".join(
     f"SELECT s, p, o, o_kind FROM ({ORACLE[k]}) {k}" for k in ("assign_concepts", "assign_properties"))
+
+# The mapping and plan after the mixed log, from the graph it leaves.
+_KEPT = ORACLE["command_log"].replace("\nSELECT last.s,", """
+, left_graph AS (SELECT last.s,""", 1) + """)
+, kept AS (
+  SELECT 'tables' AS type, n.o AS name, l.o AS tag FROM left_graph a JOIN left_graph n ON n.s = a.s AND n.p = 'uc:name'
+         JOIN left_graph l ON l.s = a.o AND l.p = 'rdfs:label' WHERE a.p = 'uc:conceptAssignment' AND n.o <> '' AND l.o <> ''
+  UNION ALL SELECT 'columns', n.o, l.o FROM left_graph a JOIN left_graph n ON n.s = a.s AND n.p = 'uc:name'
+         JOIN left_graph l ON l.s = a.o AND l.p = 'rdfs:label' WHERE a.p = 'uc:propertyAssignment' AND n.o <> '' AND l.o <> '')
+, kept_counts AS (SELECT name, type, tag, count(*) AS n FROM kept GROUP BY ALL)"""
+ORACLE["tag_mappings_kept"] = _KEPT + "\nSELECT name, type, tag, n FROM kept_counts"
+ORACLE["tag_sync_changed"] = _KEPT + """
+, old_counts AS (SELECT name, type, tag, count(*) AS n FROM pairs GROUP BY ALL)
+, changed AS (SELECT DISTINCT type, name FROM (
+    (SELECT name, type, tag, n FROM kept_counts EXCEPT SELECT name, type, tag, n FROM old_counts)
+    UNION ALL (SELECT name, type, tag, n FROM old_counts EXCEPT SELECT name, type, tag, n FROM kept_counts)) x)""" + _plan_sql(50).replace(
+    "FROM pairs)", "FROM kept WHERE (type, name) IN (SELECT (type, name) FROM changed))")

@@ -368,6 +368,31 @@ def q_command_log_rejected(spark, sf_dir):
     return events(commands.mixed_log(spark, sf_dir))[1].select("seq", "kind")
 
 
+def _kept_mapping(spark, sf_dir):
+    """The mapping of the graph after the mixed log, from that before it and what the log changes."""
+    from ontocat.operators import tagdelta
+    from ontocat.operators.command_log import log_changes
+    from ontocat.sources import commands
+
+    g = _g(spark, sf_dir)
+    delta = tagdelta.mapping_delta(g, tagdelta.graph_delta(g, log_changes(g, commands.mixed_log(spark, sf_dir))))
+    return tagdelta.merge_mapping(tagsync.tag_mappings(g), delta), delta
+
+
+@query("tag_mappings_kept")
+def q_tag_mappings_kept(spark, sf_dir):
+    return _kept_mapping(spark, sf_dir)[0].select("name", "type", "tag", "n")
+
+
+@query("tag_sync_changed")
+def q_tag_sync_changed(spark, sf_dir):
+    """The sync plan of the entities that the mixed log has changed."""
+    from ontocat.operators import tagdelta
+
+    mapping, delta = _kept_mapping(spark, sf_dir)
+    return tagdelta.changed_plan(mapping, delta, inputs.current_tags(spark, sf_dir))
+
+
 @query("snapshot_log")
 def q_snapshot_log(spark, sf_dir):
     """Two writers plan on the same snapshot of a log; the graph that their commits give."""
