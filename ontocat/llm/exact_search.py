@@ -16,8 +16,8 @@ K = 5
 SCALE = 256
 #: Integers beyond this size are held at it: up to here they are exact as doubles, and products of 2^18 of them as decimals.
 LIMIT = 1 << 53
-#: Cells that a component is quantised to, and rows that the cells' borders are fitted on (every row is then quantised).
-CELLS = 64
+#: Cells that a component is quantised to (a byte), and rows that the cells' borders are fitted on (every row is then quantised).
+CELLS = 256
 FIT_ROWS = 4_096
 #: Rows and queries that meet in one task: a 24th of all rows, within these bounds, and so many queries at most.
 LEAST_PART, MOST_PART, PARTS = 1_024, 131_072, 24
@@ -178,7 +178,7 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding"
     Components are the integers ``floor(256 * x)``. Queries are the rows where
     ``query`` holds (default: ids divisible by 50); every other id is a candidate.
 
-    1. The approximation file has a byte per component: its cell of 64, between
+    1. The approximation file has a byte per component: its cell of 256, between
        borders fitted on 4,096 rows (by least hash); the least and largest value
        in each cell, over all rows, bound what a cell stands for.
     2. The file is scanned for all queries: it is dealt in parts and the queries
@@ -213,7 +213,7 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding"
     for r in sample:
         by_dims.setdefault(len(r.vec), []).append(r.vec)
     edges = {dims: borders(np.array(x)) for dims, x in by_dims.items() if dims}
-    # 64 cells a component at most
+    # 256 cells a component at most
     found = (rows.select("vec").mapInArrow(_extents(edges), "dims int, dim int, cell int, low double, high double")
              .groupBy("dims", "dim", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect())
     extents: dict[int, tuple[np.ndarray, np.ndarray]] = {}
