@@ -24,7 +24,7 @@ TEMPLATE = (
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
 _TO_ESCAPE = re.compile(r"\\|(?:" + _CONTROL.pattern + ")")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TAGS = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{\s*(.*?)\s*\}\}", re.DOTALL)
+_TAGS = re.compile(r"\{%(-?)\s*(.*?)\s*(-?)%\}|\{\{(-?)\s*(.*?)\s*(-?)\}\}", re.DOTALL)
 _TOKENS = re.compile(r"\s*(?:('[^']*')|([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(==|!=|\+|\||\(|\)))")
 
 
@@ -135,21 +135,31 @@ class _Expression:
 
 
 def parse(source: str) -> Node:
-    """The syntax tree of a template."""
-    stack, at = [Node("block")], 0
+    """The syntax tree of a template. A minus inside a tag's brackets takes the white space on that side away."""
+    stack, at, trim = [Node("block")], 0, False
+
+    def add_text(text: str, trim_end: bool) -> None:
+        text = text.lstrip() if trim else text
+        text = text.rstrip() if trim_end else text
+        if text:
+            stack[-1].parts.append(Node("text", value=text))
+
     for m in _TAGS.finditer(source):
-        if m.start() > at:
-            stack[-1].parts.append(Node("text", value=source[at:m.start()]))
-        at = m.end()
-        if m.group(2) is not None:
-            stack[-1].parts.append(_Expression(m.group(2)).parse())
+        tag, printed = m.group(2), m.group(5)
+        add_text(source[at:m.start()], bool(m.group(1) or m.group(4)))
+        at, trim = m.end(), bool(m.group(3) or m.group(6))
+        if printed is not None:
+            stack[-1].parts.append(_Expression(printed).parse())
             continue
-        word, _, rest = m.group(1).partition(" ")
+        word, _, rest = tag.partition(" ")
         if word == "if":
             stack += [Node("if", [_Expression(rest).parse()]), Node("block")]
         elif word == "else" and len(stack) > 2 and stack[-2].kind == "if" and len(stack[-2].parts) == 1:
             stack[-2].parts.append(stack.pop())
             stack.append(Node("block"))
+        elif word == "elif" and len(stack) > 2 and stack[-2].kind == "if" and len(stack[-2].parts) == 1:
+            stack[-2].parts.append(stack.pop())
+            stack += [Node("block"), Node("if", [_Expression(rest).parse()], "elif"), Node("block")]
         elif word == "for" and (loop := re.fullmatch(r"([A-Za-z]\w*) in (messages)", rest.strip())):
             stack += [Node("for", [], loop.groups()), Node("block")]
         elif word == "generation":
@@ -159,14 +169,33 @@ def parse(source: str) -> Node:
             stack[-1].parts.append(body)
             done = stack.pop()
             stack[-1].parts.append(done)
+            while done.kind == "if" and done.value == "elif":  # ends the tests before it as well
+                body, done = stack.pop(), stack.pop()
+                done.parts.append(body)
+                stack[-1].parts.append(done)
         else:
-            raise TemplateError(f"unexpected tag {m.group(1)!r}")
+            raise TemplateError(f"unexpected tag {tag!r}")
     if len(stack) > 1:
         raise TemplateError(f"{stack[-2].kind} is not closed")
-    stack[0].parts.append(Node("text", value=source[at:]))
+    add_text(source[at:], False)
+    _known(stack[0], {})
     return stack[0]
 
 
+#: What a loop binds: the fields of a message, and of the loop itself.
+_FIELDS, _LOOP = ("role", "text"), ("first", "last", "index")
+
+
+def _known(node: Node, names: dict[str, tuple[str, ...]]) -> None:
+    """Refuses names that nothing binds, so that rendering can't meet one."""
+    if node.kind == "name" and (len(node.value) != 2 or node.value[1] not in names.get(node.value[0], ())):
+        raise TemplateError(f"no name {'.'.join(node.value)!r}")
+    if node.kind == "for":
+        names = {**names, node.value[0]: _FIELDS, "loop": _LOOP}
+    for part in node.parts:
+        _known(part, names)
+
+
 def fold(node: Node) -> Node:
     """Evaluates what does not depend on a conversation and joins neighbouring constant texts."""
     node = Node(node.kind, [fold(p) for p in node.parts], node.value)
@@ -250,8 +279,9 @@ def _statement(node: Node) -> Callable[[dict, _Output], None]:
         body = _statement(node.parts[0])
 
         def loop(scope, out):
-            for item in scope[source]:
-                body({**scope, name: item}, out)
+            items = scope[source]
+            for i, item in enumerate(items):
+                body({**scope, name: item, "loop": {"first": i == 0, "last": i == len(items) - 1, "index": str(i + 1)}}, out)
         return loop
     if node.kind == "generation":
         body = _statement(node.parts[0])

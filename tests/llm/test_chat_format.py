@@ -27,8 +27,15 @@ def test_language():
                ("user", " x "), ("user", ""), ("bot", "z"))[0] == "x;"
     assert run("ab{% generation %}{% for m in messages %}{{ m.text }}{% endfor %}{% endgeneration %}c", ("u", "xyz")) == ("abxyzc", [(2, 5)])
     assert C.fold(C.parse("a{% if 'x' == 'x' %}b{{ 'c' | upper }}{% endif %}d")).parts == [C.Node("text", value="abCd")]
+    choice = "{% for m in messages %}{% if m.role == 'a' %}A{% elif m.role == 'b' %}B{% elif m.role == 'c' %}C{% else %}-{% endif %}{% endfor %}"
+    assert run(choice, *[(r, "") for r in "cabx"])[0] == "CAB-"
+    assert run("{% if 'a' == 'b' %}1{% elif 'a' == 'a' %}2{% endif %}")[0] == "2"
+    assert run("{% for m in messages %}{% if loop.first %}<{% endif %}{{ loop.index }}{{ m.text }}{% if not loop.last %},{% else %}>{% endif %}{% endfor %}",
+               ("u", "x"), ("u", "y"))[0] == "<1x,2y>"
+    assert run("a \n {%- for m in messages -%} \n {{- m.text -}} \t {%- endfor -%} b ", ("u", " x "), ("u", "y"))[0] == "a x yb "
     for bad in ("{% if %}", "{% for m in other %}{% endfor %}", "{% endif %}", "{{ m.__class__ }}", "{{ m | open }}", "{{ f('x') }}",
-                "{% import os %}", "{% if 'a' %}", "{{ 'a' 'b' }}", "{{ }}", "{% else %}"):
+                "{% import os %}", "{{ nosuch }}", "{{ loop.first }}", "{{ messages }}", "{% for m in messages %}{{ m }}{% endfor %}", "{{ m.role }}",
+                "{% for m in messages %}{{ m.name }}{{ loop.size }}{% endfor %}", "{% elif 'a' %}", "{% if 'a' %}{% else %}{% elif 'b' %}{% endif %}", "{% if 'a' %}", "{{ 'a' 'b' }}", "{{ }}", "{% else %}"):
         with pytest.raises(C.TemplateError):
             C.compile_template(bad)
 
