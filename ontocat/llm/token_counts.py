@@ -99,9 +99,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     rows = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
-    total = F.sum("d").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = blocks.select("block", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("docs_above"),
-                           F.coalesce(F.sum("t").over(above), F.lit(0)).alias("tokens_above"), total.alias("docs_all"))
+                           F.coalesce(F.sum("t").over(above), F.lit(0)).alias("tokens_above"), F.sum("d").over(everything).alias("docs_all"),
+                           F.sum("t").over(everything).alias("tokens_all"))
     inside = (Window.partitionBy("block").orderBy(F.col("n_tokens").desc())
               .rowsBetween(Window.unboundedPreceding, -1))
     tokens = F.col("n_docs") * F.col("n_tokens")
@@ -110,10 +111,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
               .join(blocks, "block")
               .withColumn("docs_longer", F.col("docs_above") + F.col("d"))
               .withColumn("tokens_longer", F.col("tokens_above") + F.col("t")))
-    all_tokens = F.sum(tokens).over(Window.partitionBy(F.lit(1)))
     return longer.select("n_tokens", "n_docs", "docs_longer", "tokens_longer",
                          (F.col("docs_all") - F.col("docs_longer")).alias("docs_upto"),
-                         (all_tokens - F.col("tokens_longer") + F.col("docs_longer") * F.col("n_tokens")).alias("truncated_total"))
+                         (F.col("tokens_all") - F.col("tokens_longer") + F.col("docs_longer") * F.col("n_tokens")).alias("truncated_total"))
 
 
 def truncated_totals(sums: DataFrame, limits: DataFrame) -> DataFrame:
