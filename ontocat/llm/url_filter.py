@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontocat.llm.common import lower_ascii
+from ontocat.llm.common import free_name, lower_ascii
 
 #: A rule table of more bytes is joined by a shuffle instead of a broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -70,8 +70,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     smaller verdict). Null urls and urls without ``://`` have an empty host and
     path and fit no rule. Without a fitting rule, ``rule`` is null and the
     verdict is ``default``. Rows are judged one by one, also repeated ones; all
-    columns of ``pages`` are kept.
+    columns of ``pages`` are kept; if one is called ``judged``, the new one is
+    ``_judged`` (with more underscores if need be).
     """
+    out = free_name(pages, "judged")
     compiled = compile_rules(rules)
     rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("page"), host_of(F.col(url)).alias("host"),
                         path_of(F.col(url)).alias("path"))
@@ -87,5 +89,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
             .filter("best is not null or token = ''").groupBy("row").agg(F.first("page").alias("page"), F.first("host").alias("host"), F.first("path").alias("path"),
                                 F.min("best").alias("best"))
             .select("page.*", F.struct("host", "path", F.col("best.rule").alias("rule"),
-                                       F.coalesce("best.verdict", F.lit(default)).alias("verdict")).alias("judged")))
+                                       F.coalesce("best.verdict", F.lit(default)).alias("verdict")).alias(out)))
 

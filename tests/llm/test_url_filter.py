@@ -70,3 +70,10 @@ def test_main_path_is_native(spark, capsys):
     queries.op6_url_filter(spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pages_that_are_judged_already(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "rule string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.net/", "kept", "x")], "page_id int, url string, judged string, host string")
+    row = U.judge_urls(pages, rules).select("judged", "host", "_judged.verdict").first()
+    assert tuple(row) == ("kept", "x", "block")
