@@ -1,8 +1,9 @@
 """Batch jobs: read stored inputs, run the operators, write the outputs.
 
 * ``sync``   stored graph + current tags -> tag mapping -> sync plan -> change table (S1, S5, G2, G1, S7)
+* ``apply-tags`` change table -> tags of a folder target, journaled and resumable (S7)
 * ``import`` stored graph + N-Triples or Turtle files -> new graph snapshot + rejects (S1, S2)
-* ``export`` stored graph -> N-Triples text files (S1, S3)
+* ``export`` stored graph -> N-Triples or Turtle text files (S1, S3)
 * ``apply``  stored graph + command table -> new graph snapshot + rejects (S1, S4, U1-U11); with ``--log``, the next
   commit of a graph log
 
@@ -24,9 +25,10 @@ from ontocat.operators import tagsync
 from ontocat.operators.command_log import log_changes
 from ontocat.operators.mutations import CHANGES, ChangeSet
 from ontocat.model import PK
-from ontocat.sources import ntriples, turtle
+from ontocat.sources import ntriples, turtle, turtle_export
 from ontocat.sources.snapshot_log import EVERYTHING, READS, GraphLog
 from ontocat.sources.store import open_graph, write_changed
+from ontocat.sources.tag_sink import FolderTarget, TagTarget, apply_changes
 
 
 #: Commands of the ``apply`` job; ``log`` is a table of mixed commands in their order.
@@ -50,6 +52,12 @@ def sync_tags(spark: SparkSession, graph_path: str, current_tags_path: str, out_
     return {"plan": plan_path, "changes": changes_path}
 
 
+def apply_tags(spark: SparkSession, changes_path: str, target: TagTarget, journal: str) -> dict[str, str]:
+    """Apply a stored change table once; started again with the same journal, it goes on where it was stopped."""
+    done = apply_changes(spark.read.parquet(changes_path), target, journal)
+    return {"journal": journal, "changes": str(done.agg(F.coalesce(F.sum("changes"), F.lit(0))).first()[0])}
+
+
 def _apply(spark: SparkSession, graph_path: str | None, change: ChangeSet, out_path: str, create: bool) -> str:
     """The new snapshot: only the partitions that the change set touches are read whole and written."""
     g = open_graph(spark, graph_path, create)
@@ -60,11 +68,13 @@ def _apply(spark: SparkSession, graph_path: str | None, change: ChangeSet, out_p
 
 
 def import_graph(spark: SparkSession, graph_path: str | None, files: str, out_path: str,
-                 batch_id: str | None = None, create: bool = False, syntax: str = "ntriples") -> dict[str, str]:
-    """Merge N-Triples or Turtle files into the graph as a new snapshot; what was rejected goes beside it."""
+                 batch_id: str | None = None, create: bool = False, syntax: str = "ntriples", parts: bool = False) -> dict[str, str]:
+    """Merge N-Triples or Turtle files into the graph as a new snapshot; what was rejected goes beside it.
+
+    ``parts``: Turtle files are the parts of one export, whose blank nodes they share."""
     bid = batch_id or uuid.uuid4().hex[:12]
     if syntax == "turtle":
-        parsed, rejects = turtle.parse_turtle(turtle.read_turtle(spark, files), bid)
+        parsed, rejects = turtle.parse_turtle(turtle.read_turtle(spark, files), bid, parts=parts)
     else:
         parsed, rejects = ntriples.parse_lines(ntriples.read_ntriples(spark, files), bid)
     graph_out, rejects_out = f"{out_path}/graph", f"{out_path}/rejects"
@@ -93,8 +103,10 @@ def apply_logged(spark: SparkSession, log_path: str, command: str, commands_path
     return {"log": log.root, "commit": str(entry.number), "rejects": rejects_out}
 
 
-def export_graph(spark: SparkSession, graph_path: str, out_path: str) -> dict[str, str]:
-    """Write the graph as N-Triples text."""
+def export_graph(spark: SparkSession, graph_path: str, out_path: str, syntax: str = "ntriples") -> dict[str, str]:
+    """Write the graph as N-Triples or Turtle text."""
+    if syntax == "turtle":
+        return {"turtle": turtle_export.export_turtle(open_graph(spark, graph_path), out_path)}
     return {"ntriples": ntriples.export_graph(open_graph(spark, graph_path), out_path)}
 
 
@@ -115,6 +127,7 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--batch-id")
     i.add_argument("--create", action="store_true")
     i.add_argument("--syntax", choices=["ntriples", "turtle"], default="ntriples")
+    i.add_argument("--parts", action="store_true", help="the Turtle files are the parts of one export")
     c = sub.add_parser("apply")
     where = c.add_mutually_exclusive_group(required=True)
     where.add_argument("--graph")
@@ -126,6 +139,12 @@ def main(argv: list[str] | None = None) -> None:
     e = sub.add_parser("export")
     e.add_argument("--graph", required=True)
     e.add_argument("--out", required=True)
+    e.add_argument("--syntax", choices=["ntriples", "turtle"], default="ntriples")
+    t = sub.add_parser("apply-tags")
+    t.add_argument("--changes", required=True)
+    t.add_argument("--tags", required=True, help="folder of the tags (FolderTarget)")
+    t.add_argument("--plan", type=int, required=True, help="number of the plan, above those applied to the folder before")
+    t.add_argument("--journal", required=True)
     a = ap.parse_args(argv)
     if a.job == "apply" and not (a.log or a.out):
         ap.error("apply --graph needs --out")
@@ -133,13 +152,15 @@ def main(argv: list[str] | None = None) -> None:
     if a.job == "sync":
         out = sync_tags(spark, a.graph, a.current_tags, a.out, a.prefix, a.limit, a.include_unmapped)
     elif a.job == "import":
-        out = import_graph(spark, a.graph, a.files, a.out, a.batch_id, a.create, a.syntax)
+        out = import_graph(spark, a.graph, a.files, a.out, a.batch_id, a.create, a.syntax, a.parts)
     elif a.job == "apply" and a.log:
         out = apply_logged(spark, a.log, a.command, a.commands)
     elif a.job == "apply":
         out = apply_commands(spark, a.graph, a.command, a.commands, a.out, a.create)
+    elif a.job == "apply-tags":
+        out = apply_tags(spark, a.changes, FolderTarget(a.tags, a.plan), a.journal)
     else:
-        out = export_graph(spark, a.graph, a.out)
+        out = export_graph(spark, a.graph, a.out, a.syntax)
     print(json.dumps(out))
 
 

@@ -391,6 +391,10 @@ LEFT JOIN (SELECT type, count(*) AS n FROM nodes GROUP BY type) c ON c.type = t.
         "SELECT ch.entity_type, ch.entity_name, ch.tag_key, ch.action, per.resulting >= 50 AS skipped",
         "SELECT ch.entity_type, ch.entity_name, ch.tag_key, ch.action, "
         "CASE WHEN ch.action = 'delete' THEN 0 ELSE 1 END AS step") + " WHERE per.resulting < 50"),
+    "tag_sync_applied": with_common(_plan_sql(50).replace("SELECT ch.entity_type", ", plan AS (SELECT ch.entity_type", 1) + """)
+(SELECT entity_type, entity_name, tag_key FROM cur
+ EXCEPT SELECT entity_type, entity_name, tag_key FROM plan WHERE action = 'delete' AND NOT skipped)
+UNION SELECT entity_type, entity_name, tag_key FROM plan WHERE action = 'add' AND NOT skipped"""),
 }
 
 from ontocat.plans.oracle_mutations import MUTATION_BODIES  # noqa: E402

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ontocat.functions.scalars import VOCAB_PREFIXES
 from ontocat.model import DEFAULT_NAMESPACES, USER_NS
+from ontocat.plans.registry import EXPORT_BASE
 
 
 def mint_sql(x: str) -> str:
@@ -381,6 +382,17 @@ SELECT concat_ws(' ',
   '.') AS value
 FROM g"""
 
+
+
+def _based(term: str, is_iri: str) -> str:
+    return f"CASE WHEN {is_iri} AND NOT regexp_matches({term}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN '{EXPORT_BASE}' || {term} ELSE {term} END"
+
+
+EXPORT_TURTLE = f"""
+SELECT {_based('s', "NOT starts_with(s, '_:')")} AS s, {_based('p', 'true')} AS p, {_based('o', "o_kind = 'iri'")} AS o, o_kind,
+       CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang
+FROM g"""
+
 SCALAR_NAMES = """
 , names AS (
   SELECT concat(c_name, ' ', lower(c_mktsegment), '/x~y*z+w%v?u=t&s#r''q(p)o!n é') AS name, 'main' AS catalog,
@@ -407,6 +419,7 @@ SCALAR_BODIES = {
     "import_turtle": IMPORT_TURTLE,
     "import_turtle_rejects": IMPORT_TURTLE_REJECTS,
     "export_triples": EXPORT_TRIPLES,
+    "export_turtle": EXPORT_TURTLE,
     "literal_decode": LITERAL_DECODE,
     "mint_iri": SCALAR_NAMES + f"\nSELECT name, {mint_sql('name')} AS iri FROM names",
     "mint_iri_parts": SCALAR_NAMES + f"""

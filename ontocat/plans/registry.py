@@ -424,6 +424,8 @@ def q_delete_objects(spark, sf_dir):
 # ------------------------------------------------------- import / export, scalars
 
 IMPORT_BATCH = "imp"
+#: What the relative IRIs of the derived graph become when its Turtle is read.
+EXPORT_BASE = "http://example.com/data/"
 
 
 def _import(spark, sf_dir):
@@ -481,6 +483,17 @@ def q_export_triples(spark, sf_dir):
     return ntriples.export_lines(_g(spark, sf_dir))
 
 
+@query("export_turtle")
+def q_export_turtle(spark, sf_dir):
+    """S3: the triples that Turtle import reads from the graph's Turtle files, which are made relative to a base."""
+    from ontocat.session import new_snapshot_path
+    from ontocat.sources import turtle, turtle_export
+
+    path = turtle_export.export_turtle(_g(spark, sf_dir), new_snapshot_path(spark, "turtle"), base=EXPORT_BASE)
+    triples, _ = turtle.parse_turtle(turtle.read_turtle(spark, path), IMPORT_BATCH, parts=True)
+    return triples
+
+
 @query("literal_decode")
 def q_literal_decode(spark, sf_dir):
     from ontocat.functions.scalars import literal_value
@@ -573,6 +586,21 @@ def q_tag_changes_from_json(spark, sf_dir):
     return tagsync.change_table(plan)
 
 
+@query("tag_sync_applied")
+def q_tag_sync_applied(spark, sf_dir):
+    """The tags of a catalog after the journaled sink has applied the stored change table, then found nothing left to do."""
+    from ontocat.session import new_snapshot_path
+    from ontocat.sources.tag_sink import FolderTarget, apply_changes
+
+    tags, table, journal = (new_snapshot_path(spark, kind) for kind in ("tags", "tag-changes", "tag-journal"))
+    current = inputs.current_tags(spark, sf_dir)
+    FolderTarget.start(current, tags)
+    tagsync.change_table(tagsync.tag_sync_plan(tagsync.tag_mapping_pairs(_g(spark, sf_dir)), current)).write.parquet(table)
+    for _ in range(2):  # a second start finds every chunk in the journal
+        apply_changes(spark.read.parquet(table), FolderTarget(tags, 0), journal)
+    return FolderTarget.tags(spark, tags)
+
+
 @query("concept_summary_items")
 def q_concept_summary_items(spark, sf_dir):
     g = _g(spark, sf_dir)

@@ -353,11 +353,12 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["file", "split", "no", "bad", *names])
 
 
-def parse_turtle(lines: DataFrame, batch_id: str, namespaces=None) -> tuple[DataFrame, DataFrame]:
+def parse_turtle(lines: DataFrame, batch_id: str, namespaces=None, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(triples, rejects)`` of Turtle lines ``(file, split, at, value)`` (see :func:`read_turtle`).
 
     Triples are distinct and in stored form; blank nodes are labelled by batch,
-    file and, if unnamed, place. A statement that is no Turtle, or that uses a
+    file and, if unnamed, place. With ``parts`` the files are those of one
+    export, so a blank node's name means the same in all of them. A statement that is no Turtle, or that uses a
     prefix or a base not bound before it, is rejected as a whole, with its text
     (and the comments right before it) in ``value``; the others of its file are kept. Null lines are empty ones; an
     empty table gives empty results; other columns are not read.
@@ -413,7 +414,10 @@ def parse_turtle(lines: DataFrame, batch_id: str, namespaces=None) -> tuple[Data
     rejects = rejects.select(F.regexp_replace("value", r"^\s+", "").alias("value"))
 
     def labelled(column: str):  # labels are those of one file
-        own = F.concat(F.lit("_:"), F.substring(F.sha2(F.col("file").cast("binary"), 256), 1, 12), F.lit("_"), F.substring(F.col(column), 3, 1 << 30))
+        label = F.substring(F.col(column), 3, 1 << 30)
+        own = F.concat(F.lit("_:"), F.substring(F.sha2(F.col("file").cast("binary"), 256), 1, 12), F.lit("_"), label)
+        if parts:  # an unnamed node's label is its place, which only one file has
+            own = F.when(label.rlike(r"^-?[0-9a-f]+\.[0-9a-f]+\.[0-9]+$"), own).otherwise(F.col(column))
         return F.when(F.startswith(F.col(column), F.lit("_:")), own).otherwise(F.col(column)).alias(column)
 
     return decode_terms(kept.select(labelled("ts"), "tp", labelled("to")), batch_id, namespaces), rejects
