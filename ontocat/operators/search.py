@@ -28,6 +28,7 @@ from ontocat.functions.trigrams import THRESHOLD_DEN, THRESHOLD_NUM, similar_eno
 from ontocat.model import literals
 from ontocat.operators import entities as ent
 from ontocat.operators.joins import broadcast_if_bounded
+from ontocat.session import new_snapshot_path
 
 
 def trigram_search(
@@ -104,19 +105,22 @@ def list_filter(g: DataFrame, filters: DataFrame) -> DataFrame:
     The text is never joined whole. Each field is a row ``(item, place, text)``
     that carries the end of the text before it, as long as the longest filter,
     so a match inside a field or across any number of short fields is found in
-    the row where it ends, however many alt labels an item has.
+    the row where it ends, however many alt labels an item has (see
+    :func:`_with_text_before`). Of a label's copies, one more than the longest
+    filter has characters are all that a match can reach across.
     """
     filters = filters.select("q").distinct()
     longest = filters.agg(F.max(F.length("q"))).first()[0] or 0
+    copies = F.sequence(F.lit(1).cast("bigint"), F.least(F.col("n"), F.lit(longest + 1)))
     c = ent.concepts_alt_labels(g, dedupe=False).select(
-        F.lit("concepts").alias("list"), "uri", "label", "alt_label",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy")).drop("copy")
-    p = ent.properties_alt_labels(g).select(F.lit("properties").alias("list"), "uri", F.col("name").alias("label"), "alt_label")
+        F.lit("concepts").alias("list"), "uri", "label", "alt_label", F.explode(copies).alias("copy"))
+    p = ent.properties_alt_labels(g).select(
+        F.lit("properties").alias("list"), "uri", F.col("name").alias("label"), "alt_label", F.lit(1).cast("bigint").alias("copy"))
     item = ["list", "uri", "label"]
     many = c.unionByName(p)
-    alts = many.select(*item, F.lit(0).alias("place"), F.coalesce("alt_label", F.lit("")).alias("text"))
+    alts = many.select(*item, F.lit(0).alias("place"), F.coalesce("alt_label", F.lit("")).alias("text"), "copy")
     heads = many.select(*item).distinct()
-    ends = heads.select(*item, F.lit(1).alias("place"), F.concat_ws(" ", "uri", jinja_text("label")).alias("text"))
+    ends = heads.select(*item, F.lit(1).alias("place"), F.concat_ws(" ", "uri", jinja_text("label")).alias("text"), F.lit(1).cast("bigint").alias("copy"))
     fields = _with_text_before(alts.unionByName(ends), item, longest)
     t = ent.tables(g).select(F.lit("tables").alias("list"), "uri", F.col("name").alias("label"))
     k = ent.columns(g).select(F.lit("columns").alias("list"), "uri", F.col("name").alias("label"))
@@ -127,18 +131,46 @@ def list_filter(g: DataFrame, filters: DataFrame) -> DataFrame:
 def _with_text_before(fields: DataFrame, item: list[str], length: int) -> DataFrame:
     """``text`` preceded by the last ``length`` characters of the item's fields before it, space-joined.
 
-    Every field before is at least one character with its space, so a frame of
-    ``length`` rows is enough.
+    The fields, in order of (item, place, text, copy), are cut into ranges, so
+    an item with very many of them lies in several. Within a range a field
+    takes the text before it from a frame of ``length`` rows, which is enough
+    since every field is at least one character with its space. Each range
+    hands the end of its last item's text on: one row of ``length`` characters
+    per range, from which the next ranges of that item compose theirs. The
+    ranges are written first, for they must not be cut anew when read again.
     """
     if length < 1:
         return fields.select(*item, "text")
-    before = Window.partitionBy(*item).orderBy("place", "text").rowsBetween(-length, -1)
-    ends = F.collect_list(F.concat(F.right(F.col("text"), F.lit(length)), F.lit(" "))).over(before)
-    return fields.select(*item, F.concat(F.right(F.array_join(ends, ""), F.lit(length)), F.col("text")).alias("text"))
+    spark = fields.sparkSession
+    order = ["place", "text", "copy"]
+    ranged = fields.select(*item, *order).repartitionByRange(*item, *order).withColumn("part", F.spark_partition_id())
+    path = new_snapshot_path(spark, "list-fields")
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+
+    def end(parts: Column) -> Column:
+        return F.right(F.array_join(parts, ""), F.lit(length))
+
+    frame = Window.partitionBy("part", *item).orderBy(*order).rowsBetween(-length, -1)
+    near = stored.withColumn("before", end(F.collect_list(F.concat(F.right(F.col("text"), F.lit(length)), F.lit(" "))).over(frame)))
+    edges = near.groupBy("part").agg(F.min(F.struct(*item)).alias("opens"), F.max(F.struct(*item, *order, "before")).alias("last")).select(
+        "part", "opens", F.struct(*[F.col(f"last.{c}").alias(c) for c in item]).alias("closes"),
+        F.right(F.concat("last.before", "last.text", F.lit(" ")), F.lit(length)).alias("tail"))
+    earlier = F.collect_list(F.struct("closes", "tail")).over(Window.orderBy("part").rowsBetween(-length, -1))  # a row per range
+    handed = edges.withColumn("earlier", earlier).select("part", "opens", end(F.transform(
+        F.filter("earlier", lambda x: x["closes"].eqNullSafe(F.col("opens"))), lambda x: x["tail"])).alias("handed")).filter("handed <> ''")
+    path = new_snapshot_path(spark, "list-handed")
+    handed.write.parquet(path)
+    handed = broadcast_if_bounded(spark.read.schema(handed.schema).parquet(path))
+    own = F.when(F.struct(*item).eqNullSafe(F.col("opens")), F.col("handed")).otherwise(F.lit(""))
+    return near.join(handed, "part", "left").select(
+        *item, F.concat(F.right(F.concat(own, F.col("before")), F.lit(length)), F.col("text")).alias("text"))
 
 
 # Filters are found by their first characters, up to this many.
 PREFIX = 3
+# Up to this many first pieces of filters are looked for in a text; of more, the pieces of the text meet them by a join alone.
+KNOWN_PIECES = 64
 
 
 def substring_join(items: DataFrame, filters: DataFrame) -> DataFrame:
@@ -148,12 +180,14 @@ def substring_join(items: DataFrame, filters: DataFrame) -> DataFrame:
     so an equi-join on such pieces (the distinct ones of the text, the first of
     ``q``) finds the candidates, which ``contains`` then decides. The empty
     filter's piece is the empty string, which every text has. The filter side is
-    broadcast behind a check of its size.
+    broadcast behind a check of its size, and if its pieces are few, only those
+    that a text has become rows.
     """
     ut = F.upper(F.col("text"))
     fq = filters.filter("q is not null").select("q", F.upper("q").alias("uq")).withColumn(
         "piece", F.substr("uq", F.lit(1), F.least(F.length("uq"), F.lit(PREFIX))))
     lengths = sorted(r[0] for r in fq.select(F.length("piece")).distinct().collect())  # at most 4 values
+    known = [r[0] for r in fq.select("piece").distinct().limit(KNOWN_PIECES + 1).collect()]
 
     def pieces(n: int) -> Column:
         if n == 0:
@@ -163,6 +197,10 @@ def substring_join(items: DataFrame, filters: DataFrame) -> DataFrame:
 
     if not lengths:
         return items.withColumn("q", F.lit(None).cast("string")).filter(F.lit(False))
-    keyed = items.withColumn("piece", F.explode(F.concat(*[pieces(n) for n in lengths])))
+    if len(known) <= KNOWN_PIECES:
+        found = F.array_compact(F.array(*[F.when(F.contains(ut, F.lit(k)), F.lit(k)) for k in known]))
+    else:
+        found = F.concat(*[pieces(n) for n in lengths])
+    keyed = items.withColumn("piece", F.explode(found))
     return (keyed.join(broadcast_if_bounded(fq), "piece").filter(F.contains(ut, F.col("uq")))
             .select(*items.columns, "q"))
