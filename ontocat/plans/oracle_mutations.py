@@ -412,7 +412,22 @@ GRAPH_IRIS = f"""
 , iris AS (SELECT DISTINCT {export_term_sql('t')} AS iri FROM (
     SELECT s AS t FROM g WHERE NOT starts_with(s, '_:') UNION SELECT p FROM g UNION SELECT o FROM g WHERE o_kind = 'iri'))"""
 
+NAMESPACE_TABLE = f"""
+, binds AS (
+    SELECT DISTINCT prefix, iri FROM (VALUES {', '.join(f"('{p}', '{iri}')" for p, iri in sorted(DEFAULT_NAMESPACES.items()))}) v(prefix, iri)
+    UNION SELECT concat('s', s_suppkey), concat('t/', s_suppkey) FROM supplier
+    UNION SELECT p_brand, concat('ty/', p_type) FROM part)
+, prefixes AS (SELECT prefix, count(*) AS n FROM binds GROUP BY prefix)"""
+
 SCALAR_BODIES = {
+    "namespace_names": GRAPH_IRIS + NAMESPACE_TABLE + """
+, valid AS (SELECT b.prefix, b.iri AS ns FROM binds b JOIN prefixes p ON p.prefix = b.prefix AND p.n = 1)
+, longest AS (SELECT i.iri, max(length(v.ns)) AS n FROM iris i JOIN valid v ON starts_with(i.iri, v.ns) GROUP BY i.iri)
+, named AS (SELECT l.iri, min(v.prefix) || ':' || substr(l.iri, any_value(l.n) + 1) AS qname
+            FROM longest l JOIN valid v ON v.ns = left(l.iri, l.n) GROUP BY l.iri)
+SELECT i.iri, n.qname, CASE WHEN n.qname IS NOT NULL THEN i.iri END AS expanded FROM iris i LEFT JOIN named n ON n.iri = i.iri""",
+    "namespace_conflicts": NAMESPACE_TABLE + """
+SELECT b.prefix, b.iri FROM binds b JOIN prefixes p ON p.prefix = b.prefix AND p.n > 1""",
     "import_merge": IMPORT_MERGE,
     "import_merged_graph": IMPORT_MERGED_GRAPH,
     "import_rejects": IMPORT_REJECTS,

@@ -565,6 +565,36 @@ def q_expand_curie(spark, sf_dir):
     return curies.select("curie", expand_curie(F.col("curie")).alias("iri"))
 
 
+def _namespace_table(spark, sf_dir) -> DataFrame:
+    """Bindings ``(prefix, iri)``: the graph's own, one nested in another per supplier, and brands bound to several types."""
+    from ontocat.model import DEFAULT_NAMESPACES
+    from ontocat.sources.fixtures import read_table
+
+    own = spark.createDataFrame(sorted(DEFAULT_NAMESPACES.items()), "prefix string, iri string")
+    nested = read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey")).alias("prefix"), F.concat(F.lit("t/"), F.col("s_suppkey")).alias("iri"))
+    brands = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("prefix"), F.concat(F.lit("ty/"), F.col("p_type")).alias("iri"))
+    return own.unionByName(nested).unionByName(brands)
+
+
+@query("namespace_names")
+def q_namespace_names(spark, sf_dir):
+    """P4 / P5 by a table of namespaces: every IRI of the graph, its name by the longest one, and what the name expands to."""
+    from ontocat.operators import namespaces
+
+    valid, _ = namespaces.bindings(_namespace_table(spark, sf_dir))
+    names = namespaces.compact_iris(_graph_iris(_g(spark, sf_dir)), valid)
+    back = namespaces.expand_curies(names.select(F.col("iri").alias("of"), F.col("qname").alias("curie")), valid)
+    return back.select(F.col("of").alias("iri"), F.col("curie").alias("qname"), F.col("iri").alias("expanded"))
+
+
+@query("namespace_conflicts")
+def q_namespace_conflicts(spark, sf_dir):
+    from ontocat.operators import namespaces
+
+    return namespaces.bindings(_namespace_table(spark, sf_dir))[1]
+
+
 @query("entity_by_uri")
 def q_entity_by_uri(spark, sf_dir):
     from ontocat.sources.fixtures import read_table
