@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ontocat.llm.common import cut, free_name
+from ontocat.llm.common import free_name
 
 WINDOW = 10
 #: Bytes of benchmark text that one pattern index may hold; more text is searched block by block.
 BLOCK_BYTES = 2 << 20
+#: Bytes of texts that a task searches together for one block after another.
+GROUP_BYTES = 32 << 20
 
 #: Everything but 0-9, a-z and non-ASCII bytes separates words; A-Z is lowered.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -74,41 +76,69 @@ class Index:
             for start in range(len(words) - size + 1):
                 tables.add(tuple(words[start:start + size]), item)
 
+    def search(self, words: list[bytes], items: set[str]) -> list[tuple[int, int]]:
+        """``(start, end)`` of the windows found in ``words``; adds their items."""
+        return [(s, s + t.length) for t in self.lengths.values() for s in t.search(words, items)]
+
     def match(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, merged ``(start, length)`` spans of hit words, items found."""
         words, items = words_of(text), set()
-        hits = sorted((s, s + t.length) for t in self.lengths.values() for s in t.search(words, items))
-        spans: list[list[int]] = []
-        for start, end in hits:
-            if spans and start <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], end)
-            else:
-                spans.append([start, end])
-        return len(words), [(s, e - s) for s, e in spans], items
+        return len(words), merged(self.search(words, items)), items
+
+
+def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of ``(start, end)`` spans as ``(start, length)``, overlapping and touching ones joined."""
+    spans: list[list[int]] = []
+    for start, end in sorted(hits):
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end])
+    return [(s, e - s) for s, e in spans]
 
 
 _BUILT: dict[int, Index] = {}
 
 
 def _index(shared, window: int) -> Index:
-    """The index of a broadcast block, built once per worker process; only the latest is kept."""
-    key = hash((shared.value[0], window))
+    """The index of a broadcast block, kept until another one is needed; of its rows nothing stays in the worker."""
+    key = (shared, window)
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Index(shared.value[1], window)
+        _BUILT[key] = Index(shared.value, window)
+        vars(shared).pop("_value", None)  # read again from the executor's copy when the block is next needed
     return _BUILT[key]
 
 
-def _matcher(shared, window: int):
+def _groups(texts: Iterator[pa.Array], most: int) -> Iterator[list[pa.Array]]:
+    """Arrow batches together until they hold ``most`` bytes; 0: one by one."""
+    group: list[pa.Array] = []
+    for chunk in texts:
+        group.append(chunk)
+        if sum(c.nbytes for c in group) >= most:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def _matcher(blocks: list, window: int, group_bytes: int):
+    """Matches of texts with the items of all blocks; the tables of one block are in memory at a time."""
     @arrow_udf(MATCH_TYPE)
     def match(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = _index(shared, window)
-        for chunk in texts:
-            out = []
-            for text in chunk.cast(pa.binary()):
-                n, spans, items = index.match(text.as_py())
-                out.append({"n_words": n, "spans": [{"start": s, "length": k} for s, k in spans],
-                            "items": sorted(items)})
+        order = [*blocks]
+        for group in _groups(texts, group_bytes if len(blocks) > 1 else 0):
+            bodies = [t.as_py() for chunk in group for t in chunk.cast(pa.binary())]
+            found = [(0, [], set()) for _ in bodies]
+            for shared in order:
+                index = _index(shared, window)
+                for at, body in enumerate(bodies):
+                    words = words_of(body)
+                    found[at][1].extend(index.search(words, found[at][2]))
+                    found[at] = (len(words), *found[at][1:])
+            order.reverse()  # the next group begins with the tables at hand
+            out = [{"n_words": n, "spans": [{"start": s, "length": k} for s, k in merged(hits)], "items": sorted(items)}
+                   for n, hits, items in found]
             yield pa.array(out, pa.struct([
                 ("n_words", pa.int64()),
                 ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))),
@@ -118,17 +148,17 @@ def _matcher(shared, window: int):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
                        item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-                       out: str = "match") -> DataFrame:
+                       group_bytes: int = GROUP_BYTES, out: str = "match") -> DataFrame:
     """``docs`` with a struct column ``out``: word count, hit spans (in words) and items found.
 
     A window is ``window`` consecutive words of an item, or all words of a
-    shorter item; a document matches where its words equal a window's. The
-    tables of a block of items go to every task; blocks hold at most
-    ``block_bytes`` of item text (one larger item is a block of its own), and
-    further blocks are searched one after another with a checkpoint between
-    them, so memory does not grow with the benchmark. Documents are searched
-    row by row: no shuffle, no size limit, copies and hot sources cost the same
-    as other rows.
+    shorter item; a document matches where its words equal a window's. Items
+    are cut into blocks of at most ``block_bytes`` of text (one larger item is a
+    block of its own), each broadcast by itself. Documents are read once: a task
+    takes texts of ``group_bytes`` together and searches them for block after
+    block, with the tables of one block in memory, so memory does not grow with
+    the benchmark. Documents are searched row by row: no shuffle, no size
+    limit, nothing written; copies and hot sources cost the same as other rows.
 
     Null or empty texts have no words and no matches. Items without words or
     without id are no patterns; repeated items count once. An empty benchmark
@@ -140,36 +170,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
              .filter("item is not null and length(body) > 0").distinct())
     total = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
-    result, names = docs, []
+    shared = []
     for block in range(blocks):
         rows = [(r.item, bytes(r.body)) for r in
                 items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block).collect()]
-        rows.sort()
-        name = free_name(result, f"{out}_{block}")
-        result = result.withColumn(name, _matcher(sc.broadcast((hash(tuple(rows)), rows)), window)(F.col(text)))
-        if blocks > 1:
-            result = cut(result)
-        names.append(name)
-    if len(names) == 1:
-        return result.drop(out).withColumnRenamed(names[0], out)
-    return result.withColumn(out, F.struct(
-        F.col(names[0])["n_words"].alias("n_words"),
-        _merged([F.col(n)["spans"] for n in names]).alias("spans"),
-        F.array_sort(F.array_distinct(F.concat(*[F.col(n)["items"] for n in names]))).alias("items"))).drop(*names)
-
-
-def _merged(spans: list[Column]) -> Column:
-    """Union of span lists: sorted by start, overlapping and touching spans joined."""
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        end = F.greatest(last["start"] + last["length"], x["start"] + x["length"])
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1),
-                          F.array(F.struct(last["start"].alias("start"), (end - last["start"]).alias("length"))))
-        return F.when(x["start"] <= last["start"] + last["length"], joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(F.concat(*spans)), empty, add)
+        shared.append(sc.broadcast(sorted(rows)))
+    return docs.withColumn(out, _matcher(shared, window, group_bytes)(F.col(text)))
 
 
 def n_hit(match: Column) -> Column:

@@ -45,7 +45,18 @@ def test_blocks_agree_with_one_block(spark):
     docs = spark.createDataFrame([(i, sentence(rng, 200, 5)) for i in range(20)] + [(99, None), (98, "")], "doc_id bigint, text string")
     one = D.find_contamination(docs, bench).select("doc_id", "match.*")
     many = D.find_contamination(docs, bench, block_bytes=150).select("doc_id", "match.*")
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    want = sorted(map(tuple, one.collect()))
+    assert want == sorted(map(tuple, many.collect()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:  # several groups of several batches in a task: tables come and go in both directions
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        groups = D.find_contamination(docs.coalesce(1), bench, block_bytes=150, group_bytes=3_000).select("doc_id", "match.*")
+        assert want == sorted(map(tuple, groups.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    own = [(str(i), (t or "").encode()) for i, t in items if i is not None]
+    tried = [brute((r.text or "").encode(), own) for r in docs.orderBy("doc_id").collect()]
+    assert [(n, k, sorted(found)) for n, k, found in tried] == [(r.n_words, sum(s["length"] for s in r.spans), r["items"]) for r in one.orderBy("doc_id").collect()]
 
 
 def test_messy_rows_keep_columns(spark):
