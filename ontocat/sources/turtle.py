@@ -5,7 +5,8 @@ may be cut by a split of the file. No file passes through one task:
 
 1. Each split is summarised by what it does to every state that the text before
    it can end in (:data:`STATES`); summaries of a file compose, which tells the
-   state that every split starts in.
+   state that every split starts in. Ranges of splits are composed first, then
+   the ranges of a file, so a file may have any number of splits.
 2. With that, each split cuts itself into statements. Only the piece before its
    first statement end and the one after its last are shuffled, to be joined
    with those of its neighbours.
@@ -53,6 +54,9 @@ TOKEN = re.compile(r"""
  |(?P<bad>.)
 """ .replace("%(esc)s", _ESC), re.VERBOSE | re.DOTALL)
 
+#: Terms and marks that leave a statement open, as many as follow each other; each is just what TOKEN finds at its place.
+_PLAIN = re.compile(r"""(?:\s++|<[^\x00-\x20<>"{}|^`\\]*+>|"(?!"")(?:[^"\\\n\r]|\\.)*+"|[A-Za-z]++:[A-Za-z0-9_]++(?=\s)|[^\W\d_]++(?![\w\-\u00b7:]|\.[\w.\-\u00b7:])|[;,\[\]()])++""", re.DOTALL)
+
 # Terms that Turtle abbreviates.
 _RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -63,11 +67,14 @@ def advance(state: int, line: str) -> tuple[int, list[int]]:
     at, ends = 0, []
     while at < len(line):
         if state in _LONG:
-            m = _LONG_END[state].match(line, at)
+            m = line.find(_LONG[state], at) >= 0 and _LONG_END[state].match(line, at)
             if not m:
                 return state, ends
             at, state = m.end(), INSIDE
             continue
+        if state == INSIDE and (m := _PLAIN.match(line, at)):
+            at = m.end()
+            continue
         m = TOKEN.match(line, at)
         kind, at = m.lastgroup, m.end()
         if kind == "long":
@@ -252,6 +259,60 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split of a range in order: for every state before the file's first split there, the state before this split
+    and the last split with a statement end; a row without split has those behind the range."""
+    out: list[tuple] = []
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))],
+                                          ["part", "file", "split", "states", "owners"])
+
+    key = now = owners = None
+    for batch in batches:
+        for part, file, split, states, ended in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != (part, file):
+                if key:
+                    out.append((*key, None, now, owners))
+                key, now, owners = (part, file), [*STATES], [None] * len(STATES)
+            out.append((part, file, split, now, owners))
+            owners = [split if ended[now[s]] else owners[s] for s in STATES]
+            now = [states[now[s]] for s in STATES]
+        if len(out) >= 10_000:
+            yield batch_of(out)
+            out = []
+    if key:
+        out.append((*key, None, now, owners))
+    if out:
+        yield batch_of(out)
+
+
+def _entered(summary: DataFrame) -> DataFrame:
+    """``(file, split, before, owner)``: the state that each split starts in, and the split that the statement there begins in.
+
+    Only the ranges of a file, as many as there are tasks at most, come together
+    in one row. They are written first, for they must not be cut anew when read
+    again, and so are the summaries, which the cut into ranges reads twice.
+    """
+    spark = summary.sparkSession
+    path = new_snapshot_path(spark, "turtle-summaries")
+    summary.write.parquet(path)
+    ranged = (spark.read.schema(summary.schema).parquet(path).repartitionByRange("file", "split").sortWithinPartitions("file", "split")
+              .select(F.spark_partition_id().alias("part"), "file", "split", "states", "ended"))
+    schema = f"part int, {_SPLIT}, states array<int>, owners array<bigint>"
+    path = new_snapshot_path(spark, "turtle-runs")
+    ranged.mapInArrow(_composed, schema).write.parquet(path)
+    runs = spark.read.schema(schema).parquet(path)
+    order = F.array_sort(F.collect_list(F.struct("part", "states", "owners")))
+    first = F.struct(F.lit(BETWEEN).alias("state"), F.lit(BEFORE).alias("owner"), F.array().cast("array<struct<part:int,state:int,owner:bigint>>").alias("seen"))
+    walk = F.aggregate("ranges", first, lambda a, x: F.struct(
+        x["states"][a["state"]].alias("state"), F.coalesce(x["owners"][a["state"]], a["owner"]).alias("owner"),
+        F.concat(a["seen"], F.array(F.struct(x["part"].alias("part"), a["state"].alias("state"), a["owner"].alias("owner")))).alias("seen")))
+    starts = broadcast_if_bounded(runs.filter("split is null").groupBy("file").agg(order.alias("ranges")).select("file", F.inline(walk["seen"])))
+    return runs.filter("split is not null").join(starts, ["file", "part"]).select(
+        "file", "split", F.col("states")[F.col("state")].alias("before"), F.coalesce(F.col("owners")[F.col("state")], "owner").alias("owner"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Statements of each split, numbered; the piece before its first end has number 0, that behind the last ``last``."""
     out: list[tuple] = []
@@ -292,14 +353,8 @@ def statements(lines: DataFrame) -> DataFrame:
     """
     ship_package(lines.sparkSession)
     summary = lines.select("file", "split", "value").mapInArrow(_summaries, f"{_SPLIT}, states array<int>, ended array<boolean>")
-    # per file as many rows as it has splits, of five states each
-    order = F.array_sort(F.collect_list(F.struct("split", "states", "ended")))
-    first = F.struct(F.lit(BETWEEN).alias("state"), F.lit(BEFORE).alias("owner"), F.array().cast("array<struct<split:bigint,before:int,owner:bigint>>").alias("seen"))
-    walk = F.aggregate("splits", first, lambda a, x: F.struct(
-        x["states"][a["state"]].alias("state"), F.when(x["ended"][a["state"]], x["split"]).otherwise(a["owner"]).alias("owner"),
-        F.concat(a["seen"], F.array(F.struct(x["split"].alias("split"), a["state"].alias("before"), a["owner"].alias("owner")))).alias("seen")))
     path = new_snapshot_path(lines.sparkSession, "turtle-splits")
-    summary.groupBy("file").agg(order.alias("splits")).select("file", F.inline(walk["seen"])).write.parquet(path)
+    _entered(summary).write.parquet(path)
     splits = lines.sparkSession.read.schema(f"{_SPLIT}, before int, owner bigint").parquet(path)
 
     entries = broadcast_if_bounded(splits.filter(F.col("before") != BETWEEN).select("file", "split", "before"))

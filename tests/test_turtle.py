@@ -119,3 +119,40 @@ def test_files_of_many_small_splits(spark, tmp_path):
         assert shown(triples) == WANTED and rejects.count() == 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_states_of_ranges_compose(spark):
+    """What every split of a file starts in, by the ranges of its splits, is what one pass over them gives."""
+    rng = random.Random(3)
+    rows = [(f"f{i % 2}", i, [rng.choice(turtle.STATES) for _ in turtle.STATES], [rng.random() < 0.1 for _ in turtle.STATES]) for i in range(400)]
+    summary = spark.createDataFrame(rng.sample(rows, len(rows)), "file string, split bigint, states array<int>, ended array<boolean>")
+    wanted, at = set(), {}
+    for file, split, states, ended in rows:
+        state, owner = at.get(file, (turtle.BETWEEN, turtle.BEFORE))
+        wanted.add((file, split, state, owner))
+        at[file] = states[state], split if ended[state] else owner
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for merged in ("true", "false"):  # one range, and as many as there are tasks
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+            assert {tuple(r) for r in turtle._entered(summary).collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_terms_skipped_at_once_change_no_state():
+    """Runs of terms that end nothing are skipped; ends and states are those of the terms one by one."""
+    parts = ['"', '""', '"""', "'", "'''", ".", " . ", "1.5", "5e+3", "a", "word ", "uc:x", "uc:x.y", "<a.b>", "<a b>", "#", "\\", ";", "[", " ",
+             "\u00e9", "\u6587\u5b57", "\u6587.", "_:b.", "@en", "PREFIX ", ".5e3", "-", "%20"]
+    rng = random.Random(5)
+
+    class Never:
+        match = staticmethod(lambda line, at: None)
+
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(5_000)]
+    told = [[turtle.advance(s, line) for s in turtle.STATES] for line in lines]
+    plain, turtle._PLAIN = turtle._PLAIN, Never
+    try:
+        assert told == [[turtle.advance(s, line) for s in turtle.STATES] for line in lines]
+    finally:
+        turtle._PLAIN = plain
