@@ -158,3 +158,15 @@ def test_one_term_form_for_every_incoming_iri(spark):
     assert ent.concept_detail(typed, spark.createDataFrame([(thing,)], "uri string")).first().comment == "top"
     node = graphview.graph_nodes(typed).first()
     assert (node.id, node.label) == (thing, "Thing")
+
+
+def test_writing_tasks_grow_with_the_graph(spark, tmp_path, monkeypatch):
+    """A task of a snapshot's writer holds so many triples on average, however well they compress."""
+    from ontocat.sources import store
+
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    g = make_graph(spark, [(f"s{i // 2}", "rdfs:label", "same", "lit") for i in range(2_000)])
+    path = store.write_graph(g.unionByName(g), f"{tmp_path}/graph", dedupe=True)
+    files = {r[0] for r in store.open_graph(spark, path).select(F.input_file_name()).distinct().collect()}
+    assert len(files) >= 10
+    assert store.open_graph(spark, path).count() == 1_000
