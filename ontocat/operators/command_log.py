@@ -17,6 +17,7 @@ before it decides.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +31,8 @@ from ontocat.operators.mutations import CONCEPT_TYPES, ChangeSet, triples_not_in
 from ontocat.session import new_snapshot_path
 
 V = Vocab
+#: Commands that one task makes events of. A command is short, and its events take long: by its bytes a log of millions is one task's.
+TASK_COMMANDS = 50_000
 #: Columns of a log; which of them a command reads is said at its kind in :func:`events`.
 LOG_FIELDS = {"seq": "bigint", "kind": "string", "uri": "string", "name": "string", "label": "string", "type": "string", "comment": "string",
               "domain": "string", "range": "string", "alt_labels": "array<string>", "predicate_type": "string", "target_uri": "string"}
@@ -171,7 +174,8 @@ def log_changes(g: DataFrame, log: DataFrame) -> LogChange:
     command; a log without commands changes nothing.
     """
     spark = g.sparkSession
-    made, rejected = events(log)
+    rejected = events(log)[1]
+    made, _ = events(log.repartition(max(1, math.ceil(log.count() / TASK_COMMANDS))))
     path = new_snapshot_path(spark, "command-events")
     made.write.parquet(path)
     ev = spark.read.schema(made.schema).parquet(path)

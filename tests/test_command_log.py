@@ -127,3 +127,18 @@ def test_logs_are_commits(spark, tmp_path):
         log.commit(lambda g: log_changes(g, spark.createDataFrame(rows, SCHEMA)), (EVERYTHING,))
     want, _ = replay(whole)
     assert quads(log.open()) == want
+
+
+def test_event_tasks_grow_with_the_log(spark, monkeypatch):
+    """A log that is one file's split is dealt to as many tasks as its commands need."""
+    from ontocat.model import empty_graph
+    from ontocat.operators import command_log
+
+    monkeypatch.setattr(command_log, "TASK_COMMANDS", 10)
+    paths, fresh = [], command_log.new_snapshot_path
+    monkeypatch.setattr(command_log, "new_snapshot_path", lambda s, kind: paths.append((kind, fresh(s, kind))) or paths[-1][1])
+    log = spark.range(100).selectExpr("id AS seq", "'register-tables' AS kind", "concat('t/', id) AS uri", "'n' AS name").coalesce(1)
+    change = command_log.log_changes(empty_graph(spark), log)
+    assert change.additions.count() == 200
+    events = spark.read.parquet(dict(paths)["command-events"])
+    assert len(events.inputFiles()) == 10
