@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -57,6 +58,21 @@ TOKEN = re.compile(r"""
 #: Terms and marks that leave a statement open, as many as follow each other; each is just what TOKEN finds at its place.
 _PLAIN = re.compile(r"""(?:\s++|<[^\x00-\x20<>"{}|^`\\]*+>|"(?!"")(?:[^"\\\n\r]|\\.)*+"|[A-Za-z]++:[A-Za-z0-9_]++(?=\s)|[^\W\d_]++(?![\w\-\u00b7:]|\.[\w.\-\u00b7:])|[;,\[\]()])++""", re.DOTALL)
 
+_ABSOLUTE = re.compile(r"<[A-Za-z][A-Za-z0-9+.\-]*:")
+#: A relative IRI of path segments that stand for themselves: behind a base's last slash it is resolved.
+_BELOW = re.compile(r"<(\w[\w\-]*+(?:/\w[\w\-]*+)*+)>", re.ASCII)
+
+# Most statements have terms of a few forms, with white space behind names and literals; what they match is just what TOKEN
+# and :func:`expand` make of it. Others (and all with comments, ``[ ]``, ``( )``, numbers or long strings) go the general way.
+_SIMPLE_IRI, _SIMPLE_NAME, _SIMPLE_BNODE = r"""<[^\x00-\x20<>"{}|^`\\]*+>""", r"[A-Za-z]++:[A-Za-z0-9_]++(?=\s)", r"_:[A-Za-z0-9]++(?=\s)"
+_SIMPLE_STRING = rf"""\"(?!"")(?:[^"\\\n\r]|\\.)*+\"(?:@[A-Za-z]++(?:-[A-Za-z0-9]++)*+|\^\^(?:{_SIMPLE_IRI}|{_SIMPLE_NAME}))?+(?=\s)"""
+_SIMPLE_NODE = f"(?:{_SIMPLE_IRI}|{_SIMPLE_NAME}|{_SIMPLE_BNODE})"
+_SIMPLE_PAIR = rf"(?:a(?=\s)|{_SIMPLE_IRI}|{_SIMPLE_NAME})\s++(?:{_SIMPLE_NODE}|{_SIMPLE_STRING})"
+_SIMPLE = re.compile(rf"\s*+{_SIMPLE_NODE}\s++{_SIMPLE_PAIR}(?:\s*+(?:;\s*+{_SIMPLE_PAIR}|,\s*+(?:{_SIMPLE_NODE}|{_SIMPLE_STRING})))*+\s*+\.\s*+", re.DOTALL)
+_SIMPLE_ITEM = re.compile(rf"{_SIMPLE_IRI}|{_SIMPLE_STRING}|[;,.]|[A-Za-z0-9_:]++", re.DOTALL)
+#: IRIs whose terms are kept at hand.
+_KNOWN_TERMS = 4_096
+
 # Terms that Turtle abbreviates.
 _RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -65,6 +81,12 @@ _XSD = "http://www.w3.org/2001/XMLSchema#"
 def advance(state: int, line: str) -> tuple[int, list[int]]:
     """The state behind a line that starts in ``state``, and the places in it where statements end."""
     at, ends = 0, []
+    if state == BETWEEN and line.startswith("<"):  # no directive begins so
+        state = INSIDE
+    if state == INSIDE and (m := _PLAIN.match(line)):
+        at = m.end()
+        if at == len(line) - 1 and line[at] == ".":
+            return BETWEEN, [len(line)]
     while at < len(line):
         if state in _LONG:
             m = line.find(_LONG[state], at) >= 0 and _LONG_END[state].match(line, at)
@@ -118,6 +140,58 @@ def _quoted(token: str) -> str:
     return '"' + re.sub(r'(?s)\\.|["\n\r]', lambda m: raw.get(m.group(), m.group()), token[cut:-cut]) + '"'
 
 
+def _resolved(base: str | None, value: str) -> str:
+    """``<IRI>`` in full."""
+    if _ABSOLUTE.match(value):
+        return value
+    if base is None:
+        raise Rejected("relative IRI without base")
+    if m := _BELOW.fullmatch(value):
+        return f"<{_below(base)}{m.group(1)}>"
+    return f"<{urljoin(base, value[1:-1])}>"
+
+
+@lru_cache(64)
+def _below(base: str) -> str:
+    return urljoin(base, "x")[:-1]
+
+
+@lru_cache(_KNOWN_TERMS)
+def _named(base: str | None, value: str) -> tuple:
+    """The term of an IRI, name or blank node of a simple statement."""
+    if value[0] == "<":
+        return None, _resolved(base, value), None, None
+    if value[0] == "_":
+        return None, value, None, None
+    prefix, _, local = value.partition(":")
+    return prefix, local, None, None
+
+
+def _simple(text: str, base: str | None) -> list[tuple[tuple, tuple, tuple]] | None:
+    """The triples of a simple statement; None if it is not one."""
+    if not _SIMPLE.fullmatch(text):
+        return None
+    items = iter(_SIMPLE_ITEM.findall(text))
+    subject, predicate, triples = _named(base, next(items)), None, []
+    for item in items:
+        if item == ";":
+            predicate = None
+        elif item == "," or item == ".":
+            continue
+        elif predicate is None:
+            predicate = (None, f"<{_RDF}type>", None, None) if item == "a" else _named(base, item)
+        elif item[0] != '"' or item[-1] == '"':
+            triples.append((subject, predicate, (None, item, None, None) if item[0] == '"' else _named(base, item)))
+        else:
+            end = item.rindex('"') + 1
+            if item[end] == "^":
+                prefix, name, _, _ = _named(base, item[end + 2:])
+                triples.append((subject, predicate, (None, f"{item[:end]}^^{name}", None, None) if prefix is None else (None, item[:end], prefix, name)))
+            else:
+                triples.append((subject, predicate, (None, item, None, None)))
+    return triples
+
+
 def expand(text: str, base: str | None, place: str) -> list[tuple[tuple, tuple, tuple]]:
     """The triples of a statement. A term is ``(name prefix or None, text, datatype's prefix or None, datatype)``.
 
@@ -125,6 +199,9 @@ def expand(text: str, base: str | None, place: str) -> list[tuple[tuple, tuple,
     prefixed name the prefix awaits its binding. ``place`` makes the labels of
     unnamed blank nodes.
     """
+    simple = _simple(text, base)
+    if simple is not None:
+        return simple
     tokens = [*_tokens(text)]
     at, triples, fresh = 0, [], 0
 
@@ -145,11 +222,7 @@ def expand(text: str, base: str | None, place: str) -> list[tuple[tuple, tuple,
 
     def reference(kind: str, value: str) -> tuple:
         if kind == "iri":
-            if not re.match(r"<[A-Za-z][A-Za-z0-9+.\-]*:", value):
-                if base is None:
-                    raise Rejected("relative IRI without base")
-                value = f"<{urljoin(base, value[1:-1])}>"
-            return None, value, None, None
+            return None, _resolved(base, value), None, None
         prefix, _, local = value.partition(":")
         return prefix, re.sub(r"\\(.)", r"\1", local), None, None
 
@@ -245,16 +318,25 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                            pa.array([[ended[s] for s in STATES]], pa.list_(pa.bool_()))], ["file", "split", "states", "ended"])
 
     key = now = ended = None
+    done: dict[int, tuple[int, bool]] = {}
     for batch in batches:
         for file, split, line in zip(*(c.to_pylist() for c in batch.columns)):
             if key != (file, split):
                 if key:
                     yield row()
                 key, now, ended = (file, split), {s: s for s in STATES}, {s: False for s in STATES}
-            done = {s: advance(s, line) for s in set(now.values())}  # states that have met stay together
-            for s in STATES:
-                ended[s] = ended[s] or bool(done[now[s]][1])
-                now[s] = done[now[s]][0]
+            for state in set(now.values()):  # states that have met stay together
+                if state in _LONG and _LONG[state] not in line:
+                    continue
+                after, ends = advance(state, line)
+                if after != state or ends:
+                    done[state] = after, bool(ends)
+            if done:
+                for s in STATES:
+                    if now[s] in done:
+                        now[s], end = done[now[s]]
+                        ended[s] = ended[s] or end
+                done.clear()
     if key:
         yield row()
 
@@ -393,19 +475,18 @@ def _holds(place, side) -> "F.Column":
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f"{r}_{f}" for r in "spo" for f in ("prefix", "text", "dt_prefix", "dt")]
+    types = [pa.string(), pa.int64(), pa.int64()] + [pa.string()] * (1 + len(names))
     for batch in batches:
-        rows: list[list] = [[] for _ in range(4 + len(names))]
+        rows: list[tuple] = []
         for file, split, no, text, base in zip(*(c.to_pylist() for c in batch.columns)):
             try:
                 found = expand(text, base, f"{split:x}.{no:x}")
-                bad = None
+                head = (file, split, no, None)
             except (Rejected, RecursionError, ValueError):
-                found, bad = [((None,) * 4,) * 3], text
-            for triple in found:
-                for column, value in zip(rows, (file, split, no, bad, *(v for term in triple for v in term))):
-                    column.append(value)
-        types = [pa.string(), pa.int64(), pa.int64()] + [pa.string()] * (1 + len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["file", "split", "no", "bad", *names])
+                found, head = [((None,) * 4,) * 3], (file, split, no, text)
+            rows += [head + s + p + o for s, p, o in found]
+        columns = zip(*rows) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["file", "split", "no", "bad", *names])
 
 
 def parse_turtle(lines: DataFrame, batch_id: str, namespaces=None, parts: bool = False) -> tuple[DataFrame, DataFrame]:

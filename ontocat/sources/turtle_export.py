@@ -14,7 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,27 +59,36 @@ def _grouped(header: list[str], most: int):
     """Lines of sorted terms; a line's mark is known when the next row is seen, so one row is held back."""
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subject = predicate = held = None
-        size = 0
+        place = 0  # of the last row among those of its subject
         first = list(header)
         for batch in batches:
-            out, first = first, []
-            for s, p, o in zip(*(c.to_pylist() for c in batch.columns)):
-                mark = "." if s != subject or size == most else ";" if p != predicate else ","
-                size = 1 if mark == "." else size + 1
-                if held is not None:
-                    out.append(f"{held} {mark}")
-                held = f"{s} {p} {o}" if mark == "." else _INDENT[mark] + (o if mark == "," else f"{p} {o}")
-                subject, predicate = s, p
-            if held is None:
-                first = out  # nothing but empty batches so far
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            if not batch.num_rows:
+                continue
+            s, p, o = (pc.fill_null(c.cast(pa.string()), "None") for c in batch.columns)
+            other, moved = _changes(s, subject), _changes(p, predicate)
+            rows = np.arange(len(s))
+            begun = np.maximum.accumulate(np.where(other, rows, -1))
+            places = rows - np.where(begun < 0, -1 - place, begun)
+            opens = places % most == 0
+            mark = pc.if_else(pa.array(opens), ".", pc.if_else(pa.array(moved), ";", ","))
+            pair = pc.binary_join_element_wise(p, o, " ")
+            text = pc.if_else(pa.array(opens), pc.binary_join_element_wise(s, pair, " "), pc.if_else(
+                pa.array(moved), pc.binary_join_element_wise(_INDENT[";"], pair, ""), pc.binary_join_element_wise(_INDENT[","], o, "")))
+            before = text.slice(0, len(s) - 1) if held is None else pa.concat_arrays([pa.array([held], pa.string()), text.slice(0, len(s) - 1)])
+            ended = pc.binary_join_element_wise(before, mark.slice(len(s) - len(before)), " ")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(first, pa.string()), ended])], ["value"])
+            subject, predicate, held, place, first = s[-1].as_py(), p[-1].as_py(), text[-1].as_py(), int(places[-1]), []
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([f"{held} ."])], ["value"])
 
     return lines
 
 
+def _changes(terms: pa.Array, last: str | None) -> np.ndarray:
+    """Whether each term is another than that before it, ``last`` before the first."""
+    return np.concatenate([[terms[0].as_py() != last], pc.not_equal(terms.slice(1), terms.slice(0, len(terms) - 1)).to_numpy(zero_copy_only=False)])
+
+
 def turtle_lines(g: DataFrame, base: str | None = None, namespaces: dict[str, str] | None = None) -> DataFrame:
     """Lines ``(value)`` of the graph as Turtle; each partition is a whole document.
 
@@ -87,8 +98,10 @@ def turtle_lines(g: DataFrame, base: str | None = None, namespaces: dict[str, st
     ship_package(g.sparkSession)
     header = [f"@base <{base}> ."] if base else []
     header += [f"@prefix {p}: <{iri}> ." for p, iri in sorted((namespaces or DEFAULT_NAMESPACES).items())]
-    order = [F.col("s"), (F.col("p") != "a"), F.col("p"), F.col("o")]
-    return turtle_terms(g, namespaces).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_grouped(header, STATEMENT_ROWS), "value string")
+    # Ordered as stored: terms are made once, behind the shuffle and the sampling before it.
+    order = [F.col("s"), (F.col("p") != Vocab.TYPE), F.col("p"), F.col("o")]
+    ranged = g.select("s", "p", "o", "o_kind", "o_datatype", "o_lang").repartitionByRange(*order).sortWithinPartitions(*order)
+    return turtle_terms(ranged, namespaces).mapInArrow(_grouped(header, STATEMENT_ROWS), "value string")
 
 
 def export_turtle(g: DataFrame, path: str, base: str | None = None, namespaces: dict[str, str] | None = None) -> str:

@@ -156,3 +156,22 @@ def test_terms_skipped_at_once_change_no_state():
         assert told == [[turtle.advance(s, line) for s in turtle.STATES] for line in lines]
     finally:
         turtle._PLAIN = plain
+
+
+@pytest.mark.parametrize("base", [None, "http://e/data/", "http://e/d/x", "http://e/a/../b/c", "urn:a:b"])
+def test_simple_statements_are_expanded_as_others_are(monkeypatch, base):
+    heads = ["<a/b> a ex:C", "<http://x/y> ex:p <../q>", "_:b1 <p> _:b2", "ex:s ex:p <a//b>", "<./a> a <d;e>"]
+    tails = [';\n    ex:q "a; b . \\"c"', ', "t"@en-GB', ', "5"^^ex:int ; ex:r ""', '; <r> "1"^^<d>, "x\\\\"', ", ex:a.b", '; ex:p """long"""', ", 1.5", ", [ ]", "# c", ", a"]
+    texts = [f"{head} {tail} {tail2} ." for head in heads for tail in ["", *tails] for tail2 in ["", *tails]]
+
+    def found(text):
+        try:
+            return turtle.expand(text, base, "p")
+        except turtle.Rejected:
+            return None
+
+    quick = [found(t) for t in texts]
+    if base:
+        assert sum(turtle._simple(t, base) is not None for t in texts) > 50
+    monkeypatch.setattr(turtle, "_simple", lambda text, base: None)
+    assert quick == [found(t) for t in texts]

@@ -65,3 +65,9 @@ def test_relative_iris_need_the_base(spark, tmp_path):
     assert rejected == 0 and all(r.startswith("('http://e/data/t/1'") for r in got) and len(got) == 2
     got, rejected = back(spark, turtle_export.export_turtle(g, str(tmp_path / "without")))
     assert (len(got), rejected) == (0, 1)
+
+
+def test_terms_are_made_behind_the_shuffle(spark):
+    g = make_graph(spark, [(U + "A", "rdfs:label", "one", "lit")])
+    plan = turtle_export.turtle_lines(g)._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" in plan.split("RepartitionByExpression")[0] and "StartsWith" not in plan.split("RepartitionByExpression")[1]
