@@ -57,8 +57,9 @@ def _gram_join(g: DataFrame, q: DataFrame, num: int, den: int) -> DataFrame:
     )
     sizes = query_grams.agg(F.min("n_query").alias("least"), F.max("n_query").alias("most")).first()
     least, most = (sizes["least"] or 0) * num, (sizes["most"] or 0) * den
+    # The generator is a border that the optimiser moves no filter across, so a text is cut into trigrams once.
     text_grams = (
-        literals(g).select(*key, trigrams("o").alias("grams"))
+        literals(g).select(*key, F.explode(F.array(trigrams("o"))).alias("grams"))
         .select(*key, F.size("grams").alias("n_text"), "grams")
         .filter((F.col("n_text") * den >= least) & (F.col("n_text") * num <= most))
         .select(*key, "n_text", F.explode("grams").alias("gram"))

@@ -127,3 +127,15 @@ def test_list_filter_with_very_many_alt_labels(spark):
     assert entities.property_detail(g, [uri]).count() == 1
     assert entities.property_detail(g, [uri]).first().n_alt_labels == 1100
     assert entities.alt_labels(g, uri).count() == 1100
+
+
+def test_a_text_is_cut_into_trigrams_once(spark):
+    from conftest import make_graph
+    from ontocat.operators.search import trigram_search
+
+    g = make_graph(spark, [("t/1", "uc:name", "main.promo", "lit"), ("t/2", "uc:name", "other", "lit")])
+    found = trigram_search(g, spark.createDataFrame([("promo",)], "query string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    texts = [line for line in plan.splitlines() if "regexp_extract_all" in line and "query" not in line]
+    assert sum(line.count("regexp_extract_all") for line in texts) == 1
+    assert [(r.uri, r.text) for r in found.collect()] == [("t/1", "main.promo")]
