@@ -26,6 +26,7 @@ from ontocat.operators.command_log import log_changes
 from ontocat.operators.mutations import CHANGES, ChangeSet
 from ontocat.model import PK
 from ontocat.sources import ntriples, turtle, turtle_export
+from ontocat.session import bound_tasks
 from ontocat.sources.snapshot_log import EVERYTHING, READS, GraphLog
 from ontocat.sources.store import open_graph, write_changed
 from ontocat.sources.tag_sink import FolderTarget, TagTarget, apply_changes
@@ -149,6 +150,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.job == "apply" and not (a.log or a.out):
         ap.error("apply --graph needs --out")
     spark = SparkSession.builder.appName(f"ontocat-{a.job}").getOrCreate()
+    bound_tasks(spark)
     if a.job == "sync":
         out = sync_tags(spark, a.graph, a.current_tags, a.out, a.prefix, a.limit, a.include_unmapped)
     elif a.job == "import":

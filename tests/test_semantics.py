@@ -153,3 +153,21 @@ def test_detail_finds_subjects_outside_the_ontology_partitions(spark):
     assert got == [z("c"), z("t"), z("x")]
     only_ontology = [r.uri for r in ent.concept_detail(g, [z("c")]).collect()]
     assert only_ontology == [z("c")]
+
+
+def test_tasks_are_bounded_unless_the_session_has_its_own_size(spark):
+    from conftest import SF_SMALL
+    from ontocat.plans import inputs
+    from ontocat.session import TASK_BYTES
+
+    key, size = TASK_BYTES
+    old = spark.conf.getAll.get(key)
+    try:
+        spark.conf.unset(key)
+        inputs.graph(spark, SF_SMALL)
+        assert spark.conf.get(key) == size
+        spark.conf.set(key, "2m")
+        inputs.current_tags(spark, SF_SMALL)
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
