@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +83,11 @@ def concept_summary(g: DataFrame, uris) -> DataFrame:
     base = present_subjects(g, uris)
     detail = detail_of_present(g, base)
     rel, tab, prp = _summary_parts(g, base)
-    out = detail
-    for part, name in ((rel, "n_relationships"), (tab, "n_assigned_tables"), (prp, "n_properties")):
-        out = out.join(part.groupBy("uri").agg(F.count(F.lit(1)).alias(name)), "uri", "left")
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
-    return out
+    parts = {"n_relationships": rel, "n_assigned_tables": tab, "n_properties": prp}
+    # The three are counted by one aggregate: one join with the detail, so a task holds one more sorted side, not three.
+    rows = reduce(DataFrame.unionByName, (part.select("uri", *[F.lit(int(n == name)).alias(n) for n in parts]) for name, part in parts.items()))
+    counts = rows.groupBy("uri").agg(*[F.sum(n).alias(n) for n in parts])
+    return detail.join(counts, "uri", "left").withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("bigint") for n in parts})
 
 
 def concept_summary_items(g: DataFrame, uris) -> DataFrame:
