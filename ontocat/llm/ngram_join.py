@@ -21,12 +21,15 @@ SKETCH_BITS = 20
 #: Parity bits of every set, and of sets of more n-grams than ``LONG``, which the few bits can't tell apart.
 SHORT_BITS = 128
 LONG_BITS = 4_096
-LONG = 600
+LONG = 128
 #: Bits of the filter that keeps documents without candidates out of the verifying join.
 FILTER_BITS = 23
 #: Rows of a prefix n-gram, and members of a candidate group, that one task compares at a time.
 RUN_ROWS = 8_192
 GROUP_ROWS = 512
+#: Groups told apart by bits alone are dealt in parts so many times larger; runs from so many rows on are walked, not paired.
+BITS_ROWS = 8
+WALKED_ROWS = 32
 
 _SLICE = 4_096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -213,6 +216,22 @@ def _edge_batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def _walked(rows: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of ``rows`` as ``(row, rows found from it)``; ``near(row, others)`` tells which of the others are near.
+
+    Rows go once they are found, so a group of copies costs its size, not its pairs.
+    """
+    while len(rows):
+        todo, rows = [rows[0]], rows[1:]
+        while todo and len(rows):
+            at = todo.pop()
+            found = near(at, rows)
+            if found.any():
+                yield int(at), rows[found]
+                todo += rows[found].tolist()
+                rows = rows[~found]
+
+
 def _candidates(similarity: tuple[int, int]):
     """Sets that share a prefix n-gram and that size, position and parity bits can't tell apart, as a spanning forest."""
     part, whole = similarity
@@ -222,23 +241,39 @@ def _candidates(similarity: tuple[int, int]):
             token, pair, n, pos, low, high = (table[c].to_numpy() for c in ("token", "pair", "n", "pos", "low", "high"))
             same = (token[1:] == token[:-1]) & (pair[1:] == pair[:-1])
             run = np.cumsum(np.r_[True, ~same])
-            rows = np.flatnonzero(np.r_[same, False])
             n, left = n.astype(np.int64), n.astype(np.int64) - pos
             low, high = low.view(np.uint64), high.view(np.uint64)
             key = table["key"]
+
+            def near(one, other) -> np.ndarray:
+                both = n[one] + n[other]
+                need = -(-part * both // (part + whole))
+                apart = (np.bitwise_count(low[one] ^ low[other]).astype(np.int64)
+                         + np.bitwise_count(high[one] ^ high[other]))  # of unsigned words: signed ones count |x|
+                return (np.minimum(left[one], left[other]) >= need) & (apart <= both - 2 * need)
+
+            def near_by_size(one, other) -> np.ndarray:
+                sizes, found = n[other], np.zeros(len(other), bool)  # rows of a run are sorted by size
+                a, z = np.searchsorted(sizes, -(-n[one] * part // whole)), np.searchsorted(sizes, n[one] * whole // part, "right")
+                found[a:z] = near(one, other[a:z])
+                return found
+
             links, step = Links(), 1
+            length = np.bincount(run)
+            heads = np.flatnonzero(np.r_[True, ~same])
+            for a in heads[length[run[heads]] >= WALKED_ROWS].tolist():
+                for x, found in _walked(np.arange(a, a + length[run[a]]), near_by_size):
+                    one = key[x].as_py()
+                    for other in key.take(pa.array(found)).to_pylist():
+                        links.add(one, other)
+            rows = np.flatnonzero(np.r_[same, False] & (length[run] < WALKED_ROWS))
             while len(rows):
                 rows = rows[rows + step < len(run)]
                 rows = rows[run[rows] == run[rows + step]]
-                rows = rows[n[rows + step] * part <= n[rows] * whole]  # rows of a run are sorted by size
-                other = rows + step
-                both = n[rows] + n[other]
-                need = -(-part * both // (part + whole))
-                apart = (np.bitwise_count(low[rows] ^ low[other]).astype(np.int64)
-                         + np.bitwise_count(high[rows] ^ high[other]))  # of unsigned words: signed ones count |x|
-                near = (np.minimum(left[rows], left[other]) >= need) & (apart <= both - 2 * need)
-                for x, y in zip(rows[near].tolist(), other[near].tolist()):
-                    links.add(key[x].as_py(), key[y].as_py())
+                rows = rows[n[rows + step] * part <= n[rows] * whole]
+                found = rows[near(rows, rows + step)]
+                for x, y in zip(key.take(pa.array(found)).to_pylist(), key.take(pa.array(found + step)).to_pylist()):
+                    links.add(x, y)
                 step += 1
             if links.links:
                 yield _edge_batch(links.links)
@@ -261,16 +296,19 @@ def _refined(similarity: tuple[int, int]):
                     continue
                 long = np.array([many[r] is not None for r in range(a, z)])
                 more = np.frombuffer(b"".join(many[r] or nothing for r in range(a, z)), np.uint64).reshape(z - a, -1)
-                for at in range(a, z - 1):
-                    rest = np.arange(at + 1, z)
+
+                def near(at, rest) -> np.ndarray:
                     both = n[at] + n[rest]
                     allowed = both + 2 * (-part * both // (part + whole))  # n + m - 2 * least overlap
-                    near = ((n[rest] * part <= n[at] * whole) & (n[at] * part <= n[rest] * whole)
-                            & (np.bitwise_count(bits[at] ^ bits[rest]).sum(axis=1, dtype=np.int64) <= allowed))
-                    if long[at - a] and (too := rest[near & long[rest - a]]).size:
-                        apart = np.bitwise_count(more[at - a] ^ more[too - a]).sum(axis=1, dtype=np.int64)
-                        near[too - at - 1] = apart <= allowed[too - at - 1]
-                    for other in rest[near].tolist():
+                    found = ((n[rest] * part <= n[at] * whole) & (n[at] * part <= n[rest] * whole)
+                             & (np.bitwise_count(bits[at] ^ bits[rest]).sum(axis=1, dtype=np.int64) <= allowed))
+                    if long[at - a] and (too := np.flatnonzero(found & long[rest - a])).size:
+                        apart = np.bitwise_count(more[at - a] ^ more[rest[too] - a]).sum(axis=1, dtype=np.int64)
+                        found[too] = apart <= allowed[too]
+                    return found
+
+                for at, found in _walked(np.arange(a, z), near):
+                    for other in found.tolist():
                         links.add(keys[at], keys[other])
                 a = z
             if links.links:
@@ -288,7 +326,10 @@ class Trie:
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
         self.nodes: list[tuple] = []  # start, stop, set, first, last + 1, least size, largest size, children
+        self.above: list[int] = []  # the node above each node; the root's is -1
+        self.leaf = [0] * len(sets)
         self.root = self._build(0, len(sets), 0)
+        self.left = [node[4] - node[3] for node in self.nodes]  # sets below a node that have not gone
 
     def _common(self, a: int, b: int, depth: int) -> int:
         """Length of the common prefix of two sets, known to be ``depth`` at least."""
@@ -305,8 +346,11 @@ class Trie:
             end = self._common(a, z - 1, start) if z - a > 1 else len(self.sets[a])
             sizes = [len(s) for s in self.sets[a:z]]
             self.nodes.append((start, end, a, a, z, min(sizes), max(sizes), []))
+            self.above.append(-1 if parent is None else parent)
             if parent is not None:
                 self.nodes[parent][7].append(len(self.nodes) - 1)
+            if z - a == 1:
+                self.leaf[a] = len(self.nodes) - 1
             at, me = a, len(self.nodes) - 1
             while at < z and z - a > 1:
                 if len(self.sets[at]) == end:  # a set that ends here is the first below
@@ -324,13 +368,20 @@ class Trie:
                 at = low
         return root
 
-    def similar(self, query: int, marked: np.ndarray, similarity: tuple[int, int], known) -> Iterator[int]:
-        """Sets after ``query`` that are similar to it.
+    def remove(self, at: int) -> None:
+        """Has a set found no more."""
+        node = self.leaf[at]
+        while node >= 0:
+            self.left[node] -= 1
+            node = self.above[node]
+
+    def similar(self, query: int, marked: np.ndarray, similarity: tuple[int, int], known=None) -> Iterator[int]:
+        """Sets that are similar to ``query`` and have not been removed; with ``known``, those after ``query``.
 
         Overlap up to a node is counted once for all sets below it. A subtree
         goes when even all that is left of the query, or of its largest set,
-        could not reach the overlap that its smallest set needs, or when the
-        one set in it is ``known``: connected with the query, or reported by
+        could not reach the overlap that its smallest set needs, when none of
+        its sets is left, or when the one set in it is ``known``: reported by
         another tree.
         """
         mine = self.sets[query]
@@ -339,9 +390,9 @@ class Trie:
         while todo:
             node, common = todo.pop()
             start, stop, owner, first, last, least, most, below = self.nodes[node]
-            if last <= query + 1 or least * part > size * whole or most * whole < size * part:
+            if not self.left[node] or least * part > size * whole or most * whole < size * part:
                 continue
-            if last - first == 1 and known(first):
+            if known and (last <= query + 1 or last - first == 1 and known(first)):
                 continue
             if stop > start:
                 edge = self.sets[owner][start:stop]
@@ -374,16 +425,33 @@ def similar_links(sets: list[np.ndarray], similarity: tuple[int, int], skip=None
     ordered = [np.sort(x) for x in np.split(rank[where], np.cumsum([len(s) for s in sets])[:-1])]
     order = sorted(range(len(sets)), key=lambda i: ordered[i].astype(">i8").tobytes())
     trie = Trie([ordered[i] for i in order])
-    marked, links, pairs = np.zeros(len(grams), bool), Links(), []
-    for query, mine in enumerate(trie.sets):
-        marked[mine] = True
-        if skip:
-            pairs += [(query, x) for x in trie.similar(query, marked, similarity, lambda x: skip(order[query], order[x]))]
-        else:
-            for other in trie.similar(query, marked, similarity, lambda x: links.find(x) == links.find(query)):
-                links.add(query, other)
-        marked[mine] = False
-    return [(order[a], order[b]) for a, b in (pairs if skip else links.links)]
+    marked, found = np.zeros(len(grams), bool), []
+
+    def similar_to(query: int, known=None) -> list[int]:
+        marked[trie.sets[query]] = True
+        others = list(trie.similar(query, marked, similarity, known))
+        marked[trie.sets[query]] = False
+        return others
+
+    if skip:
+        for query in range(len(sets)):
+            found += [(query, x) for x in similar_to(query, lambda x: skip(order[query], order[x]))]
+    else:  # sets go once they are found, so a group of copies costs its size, not its pairs
+        gone = [False] * len(sets)
+        for first in range(len(sets)):
+            if gone[first]:
+                continue
+            trie.remove(first)
+            todo = [first]
+            while todo:
+                query = todo.pop()
+                others = similar_to(query)
+                for x in others:
+                    gone[x] = True
+                    trie.remove(x)
+                found += [(query, x) for x in others]
+                todo += others
+    return [(order[a], order[b]) for a, b in found]
 
 
 def _verified(ngram: int, similarity: tuple[int, int]):
@@ -470,15 +538,15 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, similarity: tu
                         .mapInArrow(_candidates(similarity), "a binary, b binary"))
 
 
-    def sized(found: DataFrame) -> DataFrame:
-        """``(key, component, parts)``: members of the groups, which are dealt in parts of ``group_rows``."""
-        sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
+    def sized(found: DataFrame, rows: int) -> DataFrame:
+        """``(key, component, parts)``: members of the groups, which are dealt in parts of ``rows``."""
+        sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
         return found.join(sizes, "component").withColumnRenamed("node", "key")
 
-    marks = sized(groups).join(worded.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "many")]), "key")
+    marks = sized(groups, BITS_ROWS * group_rows).join(worded.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "many")]), "key")
     groups = components(_in_parts(marks, ["component"], "parts").sortWithinPartitions("component", "pair")
                         .mapInArrow(_refined(similarity), "a binary, b binary"))
-    members = sized(groups).join(classes, "key")
+    members = sized(groups, group_rows).join(classes, "key")
     members = broadcast_if_bounded(cut(members))
     if not members._bounded:
         rows = _only_members(rows, members.select("least.hash"))

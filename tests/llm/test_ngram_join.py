@@ -136,3 +136,38 @@ def test_links_and_pairs_equal_brute_force(spark, ngram, part, small):
         forest.add(*p)
     got = [(r.doc_id, r.other_id) for r in N.similar_pairs(docs, ngram=ngram, similarity=(part, 100), **options).collect()]
     assert len(pairs) > len(forest.links) and sorted(got) == sorted(pairs)  # links that close a cycle are there too
+
+
+def test_a_run_of_copies_costs_its_rows_not_its_pairs(monkeypatch):
+    import pyarrow as pa
+    rng, rows, tried = np.random.default_rng(5), 3_000, []
+    monkeypatch.setattr(N.Links, "add", lambda self, x, y, add=N.Links.add: (tried.append((x, y)), add(self, x, y)))
+    keys = [int(i).to_bytes(4, "big") for i in rng.permutation(rows)]
+    many = [np.zeros(N.LONG_BITS // 64, np.uint64).tobytes()] * rows
+    batch = pa.RecordBatch.from_pydict({
+        "key": pa.array(keys, pa.binary()), "token": [7] * rows, "pair": [0] * rows, "component": [b"c"] * rows, "n": pa.array([400] * rows, pa.int32()),
+        "pos": pa.array([3] * rows, pa.int32()), "low": [5] * rows, "high": [9] * rows, "many": pa.array(many, pa.binary())})
+    for step in (N._candidates, N._refined):
+        tried.clear()
+        links = [pair for out in step((80, 100))(iter([batch])) for pair in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert len({k for pair in links for k in pair}) == rows and len(links) == rows - 1 == len(tried)
+
+
+@pytest.mark.parametrize("rows", [5, 31, 32, 70])
+def test_walked_and_paired_runs_connect_the_same(monkeypatch, rows):
+    import pyarrow as pa
+    rng = np.random.default_rng(rows)
+    for _ in range(20):
+        n = np.sort(rng.integers(60, 90, rows))
+        batch = pa.RecordBatch.from_pydict({
+            "key": pa.array([bytes([i]) for i in range(rows)], pa.binary()), "token": [7] * rows, "pair": [0] * rows, "n": pa.array(n, pa.int32()),
+            "pos": pa.array(rng.integers(0, 9, rows), pa.int32()), "low": rng.integers(0, 2 ** 9, rows), "high": rng.integers(0, 2 ** 9, rows)})
+        found = []
+        for limit in (2, 10 ** 6):
+            monkeypatch.setattr(N, "WALKED_ROWS", limit)
+            links = N.Links()
+            for out in N._candidates((90, 100))(iter([batch])):
+                for x, y in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                    links.add(x, y)
+            found.append([[links.find(bytes([i])) == links.find(bytes([j])) for j in range(i)] for i in range(rows)])
+        assert found[0] == found[1]
