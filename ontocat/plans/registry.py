@@ -462,10 +462,9 @@ def _turtle(spark, sf_dir):
 @query("import_turtle")
 def q_import_turtle(spark, sf_dir):
     """The triples of Turtle files that the graph does not hold; a blank node shows as ``_:``, as its label is made up."""
-    from ontocat.sources import ntriples
+    from ontocat.sources import commands, turtle
 
-    parsed, _ = _turtle(spark, sf_dir)
-    _, added = ntriples.merge_parsed(_g(spark, sf_dir), parsed)
+    _, added, _ = turtle.import_turtle(_g(spark, sf_dir), commands.turtle_lines(spark, sf_dir), IMPORT_BATCH)
     return added.select(*[F.when(F.startswith(F.col(c), F.lit("_:")), F.lit("_:")).otherwise(F.col(c)).alias(c) if c in ("s", "o") else F.col(c)
                           for c in added.columns])
 

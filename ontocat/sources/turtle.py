@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontocat.operators.joins import broadcast_if_bounded
-from ontocat.session import new_snapshot_path, ship_package
-from ontocat.sources.ntriples import decode_terms
+from ontocat.session import drop_snapshot, freed_shuffles, new_snapshot_path, ship_package
+from ontocat.sources.ntriples import decode_terms, merge_parsed
 
 #: What the text before a line can end in: between statements, in one, in a long string of either quote,
 #: in a directive without full stop (``PREFIX``, ``BASE``), which its IRI ends.
@@ -396,31 +396,34 @@ def _entered(summary: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Statements of each split, numbered; the piece before its first end has number 0, that behind the last ``last``."""
+    """Statements of each split, numbered; the piece before its first end has number 0, that behind the last ``last``.
+
+    ``begun`` is the split that a piece's statement begins in.
+    """
     out: list[tuple] = []
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))],
-                                          ["file", "split", "no", "last", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))],
+                                          ["file", "split", "begun", "no", "last", "text"])
 
     key, state, no, held = None, BETWEEN, 0, []
     for batch in batches:
-        for file, split, before, line in zip(*(c.to_pylist() for c in batch.columns)):
+        for file, split, before, owner, line in zip(*(c.to_pylist() for c in batch.columns)):
             if key != (file, split):
                 if key:
-                    out.append((*key, no, True, "\n".join(held)))
-                key, state, no, held = (file, split), before, 0, []
+                    out.append((*key, key[1] if no else first, no, True, "\n".join(held)))
+                key, state, first, no, held = (file, split), before, owner, 0, []
             state, ends = advance(state, line)
             start = 0
             for end in ends:
-                out.append((file, split, no, False, "\n".join([*held, line[start:end]])))
+                out.append((file, split, split if no else first, no, False, "\n".join([*held, line[start:end]])))
                 no, held, start = no + 1, [], end
             held.append(line[start:])
         if len(out) >= 1_000:
             yield batch_of(out)
             out = []
     if key:
-        out.append((*key, no, True, "\n".join(held)))
+        out.append((*key, key[1] if no else first, no, True, "\n".join(held)))
     if out:
         yield batch_of(out)
 
@@ -439,17 +442,17 @@ def statements(lines: DataFrame) -> DataFrame:
     _entered(summary).write.parquet(path)
     splits = lines.sparkSession.read.schema(f"{_SPLIT}, before int, owner bigint").parquet(path)
 
-    entries = broadcast_if_bounded(splits.filter(F.col("before") != BETWEEN).select("file", "split", "before"))
+    # where the statement that a split starts in begins comes with its lines, so that no piece is moved to learn it
+    entries = broadcast_if_bounded(splits)
     known = lines.join(entries, ["file", "split"], "left")
     if not entries._bounded:  # a shuffle join loses the order
         known = known.repartition("file", "split").sortWithinPartitions("file", "split", "at")
-    pieces = known.select("file", "split", F.coalesce("before", F.lit(BETWEEN)).alias("before"), "value").mapInArrow(
-        _cut, f"{_SPLIT}, no bigint, last boolean, text string")
+    pieces = known.select("file", "split", F.coalesce("before", F.lit(BETWEEN)).alias("before"), "owner", "value").mapInArrow(
+        _cut, f"{_SPLIT}, begun bigint, no bigint, last boolean, text string")
     whole = pieces.filter(~F.col("last") & (F.col("no") > 0)).select("file", "split", "no", "text")
     # the first and last piece of each split, by the split that the statement begins in; BEFORE is before the first
-    ends = pieces.filter(F.col("last") | (F.col("no") == 0)).join(splits.select("file", "split", "owner"), ["file", "split"])
-    begun = F.when(F.col("no") == 0, F.col("owner")).otherwise(F.col("split"))
-    joined = (ends.groupBy("file", begun.alias("begun")).agg(F.array_sort(F.collect_list(F.struct("split", "no", "text"))).alias("parts"))
+    ends = pieces.filter((F.col("last") | (F.col("no") == 0)) & F.col("begun").isNotNull())
+    joined = (ends.groupBy("file", "begun").agg(F.array_sort(F.collect_list(F.struct("split", "no", "text"))).alias("parts"))
               .select("file", F.col("begun").alias("split"), F.lit((1 << 62)).alias("no"),
                       F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text")))
     blank = r"(?s)^(?:\s|#[^\n]*(?:\n|$))*+$"
@@ -499,9 +502,34 @@ def parse_turtle(lines: DataFrame, batch_id: str, namespaces=None, parts: bool =
     (and the comments right before it) in ``value``; the others of its file are kept. Null lines are empty ones; an
     empty table gives empty results; other columns are not read.
     """
+    with freed_shuffles(lines.sparkSession):
+        triples, rejects, _ = _parsed(lines, batch_id, namespaces, parts)
+    return triples, rejects
+
+
+def import_turtle(g: DataFrame, lines: DataFrame, batch_id: str, namespaces=None, parts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(merged_graph, added, rejects)`` of a graph and Turtle lines, each as :func:`parse_turtle` and ``merge_parsed`` have it.
+
+    What a step has written goes as soon as the next one is written, so that the
+    text is on disk twice at most beside the shuffles of one step.
+    """
+    spark = lines.sparkSession
+    with freed_shuffles(spark):
+        triples, rejects, (texts, terms) = _parsed(lines, batch_id, namespaces, parts)
+        path = new_snapshot_path(spark, "turtle-rejects")
+        rejects.write.parquet(path)
+        rejects = spark.read.schema("value string").parquet(path)
+        drop_snapshot(spark, texts)
+        merged, added = merge_parsed(g, triples)
+        drop_snapshot(spark, terms)
+    return merged, added, rejects
+
+
+def _parsed(lines: DataFrame, batch_id: str, namespaces, parts: bool) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """What :func:`parse_turtle` returns, and where the texts of the statements (read by the rejects) and their terms (by both) are."""
     spark = lines.sparkSession
     lines = lines.select("file", "split", "at", F.coalesce("value", F.lit("")).alias("value"))
-    path = new_snapshot_path(spark, "turtle-statements")
+    texts = path = new_snapshot_path(spark, "turtle-statements")
     statements(lines).write.parquet(path)
     found = spark.read.schema(f"{_SPLIT}, no bigint, text string").parquet(path)
     bound = bindings(found)
@@ -535,14 +563,16 @@ def parse_turtle(lines: DataFrame, batch_id: str, namespaces=None, parts: bool =
         return F.when(F.col(prefix).isNull(), F.col(text)).otherwise(F.concat(F.lit("<"), F.col(f"{prefix}_iri"), F.col(text), F.lit(">")))
 
     typed = F.when(F.col("o_dt_prefix").isNotNull(), F.concat(F.col("o_text"), F.lit("^^"), full("o_dt_prefix", "o_dt"))).otherwise(full("o_prefix", "o_text"))
-    path = new_snapshot_path(spark, "turtle-terms")
+    stored = path = new_snapshot_path(spark, "turtle-terms")
     (out.select("file", "split", "no", "bad", full("s_prefix", "s_text").alias("ts"), full("p_prefix", "p_text").alias("tp"), typed.alias("to"))
      .write.parquet(path))
     done = spark.read.schema(f"{_SPLIT}, no bigint, bad string, ts string, tp string, to string").parquet(path)
 
-    unbound = broadcast_if_bounded(done.filter(F.col("bad").isNull() & (F.col("ts").isNull() | F.col("tp").isNull() | F.col("to").isNull()))
-                                   .select("file", "split", "no").distinct())
     keys = ["file", "split", "no"]
+    path = new_snapshot_path(spark, "turtle-unbound")
+    (done.filter(F.col("bad").isNull() & (F.col("ts").isNull() | F.col("tp").isNull() | F.col("to").isNull()))
+     .select(*keys).distinct().write.parquet(path))
+    unbound = broadcast_if_bounded(spark.read.schema(f"{_SPLIT}, no bigint").parquet(path))
     kept = done.filter(F.col("bad").isNull()).join(unbound, keys, "left_anti")
     rejects = done.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("value")).unionByName(
         found.join(unbound, keys, "left_semi").select(F.col("text").alias("value")))
@@ -556,4 +586,4 @@ def parse_turtle(lines: DataFrame, batch_id: str, namespaces=None, parts: bool =
             own = F.when(label.rlike(r"^-?[0-9a-f]+\.[0-9a-f]+\.[0-9]+$"), own).otherwise(F.col(column))
         return F.when(F.startswith(F.col(column), F.lit("_:")), own).otherwise(F.col(column)).alias(column)
 
-    return decode_terms(kept.select(labelled("ts"), "tp", labelled("to")), batch_id, namespaces), rejects
+    return decode_terms(kept.select(labelled("ts"), "tp", labelled("to")), batch_id, namespaces), rejects, (texts, stored)

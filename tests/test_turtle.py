@@ -175,3 +175,26 @@ def test_simple_statements_are_expanded_as_others_are(monkeypatch, base):
         assert sum(turtle._simple(t, base) is not None for t in texts) > 50
     monkeypatch.setattr(turtle, "_simple", lambda text, base: None)
     assert quick == [found(t) for t in texts]
+
+
+def test_import_keeps_no_steps_and_equals_parse_and_merge(spark, monkeypatch):
+    import os
+
+    from ontocat.session import FREE_SHUFFLES
+    from ontocat.sources import ntriples
+
+    paths = []
+    monkeypatch.setattr(turtle, "new_snapshot_path", lambda s, kind, of=turtle.new_snapshot_path: paths.append(of(s, kind)) or paths[-1])
+    lines = lines_of(spark, {"f": TEXT, "g": TEXT + "\nnot a statement .\n<x> nosuch:p <y> ."}, set(range(0, len(TEXT), 7)))
+    triples, rejects = turtle.parse_turtle(lines, "b")
+    g = triples.limit(3)
+    _, want = ntriples.merge_parsed(g, triples)
+    want, want_rejects = sorted(map(repr, want.collect())), sorted(r.value for r in rejects.collect())
+    paths.clear()
+    own = spark.conf.get(FREE_SHUFFLES, None)
+    merged, added, rejects = turtle.import_turtle(g, lines, "b")
+    assert sorted(map(repr, added.collect())) == want and sorted(r.value for r in rejects.collect()) == want_rejects and want_rejects
+    assert merged.count() == len(want) + 3
+    large = [p for p in paths if "turtle-statements-" in p or "turtle-terms-" in p]
+    assert len(large) == 2 and not any(os.path.exists(p.removeprefix("file:")) for p in large)
+    assert spark.conf.get(FREE_SHUFFLES, None) == own
